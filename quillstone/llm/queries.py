@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import shards, topk
+from . import bpe, shards, tokenfile, topk
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,12 +21,25 @@ def op1_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def _vocabulary(name: str) -> bytes:
+    with open(public_tokenizers.path(name), "rb") as f:
+        return f.read()
+
+
+def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfile.read(*tokenfile.write(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json").decode(), end=0))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_exact_topk": op1_exact_topk, "op10_sharding": op10_sharding}
+    return {"op1_exact_topk": op1_exact_topk, "op7_byte_bpe": op7_byte_bpe, "op9_token_files": op9_token_files, "op10_sharding": op10_sharding}
 
 
 def oracle_sql() -> dict[str, str]:
