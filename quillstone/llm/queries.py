@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, shards, tokenfile, topk
+from . import bpe, extract, jaccard, quality, shards, tokenfile, topk, toxicity, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,6 +26,32 @@ def _vocabulary(name: str) -> bytes:
         return f.read()
 
 
+#: The rules of the URL filter.
+RULES = [urls.Rule("com/en/", "block"), urls.Rule("example.com/en/7", "allow"), urls.Rule("net/de/", "allow"), urls.Rule("example.net/de/8", "block"), urls.Rule("org/es/", "block")]
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(_table(spark, sf_dir, "pages"), RULES)
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.train(docs, _table(spark, sf_dir, "labels")))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
+
+
+def op5_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extract(_table(spark, sf_dir, "pages"))
+
+
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(_table(spark, sf_dir, "documents"), shingle=4, num=85, den=100)
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -39,7 +65,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_exact_topk": op1_exact_topk, "op7_byte_bpe": op7_byte_bpe, "op9_token_files": op9_token_files, "op10_sharding": op10_sharding}
+    return {"op1_exact_topk": op1_exact_topk, "op2_url_filter": op2_url_filter, "op3_quality": op3_quality, "op4_toxicity": op4_toxicity, "op5_html_extract": op5_html_extract, "op6_ngram_jaccard": op6_ngram_jaccard, "op7_byte_bpe": op7_byte_bpe, "op9_token_files": op9_token_files, "op10_sharding": op10_sharding}
 
 
 def oracle_sql() -> dict[str, str]:
