@@ -11,11 +11,13 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Hash buckets for words, factors of an input, passes, rows of a step, labelled rows learned from at most, documents featurised together.
 BUCKETS, FACTORS, EPOCHS, STEP, SAMPLE, TOGETHER = 1 << 15, 8, 6, 128, 6000, 512
@@ -143,10 +145,16 @@ def is_held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def _features(docs: DataFrame) -> DataFrame:
+@lru_cache(maxsize=1)
+def featuriser() -> Featuriser:
+    """One for all tasks of a Python worker."""
+    return Featuriser()
+
+
+def _inputs(docs: DataFrame) -> list[Column]:
     """doc_id, text, length, and nothing else of the documents."""
     length = F.col("n_chars").cast("long") if "n_chars" in docs.columns else F.lit(None).cast("long")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), length.alias("length"))
+    return [F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), length.alias("length")]
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
@@ -156,10 +164,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
     """
     known = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").cast("int").alias("y"))
     picked = known.filter(~is_held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = _features(docs).join(F.broadcast(picked), "doc_id")  # at most `sample` rows of two numbers
+    rows = docs.select(*_inputs(docs)).join(F.broadcast(picked), "doc_id")  # at most `sample` rows of two numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make = Featuriser()
+        make = featuriser()
         for batch in batches:
             for a in range(0, batch.num_rows, TOGETHER):
                 b = batch.slice(a, TOGETHER)
@@ -172,19 +180,24 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
     return fit(flat("i", np.int64), flat("v", np.float64), np.asarray(got["i"].combine_chunks().value_lengths(), np.int64), flat("s", np.float64).reshape(-1, STATS), np.asarray(got["y"], np.float64))
 
 
-def score(docs: DataFrame, machine: Machine) -> DataFrame:
+def score(docs: DataFrame, machine: Machine, keep: bool = False) -> DataFrame:
     """Per document: doc_id, held_out, score from 0 to 1 (label 1 likelier when higher) and predicted (1 from 0.5 on).
 
-    Null and empty texts are scored by their statistics alone. Rows keep their repeats. Only doc_id, text and n_chars are read.
+    keep: return the documents' own columns instead, and predicted. Null and empty texts are scored by their statistics alone. Rows keep their
+    repeats. Only doc_id, text and n_chars are read for a score.
     """
     held = docs.sparkSession.sparkContext.broadcast(machine)  # a fixed number of inputs and factors
+    own = F.struct(*[F.col(c) for c in docs.columns]).alias("own")
+    rows = docs.select(*_inputs(docs), *([own] if keep else []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make = Featuriser()
+        make = featuriser()
         for batch in batches:
             for a in range(0, batch.num_rows, TOGETHER):
                 b = batch.slice(a, TOGETHER)
-                yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(held.value.score(*make(b["text"].to_pylist(), b["length"].to_pylist())), pa.float64())], ["doc_id", "score"])
+                score = pa.array(held.value.score(*make(b["text"].to_pylist(), b["length"].to_pylist())), pa.float64())
+                yield pa.RecordBatch.from_arrays([b["own" if keep else "doc_id"], score], ["own" if keep else "doc_id", "score"])
 
-    scored = _features(docs).mapInArrow(run, "doc_id long, score double")
-    return scored.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    scored = rows.mapInArrow(run, T.StructType([rows.schema["own"] if keep else T.StructField("doc_id", T.LongType()), T.StructField("score", T.DoubleType())]))
+    predicted = (F.col("score") >= 0.5).cast("int").alias("predicted")
+    return scored.select("own.*", predicted) if keep else scored.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "score", predicted)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, extract, jaccard, quality, shards, tokenfile, topk, toxicity, urls
+from . import bpe, decontam, extract, jaccard, quality, shards, tokenfile, topk, toxicity, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -56,6 +56,10 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.read(*tokenfile.write(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json").decode(), end=0))
 
@@ -65,7 +69,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_exact_topk": op1_exact_topk, "op2_url_filter": op2_url_filter, "op3_quality": op3_quality, "op4_toxicity": op4_toxicity, "op5_html_extract": op5_html_extract, "op6_ngram_jaccard": op6_ngram_jaccard, "op7_byte_bpe": op7_byte_bpe, "op9_token_files": op9_token_files, "op10_sharding": op10_sharding}
+    return {"op1_exact_topk": op1_exact_topk, "op2_url_filter": op2_url_filter, "op3_quality": op3_quality, "op4_toxicity": op4_toxicity, "op5_html_extract": op5_html_extract, "op6_ngram_jaccard": op6_ngram_jaccard, "op7_byte_bpe": op7_byte_bpe, "op8_decontamination": op8_decontamination, "op9_token_files": op9_token_files, "op10_sharding": op10_sharding}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -10,13 +10,15 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
+from functools import lru_cache
+from itertools import chain as chained
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: What marks a category in a toxic document, in chain order. The labels only say toxic or not.
 CATEGORIES = {
@@ -47,7 +49,7 @@ class Words:
             for x in seen:
                 if x not in bucket:
                     bucket[x] = tuple(zlib.crc32(w.encode()) % BUCKETS for w in WORD.findall(x.lower()))
-            out.append(np.unique(np.fromiter(chain.from_iterable(map(bucket.__getitem__, seen)), np.int64)))
+            out.append(np.unique(np.fromiter(chained.from_iterable(map(bucket.__getitem__, seen)), np.int64)))
         return out
 
 
@@ -87,8 +89,8 @@ def learn(row: np.ndarray, inputs: np.ndarray, earlier: np.ndarray, y: np.ndarra
     k = int(keep.sum())
     theta, m, v = np.concatenate([np.zeros(k + earlier.shape[1]), [base]]), 0.0, 0.0
     for t in range(1, steps + 1):
-        w, chained = theta[:k], theta[k:-1]
-        p = 1 / (1 + np.exp(-np.clip(theta[-1] + np.bincount(r, w[s], n) + earlier @ chained, -30, 30)))
+        w, earlier_w = theta[:k], theta[k:-1]
+        p = 1 / (1 + np.exp(-np.clip(theta[-1] + np.bincount(r, w[s], n) + earlier @ earlier_w, -30, 30)))
         e = (p - y) / n
         g = np.concatenate([np.bincount(s, e[r], k), earlier.T @ e, [e.sum()]]) + 1e-5 * theta
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
@@ -138,8 +140,14 @@ def fit(words: list[np.ndarray], y: np.ndarray, fold: np.ndarray) -> Chain:
     return Chain([*CATEGORIES, LAST], made, threshold)
 
 
-def _text(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+@lru_cache(maxsize=1)
+def tokens() -> Words:
+    """One for all tasks of a Python worker."""
+    return Words()
+
+
+def _inputs(docs: DataFrame) -> list[Column]:
+    return [F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")]
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Chain:
@@ -151,13 +159,13 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Chain:
     picked = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make = Words()
+        make = tokens()
         for batch in batches:
             for a in range(0, batch.num_rows, TOGETHER):
                 b = batch.slice(a, TOGETHER)
                 yield pa.RecordBatch.from_arrays([b["doc_id"], b["y"], pa.array([x.astype(np.int32) for x in make(b["text"].to_pylist())], pa.list_(pa.int32()))], ["doc_id", "y", "words"])
 
-    got = _text(docs).join(F.broadcast(picked), "doc_id").select("doc_id", "text", "y").mapInArrow(run, "doc_id long, y int, words array<int>").toArrow().sort_by("doc_id")
+    got = docs.select(*_inputs(docs)).join(F.broadcast(picked), "doc_id").select("doc_id", "text", "y").mapInArrow(run, "doc_id long, y int, words array<int>").toArrow().sort_by("doc_id")
     words = [np.asarray(x, np.int64) for x in got["words"].to_numpy()]
     toxic = np.asarray(got["y"], np.float64)
     y = np.zeros((len(words), len(CATEGORIES) + 1))
@@ -168,21 +176,27 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Chain:
     return fit(words, y, np.asarray(got["doc_id"], np.int64) % FOLDS)
 
 
-def score(docs: DataFrame, chain: Chain) -> DataFrame:
+def score(docs: DataFrame, chain: Chain, keep: bool = False) -> DataFrame:
     """Per document: doc_id, p_<category> for each category, score (the chain's last probability) and toxic (1 from the threshold on).
 
-    A null or empty text has the probabilities of no words. Rows keep their repeats; only doc_id and text are read.
+    keep: return the documents' own columns instead, and toxic. A null or empty text has the probabilities of no words. Rows keep their repeats;
+    only doc_id and text are read for a score.
     """
     held = docs.sparkSession.sparkContext.broadcast(chain)  # the chosen words of a bounded sample
     names = [f"p_{x}" for x in CATEGORIES] + ["score"]
+    rows = docs.select(*_inputs(docs), *([F.struct(*[F.col(c) for c in docs.columns]).alias("own")] if keep else []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make = Words()
+        make = tokens()
         for batch in batches:
             for a in range(0, batch.num_rows, TOGETHER):
                 b = batch.slice(a, TOGETHER)
                 p = held.value.probabilities(make(b["text"].to_pylist()))
-                yield pa.RecordBatch.from_arrays([b["doc_id"], *(pa.array(p[:, k], pa.float64()) for k in range(len(names)))], ["doc_id", *names])
-
-    scored = _text(docs).mapInArrow(run, "doc_id long, " + ", ".join(f"{x} double" for x in names))
-    return scored.withColumn("toxic", (F.col("score") >= chain.threshold).cast("int"))
+                if keep:
+                    yield pa.RecordBatch.from_arrays([b["own"], pa.array(p[:, -1], pa.float64())], ["own", "score"])
+                else:
+                    yield pa.RecordBatch.from_arrays([b["doc_id"], *(pa.array(p[:, k], pa.float64()) for k in range(len(names)))], ["doc_id", *names])
+
+    given = [rows.schema["own"], T.StructField("score", T.DoubleType())] if keep else [T.StructField("doc_id", T.LongType()), *(T.StructField(x, T.DoubleType()) for x in names)]
+    scored = rows.mapInArrow(run, T.StructType(given)).withColumn("toxic", (F.col("score") >= chain.threshold).cast("int"))
+    return scored.select("own.*", "toxic") if keep else scored
