@@ -61,7 +61,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) ->
     found = None
     for size in [window, *short]:
         own = items if size == window else items.join(lengths.filter(F.col("n") == size).select("item_id").distinct(), "item_id", "left_semi")
-        bench = _windows(own, ["item_id"], size).select("item_id", F.col("pos").alias("at"), "hash", F.col("slots").alias("theirs"))
+        bench = _windows(own, ["item_id"], size)
+        # In the middle of a document's sentence an item's first word, if capitalised, looks like a name.
+        inner = _windows(own.withColumn("text", F.concat(F.lit("a "), "text")), ["item_id"], size).filter("pos = 1").withColumn("pos", F.lit(0))
+        bench = bench.unionByName(inner).distinct().select("item_id", F.col("pos").alias("at"), "hash", F.col("slots").alias("theirs"))
         bench = bench.filter(F.coalesce(F.size("theirs"), F.lit(0)) * 2 <= size)
         bench = F.broadcast(bench) if bench.count() <= BROADCAST else bench
         hits = _windows(texts, ["doc_id"], size).join(bench, "hash")
