@@ -10,9 +10,11 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-from collections.abc import Iterable, Iterator
+from array import array
+from collections.abc import Iterator
+from functools import lru_cache
 from heapq import heappop, heappush
-from itertools import islice
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -24,9 +26,9 @@ SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: A space after something that is no white space: a word always ends before it.
 BREAK = re.compile(r"(?<=\S) ")
 RUN = re.compile(r"\s ")
-#: Pieces remembered by a task, the longest one remembered, documents whose new pieces are encoded together, pieces held of a
+#: Pieces remembered by a task, the longest one remembered, the longest of single words, documents whose new pieces are encoded together, pieces held of a
 #: huge text, and characters from which a text is huge.
-KEPT, LONG, TOGETHER, STEP, HUGE = 300_000, 200, 256, 200_000, 1_000_000
+KEPT, LONG, SHORT, TOGETHER, STEP, HUGE = 500_000, 60, 12, 512, 200_000, 1_000_000
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
@@ -40,17 +42,17 @@ def explicit(pattern: str) -> str:
 
 
 def pieces(text: str) -> Iterator[list[str]]:
-    """Lists of stretches of the text that no word crosses; all but the first of the text begin with a space."""
+    """Lists of stretches of the text that no word crosses. The text is all of them joined by spaces; each space belongs to what follows it."""
     if len(text) < HUGE and not RUN.search(text):
-        yield [x if k == 0 else f" {x}" for k, x in enumerate(text.split(" "))]
+        yield text.split(" ")
         return
     at = 0
     cuts = (m.start() for m in BREAK.finditer(text))
     while True:
         some = list(islice(cuts, STEP))
         ends = some or [len(text)]
-        yield [text[a:b] for a, b in zip([at, *ends[:-1]], ends, strict=True)]
-        at = ends[-1]
+        yield [text[a:b] for a, b in zip([at, *(x + 1 for x in ends[:-1])], ends, strict=True)]
+        at = ends[-1] + 1
         if not some:
             return
 
@@ -63,114 +65,192 @@ class Replay:
         self.table = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, rank in ranks.items():
             self.table[rank] = token
-        self.single = [ranks[bytes([b])] for b in range(256)]
-        self.joined: dict[tuple[int, int], int] = {}
-
-    def _rank(self, a: int, b: int) -> int:
-        """The token that a pair joins to, or -1."""
-        r = self.joined.get((a, b))
-        if r is None:
-            if len(self.joined) > 2_000_000:
-                self.joined.clear()
-            r = self.joined[a, b] = self.ranks.get(self.table[a] + self.table[b], -1)
-        return r
+        self.single = np.array([ranks[bytes([b])] for b in range(256)])
+        #: The token that a pair of tokens joins to, by left << 32 | right: every way to cut a token into two.
+        self.pairs = {ranks[t[:k]] << 32 | ranks[t[k:]]: r for t, r in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks}
+        get = self.pairs.get
+        self.first = np.array([get(a << 32 | b, -1) for a in self.single.tolist() for b in self.single.tolist()])
 
     def encode(self, words: list[bytes]) -> list[list[int]]:
-        rank, single = self._rank, self.single
-        token: list[int] = []
-        right: list[int] = []
-        left: list[int] = []
-        starts = []
-        for w in words:
-            at = len(token)
-            starts.append(at)
-            if w in self.ranks:
-                token.append(self.ranks[w])
-                left.append(-1)
-                right.append(-1)
-                continue
-            token += [single[b] for b in w]
-            left += range(at - 1, at + len(w) - 1)
-            right += range(at + 1, at + len(w) + 1)
-            if w:
-                left[at] = right[-1] = -1
-        index: dict[int, list[int]] = {}
-        for p, q in enumerate(right):
-            if q >= 0 and (r := rank(token[p], token[q])) >= 0:
-                index.setdefault(r, []).append(p)
+        whole = [self.ranks.get(w) for w in words]
+        apart = [w for w, r in zip(words, whole, strict=True) if r is None and w]
+        size = np.array([len(w) for w in apart], np.int64)
+        raw, end = np.frombuffer(b"".join(apart), np.uint8).astype(np.int64), np.cumsum(size)
+        n = len(raw)
+        links = np.arange(1, n + 1)
+        links[end - 1] = -1
+        joins = np.full(n, -1)
+        joins[:-1] = self.first[raw[:-1] * 256 + raw[1:]]
+        joins[end - 1] = -1
+        spots = np.argsort(joins, kind="stable")
+        merges, at = np.unique(joins[spots], return_index=True)
+        index = {r: s.tolist() for r, s in zip(merges.tolist(), np.split(spots, at[1:]), strict=True) if r >= 0} if n else {}
+        back = np.arange(-1, n - 1)
+        back[end - size] = -1
+        token, right, left = self.single[raw].tolist(), links.tolist(), back.tolist()
+        self._replay(index, token, right, left)
+        out, rest = [], iter(zip((end - size).tolist(), end.tolist(), strict=True))
+        for w, r in zip(words, whole, strict=True):
+            if r is not None:
+                out.append([r])
+            elif not w:
+                out.append([])
+            else:
+                a, b = next(rest)
+                out.append([t for t in token[a:b] if t >= 0])
+        return out
+
+    def _replay(self, index: dict[int, list[int]], token: list[int], right: list[int], left: list[int]) -> None:
+        """Joins pairs in rank order; a position that has been joined to its left becomes -1."""
+        get = self.pairs.get
         heap = sorted(index)
         while heap:
             r = heappop(heap)
             spots = index.pop(r, None)
-            if not spots:
+            if spots is None:
                 continue
             spots.sort()
+            wide = r << 32
             for k, p in enumerate(spots):
                 q = right[p]
-                if q < 0 or token[p] < 0 or rank(token[p], token[q]) != r:
+                a = token[p]
+                if q < 0 or a < 0 or get(a << 32 | token[q]) != r:
                     continue
-                token[p], token[q] = r, -1
+                token[p] = r
+                token[q] = -1
                 right[p] = n = right[q]
+                better = False
                 if n >= 0:
                     left[n] = p
-                    if (x := rank(r, token[n])) >= 0:
-                        if x not in index:
+                    x = get(wide | token[n])
+                    if x is not None:
+                        if x in index:
+                            index[x].append(p)
+                        else:
                             index[x] = [p]
                             heappush(heap, x)
-                        else:
-                            index[x].append(p)
-                else:
-                    x = -1
+                        better = x < r
                 m = left[p]
-                if m >= 0 and (y := rank(token[m], r)) >= 0:
-                    if y not in index:
-                        index[y] = [m]
-                        heappush(heap, y)
-                    else:
-                        index[y].append(m)
-                else:
-                    y = -1
-                if -1 < x < r or -1 < y < r:  # a better merge has appeared: it goes first
+                if m >= 0:
+                    x = get(token[m] << 32 | r)
+                    if x is not None:
+                        if x in index:
+                            index[x].append(m)
+                        else:
+                            index[x] = [m]
+                            heappush(heap, x)
+                        better = better or x < r
+                if better:  # a merge of lower rank has appeared: it goes first
                     if rest := spots[k + 1 :]:
                         index.setdefault(r, []).extend(rest)
                         heappush(heap, r)
                     break
-        starts.append(len(token))
-        return [[t for t in token[a:b] if t >= 0] for a, b in zip(starts, starts[1:], strict=False)]
 
 
-class Codec:
-    """Whole texts to ids and back; remembers the pieces it has encoded."""
+class Memo:
+    """Whole texts to bytes of ids, each distinct piece once; what it remembers stays within bounds."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.replay, self.pattern, self.known = Replay(ranks), regex.compile(explicit(pattern)), {}
+    def __init__(self, kept: int = KEPT) -> None:
+        self.kept = kept
+        self.known: dict[str, bytes] = {}  # of pieces with the space before them
+        self.heads: dict[str, bytes] = {}
+
+    def learn(self, new: list[str]) -> list[bytes]:
+        """The ids of each piece with a space before it, in their order."""
+        raise NotImplementedError
+
+    def learn_heads(self, new: list[str]) -> list[bytes]:
+        """The ids of texts' first pieces, which have no space before them."""
+        raise NotImplementedError
 
-    def _learn(self, new: Iterable[str]) -> dict[str, bytes]:
-        new = list(new)
-        split = [[m.encode() for m in self.pattern.findall(x)] for x in new]
-        words = list({w for s in split for w in s})
-        ids = dict(zip(words, (np.array(x, dtype="<u4").tobytes() for x in self.replay.encode(words)), strict=True))
-        return {x: b"".join([ids[w] for w in s]) for x, s in zip(new, split, strict=True)}
+    def _heads(self, first: list[str]) -> list[bytes]:
+        heads = self.heads
+        if len(heads) > self.kept // 20:
+            heads.clear()
+        new = [x for x in set(first) if x not in heads]
+        fresh = dict(zip(new, self.learn_heads(new), strict=True)) if new else {}
+        heads.update((x, y) for x, y in fresh.items() if len(x) <= LONG)
+        return [heads[x] if x in heads else fresh[x] for x in first]
+
+    def _fresh(self, some: set[str]) -> dict[str, bytes]:
+        known = self.known
+        new = [x for x in some if x not in known]
+        return dict(zip(new, self.learn(new), strict=True)) if new else {}
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
-        """Each text's ids, as little-endian unsigned 32-bit integers."""
+        known = self.known
         for a in range(0, len(texts), TOGETHER):
-            cut = [list(pieces(t)) if len(t) < HUGE else None for t in texts[a : a + TOGETHER]]
-            if len(self.known) > KEPT:
-                self.known.clear()
-            fresh = self._learn(set().union(*(p for c in cut if c for p in c)).difference(self.known))
-            self.known.update(x for x in fresh.items() if len(x[0]) <= LONG)
-            known = {**fresh, **self.known} if len(fresh) and max(map(len, fresh)) > LONG else self.known
-            for t, c in zip(texts[a : a + TOGETHER], cut, strict=True):
-                if c is not None:
-                    yield b"".join([known[x] for p in c for x in p])
-                else:
-                    yield b"".join(b"".join(map(self._learn(set(p)).__getitem__, p)) for p in pieces(t))
+            some = texts[a : a + TOGETHER]
+            cut = [next(pieces(t)) if len(t) < HUGE and not RUN.search(t) else None if len(t) >= HUGE else list(chain.from_iterable(pieces(t))) for t in some]
+            if len(known) > self.kept:
+                known.clear()
+            heads = iter(self._heads([c[0] for c in cut if c is not None]))
+            parts = [list(map(known.get, c)) if c is not None else [] for c in cut]
+            missed = [[k for k, y in enumerate(p) if y is None] if None in p else () for p in parts]
+            fresh = self._fresh({c[k] for c, m in zip(cut, missed, strict=True) for k in m})
+            for t, c, p, m in zip(some, cut, parts, missed, strict=True):
+                if c is None:
+                    yield self._huge(t)
+                    continue
+                for k in m:
+                    p[k] = fresh[c[k]]
+                p[0] = next(heads)
+                yield b"".join(p)
+            known.update(x for x in fresh.items() if len(x[0]) <= LONG)
+
+    def _huge(self, text: str) -> bytes:
+        out = []
+        for k, some in enumerate(pieces(text)):
+            if k == 0:
+                out += self._heads(some[:1])
+                some = some[1:]
+            fresh = self._fresh(set(some))
+            out.append(b"".join([fresh[x] if x in fresh else self.known[x] for x in some]))
+        return b"".join(out)
+
+
+class Codec(Memo):
+    """Whole texts to ids (little-endian, 32 bits) and back."""
+
+    def __init__(self, ranks: dict[bytes, int], pattern: str):
+        super().__init__(2 * KEPT)
+        self.short: dict[str, bytes] = {}  # of single words
+        self.words = r" ?\p{L}+" in pattern.split("|")
+        self.replay, self.pattern = Replay(ranks), regex.compile(explicit(pattern))
+
+    def learn(self, new: list[str]) -> list[bytes]:
+        return self._encode([f" {x}" for x in new], [x.isalpha() for x in new])
+
+    def learn_heads(self, new: list[str]) -> list[bytes]:
+        return self._encode(new)
+
+    def _encode(self, stretches: list[str], letters: list[bool] | None = None) -> list[bytes]:
+        """letters: which stretches are known to be one match of the pattern, a space and letters."""
+        match = self.pattern.findall
+        split = [[x] if y else match(x) for x, y in zip(stretches, letters, strict=True)] if letters and self.words else [match(x) for x in stretches]
+        distinct, short = set(chain.from_iterable(split)), self.short
+        if len(short) > self.kept // 4:
+            short.clear()
+        words = [w for w in distinct if w not in short]
+        flat = self.replay.encode([w.encode() for w in words])
+        ids = dict(zip(words, (array("I", x).tobytes() for x in flat), strict=True))
+        for w in distinct:
+            if w in short:
+                ids[w] = short[w]
+            elif len(w) <= SHORT:
+                short[w] = ids[w]
+        return [ids[s[0]] if len(s) == 1 else b"".join(map(ids.__getitem__, s)) for s in split]
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.replay.table.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
 
 
+@lru_cache(maxsize=2)
+def codec(ranks: bytes, pattern: str) -> Codec:
+    """One for all tasks of a Python worker."""
+    return Codec(read_ranks(ranks), pattern)
+
+
 def digests(docs: DataFrame, ranks: bytes, pattern: str) -> DataFrame:
     """Per document: doc_id, the count of ids, the SHA-256 of the ids (little-endian, 32 bits) and that of the bytes they decode to.
 
@@ -189,16 +269,16 @@ def _mapped(docs: DataFrame, ranks: bytes, pattern: str, whole: bool) -> DataFra
     held = docs.sparkSession.sparkContext.broadcast(ranks)  # one vocabulary file, about a megabyte
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(read_ranks(held.value), pattern)
+        own = codec(held.value, pattern)
         for batch in batches:
             for a in range(0, batch.num_rows, TOGETHER):
                 part = batch.slice(a, TOGETHER)
-                ids = list(codec.encode([t or "" for t in part["text"].to_pylist()]))
+                ids = list(own.encode([t or "" for t in part["text"].to_pylist()]))
                 if whole:
                     yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array([np.frombuffer(x, "<u4").astype(np.int32) for x in ids], pa.list_(pa.int32()))], ["doc_id", "ids"])
                 else:
                     sha = lambda x: hashlib.sha256(x).hexdigest()
-                    yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(map(sha, ids), pa.string()), pa.array([sha(codec.decode(x)) for x in ids], pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                    yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(map(sha, ids), pa.string()), pa.array([sha(own.decode(x)) for x in ids], pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     schema = "doc_id long, ids array<int>" if whole else "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(run, schema)

@@ -53,7 +53,7 @@ def test_words_match_tokenizers():
     spec = open(P.path("byte_bpe_50k.json")).read()
     theirs = Tokenizer.from_str(spec)
     theirs.encode_special_tokens = True
-    for t, ids, e in zip(texts(), tokenfile.Words(spec).encode(texts(), 0), theirs.encode_batch(texts(), add_special_tokens=False), strict=True):
+    for t, ids, e in zip(texts(), tokenfile.Words(spec).ended(texts(), 0), theirs.encode_batch(texts(), add_special_tokens=False), strict=True):
         assert np.frombuffer(ids, "<u2").tolist() == [*e.ids, 0], repr(t)
 
 
