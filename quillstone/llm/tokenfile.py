@@ -8,9 +8,11 @@ rows of a Parquet table, so that any store that Spark reaches can hold them and
 from __future__ import annotations
 
 import hashlib
+import os
 import struct
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from ._shared import settle
-from .bpe import HUGE, KEPT, LONG, TOGETHER, pieces
+from .bpe import TOGETHER, Memo
 
 MAGIC = b"QSTOKEN1"
 HEAD = struct.Struct("<8s32sII")
@@ -30,34 +32,47 @@ SEGMENT, DICTIONARY, SAMPLE, SAMPLE_CHARS = 1 << 20, 1 << 16, 1000, 1 << 15
 LEVEL = 3
 
 
-class Words:
+class Words(Memo):
     """Encodes whole texts with the tokenizers library, each distinct stretch between word ends once."""
 
     def __init__(self, spec: str):
+        super().__init__()
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are parallel already
         self.tok = Tokenizer.from_str(spec)
         self.tok.encode_special_tokens = True
-        self.kind = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
-        self.known: dict[str, bytes] = {}
+        size = self.tok.get_vocab_size()
+        self.kind = np.dtype("<u2" if size <= 1 << 16 else "<u4")
+        # A byte-level token has a character for each of its bytes.
+        self.width = np.array([len(self.tok.id_to_token(k) or "") for k in range(size)])
+
+    def learn(self, new: list[str]) -> list[bytes]:
+        """Pieces are encoded as one text, and their ids told apart by the bytes that they stand for: no token crosses from one to the next."""
+        out: list[bytes] = []
+        for a in range(0, len(new), 2000):
+            some = new[a : a + 2000]
+            ids = np.array(self._ids(" " + " ".join(some)), np.int64)
+            ends = np.cumsum([(len(x) if x.isascii() else len(x.encode())) + 1 for x in some])
+            cut = np.searchsorted(np.cumsum(self.width[ids]), ends) + 1
+            raw, at = ids.astype(self.kind).tobytes(), (cut * self.kind.itemsize).tolist()
+            out += [raw[i:j] for i, j in zip([0, *at[:-1]], at, strict=True)]
+        return out
+
+    def learn_heads(self, new: list[str]) -> list[bytes]:
+        return [np.array(self._ids(x), self.kind).tobytes() for x in new]
+
+    def _ids(self, text: str) -> list[int]:
+        return self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
+    def ended(self, texts: list[str], end: int) -> Iterator[bytes]:
+        """Each text's ids and the end id."""
+        last = np.array([end], self.kind).tobytes()
+        return (x + last for x in self.encode(texts))
 
-    def _learn(self, new: Iterable[str]) -> dict[str, bytes]:
-        new = list(new)
-        return {x: np.array(e.ids, self.kind).tobytes() for x, e in zip(new, self.tok.encode_batch_fast(new, add_special_tokens=False), strict=True)}
 
-    def encode(self, texts: list[str], end: int) -> Iterator[bytes]:
-        last = np.array([end], self.kind).tobytes()
-        for a in range(0, len(texts), TOGETHER):
-            some = texts[a : a + TOGETHER]
-            if len(self.known) > KEPT:
-                self.known.clear()
-            cut = [list(pieces(t)) if len(t) < HUGE else None for t in some]
-            fresh = self._learn(set().union(*(p for c in cut if c for p in c)).difference(self.known))
-            self.known.update(x for x in fresh.items() if len(x[0]) <= LONG)
-            known = {**fresh, **self.known} if len(fresh) and max(map(len, fresh)) > LONG else self.known
-            for t, c in zip(some, cut, strict=True):
-                if c is not None:
-                    yield b"".join([known[x] for p in c for x in p]) + last
-                else:
-                    yield b"".join(b"".join(map(self._learn(set(p)).__getitem__, p)) for p in pieces(t)) + last
+@lru_cache(maxsize=2)
+def words(spec: str) -> Words:
+    """One for all tasks of a Python worker."""
+    return Words(spec)
 
 
 def train(samples: list[bytes], size: int = DICTIONARY) -> bytes:
@@ -110,30 +125,31 @@ def write(docs: DataFrame, spec: str, end: int = 0) -> tuple[DataFrame, bytes]:
     """Encodes every whole text (null: empty), appends the end id, and writes segments in ascending doc_id order (nulls first; rows that share one by a hash of their text).
 
     Returns the written table (part, seq, base: ids before the segment in its part, n_ids, segment) and the dictionary. The dictionary is trained on the
-    SAMPLE documents with the smallest hashes of their doc_id and the first SAMPLE_CHARS characters of each; it only sets how small frames get.
+    first SAMPLE_CHARS characters of about SAMPLE documents, twice as many at most, picked by a hash of their doc_id; it only sets how small frames get.
     """
     spark: SparkSession = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    sample = rows.select(F.xxhash64("doc_id").alias("h"), F.substring("text", 1, SAMPLE_CHARS).alias("text")).orderBy("h", "text").limit(SAMPLE).toArrow()["text"].to_pylist()
-    dictionary = train(list(Words(spec).encode(sample, end)))
+    step = max(1, rows.select("doc_id").count() // SAMPLE)
+    sample = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(step)) == 0).select(F.substring("text", 1, SAMPLE_CHARS).alias("text")).limit(2 * SAMPLE).toArrow()["text"].to_pylist()
+    dictionary = train(list(Words(spec).ended(sample, end)))
     held = spark.sparkContext.broadcast((spec, dictionary))  # the tokenizer's file and 64 KiB at most
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spec, dictionary = held.value
-        words, digest, d = Words(spec), hashlib.sha256(dictionary).digest(), _dictionary(dictionary)
+        own, digest, d = words(spec), hashlib.sha256(dictionary).digest(), _dictionary(dictionary)
         zipper = zstandard.ZstdCompressor(level=LEVEL, dict_data=d) if d else zstandard.ZstdCompressor(level=LEVEL)
         part, seq, base = TaskContext.get().partitionId(), 0, 0
         doc_ids, counts, frames, size = [], [], [], 0
 
         def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int32()), "base": [base], "n_ids": [sum(counts)], "segment": pa.array([pack(doc_ids, counts, frames, words.kind.itemsize, digest)], pa.binary())})
+            return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int32()), "base": [base], "n_ids": [sum(counts)], "segment": pa.array([pack(doc_ids, counts, frames, own.kind.itemsize, digest)], pa.binary())})
 
         for batch in batches:
             for a in range(0, batch.num_rows, TOGETHER):
                 some = batch.slice(a, TOGETHER)
-                for doc_id, ids in zip(some["doc_id"].to_pylist(), words.encode(some["text"].to_pylist(), end), strict=True):
+                for doc_id, ids in zip(some["doc_id"].to_pylist(), own.ended(some["text"].to_pylist(), end), strict=True):
                     doc_ids.append(doc_id)
-                    counts.append(len(ids) // words.kind.itemsize)
+                    counts.append(len(ids) // own.kind.itemsize)
                     frames.append(zipper.compress(ids))
                     size += len(frames[-1])
                     if size >= SEGMENT:
