@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import records, registry, retrieval  # noqa: F401  registers on import
+from . import documents, evaluation, records, registry, retrieval  # noqa: F401  registers on import
 
 
 def queries() -> dict[str, registry.Query]:
