@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,11 +22,11 @@ from pyspark.sql import functions as F
 
 from ._shared import partitions, settle
 
-#: Counters of the table (least, most); documents hashed together; words remembered; postings a task gathers before it passes them on.
-COUNTERS, TOGETHER, KNOWN, GATHERED = (1 << 16, 1 << 26), 256, 400_000, 1_000_000
+#: Counters of the table (least, most); documents hashed together; words and sets remembered; postings a task gathers before it passes them on.
+COUNTERS, TOGETHER, KNOWN, SEEN, GATHERED = (1 << 16, 1 << 27), 256, 250_000, 50_000, 400_000
 #: What one unit of the join holds at most: hashes and sets. A larger component is joined block against block.
 UNIT_HASHES, UNIT_SETS = 4_000_000, 20_000
-#: Place in the order of a hash outside the counted quarter; reference rows kept; similarity from which a row is derived.
+#: Place in the order of a hash outside the counted half; reference rows kept; similarity from which a row is derived.
 UNKNOWN, REFERENCES, ALIKE = 6, 32, 0.8
 GOLD = 0x9E3779B97F4A7C15
 MASK = (1 << 64) - 1
@@ -68,6 +69,12 @@ class Shingler:
         return np.unique(_mix(s))
 
 
+@lru_cache(maxsize=2)
+def shingler(n: int) -> Shingler:
+    """One for all tasks of a Python worker."""
+    return Shingler(n)
+
+
 def _name(s: np.ndarray) -> tuple[int, int]:
     """128 bits that stand for the set, as two signed longs."""
     return tuple(int.from_bytes(h, "little", signed=True) for h in (lambda d: (d[:8], d[8:]))(xxhash.xxh3_128_digest(s.tobytes())))
@@ -127,10 +134,10 @@ PROFILE = "doc_id long, n int, hi long, lo long, block int, data binary"
 
 
 def _profile(docs: DataFrame, n: int, size: int) -> DataFrame:
-    """A row for each document, and rows of counts of the hashes in the lowest quarter."""
+    """A row for each document, and rows of counts of the hashes in the lower half."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make = Shingler(n)
+        make = shingler(n)
         low: list[np.ndarray] = []
         held = 0
 
@@ -148,10 +155,10 @@ def _profile(docs: DataFrame, n: int, size: int) -> DataFrame:
                 sizes.append(len(s))
                 his.append(hi)
                 los.append(lo)
-                s = s[: np.searchsorted(s, np.uint64(1 << 62))]
+                s = s[: np.searchsorted(s, np.uint64(1 << 63))]
                 low.append((s & np.uint64(size - 1)).astype(np.int64))
                 held += len(s)
-                if held > 2 * GATHERED:
+                if held > 3 * GATHERED:
                     yield counts()
                     low, held = [], 0
             k = len(ids)
@@ -179,11 +186,13 @@ def _distinct(p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _postings(docs: DataFrame, n: int, num: int, den: int, table: np.ndarray, buckets: int) -> DataFrame:
     """Index entries by bucket of their hash; and, for sets of one size in a list of one task, a chain to the one that enters."""
-    held = docs.sparkSession.sparkContext.broadcast(table)  # 64 MiB at most
+    size = len(table)
+    # Half a byte for each counter: 64 MiB at most, whatever the input.
+    held = docs.sparkSession.sparkContext.broadcast(np.minimum(table[::2], 15) | np.minimum(table[1::2], 15) << 4)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make, table = Shingler(n), held.value
-        wide = np.uint64(len(table) - 1)
+        make, table = shingler(n), held.value
+        wide = np.uint64(size - 1)
         seen: set[tuple[int, int]] = set()
         tokens, sizes, names, count, gathered = [], [], [], [], 0
 
@@ -218,12 +227,13 @@ def _postings(docs: DataFrame, n: int, num: int, den: int, table: np.ndarray, bu
                 name = _name(s)
                 if name in seen:
                     continue
-                if len(seen) > KNOWN:
+                if len(seen) > SEEN:
                     seen.clear()
                 seen.add(name)
-                counted = int(np.searchsorted(s, np.uint64(1 << 62)))
+                counted = int(np.searchsorted(s, np.uint64(1 << 63)))
                 rank = np.full(len(s), UNKNOWN, np.uint64)
-                rank[:counted] = table[(s[:counted] & wide).astype(np.int64)]
+                at = (s[:counted] & wide).astype(np.int64)
+                rank[:counted] = table[at >> 1] >> ((at & 1) << 2).astype(np.uint8) & 15
                 prefix = np.argsort(rank << np.uint64(56) | s >> np.uint64(8), kind="stable")[: len(s) - _needed(len(s), num, den) + 1]
                 prefix = prefix[(prefix >= counted) | (rank[prefix] > 1)]
                 if len(prefix):
@@ -426,7 +436,7 @@ def join(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100) -> Da
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     count = rows.select("doc_id").count()
-    size = min(max(COUNTERS[0], 1 << (count * 128).bit_length()), COUNTERS[1])
+    size = min(max(COUNTERS[0], 1 << (count * 200).bit_length()), COUNTERS[1])
     profile = settle(_profile(rows, shingle, size), "profile")
     table = _table(profile.filter(F.col("block").isNotNull()), size)
     profile = profile.filter(F.col("block").isNull()).select("doc_id", "n", "hi", "lo")
@@ -469,7 +479,7 @@ def join(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100) -> Da
 
 def _brought(docs: DataFrame, n: int, groups: DataFrame) -> DataFrame:
     """(hi, lo, data): the sets that stand in a group, perhaps some more and some of them repeated."""
-    size = COUNTERS[1] >> 2
+    size = COUNTERS[1] >> 3
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -480,7 +490,7 @@ def _brought(docs: DataFrame, n: int, groups: DataFrame) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(bits)  # 2 MiB, whatever the input
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make, bits, seen = Shingler(n), held.value, set()
+        make, bits, seen = shingler(n), held.value, set()
         for batch in batches:
             names, data = [], []
             for _, text in _texts(batch):
@@ -490,7 +500,7 @@ def _brought(docs: DataFrame, n: int, groups: DataFrame) -> DataFrame:
                 name = _name(s)
                 at = name[1] & (size - 1)
                 if bits[at >> 3] >> (7 - (at & 7)) & 1 and name not in seen:
-                    if len(seen) > KNOWN:
+                    if len(seen) > SEEN:
                         seen.clear()
                     seen.add(name)
                     names.append(name)
