@@ -30,7 +30,7 @@ def nfkc(df: DataFrame, column: str) -> DataFrame:
 
 def match_form(c: Column) -> Column:
     """Lower case without format characters and Arabic marks, letters and digits folded, punctuation to spaces, single spaces."""
-    x = F.regexp_replace(F.lower(c), r"[\p{Cf}ً-ٰٟـ]", "")
+    x = F.regexp_replace(F.lower(c), r"[\p{Cf}\x{64B}-\x{65F}\x{670}\x{640}]", "")
     x = F.translate(x, "أإآٱىةکیېہۀە٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹'’‘ʼ", "ااااي" + "هكييههه" + "0123456789" * 2)
     return F.trim(F.regexp_replace(F.regexp_replace(x, r"[\p{P}\p{S}]", " "), r"\s+", " "))
 
@@ -180,14 +180,19 @@ def without_markers(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(c, r"\s*\[S[0-9]{1,3}\]", ""), r"\[S?[0-9]*$", ""))
 
 
-def signals(c: Column) -> Column:
-    """Ids of the rules of instruction-like wording that a text meets, raw rules first."""
-    folded = F.concat(F.lit(" "), match_form(c), F.lit(" "))
+def signals(c: Column, folded: Column) -> Column:
+    """Ids of the rules of instruction-like wording that a text and its match form (between spaces) meet, raw rules first."""
     raw = [F.when(c.rlike(p), F.lit(k)) for k, p in fixed.RAW_RULES.items()]
     own = [F.when(folded.rlike(f" (?:{p}) "), F.lit(k)) for k, p in fixed.INJECTION_RULES.items()]
     return F.array_compact(F.array(*raw, *own))
 
 
+def flagged(df: DataFrame, column: str) -> DataFrame:
+    """Adds signals. The match form is made once for each row: projections are not merged across an exploded array of one."""
+    once = F.explode(F.array(F.concat(F.lit(" "), match_form(F.col(column)), F.lit(" "))))
+    return df.withColumn("_folded", once).withColumn("signals", signals(F.col(column), F.col("_folded"))).drop("_folded")
+
+
 def refuses(c: Column) -> Column:
     """Whether the first word of a grounding reply is a no."""
     return F.lower(F.regexp_extract(c, r"[\p{L}\p{N}]+", 0)).isin(*fixed.NO_WORDS)
