@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import fixed
 
@@ -28,7 +29,7 @@ def admitted(calls: DataFrame, key: list[str], limit: int, order: list[str]) ->
 
 def admitted_amounts(calls: DataFrame, key: list[str], limit: int, order: list[str]) -> DataFrame:
     """Calls of any amount: in order, one is admitted if the window's count and its amount stay within the limit. A fold in Arrow batches."""
-    schema = calls.schema.add("admitted", "boolean")
+    schema = T.StructType([*calls.schema.fields, T.StructField("admitted", T.BooleanType())])
     rows = calls.repartition(*key).sortWithinPartitions(*key, *order)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
