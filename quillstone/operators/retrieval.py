@@ -45,33 +45,37 @@ def frequencies(asked: DataFrame, posted: DataFrame) -> DataFrame:
     return terms(asked).join(counted, ["doc", "term"], "left").select("item_id", "doc", "term", F.coalesce("df", F.lit(0)).alias("df"))
 
 
-def weighed(asked: DataFrame, parts: DataFrame, posted: DataFrame) -> DataFrame:
-    """Asked terms with df, n (chunks of the document), informative and idf."""
+def _idf(rows: DataFrame, parts: DataFrame) -> DataFrame:
+    """Adds n (chunks of the document), informative and idf to rows with doc, term and df."""
     sizes = parts.groupBy("doc").agg(F.count("*").alias("n"))
-    rows = frequencies(asked, posted).join(F.broadcast(sizes) if sizes.count() <= BROADCAST_TERMS else sizes, "doc")
+    rows = rows.join(F.broadcast(sizes) if sizes.count() <= BROADCAST_TERMS else sizes, "doc")
     informative = (F.col("n") < fixed.LEAST_CHUNKS) | (F.col("df") <= F.col("n") * fixed.DROP_RATIO) | F.col("term").rlike("[0-9]")
-    idf = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    return rows.withColumn("informative", informative).withColumn("idf", idf)
+    return rows.withColumn("informative", informative).withColumn("idf", F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+
+
+def weighed(asked: DataFrame, parts: DataFrame, posted: DataFrame) -> DataFrame:
+    """Asked terms, those that no chunk has included, with df, n, informative and idf."""
+    return _idf(frequencies(asked, posted), parts)
 
 
-def matches(asked: DataFrame, parts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Weighed terms, and the chunks that hold an informative one: (item_id, doc, chunk_id, chunk_index, score, hits)."""
-    posted = postings(parts, terms(asked))
-    known = weighed(asked, parts, posted)
-    found = known.filter(F.col("informative") & (F.col("df") > 0)).join(posted, ["doc", "term"])
-    return known, found.groupBy("item_id", "doc", "chunk_id", "chunk_index").agg(F.round(F.sum("idf"), 6).alias("score"), F.count("*").alias("hits"))
+def matched(asked: DataFrame, parts: DataFrame) -> DataFrame:
+    """Chunks that hold an informative asked term: (item_id, doc, chunk_id, chunk_index, score, hits). Texts are read once: df is counted over the postings themselves."""
+    own = terms(asked)
+    posted = postings(parts, own).withColumn("df", F.count("*").over(Window.partitionBy("doc", "term")))
+    found = _idf(posted.join(own, ["doc", "term"]), parts).filter("informative")
+    return found.groupBy("item_id", "doc", "chunk_id", "chunk_index").agg(F.round(F.sum("idf"), 6).alias("score"), F.count("*").alias("hits"))
 
 
 def lexical(asked: DataFrame, parts: DataFrame, k: int = fixed.CANDIDATES) -> DataFrame:
     """The k best chunks by summed idf; ties go to more distinct terms, then to the earlier chunk."""
-    _, scored = matches(asked, parts)
+    scored = matched(asked, parts)
     order = Window.partitionBy("item_id", "doc").orderBy(F.desc("score"), F.desc("hits"), "chunk_index")
     return scored.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= k).select("item_id", "doc", "chunk_id", "chunk_index", "score", "rank")
 
 
 def coverage(asked: DataFrame, parts: DataFrame) -> DataFrame:
     """How much of the asked weight the best chunk holds, and whether any term or any term with a digit occurs."""
-    known, scored = matches(asked, parts)
+    known, scored = weighed(asked, parts, postings(parts, terms(asked))), matched(asked, parts)
     counts = F.col("informative") & ~((F.col("df") == 0) & F.col("term").isin(fixed.TASK_WORDS.split()))
     whole = known.groupBy("item_id", "doc").agg(F.sum(F.when(counts, F.col("idf"))).alias("whole"), F.max(F.col("df") > 0).alias("lexical_hit"), F.max((F.col("df") > 0) & F.col("term").rlike("[0-9]")).alias("identifier_hit"))
     top = scored.groupBy("item_id", "doc").agg(F.max("score").alias("top"))

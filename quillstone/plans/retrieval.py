@@ -66,7 +66,7 @@ def rt_weights(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"{BASE} SELECT item_id, doc, chunk_id, score, hits FROM m")
 def agg_idfsum(spark: SparkSession, d: str) -> DataFrame:
-    return R.matches(*_asked(spark, d))[1].select("item_id", "doc", "chunk_id", "score", "hits")
+    return R.matched(*_asked(spark, d)).select("item_id", "doc", "chunk_id", "score", "hits")
 
 
 @query(f"{BASE}, {LEX} SELECT item_id, doc, chunk_id, chunk_index, score, rank FROM lex")
