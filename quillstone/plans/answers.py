@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators import answers as A
 from ..operators import ingest as I  # noqa: E741
+from ..operators import layout as Y
 from ..operators import retrieval as R
 from ..sources import embeddings as E
 from .registry import norm_sql, query, table
@@ -238,3 +239,54 @@ def rm_document(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT user_id, event_type, greatest(0, sum(CASE WHEN event_id % 10 = 0 THEN -1 ELSE 1 END))::BIGINT AS used FROM events WHERE event_type IN ('view', 'click') GROUP BY ALL")
 def rate_refund(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").filter(F.col("event_type").isin("view", "click")).groupBy("user_id", "event_type").agg(F.greatest(F.lit(0), F.sum(F.when(F.col("event_id") % 10 == 0, -1).otherwise(1))).alias("used"))
+
+
+@query("SELECT n AS page, 0 AS line, 'Ab cd' AS text, false AS tabular FROM range(3) t(n) UNION ALL SELECT n, 1, 'x 9', true FROM range(3) t(n)")
+def lay_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Items of three small pages as lines."""
+    items = [(p, x, y, w, 10.0, t) for p in range(3) for x, y, w, t in ((0.0, 0.0, 10.0, "Ab"), (15.0, 1.0, 10.0, "cd"), (0.0, 20.0, 5.0, "x"), (60.0, 20.5, 5.0, "9"))]
+    return Y.lines(spark.createDataFrame(items, "page long, x double, y double, width double, size double, text string")).select("page", F.col("line").cast("int").alias("line"), "text", "tabular")
+
+
+@query("WITH p AS (SELECT doc_id % 50 AS page, (doc_id % 4 + 9)::DOUBLE AS size, length(text) AS n FROM documents) SELECT page, arg_max(size, n * 1000 + size) AS body FROM (SELECT page, size, sum(n) AS n FROM p GROUP BY ALL) GROUP BY page")
+def agg_fontmode(spark: SparkSession, d: str) -> DataFrame:
+    return Y.body_size(table(spark, d, "documents").select((F.col("doc_id") % 50).alias("page"), (F.col("doc_id") % 4 + 9).cast("double").alias("size"), "text"))
+
+
+@query("""WITH b AS (SELECT source AS doc, doc_id % 5 AS page, doc_id AS block, string_split(text, chr(10))[1] AS text FROM documents), t AS (SELECT source AS doc, doc_id % 5 AS page, substring(text, 1, 5) AS title FROM documents WHERE doc_id % 3 = 0)
+SELECT doc, page, title, block FROM (SELECT DISTINCT t.doc, t.page, t.title, b.block, row_number() OVER (PARTITION BY t.doc, t.page, t.title ORDER BY b.block) AS n FROM (SELECT DISTINCT * FROM t) t JOIN b ON b.doc = t.doc AND b.page = t.page AND (lower(title) = lower(text) OR starts_with(lower(text), lower(title)) OR starts_with(lower(title), lower(text)))) WHERE n = 1""")
+def jn_outline(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    blocks = docs.select(F.col("source").alias("doc"), (F.col("doc_id") % 5).alias("page"), F.col("doc_id").alias("block"), F.element_at(F.split("text", "\n"), 1).alias("text"))
+    titles = docs.filter("doc_id % 3 = 0").select(F.col("source").alias("doc"), (F.col("doc_id") % 5).alias("page"), F.substring("text", 1, 5).alias("title")).distinct()
+    return Y.outlined(titles, blocks).select("doc", "page", "title", "block")
+
+
+@query("SELECT source AS doc, least(count(*), 8) AS n, 0 AS first FROM documents GROUP BY source")
+def smp_repr(spark: SparkSession, d: str) -> DataFrame:
+    """How many representative chunks each manuscript has and the first of them; tests look at the choice itself."""
+    parts = _asked(spark, d)[1].select("doc", "chunk_index", (F.col("chunk_index") + 1).alias("page_start"), (F.col("chunk_index") + 1).alias("page_end"), F.when(F.col("chunk_id") % 9 == 0, F.lit("s")).alias("section"))
+    return Y.sampled(parts).groupBy("doc").agg(F.count("*").alias("n"), F.min("chunk_index").cast("int").alias("first"))
+
+
+@query("SELECT t AS turn_id, s AS text, r AS refused FROM (VALUES (1, 'It is so [S1].', false), (2, '', true)) v(t, s, r)")
+def st_stream_hold(spark: SparkSession, d: str) -> DataFrame:
+    parts = [(1, 0, "It is"), (1, 1, " so [S"), (1, 2, "1]."), (2, 0, "[[NO_"), (2, 1, "ANSWER]] x")]
+    out = Y.streamed(spark.createDataFrame(parts, "turn_id long, seq long, text string"))
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]), "")
+    return out.groupBy("turn_id").agg(joined.alias("text"), F.max("refused").alias("refused")).withColumn("turn_id", F.col("turn_id").cast("int"))
+
+
+@query(r"SELECT doc_id, ceil(len(regexp_extract_all(text, '\p{Latin}')) * 0.24::DOUBLE + len(regexp_extract_all(text, '\p{N}')) * 0.5::DOUBLE + len(regexp_extract_all(text, '[\p{P}\p{S}]')) * 0.5::DOUBLE)::BIGINT AS tokens FROM documents")
+def fn_tokens(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", Y.token_estimate("text").alias("tokens"))
+
+
+@query(None)
+def engine_ask(spark: SparkSession, d: str) -> DataFrame:
+    """Ingest, embed and ask through the engine's API."""
+    from .engine import Engine
+
+    engine = Engine(spark)
+    chunks = engine.ingest(table(spark, d, "documents"))
+    return engine.ask(R.questions(table(spark, d, "benchmark")), chunks, engine.embed(chunks))

@@ -147,3 +147,21 @@ def test_registry(spark):
     from quillstone.plans import catalog
 
     assert set(catalog.oracle_sql()) <= set(catalog.queries()) and len(catalog.queries()) > 100 and fixed.RRF_K == 60
+
+
+def test_representatives():
+    import pandas as pd
+
+    from quillstone.operators import layout
+
+    rows = pd.DataFrame([{"doc": "a", "chunk_index": k, "page_start": k + 1, "page_end": k + 1, "section": "s" if 10 <= k < 12 else None} for k in range(40)])
+    got = layout.representatives(rows, 5)
+    assert got[0] == 0 and len(got) == len(set(got)) == 5 and 10 in got and got == sorted(got)
+    assert layout.representatives(rows.head(3), 5) == [0, 1, 2]
+
+
+def test_replies():
+    from quillstone.operators import answers
+
+    assert answers.normalise_markers("a [s1-S3] (S2, 4) 【S5】") == "a [S1][S2][S3] [S2][S4] [S5]"
+    assert answers.finalise("One [S1]. Two. Mr. X said [S2].", {1, 2}) == ("One [S1]. Mr. X said [S2].", [1, 2], 1)
