@@ -20,8 +20,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _judged(docs: DataFrame, verdicts: Callable[[DataFrame], DataFrame], column: str, kept: int) -> DataFrame:
-    """The rows whose own verdict is ``kept``: the row rides along as a struct, so no join and no shuffle is needed."""
-    return verdicts(docs).filter(F.col(column) == kept).select(*docs.columns)
+    """The rows whose own verdict is ``kept``: the row rides along as a struct, so no join, no shuffle and no clash of names."""
+    return verdicts(docs).filter(F.col(column) == kept).select("own.*")
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,10 +6,13 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
+_KEPT: dict[tuple, Any] = {}
 
 
 def workspace(spark: SparkSession) -> str:
@@ -34,3 +37,19 @@ def settle(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def kept(make: Callable[..., Any], *args: Any) -> Any:
+    """What a Python worker keeps from task to task (words it has seen, a codec): one thing at a time, so that stages do not add up."""
+    key = (make, *args)
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make(*args)
+    return _KEPT[key]
+
+
+def modest_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Lowers Spark's default of 10,000 rows an Arrow batch for whole texts; a value that the user has set stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name, "10000") == "10000":
+        spark.conf.set(name, str(rows))

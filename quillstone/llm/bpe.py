@@ -12,7 +12,6 @@ import hashlib
 import re
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 from heapq import heappop, heappush
 from itertools import chain, islice
 
@@ -21,6 +20,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from ._shared import kept, modest_batches
+
 #: White space as the Unicode property has it, which ``\s`` of the pattern means.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: A space after something that is no white space: a word always ends before it.
@@ -153,6 +154,7 @@ class Memo:
     def __init__(self, kept: int = KEPT) -> None:
         self.kept = kept
         self.known: dict[str, bytes] = {}  # of pieces with the space before them
+        self.old: dict[str, bytes] = {}  # the generation before; what is met again moves on
         self.heads: dict[str, bytes] = {}
 
     def learn(self, new: list[str]) -> list[bytes]:
@@ -173,17 +175,22 @@ class Memo:
         return [heads[x] if x in heads else fresh[x] for x in first]
 
     def _fresh(self, some: set[str]) -> dict[str, bytes]:
-        known = self.known
-        new = [x for x in some if x not in known]
-        return dict(zip(new, self.learn(new), strict=True)) if new else {}
+        """Of pieces that are not known: from the old generation, or learned."""
+        old = self.old
+        out = {x: old[x] for x in some if x in old}
+        new = [x for x in some if x not in out]
+        if new:
+            out.update(zip(new, self.learn(new), strict=True))
+        return out
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         known = self.known
         for a in range(0, len(texts), TOGETHER):
             some = texts[a : a + TOGETHER]
             cut = [next(pieces(t)) if len(t) < HUGE and not RUN.search(t) else None if len(t) >= HUGE else list(chain.from_iterable(pieces(t))) for t in some]
-            if len(known) > self.kept:
-                known.clear()
+            if 2 * len(known) > self.kept:
+                self.old, self.known = known, {}
+                known = self.known
             heads = iter(self._heads([c[0] for c in cut if c is not None]))
             parts = [list(map(known.get, c)) if c is not None else [] for c in cut]
             missed = [[k for k, y in enumerate(p) if y is None] if None in p else () for p in parts]
@@ -204,7 +211,7 @@ class Memo:
             if k == 0:
                 out += self._heads(some[:1])
                 some = some[1:]
-            fresh = self._fresh(set(some))
+            fresh = self._fresh({x for x in some if x not in self.known})
             out.append(b"".join([fresh[x] if x in fresh else self.known[x] for x in some]))
         return b"".join(out)
 
@@ -213,7 +220,7 @@ class Codec(Memo):
     """Whole texts to ids (little-endian, 32 bits) and back."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        super().__init__(2 * KEPT)
+        super().__init__(KEPT + KEPT // 3)
         self.short: dict[str, bytes] = {}  # of single words
         self.words = r" ?\p{L}+" in pattern.split("|")
         self.replay, self.pattern = Replay(ranks), regex.compile(explicit(pattern))
@@ -229,7 +236,7 @@ class Codec(Memo):
         match = self.pattern.findall
         split = [[x] if y else match(x) for x, y in zip(stretches, letters, strict=True)] if letters and self.words else [match(x) for x in stretches]
         distinct, short = set(chain.from_iterable(split)), self.short
-        if len(short) > self.kept // 4:
+        if len(short) > self.kept // 6:
             short.clear()
         words = [w for w in distinct if w not in short]
         flat = self.replay.encode([w.encode() for w in words])
@@ -245,9 +252,7 @@ class Codec(Memo):
         return b"".join(map(self.replay.table.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
 
 
-@lru_cache(maxsize=2)
 def codec(ranks: bytes, pattern: str) -> Codec:
-    """One for all tasks of a Python worker."""
     return Codec(read_ranks(ranks), pattern)
 
 
@@ -266,10 +271,11 @@ def encoded(docs: DataFrame, ranks: bytes, pattern: str) -> DataFrame:
 
 
 def _mapped(docs: DataFrame, ranks: bytes, pattern: str, whole: bool) -> DataFrame:
+    modest_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(ranks)  # one vocabulary file, about a megabyte
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(held.value, pattern)
+        own = kept(codec, held.value, pattern)
         for batch in batches:
             for a in range(0, batch.num_rows, TOGETHER):
                 part = batch.slice(a, TOGETHER)

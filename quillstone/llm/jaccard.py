@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import partitions, settle
+from ._shared import kept, modest_batches, partitions, settle
 
 #: Counters of the table (least, most); documents hashed together; words and sets remembered; postings a task gathers before it passes them on.
 COUNTERS, TOGETHER, KNOWN, SEEN, GATHERED = (1 << 16, 1 << 27), 256, 250_000, 50_000, 400_000
@@ -69,12 +68,6 @@ class Shingler:
         return np.unique(_mix(s))
 
 
-@lru_cache(maxsize=2)
-def shingler(n: int) -> Shingler:
-    """One for all tasks of a Python worker."""
-    return Shingler(n)
-
-
 def _name(s: np.ndarray) -> tuple[int, int]:
     """128 bits that stand for the set, as two signed longs."""
     return tuple(int.from_bytes(h, "little", signed=True) for h in (lambda d: (d[:8], d[8:]))(xxhash.xxh3_128_digest(s.tobytes())))
@@ -137,7 +130,7 @@ def _profile(docs: DataFrame, n: int, size: int) -> DataFrame:
     """A row for each document, and rows of counts of the hashes in the lower half."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make = shingler(n)
+        make = kept(Shingler, n)
         low: list[np.ndarray] = []
         held = 0
 
@@ -191,7 +184,7 @@ def _postings(docs: DataFrame, n: int, num: int, den: int, table: np.ndarray, bu
     held = docs.sparkSession.sparkContext.broadcast(np.minimum(table[::2], 15) | np.minimum(table[1::2], 15) << 4)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make, table = shingler(n), held.value
+        make, table = kept(Shingler, n), held.value
         wide = np.uint64(size - 1)
         seen: set[tuple[int, int]] = set()
         tokens, sizes, names, count, gathered = [], [], [], [], 0
@@ -434,6 +427,7 @@ def join(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100) -> Da
     component has no doc_id gets null. Other columns are not read. An empty table gives no rows.
     """
     spark = docs.sparkSession
+    modest_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     count = rows.select("doc_id").count()
     size = min(max(COUNTERS[0], 1 << (count * 200).bit_length()), COUNTERS[1])
@@ -490,7 +484,7 @@ def _brought(docs: DataFrame, n: int, groups: DataFrame) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(bits)  # 2 MiB, whatever the input
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make, bits, seen = shingler(n), held.value, set()
+        make, bits, seen = kept(Shingler, n), held.value, set()
         for batch in batches:
             names, data = [], []
             for _, text in _texts(batch):

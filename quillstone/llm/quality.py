@@ -11,7 +11,6 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,13 +18,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ._shared import kept, modest_batches
+
 #: Hash buckets for words, factors of an input, passes, rows of a step, labelled rows learned from at most, documents featurised together.
 BUCKETS, FACTORS, EPOCHS, STEP, SAMPLE, TOGETHER = 1 << 15, 8, 6, 128, 6000, 512
 #: The bins' edges for standardised statistics.
 EDGES = np.array([-1.5, -0.75, -0.25, 0.25, 0.75, 1.5, 3.0])
 MARKS = "#$%&*|<>{}[]\\^~_=+@"
 STATS = 18
-KNOWN = 400_000
+KNOWN = 250_000
 
 
 def statistics(text: str, words: list[str], counts: Counter, length: int | None) -> list[float]:
@@ -145,12 +146,6 @@ def is_held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-@lru_cache(maxsize=1)
-def featuriser() -> Featuriser:
-    """One for all tasks of a Python worker."""
-    return Featuriser()
-
-
 def _inputs(docs: DataFrame) -> list[Column]:
     """doc_id, text, length, and nothing else of the documents."""
     length = F.col("n_chars").cast("long") if "n_chars" in docs.columns else F.lit(None).cast("long")
@@ -162,12 +157,13 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
 
     Labels other than 0 and 1 and null doc_ids are left out; a doc_id labelled twice has its larger label.
     """
+    modest_batches(docs.sparkSession)
     known = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").cast("int").alias("y"))
     picked = known.filter(~is_held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = docs.select(*_inputs(docs)).join(F.broadcast(picked), "doc_id")  # at most `sample` rows of two numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make = featuriser()
+        make = kept(Featuriser)
         for batch in batches:
             for a in range(0, batch.num_rows, TOGETHER):
                 b = batch.slice(a, TOGETHER)
@@ -183,21 +179,24 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
 def score(docs: DataFrame, machine: Machine, keep: bool = False) -> DataFrame:
     """Per document: doc_id, held_out, score from 0 to 1 (label 1 likelier when higher) and predicted (1 from 0.5 on).
 
-    keep: return the documents' own columns instead, and predicted. Null and empty texts are scored by their statistics alone. Rows keep their
+    keep: return the documents' rows whole, as the struct own, and predicted. Null and empty texts are scored by their statistics alone. Rows keep their
     repeats. Only doc_id, text and n_chars are read for a score.
     """
     held = docs.sparkSession.sparkContext.broadcast(machine)  # a fixed number of inputs and factors
-    own = F.struct(*[F.col(c) for c in docs.columns]).alias("own")
-    rows = docs.select(*_inputs(docs), *([own] if keep else []))
+    modest_batches(docs.sparkSession)
+    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("own")) if keep else docs.select(*_inputs(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make = featuriser()
+        make = kept(Featuriser)
         for batch in batches:
             for a in range(0, batch.num_rows, TOGETHER):
                 b = batch.slice(a, TOGETHER)
-                score = pa.array(held.value.score(*make(b["text"].to_pylist(), b["length"].to_pylist())), pa.float64())
+                of = dict(zip(b.schema.field("own").type.names, b["own"].flatten(), strict=True)) if keep else {"text": b["text"], "n_chars": b["length"]}
+                texts = [t or "" for t in of["text"].to_pylist()]
+                lengths = of["n_chars"].to_pylist() if "n_chars" in of else [None] * len(texts)
+                score = pa.array(held.value.score(*make(texts, lengths)), pa.float64())
                 yield pa.RecordBatch.from_arrays([b["own" if keep else "doc_id"], score], ["own" if keep else "doc_id", "score"])
 
     scored = rows.mapInArrow(run, T.StructType([rows.schema["own"] if keep else T.StructField("doc_id", T.LongType()), T.StructField("score", T.DoubleType())]))
     predicted = (F.col("score") >= 0.5).cast("int").alias("predicted")
-    return scored.select("own.*", predicted) if keep else scored.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "score", predicted)
+    return scored.select("own", predicted) if keep else scored.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "score", predicted)

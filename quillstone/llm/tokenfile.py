@@ -12,7 +12,6 @@ import os
 import struct
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from ._shared import settle
+from ._shared import kept, modest_batches, settle
 from .bpe import TOGETHER, Memo
 
 MAGIC = b"QSTOKEN1"
@@ -30,6 +29,8 @@ HEAD = struct.Struct("<8s32sII")
 #: Bytes of frames after which a segment ends; the dictionary's size; documents and characters of each that it may be trained on.
 SEGMENT, DICTIONARY, SAMPLE, SAMPLE_CHARS = 1 << 20, 1 << 16, 1000, 1 << 15
 LEVEL = 3
+#: Marks that the tokenizer's split always sets apart from the letters before them.
+MARKS = (",", ".")
 
 
 class Words(Memo):
@@ -43,13 +44,26 @@ class Words(Memo):
         size = self.tok.get_vocab_size()
         self.kind = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         # A byte-level token has a character for each of its bytes.
+        self.mark = {c: np.array(self._ids(c), self.kind).tobytes() for c in MARKS}
         self.width = np.array([len(self.tok.id_to_token(k) or "") for k in range(size)])
 
     def learn(self, new: list[str]) -> list[bytes]:
+        """Words with a comma or full stop at their end are put together from the word and the mark, which no token joins; the rest is encoded."""
+        marked = {x: x[:-1] for x in new if x[-1:] in MARKS and x[0] != " " and x[:-1].isalpha()}
+        cores = set(marked.values())
+        need = cores.difference(self.known).difference(self.old).difference(new)
+        rest = [x for x in new if x not in marked]
+        ids = dict(zip([*rest, *need], self._learn([*rest, *need]), strict=True))
+        known, old = self.known, self.old
+        for x, core in marked.items():
+            ids[x] = (ids.get(core) or known.get(core) or old[core]) + self.mark[x[-1]]
+        return [ids[x] for x in new]
+
+    def _learn(self, new: list[str]) -> list[bytes]:
         """Pieces are encoded as one text, and their ids told apart by the bytes that they stand for: no token crosses from one to the next."""
         out: list[bytes] = []
-        for a in range(0, len(new), 2000):
-            some = new[a : a + 2000]
+        for a in range(0, len(new), 400):
+            some = new[a : a + 400]
             ids = np.array(self._ids(" " + " ".join(some)), np.int64)
             ends = np.cumsum([(len(x) if x.isascii() else len(x.encode())) + 1 for x in some])
             cut = np.searchsorted(np.cumsum(self.width[ids]), ends) + 1
@@ -69,12 +83,6 @@ class Words(Memo):
         return (x + last for x in self.encode(texts))
 
 
-@lru_cache(maxsize=2)
-def words(spec: str) -> Words:
-    """One for all tasks of a Python worker."""
-    return Words(spec)
-
-
 def train(samples: list[bytes], size: int = DICTIONARY) -> bytes:
     """A dictionary from serialised id arrays; few or no samples give their own bytes, or nothing."""
     samples = [s for s in samples if s]
@@ -128,6 +136,7 @@ def write(docs: DataFrame, spec: str, end: int = 0) -> tuple[DataFrame, bytes]:
     first SAMPLE_CHARS characters of about SAMPLE documents, twice as many at most, picked by a hash of their doc_id; it only sets how small frames get.
     """
     spark: SparkSession = docs.sparkSession
+    modest_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     step = max(1, rows.select("doc_id").count() // SAMPLE)
     sample = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(step)) == 0).select(F.substring("text", 1, SAMPLE_CHARS).alias("text")).limit(2 * SAMPLE).toArrow()["text"].to_pylist()
@@ -136,7 +145,7 @@ def write(docs: DataFrame, spec: str, end: int = 0) -> tuple[DataFrame, bytes]:
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spec, dictionary = held.value
-        own, digest, d = words(spec), hashlib.sha256(dictionary).digest(), _dictionary(dictionary)
+        own, digest, d = kept(Words, spec), hashlib.sha256(dictionary).digest(), _dictionary(dictionary)
         zipper = zstandard.ZstdCompressor(level=LEVEL, dict_data=d) if d else zstandard.ZstdCompressor(level=LEVEL)
         part, seq, base = TaskContext.get().partitionId(), 0, 0
         doc_ids, counts, frames, size = [], [], [], 0

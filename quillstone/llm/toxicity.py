@@ -10,7 +10,6 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 from itertools import chain as chained
 
 import numpy as np
@@ -20,6 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ._shared import kept, modest_batches
+
 #: What marks a category in a toxic document, in chain order. The labels only say toxic or not.
 CATEGORIES = {
     "insult": ("idiot", "moron", "stupid", "clown", "loser", "fool", "dumb", "imbecile"),
@@ -28,7 +29,7 @@ CATEGORIES = {
     "obscenity": ("fuck", "fucking", "shit", "bitch", "bastard", "asshole", "crap", "damn"),
 }
 LAST = "toxic"
-BUCKETS, FOLDS, SAMPLE, TOGETHER, KNOWN = 1 << 18, 5, 8000, 512, 400_000
+BUCKETS, FOLDS, SAMPLE, TOGETHER, KNOWN = 1 << 18, 5, 8000, 512, 200_000
 #: A word is an input if it is in so many training rows at least and its log odds are so many standard errors from none.
 SUPPORT, ERRORS = 4, 3.5
 WORD = regex.compile(r"[\p{L}\p{M}]+")
@@ -140,12 +141,6 @@ def fit(words: list[np.ndarray], y: np.ndarray, fold: np.ndarray) -> Chain:
     return Chain([*CATEGORIES, LAST], made, threshold)
 
 
-@lru_cache(maxsize=1)
-def tokens() -> Words:
-    """One for all tasks of a Python worker."""
-    return Words()
-
-
 def _inputs(docs: DataFrame) -> list[Column]:
     return [F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")]
 
@@ -155,11 +150,12 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Chain:
 
     A category's label is 1 where the document is labelled toxic and holds one of the category's words.
     """
+    modest_batches(docs.sparkSession)
     known = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("y"))
     picked = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make = tokens()
+        make = kept(Words)
         for batch in batches:
             for a in range(0, batch.num_rows, TOGETHER):
                 b = batch.slice(a, TOGETHER)
@@ -179,19 +175,21 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Chain:
 def score(docs: DataFrame, chain: Chain, keep: bool = False) -> DataFrame:
     """Per document: doc_id, p_<category> for each category, score (the chain's last probability) and toxic (1 from the threshold on).
 
-    keep: return the documents' own columns instead, and toxic. A null or empty text has the probabilities of no words. Rows keep their repeats;
+    keep: return the documents' rows whole, as the struct own, and toxic. A null or empty text has the probabilities of no words. Rows keep their repeats;
     only doc_id and text are read for a score.
     """
     held = docs.sparkSession.sparkContext.broadcast(chain)  # the chosen words of a bounded sample
     names = [f"p_{x}" for x in CATEGORIES] + ["score"]
-    rows = docs.select(*_inputs(docs), *([F.struct(*[F.col(c) for c in docs.columns]).alias("own")] if keep else []))
+    modest_batches(docs.sparkSession)
+    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("own")) if keep else docs.select(*_inputs(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make = tokens()
+        make = kept(Words)
         for batch in batches:
             for a in range(0, batch.num_rows, TOGETHER):
                 b = batch.slice(a, TOGETHER)
-                p = held.value.probabilities(make(b["text"].to_pylist()))
+                texts = b["own"].flatten()[b.schema.field("own").type.names.index("text")] if keep else b["text"]
+                p = held.value.probabilities(make([t or "" for t in texts.to_pylist()]))
                 if keep:
                     yield pa.RecordBatch.from_arrays([b["own"], pa.array(p[:, -1], pa.float64())], ["own", "score"])
                 else:
@@ -199,4 +197,4 @@ def score(docs: DataFrame, chain: Chain, keep: bool = False) -> DataFrame:
 
     given = [rows.schema["own"], T.StructField("score", T.DoubleType())] if keep else [T.StructField("doc_id", T.LongType()), *(T.StructField(x, T.DoubleType()) for x in names)]
     scored = rows.mapInArrow(run, T.StructType(given)).withColumn("toxic", (F.col("score") >= chain.threshold).cast("int"))
-    return scored.select("own.*", "toxic") if keep else scored
+    return scored.select("own", "toxic") if keep else scored

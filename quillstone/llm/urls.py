@@ -20,9 +20,9 @@ from pyspark.sql import functions as F
 LETTERS = "abcdefghijklmnopqrstuvwxyz./-_?=&%#:"
 DIGIT, OTHER, EDGE = len(LETTERS), len(LETTERS) + 1, len(LETTERS) + 2
 KINDS, ORDER = len(LETTERS) + 3, 4
-#: Parts of host names that block lists of the web commonly reject; each counts as a few rejected URLs.
+#: Parts of host names that block lists of the web commonly reject; each counts as this share of the rejected URLs.
 SEEDS = ("casino", "poker", "jackpot", "free-bets", "betting", "lottery", "cheap-pills", "viagra", "pharmacy", "porn", "xxx", "adult", "payday-loans", "replica-watches", "free-money", "warez")
-SEED_SHARE = 0.002
+SEED_SHARE = 0.02
 #: Bins of scores for the calibration, to either side of zero, and their width.
 BINS, WIDTH = 2000, 0.005
 
@@ -128,9 +128,10 @@ def learn(labelled: DataFrame) -> np.ndarray:
     got = labelled.mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()  # 2 * KINDS ** ORDER rows at most
     flat = np.zeros(2 * KINDS**ORDER)
     flat[np.asarray(got["code"], np.int64)] = np.asarray(got["n"], np.float64)
-    seeds, _ = grams([s + "." for s in SEEDS])
-    inner = seeds[np.all([(seeds // KINDS**k) % KINDS != EDGE for k in range(ORDER)], axis=0)]
-    np.add.at(flat, inner * 2, max(1.0, SEED_SHARE * flat[::2].sum() / KINDS))
+    seeds, _ = grams([f"{front}{s}." for s in SEEDS for front in ("", "www.", "m.")])
+    inner = seeds[seeds % KINDS != EDGE]
+    rejected = flat[::2].reshape(-1, KINDS)[:, EDGE].sum()  # each URL ends once
+    np.add.at(flat, inner * 2, max(1.0, SEED_SHARE * rejected))
     shape = (KINDS,) * ORDER
     return (smoothed(flat[1::2].reshape(shape)) - smoothed(flat[::2].reshape(shape))).ravel().astype(np.float32)
 

@@ -93,6 +93,9 @@ def test_stages_keep_columns_and_empty_tables(spark, tables):
     d, _, _ = tables
     docs = spark.read.parquet(f"{d}/documents.parquet")
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "toxicity", "near_duplicates", "decontamination", "encoding"]
+    odd = docs.selectExpr("*", "1 AS predicted", "2 AS toxic", "3 AS score", "4 AS component_id", "5 AS own", "6 AS hash")
     for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, docs.limit(0), d)
         assert out.count() == 0 and (name == "encoding" or out.columns == docs.columns)
+        out = stage(spark, odd, d)
+        assert out.count() > 0 and (name == "encoding" or out.columns == odd.columns)

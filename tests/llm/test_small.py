@@ -118,7 +118,7 @@ def test_quality(spark, labelled):
     hidden = labels.withColumn("quality", F.when(quality.is_held_out(F.col("doc_id")), 1 - F.col("quality")).otherwise(F.col("quality")))
     again = {r.doc_id: r.score for r in quality.score(docs, quality.train(docs, hidden)).collect()}
     assert all(again[r.doc_id] == r.score for r in got)  # held-out labels change nothing
-    assert quality.score(docs, quality.train(docs, labels), keep=True).columns == [*docs.columns, "predicted"]
+    assert quality.score(docs, quality.train(docs, labels), keep=True).columns == ["own", "predicted"]
     assert {r.score for r in quality.score(docs, quality.train(docs, labels.limit(0))).collect()} == {0.5}
     assert quality.score(docs.limit(0), quality.train(docs.limit(0), labels)).collect() == []
 
