@@ -30,6 +30,8 @@ RUN = re.compile(r"\s ")
 #: Pieces remembered by a task, the longest one remembered, the longest of single words, documents whose new pieces are encoded together, pieces held of a
 #: huge text, and characters from which a text is huge.
 KEPT, LONG, SHORT, TOGETHER, STEP, HUGE = 500_000, 60, 12, 512, 200_000, 1_000_000
+#: Pieces that a worker remembers unless it is told otherwise: modest, since other stages share its executor.
+REMEMBERED = 300_000
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
@@ -83,13 +85,14 @@ class Replay:
         joins = np.full(n, -1)
         joins[:-1] = self.first[raw[:-1] * 256 + raw[1:]]
         joins[end - 1] = -1
-        spots = np.argsort(joins, kind="stable")
-        merges, at = np.unique(joins[spots], return_index=True)
-        index = {r: s.tolist() for r, s in zip(merges.tolist(), np.split(spots, at[1:]), strict=True) if r >= 0} if n else {}
+        order = np.argsort(joins, kind="stable")
+        merges, at = np.unique(joins[order], return_index=True)
+        spots, ends = order.tolist(), [*at[1:].tolist(), n]
+        index = {r: spots[i:j] for r, i, j in zip(merges.tolist(), at.tolist(), ends, strict=True) if r >= 0} if n else {}
         back = np.arange(-1, n - 1)
         back[end - size] = -1
-        token, right, left = self.single[raw].tolist(), links.tolist(), back.tolist()
-        self._replay(index, token, right, left)
+        token = self.single[raw].tolist()
+        self._replay(index, joins.tolist(), token, links.tolist(), back.tolist())
         out, rest = [], iter(zip((end - size).tolist(), end.tolist(), strict=True))
         for w, r in zip(words, whole, strict=True):
             if r is not None:
@@ -101,9 +104,9 @@ class Replay:
                 out.append([t for t in token[a:b] if t >= 0])
         return out
 
-    def _replay(self, index: dict[int, list[int]], token: list[int], right: list[int], left: list[int]) -> None:
-        """Joins pairs in rank order; a position that has been joined to its left becomes -1."""
-        get = self.pairs.get
+    def _replay(self, index: dict[int, list[int]], joins: list[int], token: list[int], right: list[int], left: list[int]) -> None:
+        """Joins pairs in rank order. joins: the token that a position and its right neighbour make now, or -1; what has been joined to its left has token -1."""
+        get, find = self.pairs.get, index.get
         heap = sorted(index)
         while heap:
             r = heappop(heap)
@@ -113,38 +116,44 @@ class Replay:
             spots.sort()
             wide = r << 32
             for k, p in enumerate(spots):
-                q = right[p]
-                a = token[p]
-                if q < 0 or a < 0 or get(a << 32 | token[q]) != r:
+                if joins[p] != r:
                     continue
+                q = right[p]
                 token[p] = r
-                token[q] = -1
+                token[q] = joins[q] = -1
                 right[p] = n = right[q]
                 better = False
+                x = -1
                 if n >= 0:
                     left[n] = p
-                    x = get(wide | token[n])
-                    if x is not None:
-                        if x in index:
-                            index[x].append(p)
-                        else:
+                    x = get(wide | token[n], -1)
+                    if x >= 0:
+                        known = find(x)
+                        if known is None:
                             index[x] = [p]
                             heappush(heap, x)
+                        else:
+                            known.append(p)
                         better = x < r
+                joins[p] = x
                 m = left[p]
                 if m >= 0:
-                    x = get(token[m] << 32 | r)
-                    if x is not None:
-                        if x in index:
-                            index[x].append(m)
-                        else:
+                    joins[m] = x = get(token[m] << 32 | r, -1)
+                    if x >= 0:
+                        known = find(x)
+                        if known is None:
                             index[x] = [m]
                             heappush(heap, x)
+                        else:
+                            known.append(m)
                         better = better or x < r
                 if better:  # a merge of lower rank has appeared: it goes first
                     if rest := spots[k + 1 :]:
-                        index.setdefault(r, []).extend(rest)
-                        heappush(heap, r)
+                        if (known := find(r)) is None:
+                            index[r] = rest
+                            heappush(heap, r)
+                        else:
+                            known += rest
                     break
 
 
@@ -219,8 +228,8 @@ class Memo:
 class Codec(Memo):
     """Whole texts to ids (little-endian, 32 bits) and back."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
-        super().__init__(KEPT + KEPT // 3)
+    def __init__(self, ranks: dict[bytes, int], pattern: str, kept: int = KEPT):
+        super().__init__(kept)
         self.short: dict[str, bytes] = {}  # of single words
         self.words = r" ?\p{L}+" in pattern.split("|")
         self.replay, self.pattern = Replay(ranks), regex.compile(explicit(pattern))
@@ -252,30 +261,30 @@ class Codec(Memo):
         return b"".join(map(self.replay.table.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
 
 
-def codec(ranks: bytes, pattern: str) -> Codec:
-    return Codec(read_ranks(ranks), pattern)
+def codec(ranks: bytes, pattern: str, remembered: int) -> Codec:
+    return Codec(read_ranks(ranks), pattern, remembered)
 
 
-def digests(docs: DataFrame, ranks: bytes, pattern: str) -> DataFrame:
+def digests(docs: DataFrame, ranks: bytes, pattern: str, remembered: int = REMEMBERED) -> DataFrame:
     """Per document: doc_id, the count of ids, the SHA-256 of the ids (little-endian, 32 bits) and that of the bytes they decode to.
 
-    ``ranks`` is a vocabulary file's content. Each match of the pattern is encoded by itself, without special tokens. A null text is
+    ``ranks`` is a vocabulary file's content; ``remembered`` bounds the pieces that a worker remembers (some 300 bytes each), which only sets its speed. Each match of the pattern is encoded by itself, without special tokens. A null text is
     empty; an empty text has no ids and the digests of nothing. Rows keep their order and repeats; other columns are not read.
     """
-    return _mapped(docs, ranks, pattern, False)
+    return _mapped(docs, ranks, pattern, remembered, False)
 
 
-def encoded(docs: DataFrame, ranks: bytes, pattern: str) -> DataFrame:
+def encoded(docs: DataFrame, ranks: bytes, pattern: str, remembered: int = REMEMBERED) -> DataFrame:
     """Per document: doc_id and its ids as an array; handles rows as digests() does."""
-    return _mapped(docs, ranks, pattern, True)
+    return _mapped(docs, ranks, pattern, remembered, True)
 
 
-def _mapped(docs: DataFrame, ranks: bytes, pattern: str, whole: bool) -> DataFrame:
+def _mapped(docs: DataFrame, ranks: bytes, pattern: str, remembered: int, whole: bool) -> DataFrame:
     modest_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(ranks)  # one vocabulary file, about a megabyte
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = kept(codec, held.value, pattern)
+        own = kept(codec, held.value, pattern, remembered)
         for batch in batches:
             for a in range(0, batch.num_rows, TOGETHER):
                 part = batch.slice(a, TOGETHER)
