@@ -91,14 +91,14 @@ def fn_extracted(spark: SparkSession, d: str) -> DataFrame:
     return _docs(spark, d).select("doc_id", text.extracted(F.col("text")).alias("text"))
 
 
-@query(r"SELECT doc_id, regexp_replace(replace(text, ' ', '-' || chr(10)), '(\p{Latin})[-‐]\n(\p{Ll})', '\1\2', 'g') AS text FROM documents WHERE n_chars < 3000")
+@query(r"SELECT doc_id, regexp_replace(replace(text, ' ', '-' || chr(10)), '(\p{Latin})[-‐]\n(\p{Ll})', '\1\2', 'g') AS text FROM documents")
 def fn_join_lines(spark: SparkSession, d: str) -> DataFrame:
-    return _docs(spark, d).filter("n_chars < 3000").select("doc_id", text.joined_lines(F.replace(F.col("text"), F.lit(" "), F.lit("-\n"))).alias("text"))
+    return _docs(spark, d).select("doc_id", text.joined_lines(F.replace(F.col("text"), F.lit(" "), F.lit("-\n"))).alias("text"))
 
 
-@query("SELECT doc_id, translate(text, '()[]{}<>«»', ')(][}{><»«') AS text FROM documents WHERE n_chars < 500")
+@query("SELECT doc_id, translate(text, '()[]{}<>«»', ')(][}{><»«') AS text FROM documents")
 def fn_mirror(spark: SparkSession, d: str) -> DataFrame:
-    return _docs(spark, d).filter("n_chars < 500").select("doc_id", text.mirrored(F.col("text")).alias("text"))
+    return _docs(spark, d).select("doc_id", text.mirrored(F.col("text")).alias("text"))
 
 
 @query("SELECT doc_id, replace(replace(replace(replace(substring(text, 1, 120), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;') AS text FROM documents")
@@ -145,9 +145,9 @@ def inj_rules(spark: SparkSession, d: str) -> DataFrame:
     return text.flagged(_docs(spark, d).select("doc_id", F.concat(head, "text").alias("text")), "text").select("doc_id", "signals")
 
 
-@query(r"SELECT doc_id, regexp_replace(text, '[\p{Cf}]', '', 'g') AS text FROM documents WHERE n_chars < 1000")
+@query(r"SELECT doc_id, regexp_replace(text, '[\p{Cf}]', '', 'g') AS text FROM documents")
 def inj_strip(spark: SparkSession, d: str) -> DataFrame:
-    return _docs(spark, d).filter("n_chars < 1000").select("doc_id", F.regexp_replace("text", r"\p{Cf}", "").alias("text"))
+    return _docs(spark, d).select("doc_id", F.regexp_replace("text", r"\p{Cf}", "").alias("text"))
 
 
 @query(f"""WITH w AS (SELECT doc_id, list_filter(string_split({norm_sql('text')}, ' '), lambda w: w <> '') AS w FROM documents),

@@ -57,10 +57,10 @@ def fn_rewrite_clean(spark: SparkSession, d: str) -> DataFrame:
     return _rows(spark, 'Query: "who was king?"', "plain\nmore", "Question: a [S1]").withColumn("question", P.rewritten(F.col("said")))
 
 
-@query("SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS text FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE n_chars < 800) GROUP BY doc_id")
+@query("SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS text FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents) GROUP BY doc_id")
 def fn_ocr_text(spark: SparkSession, d: str) -> DataFrame:
     """Read lines back into page text."""
-    lines = table(spark, d, "documents").filter("n_chars < 800").select("doc_id", F.split("text", "\n").alias("lines"))
+    lines = table(spark, d, "documents").select("doc_id", F.split("text", "\n").alias("lines"))
     return lines.select("doc_id", F.array_join("lines", "\n").alias("text"))
 
 
