@@ -2,7 +2,8 @@
 
 A text becomes a template: numbers, units after numbers, and names (capitalised words inside a sentence) become typed slots. Windows of
 template words are hashed and joined with those of the benchmark, so a question with other numbers or names still meets. What fills
-the slots must then be consistent: along one alignment, a value of the item always stands for the same value of the document.
+the slots must then be consistent: along one alignment, a value of the item always stands for the same value of the document. Every window is
+also joined as the plain words that it is, whatever its slots.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Words of a window; words of the shortest item that can be told; share of an item's windows, or so many of them, that contaminate.
+#: Words of a window; words of the shortest item that is also met as a template; share of an item's windows, or so many of them, that contaminate.
 WINDOW, SHORTEST, SHARE, MANY = 8, 4, 0.5, 16
 #: Benchmark windows that are broadcast at most: some tens of megabytes. Beyond it Spark joins by shuffle.
 BROADCAST = 1_000_000
@@ -33,51 +34,70 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(marked(clean)), rf"[^\p{{L}}\p{{M}}\p{{N}}{MARK}%€£$°]+"), "")
 
 
-def _windows(df: DataFrame, keep: list[str], size: int) -> DataFrame:
-    """A row for each window of ``size`` words: keep, pos, hash and the slots' contents in it (null without slots)."""
+def _size(n: Column, window: int) -> Column:
+    """Words of the windows of an item of n words."""
+    return F.least(n, F.lit(window))
+
+
+def _windows(df: DataFrame, keep: list[str], sizes: str) -> DataFrame:
+    """A row for each window of the row's sizes: keep, size, pos, hash and the slots' contents in it (null: plain lower-case words).
+
+    A window with slots stands twice, as a template and as the plain words that it is.
+    """
     slot = F.lit(MARK)
     # Exploding an array of one keeps what is computed once: projections are not merged across it.
-    split = df.select(*keep, F.explode(F.array(words(F.col("text")))).alias("w")).filter(F.size("w") >= size)
-    hashes = F.transform("w", lambda x: F.xxhash64(F.when(F.startswith(x, slot), F.substring(x, 1, 2)).otherwise(x)))
-    hashed = split.select(*keep, F.explode(F.array(F.struct(hashes.alias("h"), F.when(F.exists("w", lambda x: F.startswith(x, slot)), F.col("w")).alias("w")))).alias("x")).select(*keep, "x.h", "x.w")
-    at = F.sequence(F.lit(1), F.size("h") - size + 1)
-    one = lambda i: F.struct(F.xxhash64(*[F.get("h", i - 1 + k) for k in range(size)]).alias("hash"), F.lit(None).cast("array<string>").alias("slots"))
-    two = lambda i: F.struct(F.xxhash64(*[F.get("h", i - 1 + k) for k in range(size)]).alias("hash"), F.filter(F.slice("w", i, F.lit(size)), lambda x: F.startswith(x, slot)).alias("slots"))
-    rows = hashed.select(*keep, F.when(F.col("w").isNull(), F.transform(at, one)).otherwise(F.transform(at, two)).alias("x"))
-    return rows.select(*keep, F.posexplode_outer("x").alias("pos", "x")).select(*keep, "pos", F.col("x.hash").alias("hash"), F.col("x.slots").alias("slots"))
+    split = df.select(*keep, sizes, F.explode(F.array(words(F.col("text")))).alias("w"))
+    split = split.select(*keep, "w", F.exists("w", lambda x: F.startswith(x, slot)).alias("any"), F.filter(sizes, lambda s: s <= F.size("w")).alias("s")).filter(F.size("s") > 0)
+    plain = F.transform("w", lambda x: F.xxhash64(F.when(F.startswith(x, slot), F.substring(x, 3, 1 << 30)).otherwise(x)))
+    form = F.when(F.col("any"), F.transform("w", lambda x: F.xxhash64(F.when(F.startswith(x, slot), F.substring(x, 1, 2)).otherwise(x))))
+    hashed = split.select(*keep, "s", F.explode(F.array(F.struct(plain.alias("h"), form.alias("f"), F.when(F.col("any"), F.col("w")).alias("w")))).alias("x")).select(*keep, "s", "x.*")
+
+    def row(s: Column, i: Column, slots: bool) -> Column:
+        own = F.filter(F.slice("w", i, s), lambda x: F.startswith(x, slot)) if slots else F.lit(None).cast("array<string>")
+        form = F.xxhash64(F.slice("f", i, s)) if slots else F.lit(None).cast("long")
+        return F.struct(s.alias("size"), (i - 1).alias("pos"), F.xxhash64(F.slice("h", i, s)).alias("hash"), form.alias("form"), own.alias("slots"))
+
+    every = lambda slots: F.flatten(F.transform("s", lambda s: F.transform(F.sequence(F.lit(1), F.size("h") - s + 1), lambda i: row(s, i, slots))))
+    rows = hashed.select(*keep, F.explode(F.when(F.col("w").isNull(), every(False)).otherwise(every(True))).alias("x")).select(*keep, "x.*")
+    none = F.lit(None).cast("array<string>")
+    two = F.when(F.size("slots") > 0, F.array(F.struct("hash", none.alias("slots")), F.struct(F.col("form").alias("hash"), "slots"))).otherwise(F.array(F.struct("hash", none.alias("slots"))))
+    return rows.select(*keep, "size", "pos", F.explode(two).alias("x")).select(*keep, "size", "pos", "x.hash", "x.slots")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """A row for each document and benchmark item found in it: doc_id, item_id, windows (of the item), matched, share, exact (every slot as in the item).
+    """A row for each document and benchmark item found in it: doc_id, item_id, windows (of the item), matched, share, exact (all of them as in the item).
 
-    An item is found where consistent alignments match SHARE of its windows, or MANY of them. Items shorter than a window are one window of their own
-    length; below SHORTEST words an item is not told from chance. Windows with more slots than words are no evidence. Null and empty texts match
-    nothing; rows without doc_id or item_id are left out; repeated rows count once. Other columns are not read.
+    An item is found where SHARE of its windows, or MANY of them, match: word for word, or as templates along a consistent alignment. Items shorter
+    than a window are one window of their own length. Only word for word match windows with more slots than words and items below SHORTEST words; an
+    item of a single word is found wherever that word stands. Null and empty texts match nothing; rows without doc_id or item_id are left out;
+    repeated rows count once. Other columns are not read.
     """
     items = benchmark.filter(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).distinct()
     texts = docs.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    lengths = items.select("item_id", F.size(words(F.col("text"))).alias("n"))
-    short = [r.n for r in lengths.filter(F.col("n").between(SHORTEST, window - 1)).select("n").distinct().collect()]  # fewer than a window's words
-    found = None
-    for size in [window, *short]:
-        own = items if size == window else items.join(lengths.filter(F.col("n") == size).select("item_id").distinct(), "item_id", "left_semi")
-        bench = _windows(own, ["item_id"], size)
-        # In the middle of a document's sentence an item's first word, if capitalised, looks like a name.
-        inner = _windows(own.withColumn("text", F.concat(F.lit("a "), "text")), ["item_id"], size).filter("pos = 1").withColumn("pos", F.lit(0))
-        bench = bench.unionByName(inner).distinct().select("item_id", F.col("pos").alias("at"), "hash", F.col("slots").alias("theirs"))
-        bench = bench.filter(F.coalesce(F.size("theirs"), F.lit(0)) * 2 <= size)
-        bench = F.broadcast(bench) if bench.count() <= BROADCAST else bench
-        hits = _windows(texts, ["doc_id"], size).join(bench, "hash")
-        pairs = F.coalesce(F.zip_with("theirs", "slots", lambda a, b: F.struct(a.alias("a"), b.alias("b"))), F.array().cast("array<struct<a:string,b:string>>"))
-        hits = hits.select("doc_id", "item_id", (F.col("pos") - F.col("at")).alias("shift"), "at", pairs.alias("pairs"))
-        found = hits if found is None else found.unionByName(hits)
-    along = found.groupBy("doc_id", "item_id", "shift").agg(F.collect_set("at").alias("at"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
+    items = items.select("*", F.explode(F.array(F.size(words(F.col("text"))))).alias("n")).filter("n > 0")
+    items = items.withColumn("size", _size(F.col("n"), window)).withColumn("sizes", F.array("size"))
+    sizes = [r.size for r in items.select("size").distinct().collect()]
+    texts = texts.withColumn("sizes", F.array(*map(F.lit, sizes)).cast("array<int>"))
+    bench = _windows(items, ["item_id", "n"], "sizes")
+    # In the middle of a document's sentence an item's first word, if capitalised, looks like a name.
+    inner = _windows(items.withColumn("text", F.concat(F.lit("a "), "text")), ["item_id", "n"], "sizes").filter("pos = 1").withColumn("pos", F.lit(0))
+    bench = bench.unionByName(inner).filter(F.col("slots").isNull() | ((F.size("slots") * 2 <= F.col("size")) & (F.col("n") >= SHORTEST)))
+    bench = bench.select("item_id", F.col("pos").alias("at"), "hash", F.col("slots").alias("theirs")).distinct()
+    bench = F.broadcast(bench) if bench.count() <= BROADCAST else bench
+    hits = _windows(texts, ["doc_id"], "sizes").join(bench, "hash")
+    pairs = F.zip_with("theirs", "slots", lambda a, b: F.struct(a.alias("a"), b.alias("b")))  # null: word for word
+    hits = hits.select("doc_id", "item_id", (F.col("pos") - F.col("at")).alias("shift"), F.struct("at", pairs.alias("pairs")).alias("hit"))
+    along = hits.groupBy("doc_id", "item_id", "shift").agg(F.collect_set("hit").alias("hits"))
+    along = along.select("*", F.array_distinct(F.flatten(F.transform("hits", lambda x: F.coalesce(x["pairs"], F.array().cast("array<struct<a:string,b:string>>"))))).alias("pairs"))
     consistent = F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda p: p["a"])))
-    exact = F.forall("pairs", lambda p: p["a"] == p["b"])
-    whole = along.filter(consistent).groupBy("doc_id", "item_id").agg(F.size(F.array_distinct(F.flatten(F.collect_list("at")))).alias("matched"), F.bool_and(exact).alias("exact"))
-    of = lengths.groupBy("item_id").agg(F.greatest(F.max("n") - window + 1, F.lit(1)).alias("windows"))
-    out = whole.join(of, "item_id").withColumn("share", F.round(F.col("matched") / F.col("windows"), 6))
-    return out.filter((F.col("matched") >= F.col("windows") * SHARE) | (F.col("matched") >= MANY)).select("doc_id", "item_id", F.col("windows").cast("long").alias("windows"), F.col("matched").cast("long").alias("matched"), "share", "exact")
+    kept = F.filter("hits", lambda x: x["pairs"].isNull() | consistent)
+    along = along.select("doc_id", "item_id", F.array_distinct(F.transform(kept, lambda x: x["at"])).alias("at"), F.transform(F.filter("hits", lambda x: x["pairs"].isNull()), lambda x: x["at"]).alias("same"))
+    count = lambda c: F.size(F.array_distinct(F.flatten(F.collect_list(c))))
+    whole = along.groupBy("doc_id", "item_id").agg(count("at").alias("matched"), count("same").alias("same"))
+    of = items.groupBy("item_id").agg(F.max(F.col("n") - F.col("size") + 1).alias("windows"))
+    out = whole.join(of, "item_id").withColumn("share", F.round(F.col("matched") / F.col("windows"), 6)).withColumn("exact", F.col("same") == F.col("matched"))
+    found = (F.col("matched") >= F.col("windows") * SHARE) | (F.col("matched") >= MANY)
+    return out.filter(found).select("doc_id", "item_id", F.col("windows").cast("long").alias("windows"), F.col("matched").cast("long").alias("matched"), "share", "exact")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
