@@ -25,13 +25,13 @@ def marked(text: Column) -> Column:
     """The text with marks before numbers, units and names; what fills them stays."""
     named = F.regexp_replace(text, r"(?<=[\p{Ll}\p{N},;] )(\p{Lu}[\p{Ll}\p{M}]+)", f"{MARK}n$1")
     united = F.regexp_replace(named, rf"(?<=[0-9])[ ]?({UNITS})(?![\p{{L}}\p{{N}}])", f" {MARK}u$1 ")
-    return F.when(named.rlike("[0-9]"), F.regexp_replace(F.regexp_replace(united, r"(?<![0-9])([0-9]+)", f" {MARK}d$1 "), r"([€£$])", " $1 ")).otherwise(named)
+    return F.when(named.rlike("[0-9]"), F.regexp_replace(F.regexp_replace(united, r"(?<![0-9])([0-9]+(?:[.,/][0-9]+)*)", f" {MARK}d$1 "), r"([€£$])", " $1 ")).otherwise(named)
 
 
 def words(text: Column) -> Column:
-    """Lower-case words of the marked text: letters, marks of letters, digits, slots."""
+    """Lower-case words of the marked text: letters, marks of letters, digits, slots. Digits hold together over a point, comma or stroke: 3.5, 3/4."""
     clean = F.translate(F.coalesce(text, F.lit("")), MARK, " ")
-    return F.array_remove(F.split(F.lower(marked(clean)), rf"[^\p{{L}}\p{{M}}\p{{N}}{MARK}%€£$°]+"), "")
+    return F.array_remove(F.split(F.lower(marked(clean)), rf"(?:[^\p{{L}}\p{{M}}\p{{N}}{MARK}%€£$°.,/]|(?<![0-9])[.,/]|[.,/](?![0-9]))+"), "")
 
 
 def _size(n: Column, window: int) -> Column:
@@ -67,8 +67,8 @@ def _windows(df: DataFrame, keep: list[str], sizes: str) -> DataFrame:
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """A row for each document and benchmark item found in it: doc_id, item_id, windows (of the item), matched, share, exact (all of them as in the item).
 
-    An item is found where SHARE of its windows, or MANY of them, match: word for word, or as templates along a consistent alignment. Items shorter
-    than a window are one window of their own length. Only word for word match windows with more slots than words and items below SHORTEST words; an
+    An item is found where SHARE of its windows, or MANY of them, match: word for word, or as templates whose slots agree with all of their alignment;
+    where a value of the item meets two values of the document, only the windows that hold it go. Items shorter than a window are one window of their own length. Only word for word match windows with more slots than words and items below SHORTEST words; an
     item of a single word is found wherever that word stands. Null and empty texts match nothing; rows without doc_id or item_id are left out;
     repeated rows count once. Other columns are not read.
     """
@@ -89,8 +89,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) ->
     hits = hits.select("doc_id", "item_id", (F.col("pos") - F.col("at")).alias("shift"), F.struct("at", pairs.alias("pairs")).alias("hit"))
     along = hits.groupBy("doc_id", "item_id", "shift").agg(F.collect_set("hit").alias("hits"))
     along = along.select("*", F.array_distinct(F.flatten(F.transform("hits", lambda x: F.coalesce(x["pairs"], F.array().cast("array<struct<a:string,b:string>>"))))).alias("pairs"))
-    consistent = F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda p: p["a"])))
-    kept = F.filter("hits", lambda x: x["pairs"].isNull() | consistent)
+    clash = F.transform(F.filter("pairs", lambda p: F.exists("pairs", lambda q: (q["a"] == p["a"]) & (q["b"] != p["b"]))), lambda p: p["a"])
+    along = along.select("*", F.explode(F.array(clash)).alias("clash"))
+    kept = F.filter("hits", lambda x: x["pairs"].isNull() | ~F.exists(x["pairs"], lambda p: F.array_contains("clash", p["a"])))
     along = along.select("doc_id", "item_id", F.array_distinct(F.transform(kept, lambda x: x["at"])).alias("at"), F.transform(F.filter("hits", lambda x: x["pairs"].isNull()), lambda x: x["at"]).alias("same"))
     count = lambda c: F.size(F.array_distinct(F.flatten(F.collect_list(c))))
     whole = along.groupBy("doc_id", "item_id").agg(count("at").alias("matched"), count("same").alias("same"))

@@ -15,3 +15,21 @@ def test_number_heavy_and_short_items_word_for_word(spark):
     docs = [f"so they said: {x} and went on with it" for x in NUMBERS] + ["What is 13 + 31 + 46 + 8? Add 3", "nothing here"]
     got = found(spark, NUMBERS, docs)
     assert set(got) == {(k, k) for k in range(4)} and all(r.exact and r.matched == r.windows for r in got.values())
+
+
+LONG = "A farmer sells 12 apples in the morning at the old market by the river and later that same day 12 pears to a baker who lives behind the church and pays with coins"
+BOX = "A wooden box is 3.5 m by 2.5 m by 1.5 m and the owner pays by its volume, so how much does he pay if each 1/2 cubic unit is worth 4.75 in all"
+
+
+def test_one_conflict_does_not_discard_the_alignment(spark):
+    got = found(spark, [LONG], ["So: " + LONG.replace("12 pears", "13 pears"), LONG.replace("12", "40")])
+    assert set(got) == {(0, 0), (1, 0)} and got[0, 0].exact and not got[1, 0].exact and got[1, 0].matched == got[1, 0].windows
+    assert got[0, 0].windows == 27 and got[0, 0].matched == 19
+
+
+def test_a_decimal_or_fraction_is_one_slot(spark):
+    new = BOX
+    for a, b in (("3.5", "4.1"), ("2.5", "3.7"), ("1.5", "2.2"), ("1/2", "3/4"), ("4.75", "12.5")):
+        new = new.replace(f" {a} ", f" {b} ")
+    got = found(spark, [BOX], [new, BOX])
+    assert set(got) == {(0, 0), (1, 0)} and got[1, 0].exact and not got[0, 0].exact and got[0, 0].matched == 25  # three windows hold more slots than words
