@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 
 #: Words of a window; words of the shortest item that is also met as a template; share of an item's windows, or so many of them, that contaminate.
 WINDOW, SHORTEST, SHARE, MANY = 8, 4, 0.5, 16
+#: Words of the windows of items below three windows' length, and below three of these: a changed word leaves half of an item's windows. Words
+#: of an unbroken run that contaminates, whatever the item's length.
+MIDDLE, FEW, RUN = 5, 4, 14
 #: Benchmark windows that are broadcast at most: some tens of megabytes. Beyond it Spark joins by shuffle.
 BROADCAST = 1_000_000
 #: Units that may follow a number.
@@ -35,8 +38,8 @@ def words(text: Column) -> Column:
 
 
 def _size(n: Column, window: int) -> Column:
-    """Words of the windows of an item of n words."""
-    return F.least(n, F.lit(window))
+    """Words of the windows of an item of n words: the fewer, the shorter; below twice FEW words the item is its own window."""
+    return F.when(n >= 3 * window - 1, window).when(n >= 3 * MIDDLE - 1, min(MIDDLE, window)).when(n >= 2 * FEW, min(FEW, window)).otherwise(n)
 
 
 def _windows(df: DataFrame, keep: list[str], sizes: str) -> DataFrame:
@@ -67,9 +70,10 @@ def _windows(df: DataFrame, keep: list[str], sizes: str) -> DataFrame:
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """A row for each document and benchmark item found in it: doc_id, item_id, windows (of the item), matched, share, exact (all of them as in the item).
 
-    An item is found where SHARE of its windows, or MANY of them, match: word for word, or as templates whose slots agree with all of their alignment;
-    where a value of the item meets two values of the document, only the windows that hold it go. Items shorter than a window are one window of their own length. Only word for word match windows with more slots than words and items below SHORTEST words; an
-    item of a single word is found wherever that word stands. Null and empty texts match nothing; rows without doc_id or item_id are left out;
+    An item is found where SHARE of its windows, or MANY of them, or those of a run of RUN words match: word for word, or as templates whose slots
+    agree with all of their alignment; where a value of the item meets two values of the document, only the windows that hold it go. Windows of
+    short items are shorter (_size). Only word for word match windows with more slots than words and items below SHORTEST words; an item of a single
+    word is found wherever that word stands. Null and empty texts match nothing; rows without doc_id or item_id are left out;
     repeated rows count once. Other columns are not read.
     """
     items = benchmark.filter(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).distinct()
@@ -86,18 +90,20 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) ->
     bench = F.broadcast(bench) if bench.count() <= BROADCAST else bench
     hits = _windows(texts, ["doc_id"], "sizes").join(bench, "hash")
     pairs = F.zip_with("theirs", "slots", lambda a, b: F.struct(a.alias("a"), b.alias("b")))  # null: word for word
-    hits = hits.select("doc_id", "item_id", (F.col("pos") - F.col("at")).alias("shift"), F.struct("at", pairs.alias("pairs")).alias("hit"))
-    along = hits.groupBy("doc_id", "item_id", "shift").agg(F.collect_set("hit").alias("hits"))
+    hits = hits.select("doc_id", "item_id", "size", (F.col("pos") - F.col("at")).alias("shift"), F.struct("at", pairs.alias("pairs")).alias("hit"))
+    along = hits.groupBy("doc_id", "item_id", "size", "shift").agg(F.collect_set("hit").alias("hits"))
     along = along.select("*", F.array_distinct(F.flatten(F.transform("hits", lambda x: F.coalesce(x["pairs"], F.array().cast("array<struct<a:string,b:string>>"))))).alias("pairs"))
     clash = F.transform(F.filter("pairs", lambda p: F.exists("pairs", lambda q: (q["a"] == p["a"]) & (q["b"] != p["b"]))), lambda p: p["a"])
     along = along.select("*", F.explode(F.array(clash)).alias("clash"))
     kept = F.filter("hits", lambda x: x["pairs"].isNull() | ~F.exists(x["pairs"], lambda p: F.array_contains("clash", p["a"])))
-    along = along.select("doc_id", "item_id", F.array_distinct(F.transform(kept, lambda x: x["at"])).alias("at"), F.transform(F.filter("hits", lambda x: x["pairs"].isNull()), lambda x: x["at"]).alias("same"))
+    along = along.select("doc_id", "item_id", "size", F.array_distinct(F.transform(kept, lambda x: x["at"])).alias("at"), F.transform(F.filter("hits", lambda x: x["pairs"].isNull()), lambda x: x["at"]).alias("same"))
+    more = F.greatest(F.lit(RUN) - F.col("size"), F.lit(0))  # windows of a run beside its first
+    run = F.exists("at", lambda k: F.size(F.array_intersect("at", F.sequence(k, k + more))) == more + 1)
     count = lambda c: F.size(F.array_distinct(F.flatten(F.collect_list(c))))
-    whole = along.groupBy("doc_id", "item_id").agg(count("at").alias("matched"), count("same").alias("same"))
+    whole = along.groupBy("doc_id", "item_id").agg(count("at").alias("matched"), count("same").alias("same"), F.max(run).alias("run"))
     of = items.groupBy("item_id").agg(F.max(F.col("n") - F.col("size") + 1).alias("windows"))
     out = whole.join(of, "item_id").withColumn("share", F.round(F.col("matched") / F.col("windows"), 6)).withColumn("exact", F.col("same") == F.col("matched"))
-    found = (F.col("matched") >= F.col("windows") * SHARE) | (F.col("matched") >= MANY)
+    found = (F.col("matched") >= F.col("windows") * SHARE) | (F.col("matched") >= MANY) | F.col("run")
     return out.filter(found).select("doc_id", "item_id", F.col("windows").cast("long").alias("windows"), F.col("matched").cast("long").alias("matched"), "share", "exact")
 
 

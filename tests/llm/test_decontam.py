@@ -33,3 +33,16 @@ def test_a_decimal_or_fraction_is_one_slot(spark):
         new = new.replace(f" {a} ", f" {b} ")
     got = found(spark, [BOX], [new, BOX])
     assert set(got) == {(0, 0), (1, 0)} and got[1, 0].exact and not got[0, 0].exact and got[0, 0].matched == 25  # three windows hold more slots than words
+
+
+def test_partial_and_edited_items(spark):
+    long, other = [f"langwort{'abcdefghij'[k // 10]}{'abcdefghij'[k % 10]}" for k in range(59)], "zzz".split()
+    items, docs = [" ".join(long)], ["vorher " + " ".join(long[20:40]) + " nachher", "vorher " + " ".join(long[20:33]) + " nachher"]
+    want = {(0, 0)}
+    for n in range(11, 31):  # one word of each item changed, in each third of it
+        own = [f"w{'abcdefghijklmnopqrstuvwxyz'[n - 11]}{'abcdefghijklmnopqrstuvwxyz'[k % 26]}{'x' * (k // 26)}" for k in range(n)]
+        items.append(" ".join(own))
+        for k in (0, n // 3, 7, n // 2, n - 1):
+            want.add((len(docs), len(items) - 1))
+            docs.append("davor " + " ".join([*own[:k], *other, *own[k + 1 :]]) + " danach")
+    assert set(found(spark, items, docs)) == want
