@@ -20,13 +20,15 @@ MIDDLE, FEW, RUN = 5, 4, 14
 BROADCAST = 1_000_000
 #: Units that may follow a number.
 UNITS = "km|cm|mm|m|kg|mg|g|lb|lbs|oz|ml|l|km/h|mph|s|ms|min|h|hours?|minutes?|seconds?|days?|weeks?|months?|years?|meters?|metres?|miles?|feet|inches|grams?|liters?|litres?|dollars?|euros?|cents?|percent|%|€|£|\\$|°C|°F"
+#: White space that may stand before a name at most: a line break and its indentation.
+GAP = 16
 #: What a slot begins with, then d (number), u (unit) or n (name), then what fills it.
 MARK = "\u0001"
 
 
 def marked(text: Column) -> Column:
     """The text with marks before numbers, units and names; what fills them stays."""
-    named = F.regexp_replace(text, r"(?<=[\p{Ll}\p{N},;] )(\p{Lu}[\p{Ll}\p{M}]+)", f"{MARK}n$1")
+    named = F.regexp_replace(text, rf"(?=\p{{Lu}})(?<=[\p{{Ll}}\p{{N}},;][\s\p{{Z}}]{{1,{GAP}}})(\p{{Lu}}[\p{{Ll}}\p{{M}}]+)", f"{MARK}n$1")
     united = F.regexp_replace(named, rf"(?<=[0-9])[ ]?({UNITS})(?![\p{{L}}\p{{N}}])", f" {MARK}u$1 ")
     return F.when(named.rlike("[0-9]"), F.regexp_replace(F.regexp_replace(united, r"(?<![0-9])([0-9]+(?:[.,/][0-9]+)*)", f" {MARK}d$1 "), r"([€£$])", " $1 ")).otherwise(named)
 

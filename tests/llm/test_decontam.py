@@ -46,3 +46,13 @@ def test_partial_and_edited_items(spark):
             want.add((len(docs), len(items) - 1))
             docs.append("davor " + " ".join([*own[:k], *other, *own[k + 1 :]]) + " danach")
     assert set(found(spark, items, docs)) == want
+
+
+def test_lower_case_and_wrapped_copies(spark):
+    item = "If Tom has 12 apples and gives Anna 5 apples, then how many apples does Tom have left at the end of the day when Karl and Mia and Paul go home with Ben"
+    wrapped = item
+    for name in ("Tom", "Anna", "Karl", "Mia", "Paul", "Ben"):
+        wrapped = wrapped.replace(f" {name}", f"\r\n    {name}")
+    renamed = wrapped.replace("Anna", "Olga").replace("Tom", "Hugo").replace("Karl", "Nils").replace("Paul", "Otto").replace("12", "31")
+    got = found(spark, [item], [item.lower(), wrapped, renamed, item.upper()])
+    assert set(got) == {(k, 0) for k in range(4)} and all(r.matched == r.windows and r.exact == (r.doc_id != 2) for r in got.values())
