@@ -134,7 +134,7 @@ def win_queue(spark: SparkSession, d: str) -> DataFrame:
     return _events(spark, d).filter("value > 50").select("event_id", "event_type", F.row_number().over(w).cast("long").alias("position"))
 
 
-JOBS = "j AS (SELECT event_id, user_id % 10 AS pool, CASE WHEN event_id % 3 = 0 THEN ts + INTERVAL 4 DAY END AS lease_until, CASE WHEN event_id % 4 = 0 THEN ts + INTERVAL 3 DAY END AS parked_until, event_id % 5 AS attempts FROM events WHERE event_id % 20 < 7)"
+JOBS = "j AS (SELECT event_id, user_id % 10 AS pool, CASE WHEN event_id % 3 = 0 THEN ts + INTERVAL 4 DAY END AS lease_until, CASE WHEN event_id % 4 = 0 THEN ts + INTERVAL 3 DAY END AS parked_until, event_id % 5 AS attempts FROM events)"
 
 
 @query(f"""WITH {JOBS}, l AS (SELECT *, sum(CASE WHEN lease_until > TIMESTAMP '{NOW}' THEN 1 ELSE 0 END) OVER (PARTITION BY pool) AS live FROM j),
@@ -142,7 +142,7 @@ o AS (SELECT *, CASE WHEN lease_until > TIMESTAMP '{NOW}' THEN 'held' WHEN parke
 SELECT event_id, outcome, attempts + CASE WHEN outcome = 'acquired' AND lease_until IS NOT NULL THEN 1 ELSE 0 END AS attempts_after FROM o""")
 def st_lease(spark: SparkSession, d: str) -> DataFrame:
     e = F.col("event_id")
-    jobs = _events(spark, d).filter(e % 20 < 7).select("event_id", (F.col("user_id") % 10).alias("pool"), F.when(e % 3 == 0, F.expr("ts + INTERVAL 4 DAY")).alias("lease_until"), F.when(e % 4 == 0, F.expr("ts + INTERVAL 3 DAY")).alias("parked_until"), (e % 5).alias("attempts"))
+    jobs = _events(spark, d).select("event_id", (F.col("user_id") % 10).alias("pool"), F.when(e % 3 == 0, F.expr("ts + INTERVAL 4 DAY")).alias("lease_until"), F.when(e % 4 == 0, F.expr("ts + INTERVAL 3 DAY")).alias("parked_until"), (e % 5).alias("attempts"))
     return L.lease(jobs, F.lit(NOW).cast("timestamp"), 45).select("event_id", "outcome", "attempts_after")
 
 
