@@ -2,12 +2,14 @@
 
 Tags, roles and class names settle most lines: an article or main element is kept, menus, forms, adverts, notices and comments go. Where a
 page marks no article, its remaining lines are compared with those of the nearest pages by URL path of the same host: both are aligned by
-their longest common subsequence, and lines that they share are the site's, not the page's.
+their longest common subsequence, and lines that they share are the site's, not the page's. Where the neighbours are copies of the page, lines on
+most different pages of the host are the site's.
 """
 
 from __future__ import annotations
 
 import bisect
+import hashlib
 import html as entities
 import re
 import zlib
@@ -19,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import urls
-from ._shared import modest_batches
+from ._shared import modest_batches, settle
 
 #: Elements without reader's text; elements that are never an article's; elements that end a block; elements without an end.
 RAW = frozenset("script style noscript template iframe svg object math canvas".split())
@@ -42,6 +44,8 @@ HIDDEN = re.compile(r"""\bhidden\b(?!\s*=\s*["']?until)|aria-hidden\s*=\s*["']?t
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 #: Pages of one unit of differencing, pages parsed together, share of a page's characters from which a neighbour is a copy of it.
 UNIT, TOGETHER, COPY = 2000, 128, 0.6
+#: Different pages from which a host's usual lines are told; hosts whose usual lines are broadcast at most. Beyond it Spark joins by shuffle.
+PAGES, BROADCAST = 3, 20_000
 
 
 def _marks(tag: str, attrs: str) -> str:
@@ -186,17 +190,47 @@ def shared(a: list[str], b: list[str]) -> set[int]:
     return out
 
 
-def differenced(own: list[str], near: list[list[str]]) -> list[str]:
-    """own without the lines that it shares with its neighbours; a neighbour that is a copy of most of the page says nothing about the site."""
+def _hash(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode(), digest_size=8).digest(), "little", signed=True)
+
+
+def differenced(own: list[str], near: list[list[str]], usual: frozenset[int] = frozenset()) -> list[str]:
+    """own without the lines that it shares with its neighbours; a neighbour that is a copy of most of the page says nothing about the site.
+
+    Where all neighbours are such copies, own without the host's usual lines, if anything is left then.
+    """
     gone: set[int] = set()
     whole = sum(map(len, own))
+    told = not near
     for other in near:
         both = shared(own, other)
         if sum(len(own[k]) for k in both) <= COPY * whole:
             gone |= both
+            told = True
+    if not told:
+        return [t for t in own if _hash(t) not in usual] or own
     return [t for k, t in enumerate(own) if k not in gone]
 
 
+def _usual(rows: DataFrame) -> DataFrame:
+    """Per host the hashes of lines that stand on more than half of its different pages that no article settles; hosts of fewer than PAGES such pages have none."""
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                text, settled = lines(r["html"])
+                if text and not settled:
+                    out.append({"host": r["host"], "page": _hash("\x00".join(text)), "lines": sorted({_hash(t) for t in text})})
+            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("host", pa.string()), ("page", pa.int64()), ("lines", pa.list_(pa.int64()))]))
+
+    different = rows.filter("host <> ''").select("host", "html").mapInArrow(listed, "host string, page long, lines array<long>").groupBy("host", "page").agg(F.first("lines").alias("lines"))
+    different = settle(different, "lines")
+    of = different.groupBy("host").agg(F.count("*").alias("of")).filter(F.col("of") >= PAGES)
+    often = different.select("host", F.explode("lines").alias("line")).groupBy("host", "line").agg(F.count("*").alias("n")).filter("n > 1")
+    return settle(often.join(of, "host").filter("2 * n > of").groupBy("host").agg(F.collect_list("line").alias("usual")), "usual")
+
+
 def _pack(text: list[str]) -> bytes:
     return zlib.compress("\x00".join(text).encode(), 1) if text else b""
 
@@ -252,11 +286,14 @@ def extract(pages: DataFrame) -> DataFrame:
             own = _unpack(r["data"])
             if not r["settled"] and r["host"]:
                 near = [seq[j] for j in (k - 1, k + 1) if 0 <= j < len(seq) and seq[j]["host"] == r["host"]]
-                own = differenced(own, [_unpack(x["data"]) for x in near])
+                own = differenced(own, [_unpack(x["data"]) for x in near], frozenset(r["usual"] or ()))
             text = "\n\n".join(own)
             out.append({"page_id": r["page_id"], "url": r["url"], "text": text, "n_chars": len(text)})
         return pa.Table.from_pylist(out, schema=pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())]))
 
     rows = rows.withColumn("host", F.coalesce(urls.host_of(url), F.lit(""))).withColumn("path", F.coalesce(urls.path_of(url), F.lit("")))
+    usual = _usual(rows).withColumnRenamed("host", "of")
+    usual = F.broadcast(usual) if usual.count() <= BROADCAST else usual
     parsed = rows.mapInArrow(parse, schema)
+    parsed = parsed.join(usual, (F.col("host") == F.col("of")) & ~F.col("settled"), "left").drop("of")
     return parsed.groupBy("unit").applyInArrow(difference, "page_id long, url string, text string, n_chars long")
