@@ -17,6 +17,7 @@ from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
@@ -26,10 +27,13 @@ from ._shared import kept, modest_batches
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: A space after something that is no white space: a word always ends before it.
 BREAK = re.compile(r"(?<=\S) ")
-RUN = re.compile(r"\s ")
-#: Pieces remembered by a task, the longest one remembered, the longest of single words, documents whose new pieces are encoded together, pieces held of a
-#: huge text, and characters from which a text is huge.
-KEPT, LONG, SHORT, TOGETHER, STEP, HUGE = 500_000, 60, 12, 512, 200_000, 1_000_000
+#: White space (as Python has it, which is more than the property) and a space, in the other engine's notation: texts without it are cut at every space.
+APART = r"[\t-\r \x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}] "
+#: Fixed value: the pattern that the cuts at spaces are right for.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Pieces remembered by a task, the longest one remembered, the longest of single words, documents taken from a batch together, bytes of texts whose
+#: pieces are numbered together, pieces held of a huge text, and bytes from which a text is huge.
+KEPT, LONG, SHORT, TOGETHER, ROUND, STEP, HUGE = 500_000, 60, 12, 2000, 8_000_000, 200_000, 1_000_000
 #: Pieces that a worker remembers unless it is told otherwise: modest, since other stages share its executor.
 REMEMBERED = 300_000
 
@@ -45,10 +49,7 @@ def explicit(pattern: str) -> str:
 
 
 def pieces(text: str) -> Iterator[list[str]]:
-    """Lists of stretches of the text that no word crosses. The text is all of them joined by spaces; each space belongs to what follows it."""
-    if len(text) < HUGE and not RUN.search(text):
-        yield text.split(" ")
-        return
+    """Lists of stretches of the text that no match of PATTERN crosses. The text is all of them joined by spaces; each space belongs to what follows it."""
     at = 0
     cuts = (m.start() for m in BREAK.finditer(text))
     while True:
@@ -157,16 +158,19 @@ class Replay:
                     break
 
 
+NO_WORDS, NO_IDS = pa.array([], pa.string()), pa.array([], pa.large_binary())
+
+
 class Memo:
-    """Whole texts to bytes of ids, each distinct piece once; what it remembers stays within bounds."""
+    """Whole texts to bytes of ids, each distinct piece once; what it remembers stays within bounds. Words and ids are Arrow columns, not Python objects."""
 
-    def __init__(self, kept: int = KEPT) -> None:
-        self.kept = kept
-        self.known: dict[str, bytes] = {}  # of pieces with the space before them
-        self.old: dict[str, bytes] = {}  # the generation before; what is met again moves on
+    def __init__(self, kept: int = KEPT, cuts: bool = True) -> None:
+        self.kept, self.cuts = kept, cuts
+        self.known, self.ids = NO_WORDS, NO_IDS  # pieces, without the space before them that their ids hold
+        self.old, self.old_ids = NO_WORDS, NO_IDS  # the generation before; what is met again moves on
         self.heads: dict[str, bytes] = {}
 
-    def learn(self, new: list[str]) -> list[bytes]:
+    def learn(self, new: pa.Array) -> pa.Array:
         """The ids of each piece with a space before it, in their order."""
         raise NotImplementedError
 
@@ -183,59 +187,77 @@ class Memo:
         heads.update((x, y) for x, y in fresh.items() if len(x) <= LONG)
         return [heads[x] if x in heads else fresh[x] for x in first]
 
-    def _fresh(self, some: set[str]) -> dict[str, bytes]:
-        """Of pieces that are not known: from the old generation, or learned."""
-        old = self.old
-        out = {x: old[x] for x in some if x in old}
-        new = [x for x in some if x not in out]
-        if new:
-            out.update(zip(new, self.learn(new), strict=True))
-        return out
-
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        known = self.known
-        for a in range(0, len(texts), TOGETHER):
-            some = texts[a : a + TOGETHER]
-            cut = [next(pieces(t)) if len(t) < HUGE and not RUN.search(t) else None if len(t) >= HUGE else list(chain.from_iterable(pieces(t))) for t in some]
-            if 2 * len(known) > self.kept:
-                self.old, self.known = known, {}
-                known = self.known
-            heads = iter(self._heads([c[0] for c in cut if c is not None]))
-            parts = [list(map(known.get, c)) if c is not None else [] for c in cut]
-            missed = [[k for k, y in enumerate(p) if y is None] if None in p else () for p in parts]
-            fresh = self._fresh({c[k] for c, m in zip(cut, missed, strict=True) for k in m})
-            for t, c, p, m in zip(some, cut, parts, missed, strict=True):
-                if c is None:
-                    yield self._huge(t)
-                    continue
-                for k in m:
-                    p[k] = fresh[c[k]]
-                p[0] = next(heads)
-                yield b"".join(p)
-            known.update(x for x in fresh.items() if len(x[0]) <= LONG)
+    def of(self, words: pa.Array) -> pa.Array:
+        """The ids of distinct pieces: known, from the old generation, or learned."""
+        where = np.array(pc.index_in(words, value_set=self.known).fill_null(-1), np.int64)
+        lost, n = where < 0, len(self.known)
+        ids = self.ids
+        if lost.any():
+            new = words.filter(pa.array(lost))
+            at = np.array(pc.index_in(new, value_set=self.old).fill_null(-1), np.int64)
+            unknown = at < 0
+            at[unknown] = len(self.old) + np.arange(unknown.sum())
+            learned = self.learn(new.filter(pa.array(unknown))) if unknown.any() else NO_IDS
+            got = pa.concat_arrays([self.old_ids, learned]).take(pa.array(at))
+            where[lost] = n + np.arange(len(new))
+            ids = pa.concat_arrays([ids, got])
+            if 2 * n > self.kept:
+                self.old, self.old_ids, self.known, self.ids = self.known, self.ids, NO_WORDS, NO_IDS
+            short = pc.less_equal(pc.binary_length(new), LONG)
+            self.known, self.ids = pa.concat_arrays([self.known, new.filter(short)]), pa.concat_arrays([self.ids, got.filter(short)])
+        return ids.take(pa.array(where))
+
+    def encode(self, texts: pa.Array) -> Iterator[bytes]:
+        """The ids of each text (null: none). Texts of ordinary length are cut and their pieces numbered in Arrow, many texts at a time."""
+        texts = texts.cast(pa.string()).fill_null("")
+        size = np.asarray(pc.binary_length(texts), np.int64)
+        ends = np.flatnonzero(np.diff((np.cumsum(size) - size) // ROUND)) + 1
+        for a, b in zip([0, *ends.tolist()], [*ends.tolist(), len(texts)], strict=True):
+            some, huge = texts.slice(a, b - a), (size[a:b] >= HUGE) | (not self.cuts)
+            odd = np.asarray(pc.match_substring_regex(some, APART)) & ~huge
+            cut = pc.split_pattern(some.filter(pa.array(~odd & ~huge)), " ")
+            spaced = [list(chain.from_iterable(pieces(t))) for t in some.filter(pa.array(odd)).to_pylist()]
+            usual, others = self._round(cut.flatten(), np.asarray(cut.offsets, np.int64)), self._round(pa.array(chain.from_iterable(spaced), pa.string()), np.cumsum([0, *map(len, spaced)]))
+            for k, (alone, apart) in enumerate(zip(huge.tolist(), odd.tolist(), strict=True)):
+                yield self._huge(some[k].as_py()) if alone else next(others if apart else usual)
+
+    def _round(self, flat: pa.Array, starts: np.ndarray, first: bool = True) -> Iterator[bytes]:
+        """Of texts' pieces laid end to end, and where the texts start and end among them; first: they begin with their heads."""
+        if len(starts) < 2:
+            return iter(())
+        flat, starts = flat.dictionary_encode(), starts - starts[0]
+        which, words = np.array(flat.indices, np.int64), flat.dictionary
+        heads = starts[:-1] if first else starts[:0]
+        of_head = words.take(pa.array(which[heads])).to_pylist()
+        which[heads] = len(words) + np.arange(len(heads))
+        used = np.bincount(which, minlength=len(words))[: len(words)] > 0  # some words stand only first
+        if not used.all():
+            which = np.append(np.cumsum(used) - 1, used.sum() + np.arange(len(heads)))[which]
+            words = words.filter(pa.array(used))
+        # Taking entries of one binary column lays the ids end to end; the texts' ends are among its offsets.
+        laid = pa.concat_arrays([self.of(words), pa.array(self._heads(of_head), pa.large_binary())]).take(pa.array(which))
+        at = np.frombuffer(laid.buffers()[1], np.int64)[laid.offset : laid.offset + len(laid) + 1][starts].tolist()
+        data = memoryview(laid.buffers()[2] or b"")
+        return (bytes(data[i:j]) for i, j in zip(at[:-1], at[1:], strict=True))
 
     def _huge(self, text: str) -> bytes:
-        out = []
-        for k, some in enumerate(pieces(text)):
-            if k == 0:
-                out += self._heads(some[:1])
-                some = some[1:]
-            fresh = self._fresh({x for x in some if x not in self.known})
-            out.append(b"".join([fresh[x] if x in fresh else self.known[x] for x in some]))
-        return b"".join(out)
+        """A text piece by piece, in steps; or whole, where no place is known that a match never crosses."""
+        steps = pieces(text) if self.cuts else [[text]]
+        return b"".join(b"".join(self._round(pa.array(some, pa.string()), np.array([0, len(some)]), k == 0)) for k, some in enumerate(steps))
 
 
 class Codec(Memo):
     """Whole texts to ids (little-endian, 32 bits) and back."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, kept: int = KEPT):
-        super().__init__(kept)
+        super().__init__(kept, pattern == PATTERN)
         self.short: dict[str, bytes] = {}  # of single words
-        self.words = r" ?\p{L}+" in pattern.split("|")
+        self.words = pattern == PATTERN
         self.replay, self.pattern = Replay(ranks), regex.compile(explicit(pattern))
 
-    def learn(self, new: list[str]) -> list[bytes]:
-        return self._encode([f" {x}" for x in new], [x.isalpha() for x in new])
+    def learn(self, new: pa.Array) -> pa.Array:
+        words = new.to_pylist()
+        return pa.array(self._encode([f" {x}" for x in words], [x.isalpha() for x in words]), pa.large_binary())
 
     def learn_heads(self, new: list[str]) -> list[bytes]:
         return self._encode(new)
@@ -268,7 +290,7 @@ def codec(ranks: bytes, pattern: str, remembered: int) -> Codec:
 def digests(docs: DataFrame, ranks: bytes, pattern: str, remembered: int = REMEMBERED) -> DataFrame:
     """Per document: doc_id, the count of ids, the SHA-256 of the ids (little-endian, 32 bits) and that of the bytes they decode to.
 
-    ``ranks`` is a vocabulary file's content; ``remembered`` bounds the pieces that a worker remembers (some 300 bytes each), which only sets its speed. Each match of the pattern is encoded by itself, without special tokens. A null text is
+    ``ranks`` is a vocabulary file's content; ``remembered`` bounds the pieces that a worker remembers (some 300 bytes each), which only sets its speed. Each match of the pattern is encoded by itself, without special tokens; texts are cut at spaces only for PATTERN, and matched whole for any other. A worker replays the merges over each round's new words, so a word is replayed once for as long as a worker remembers it. A null text is
     empty; an empty text has no ids and the digests of nothing. Rows keep their order and repeats; other columns are not read.
     """
     return _mapped(docs, ranks, pattern, remembered, False)
@@ -288,7 +310,7 @@ def _mapped(docs: DataFrame, ranks: bytes, pattern: str, remembered: int, whole:
         for batch in batches:
             for a in range(0, batch.num_rows, TOGETHER):
                 part = batch.slice(a, TOGETHER)
-                ids = list(own.encode([t or "" for t in part["text"].to_pylist()]))
+                ids = list(own.encode(part["text"]))
                 if whole:
                     yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array([np.frombuffer(x, "<u4").astype(np.int32) for x in ids], pa.list_(pa.int32()))], ["doc_id", "ids"])
                 else:

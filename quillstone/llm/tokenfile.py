@@ -8,6 +8,7 @@ rows of a Parquet table, so that any store that Spark reaches can hold them and
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import struct
 import zlib
@@ -15,69 +16,84 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import CharDelimiterSplit
 
 from ._shared import kept, modest_batches, settle
 from .bpe import TOGETHER, Memo
 
 MAGIC = b"QSTOKEN1"
 HEAD = struct.Struct("<8s32sII")
-#: Bytes of frames after which a segment ends; the dictionary's size; documents and characters of each that it may be trained on.
+#: Bytes of frames after which a segment ends; the dictionary's size; documents that it is trained on, and characters of the longest of them.
 SEGMENT, DICTIONARY, SAMPLE, SAMPLE_CHARS = 1 << 20, 1 << 16, 1000, 1 << 15
 LEVEL = 3
-#: Marks that the tokenizer's split always sets apart from the letters before them.
-MARKS = (",", ".")
+#: Latin letters, and ASCII marks after them (but for the apostrophe, with which endings begin), which the usual split sets apart.
+MARKED = r"^(?P<core>[A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{24f}]+)(?P<marks>[!-&(-/:-@\[-`{-~]+)$"
 
 
 class Words(Memo):
-    """Encodes whole texts with the tokenizers library, each distinct stretch between word ends once."""
+    """Encodes whole texts with the tokenizers library, each distinct stretch between word ends once.
+
+    The library's defaults hold: the string of an added token in a text becomes that token. A file of another kind than byte-level BPE with the usual
+    split, or with added tokens that look at their surroundings, is used on each text whole.
+    """
 
     def __init__(self, spec: str):
-        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are parallel already
-        self.tok = Tokenizer.from_str(spec)
-        self.tok.encode_special_tokens = True
+        said = json.loads(spec)
+        split, added = said.get("pre_tokenizer") or {}, said.get("added_tokens") or []
+        usual = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space") and not said.get("normalizer") and not said.get("post_processor")
+        super().__init__(cuts=bool(usual) and not any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") for t in added) and not any(" " in t["content"] for t in added))
+        self.tok, self.letters = Tokenizer.from_str(spec), Tokenizer.from_str(spec)
+        self.letters.pre_tokenizer = CharDelimiterSplit(" ")
         size = self.tok.get_vocab_size()
         self.kind = np.dtype("<u2" if size <= 1 << 16 else "<u4")
-        # A byte-level token has a character for each of its bytes.
-        self.mark = {c: np.array(self._ids(c), self.kind).tobytes() for c in MARKS}
+        # A byte-level token has a character for each of its bytes; an added one is text.
         self.width = np.array([len(self.tok.id_to_token(k) or "") for k in range(size)])
-
-    def learn(self, new: list[str]) -> list[bytes]:
-        """Words with a comma or full stop at their end are put together from the word and the mark, which no token joins; the rest is encoded."""
-        marked = {x: x[:-1] for x in new if x[-1:] in MARKS and x[0] != " " and x[:-1].isalpha()}
-        cores = set(marked.values())
-        need = cores.difference(self.known).difference(self.old).difference(new)
-        rest = [x for x in new if x not in marked]
-        ids = dict(zip([*rest, *need], self._learn([*rest, *need]), strict=True))
-        known, old = self.known, self.old
-        for x, core in marked.items():
-            ids[x] = (ids.get(core) or known.get(core) or old[core]) + self.mark[x[-1]]
-        return [ids[x] for x in new]
-
-    def _learn(self, new: list[str]) -> list[bytes]:
+        for t in added:
+            self.width[t["id"]] = len(t["content"].encode())
+
+    def learn(self, new: pa.Array) -> pa.Array:
+        """Words of letters and marks after them are put together from both, which no token joins. Words of ASCII letters need no split by pattern; the rest does."""
+        parts = pc.extract_regex(new, MARKED)
+        apart = parts.is_valid()
+        core, marks = (parts.filter(apart).field(k).cast(pa.string()) for k in range(2))
+        whole = pa.concat_arrays([new.filter(pc.invert(apart)), core]).unique()
+        near = pc.index_in(whole, value_set=self.known)
+        todo = whole.filter(near.is_null())
+        plain = pc.ascii_is_alpha(todo)  # only ASCII letters, and some
+        one, two = todo.filter(plain), todo.filter(pc.invert(plain))
+        have = pa.concat_arrays([whole.filter(near.is_valid()), one, two])
+        ids = pa.concat_arrays([self.ids.take(near.drop_null()), self._joined(one, self.letters, "\u0120"), self._joined(two, self.tok, " ")])  # \u0120: how a byte-level vocabulary writes a space
+        end = marks.dictionary_encode()
+        ends = pa.array(self.learn_heads(end.dictionary.to_pylist()), pa.large_binary()).take(end.indices)
+        made = pc.binary_join_element_wise(ids.take(pc.index_in(core, value_set=have)), ends, pa.scalar(b"", pa.large_binary()))
+        mask = np.asarray(apart)
+        where = np.zeros(len(new), np.int64)
+        where[mask] = len(ids) + np.arange(len(made))
+        where[~mask] = np.asarray(pc.index_in(new.filter(pc.invert(apart)), value_set=have))
+        return pa.concat_arrays([ids, made]).take(pa.array(where))
+
+    def _joined(self, new: pa.Array, tok: Tokenizer, space: str) -> pa.Array:
         """Pieces are encoded as one text, and their ids told apart by the bytes that they stand for: no token crosses from one to the next."""
-        out: list[bytes] = []
-        for a in range(0, len(new), 400):
-            some = new[a : a + 400]
-            ids = np.array(self._ids(" " + " ".join(some)), np.int64)
-            ends = np.cumsum([(len(x) if x.isascii() else len(x.encode())) + 1 for x in some])
-            cut = np.searchsorted(np.cumsum(self.width[ids]), ends) + 1
-            raw, at = ids.astype(self.kind).tobytes(), (cut * self.kind.itemsize).tolist()
-            out += [raw[i:j] for i, j in zip([0, *at[:-1]], at, strict=True)]
-        return out
+        between = space if space == " " else f" {space}"
+        words, size, raw, cuts, before = new.to_pylist(), np.asarray(pc.binary_length(new), np.int64) + 1, [], [np.zeros(1, np.int64)], 0
+        for a in range(0, len(words), 400):
+            ids = np.array(tok.encode_batch_fast([space + between.join(words[a : a + 400])], add_special_tokens=False)[0].ids, np.int64)
+            cuts.append(np.searchsorted(np.cumsum(self.width[ids]), np.cumsum(size[a : a + 400])) + 1 + before)
+            raw.append(ids.astype(self.kind).tobytes())
+            before += len(ids)
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(words), [None, pa.py_buffer(np.concatenate(cuts) * self.kind.itemsize), pa.py_buffer(b"".join(raw))])
 
     def learn_heads(self, new: list[str]) -> list[bytes]:
-        return [np.array(self._ids(x), self.kind).tobytes() for x in new]
-
-    def _ids(self, text: str) -> list[int]:
-        return self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids
+        return [np.array(self.tok.encode_batch_fast([x], add_special_tokens=False)[0].ids, self.kind).tobytes() for x in new]
 
-    def ended(self, texts: list[str], end: int) -> Iterator[bytes]:
+    def ended(self, texts: pa.Array, end: int) -> Iterator[bytes]:
         """Each text's ids and the end id."""
         last = np.array([end], self.kind).tobytes()
         return (x + last for x in self.encode(texts))
@@ -132,14 +148,14 @@ class Segment:
 def write(docs: DataFrame, spec: str, end: int = 0) -> tuple[DataFrame, bytes]:
     """Encodes every whole text (null: empty), appends the end id, and writes segments in ascending doc_id order (nulls first; rows that share one by a hash of their text).
 
-    Returns the written table (part, seq, base: ids before the segment in its part, n_ids, segment) and the dictionary. The dictionary is trained on the
-    first SAMPLE_CHARS characters of about SAMPLE documents, twice as many at most, picked by a hash of their doc_id; it only sets how small frames get.
+    Returns the written table (part, seq, base: ids before the segment in its part, n_ids, segment) and the dictionary. The dictionary is trained on about
+    SAMPLE whole documents, twice as many at most, picked by a hash of their doc_id among those of SAMPLE_CHARS characters at most; it only sets how small frames get.
     """
     spark: SparkSession = docs.sparkSession
     modest_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     step = max(1, rows.select("doc_id").count() // SAMPLE)
-    sample = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(step)) == 0).select(F.substring("text", 1, SAMPLE_CHARS).alias("text")).limit(2 * SAMPLE).toArrow()["text"].to_pylist()
+    sample = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(step)) == 0).filter(F.length("text") <= SAMPLE_CHARS).select("text").limit(2 * SAMPLE).toArrow()["text"].combine_chunks()
     dictionary = train(list(Words(spec).ended(sample, end)))
     held = spark.sparkContext.broadcast((spec, dictionary))  # the tokenizer's file and 64 KiB at most
 
@@ -156,7 +172,7 @@ def write(docs: DataFrame, spec: str, end: int = 0) -> tuple[DataFrame, bytes]:
         for batch in batches:
             for a in range(0, batch.num_rows, TOGETHER):
                 some = batch.slice(a, TOGETHER)
-                for doc_id, ids in zip(some["doc_id"].to_pylist(), own.ended(some["text"].to_pylist(), end), strict=True):
+                for doc_id, ids in zip(some["doc_id"].to_pylist(), own.ended(some["text"], end), strict=True):
                     doc_ids.append(doc_id)
                     counts.append(len(ids) // own.kind.itemsize)
                     frames.append(zipper.compress(ids))

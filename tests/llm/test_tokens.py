@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 from tokenizers import Tokenizer
@@ -20,7 +21,7 @@ ODD = [
 
 def texts() -> list[str]:
     rng = random.Random(7)
-    pool = ["the", "of", "Ing", "'s", "ll", " ", "  ", "\n", "\t", "é", "ß", "漢", "9", "!", "***", " ", " ", "ment", "queeau", "'", "aaaa"]
+    pool = ["<|endoftext|>", "the", "of", "Ing", "'s", "ll", " ", "  ", "\n", "\t", "é", "ß", "漢", "9", "!", "***", " ", " ", "ment", "queeau", "'", "aaaa"]
     return ODD + ["".join(rng.choices(pool, k=rng.randint(1, 60))) for _ in range(1500)]
 
 
@@ -28,7 +29,7 @@ def test_replay_matches_tiktoken():
     data = open(P.path("byte_bpe_multi_50k.tiktoken"), "rb").read()
     ranks = bpe.read_ranks(data)
     codec, theirs = bpe.Codec(ranks, P.PATTERN), tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    for t, ids in zip(texts(), codec.encode(texts()), strict=True):
+    for t, ids in zip(texts(), codec.encode(pa.array(texts())), strict=True):
         assert np.frombuffer(ids, "<u4").tolist() == theirs.encode_ordinary(t), repr(t)
         assert codec.decode(ids) == t.encode()
 
@@ -43,17 +44,16 @@ def test_better_merge_that_appears_late_goes_first():
 def test_huge_text_goes_piece_by_piece(monkeypatch):
     ranks = bpe.read_ranks(open(P.path("byte_bpe_multi_50k.tiktoken"), "rb").read())
     text = "Tion was  thanon. " * 200
-    whole = list(bpe.Codec(ranks, P.PATTERN).encode([text]))
+    whole = list(bpe.Codec(ranks, P.PATTERN).encode(pa.array([text])))
     monkeypatch.setattr(bpe, "HUGE", 10)
     monkeypatch.setattr(bpe, "STEP", 7)
-    assert list(bpe.Codec(ranks, P.PATTERN).encode([text])) == whole
+    assert list(bpe.Codec(ranks, P.PATTERN).encode(pa.array([text]))) == whole
 
 
 def test_words_match_tokenizers():
     spec = open(P.path("byte_bpe_50k.json")).read()
-    theirs = Tokenizer.from_str(spec)
-    theirs.encode_special_tokens = True
-    for t, ids, e in zip(texts(), tokenfile.Words(spec).ended(texts(), 0), theirs.encode_batch(texts(), add_special_tokens=False), strict=True):
+    theirs = Tokenizer.from_str(spec)  # as the library is by default: the string of an added token is that token
+    for t, ids, e in zip(texts(), tokenfile.Words(spec).ended(pa.array(texts()), 0), theirs.encode_batch(texts(), add_special_tokens=False), strict=True):
         assert np.frombuffer(ids, "<u2").tolist() == [*e.ids, 0], repr(t)
 
 
@@ -74,7 +74,6 @@ def test_token_files(spark, monkeypatch):
     segments, dictionary = tokenfile.write(docs, spec)
     got = sorted(tuple(r) for r in tokenfile.read(segments, dictionary).collect())
     tok = Tokenizer.from_str(spec)
-    tok.encode_special_tokens = True
     start, want = 0, []
     for r in sorted(docs.collect(), key=lambda r: (r.doc_id, r.text or "")):
         ids = [*tok.encode(r.text or "", add_special_tokens=False).ids, 0]
@@ -97,3 +96,18 @@ def test_token_files_of_nothing(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     segments, dictionary = tokenfile.write(docs, open(P.path("byte_bpe_50k.json")).read())
     assert tokenfile.read(segments, dictionary).count() == 0
+
+
+def test_another_pattern_is_matched_whole():
+    ranks = bpe.read_ranks(open(P.path("byte_bpe_multi_50k.tiktoken"), "rb").read())
+    pattern = r"\w+ \w+|\s+|[^\s]+"
+    theirs = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    for t in ("the end of it all", "a b  c", ""):
+        assert np.frombuffer(next(bpe.Codec(ranks, pattern).encode(pa.array([t]))), "<u4").tolist() == theirs.encode_ordinary(t)
+
+
+def test_another_tokenizer_file_is_used_whole():
+    spec = open(P.path("word_bpe_49k.json")).read()
+    theirs = Tokenizer.from_str(spec)
+    for t in ("The End of it, all", "a  b", ""):
+        assert np.frombuffer(next(tokenfile.Words(spec).ended(pa.array([t]), 0)), "<u2").tolist() == [*theirs.encode(t, add_special_tokens=False).ids, 0]
