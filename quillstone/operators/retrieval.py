@@ -1,6 +1,7 @@
 """Hybrid retrieval for all questions and documents at once: postings, idf ranking, nearest neighbours, fusion, budget, evidence.
 
-Everything joins on equal keys (document, term, page); document text is joined only for the few chunks that are kept.
+Everything joins on equal keys (document, term, page); document text is read once for its postings, and joined only for the few chunks that are kept.
+Chunks of a document are in the order of their ids; only what shows a chunk's place numbers them.
 """
 
 from __future__ import annotations
@@ -9,15 +10,37 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed, text, vectors
+from ..sources import stages
 
 #: Question terms that are broadcast to the scan of the chunks at most.
 BROADCAST_TERMS = 500_000
+#: Query vectors that are broadcast at most: some tens of megabytes.
+BROADCAST_QUERIES = 20_000
 
 
 def chunks(docs: DataFrame) -> DataFrame:
-    """Documents as chunks of their source: (doc, chunk_id, chunk_index, content)."""
-    order = Window.partitionBy("source").orderBy("doc_id")
-    return docs.select(F.col("source").alias("doc"), F.col("doc_id").alias("chunk_id"), (F.row_number().over(order) - 1).cast("long").alias("chunk_index"), F.col("text").alias("content"))
+    """Documents as chunks of their source: (doc, chunk_id, content), straight from the scan."""
+    return docs.select(F.col("source").alias("doc"), F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))
+
+
+def numbered(rows: DataFrame, group: str, key: str, name: str, each: int = 50_000) -> DataFrame:
+    """rows with their place, from 0, in the order of a whole-number key inside their group, without gathering a group.
+
+    Keys are cut into ranges of about ``each`` rows if they are dense. Ranges are counted, their counts summed up before them, and rows numbered inside their range.
+    """
+    low, high, n = rows.agg(F.min(key), F.max(key), F.count("*")).first()
+    step = max(1, (high - low) * each // max(n, 1)) if n else 1
+    part = F.floor((F.col(key) - F.lit(low)) / step)
+    cut = rows.withColumn("_part", part)
+    sizes = cut.groupBy(group, "_part").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = F.row_number().over(Window.partitionBy(group, "_part").orderBy(key)) - 1
+    return cut.withColumn("_in", inside).join(sizes.select(group, "_part", before.alias("_before")), [group, "_part"]).withColumn(name, (F.col("_before") + F.col("_in")).cast("long")).drop("_part", "_in", "_before")
+
+
+def indexed(docs: DataFrame) -> DataFrame:
+    """Where each chunk stands in its document: (doc, chunk_id, chunk_index); no text is read."""
+    return numbered(docs.select(F.col("source").alias("doc"), F.col("doc_id").alias("chunk_id")), "doc", "chunk_id", "chunk_index")
 
 
 def questions(benchmark: DataFrame, docs: int = 20) -> DataFrame:
@@ -30,9 +53,14 @@ def terms(asked: DataFrame) -> DataFrame:
     return asked.select("item_id", "doc", F.explode(text.query_tokens(F.col("question"))).alias("term"))
 
 
+def _place(parts: DataFrame) -> str:
+    """What orders a document's chunks."""
+    return "chunk_index" if "chunk_index" in parts.columns else "chunk_id"
+
+
 def postings(parts: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
-    """(doc, chunk_id, chunk_index, term), each once; only the wanted (doc, term) where given, so nothing else is shuffled."""
-    rows = parts.select("doc", "chunk_id", "chunk_index", F.explode(F.array_distinct(text.surface_words(F.col("content")))).alias("term"))
+    """(doc, chunk_id, term), each once, with chunk_index where parts have one; only the wanted (doc, term) where given, so nothing else is shuffled."""
+    rows = parts.select("doc", *dict.fromkeys(["chunk_id", _place(parts)]), F.explode(F.array_distinct(text.surface_words(F.col("content")))).alias("term"))
     if wanted is None:
         return rows
     keys = wanted.select("doc", "term").distinct()
@@ -45,37 +73,41 @@ def frequencies(asked: DataFrame, posted: DataFrame) -> DataFrame:
     return terms(asked).join(counted, ["doc", "term"], "left").select("item_id", "doc", "term", F.coalesce("df", F.lit(0)).alias("df"))
 
 
-def _idf(rows: DataFrame, parts: DataFrame) -> DataFrame:
-    """Adds n (chunks of the document), informative and idf to rows with doc, term and df."""
+def weighed(asked: DataFrame, parts: DataFrame, posted: DataFrame) -> DataFrame:
+    """Asked terms, those that no chunk has included, with df, n (chunks of the document), informative and idf."""
     sizes = parts.groupBy("doc").agg(F.count("*").alias("n"))
-    rows = rows.join(F.broadcast(sizes) if sizes.count() <= BROADCAST_TERMS else sizes, "doc")
+    rows = frequencies(asked, posted).join(sizes, "doc")
     informative = (F.col("n") < fixed.LEAST_CHUNKS) | (F.col("df") <= F.col("n") * fixed.DROP_RATIO) | F.col("term").rlike("[0-9]")
     return rows.withColumn("informative", informative).withColumn("idf", F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
 
 
-def weighed(asked: DataFrame, parts: DataFrame, posted: DataFrame) -> DataFrame:
-    """Asked terms, those that no chunk has included, with df, n, informative and idf."""
-    return _idf(frequencies(asked, posted), parts)
+def asked_postings(asked: DataFrame, parts: DataFrame) -> DataFrame:
+    """Postings of the asked terms as a stage table: texts are read once for the counts and for the hits."""
+    return stages.staged(postings(parts, terms(asked)), "postings")
+
 
+def hits(asked: DataFrame, parts: DataFrame, posted: DataFrame | None = None) -> DataFrame:
+    """Chunks and the informative asked terms that they hold: (item_id, doc, term, idf, chunk_id). The asked terms with their weights are the small side."""
+    posted = asked_postings(asked, parts) if posted is None else posted
+    return posted.join(weighed(asked, parts, posted).filter("informative and df > 0"), ["doc", "term"])
 
-def matched(asked: DataFrame, parts: DataFrame) -> DataFrame:
-    """Chunks that hold an informative asked term: (item_id, doc, chunk_id, chunk_index, score, hits). Texts are read once: df is counted over the postings themselves."""
-    own = terms(asked)
-    posted = postings(parts, own).withColumn("df", F.count("*").over(Window.partitionBy("doc", "term")))
-    found = _idf(posted.join(own, ["doc", "term"]), parts).filter("informative")
-    return found.groupBy("item_id", "doc", "chunk_id", "chunk_index").agg(F.round(F.sum("idf"), 6).alias("score"), F.count("*").alias("hits"))
+
+def matched(asked: DataFrame, parts: DataFrame, posted: DataFrame | None = None) -> DataFrame:
+    """Chunks that hold an informative asked term: (item_id, doc, chunk_id, score, hits), with chunk_index where parts have one."""
+    keys = ["item_id", "doc", *dict.fromkeys(["chunk_id", _place(parts)])]
+    return hits(asked, parts, posted).groupBy(*keys).agg(F.round(F.sum("idf"), 6).alias("score"), F.count("*").alias("hits"))
 
 
 def lexical(asked: DataFrame, parts: DataFrame, k: int = fixed.CANDIDATES) -> DataFrame:
     """The k best chunks by summed idf; ties go to more distinct terms, then to the earlier chunk."""
-    scored = matched(asked, parts)
-    order = Window.partitionBy("item_id", "doc").orderBy(F.desc("score"), F.desc("hits"), "chunk_index")
-    return scored.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= k).select("item_id", "doc", "chunk_id", "chunk_index", "score", "rank")
+    order = Window.partitionBy("item_id", "doc").orderBy(F.desc("score"), F.desc("hits"), _place(parts))
+    return matched(asked, parts).withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= k).drop("hits")
 
 
 def coverage(asked: DataFrame, parts: DataFrame) -> DataFrame:
     """How much of the asked weight the best chunk holds, and whether any term or any term with a digit occurs."""
-    known, scored = weighed(asked, parts, postings(parts, terms(asked))), matched(asked, parts)
+    posted = asked_postings(asked, parts)
+    known, scored = weighed(asked, parts, posted), matched(asked, parts, posted)
     counts = F.col("informative") & ~((F.col("df") == 0) & F.col("term").isin(fixed.TASK_WORDS.split()))
     whole = known.groupBy("item_id", "doc").agg(F.sum(F.when(counts, F.col("idf"))).alias("whole"), F.max(F.col("df") > 0).alias("lexical_hit"), F.max((F.col("df") > 0) & F.col("term").rlike("[0-9]")).alias("identifier_hit"))
     top = scored.groupBy("item_id", "doc").agg(F.max("score").alias("top"))
@@ -84,7 +116,11 @@ def coverage(asked: DataFrame, parts: DataFrame) -> DataFrame:
 
 
 def nearest(queries: DataFrame, candidates: DataFrame, scope: list[str], k: int, key: str) -> DataFrame:
-    """Exact k nearest by cosine inside a scope: (query_id, key, score, rank). Vectors are made unit once, so a pair costs one product."""
+    """Exact k nearest by cosine inside a scope: (query_id, key, score, rank). Vectors are made unit once, so a pair costs one product.
+
+    The queries are the broadcast side while they are few, so candidates stay where they are read and a task passes on k of them for each query.
+    """
+    queries = F.broadcast(queries) if queries.select("query_id").count() <= BROADCAST_QUERIES else queries
     q = queries.withColumn("q", vectors.unit(F.col("embedding"))).drop("embedding")
     c = candidates.withColumn("c", vectors.unit(F.col("embedding"))).drop("embedding")
     pairs = c.join(q, scope).filter(F.col("query_id") != F.col(key)) if key == "vec_id" else c.join(q, scope)
@@ -100,10 +136,10 @@ def semantic(asked: DataFrame, parts: DataFrame, embeddings: DataFrame, k: int =
     return nearest(q, c, ["doc"], k, "chunk_id").select(F.col("query_id").alias("item_id"), "chunk_id", "score", "rank")
 
 
-def paged(asked: DataFrame, parts: DataFrame, pages: Column) -> DataFrame:
-    """Chunks on named pages, by equality of exploded pages, in page order."""
+def paged(asked: DataFrame, index: DataFrame, pages: Column) -> DataFrame:
+    """Chunks on named pages, by equality of exploded pages, in page order. index: (doc, chunk_id, chunk_index)."""
     named = asked.select("item_id", "doc", F.explode(pages).alias("page"))
-    hit = parts.withColumn("page", F.col("chunk_index") + 1).join(named, ["doc", "page"])
+    hit = index.withColumn("page", F.col("chunk_index") + 1).join(named, ["doc", "page"])
     order = Window.partitionBy("item_id").orderBy("chunk_index")
     return hit.select("item_id", "chunk_id", "page", F.row_number().over(order).cast("long").alias("rank"))
 

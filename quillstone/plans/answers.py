@@ -12,14 +12,14 @@ from ..operators import layout as Y
 from ..operators import retrieval as R
 from ..sources import embeddings as E
 from .registry import norm_sql, query, table
-from .retrieval import ALL, BASE, BUDGET, COVER, LANGS, LEX, SEM, SIGNALS, UNIT, _asked, _lists, _signals
+from .retrieval import ALL, BASE, BUDGET, COVER, LANGS, LEX, SEM, SIGNALS, UNIT, _asked, _index, _lists, _signals
 
 NOW = "2024-01-20 12:00:00"
 
 
 def _kept(spark: SparkSession, d: str) -> DataFrame:
     asked, parts = _asked(spark, d)
-    best = R.lexical(asked, parts, k=6)
+    best = R.lexical(asked, parts, k=6).join(_index(spark, d), ["doc", "chunk_id"])
     return best.select("item_id", "rank", "chunk_id", (F.col("chunk_index") + 1).alias("page")).join(parts.select("chunk_id", "content"), "chunk_id")
 
 
@@ -156,7 +156,7 @@ def prj_progress(spark: SparkSession, d: str) -> DataFrame:
 @query("WITH c AS (SELECT source AS doc, doc_id AS chunk_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS chunk_index FROM documents) SELECT doc, chunk_id FROM c WHERE NOT EXISTS (SELECT 1 FROM embeddings e WHERE e.vec_id = chunk_id AND e.label < 5) ORDER BY doc, chunk_index LIMIT 16")
 def st_embed(spark: SparkSession, d: str) -> DataFrame:
     have = table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.when(F.col("label") < 5, "m").otherwise("other").alias("model"))
-    return I.pending(_asked(spark, d)[1], have, "m", 16).select("doc", "chunk_id")
+    return I.pending(_index(spark, d), have, "m", 16).select("doc", "chunk_id")
 
 
 @query("SELECT s AS code, t AS part FROM (VALUES ('08006', 'database'), ('57P01', 'database'), ('blob gone', 'store'), ('embedding failed', 'embedding'), ('Timeout', 'timeout'), ('bad pdf', NULL)) t(s, t)")
@@ -263,7 +263,7 @@ def jn_outline(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT source AS doc, least(count(*), 8) AS n, 0 AS first FROM documents GROUP BY source")
 def smp_repr(spark: SparkSession, d: str) -> DataFrame:
     """How many representative chunks each manuscript has and the first of them; tests look at the choice itself."""
-    parts = _asked(spark, d)[1].select("doc", "chunk_index", (F.col("chunk_index") + 1).alias("page_start"), (F.col("chunk_index") + 1).alias("page_end"), F.when(F.col("chunk_id") % 9 == 0, F.lit("s")).alias("section"))
+    parts = _index(spark, d).select("doc", "chunk_index", (F.col("chunk_index") + 1).alias("page_start"), (F.col("chunk_index") + 1).alias("page_end"), F.when(F.col("chunk_id") % 9 == 0, F.lit("s")).alias("section"))
     return Y.sampled(parts).groupBy("doc").agg(F.count("*").alias("n"), F.min("chunk_index").cast("int").alias("first"))
 
 

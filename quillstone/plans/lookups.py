@@ -11,7 +11,7 @@ from ..operators import chunking, layout, retrieval
 from ..operators import replies as P
 from ..sources import schemas
 from .registry import norm_sql, query, table
-from .retrieval import BASE, COVER, LEX, _asked
+from .retrieval import BASE, COVER, LEX, _asked, _index
 
 
 def _rows(spark: SparkSession, *said: str | None) -> DataFrame:
@@ -91,7 +91,7 @@ def rt_record(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT source AS doc, least(count(*), 8) AS chunks FROM documents GROUP BY source")
 def rt_manuscript(spark: SparkSession, d: str) -> DataFrame:
     """How many chunks the overview of each manuscript takes."""
-    parts = _asked(spark, d)[1].select("doc", "chunk_index", (F.col("chunk_index") + 1).alias("page_start"), (F.col("chunk_index") + 1).alias("page_end"), F.lit(None).cast("string").alias("section"))
+    parts = _index(spark, d).select("doc", "chunk_index", (F.col("chunk_index") + 1).alias("page_start"), (F.col("chunk_index") + 1).alias("page_end"), F.lit(None).cast("string").alias("section"))
     return layout.sampled(parts).groupBy("doc").agg(F.count("*").alias("chunks"))
 
 

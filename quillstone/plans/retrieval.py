@@ -15,7 +15,7 @@ CHUNKS = "c AS (SELECT source AS doc, doc_id AS chunk_id, row_number() OVER (PAR
 ASKED = r"q AS (SELECT item_id, 'src' || (item_id % 20) AS doc, array_to_string(string_split_regex(text, '\s+')[1:12], ' ') AS question FROM benchmark)"
 TERMS = f"""t AS (SELECT DISTINCT item_id, doc, term FROM (SELECT item_id, doc, unnest(string_split({norm_sql("question")}, ' ')) AS term FROM q)
   WHERE term <> '' AND (regexp_matches(term, '[0-9]') OR (length(term) >= 2 AND term NOT IN ({STOP}))))"""
-POSTED = f"""p AS (SELECT DISTINCT doc, chunk_id, chunk_index, term FROM (SELECT doc, chunk_id, chunk_index, unnest(string_split({norm_sql("content")}, ' ')) AS term FROM c) WHERE term <> '')"""
+POSTED = f"""p AS MATERIALIZED (SELECT DISTINCT doc, chunk_id, chunk_index, term FROM (SELECT doc, chunk_id, chunk_index, unnest(string_split({norm_sql("content")}, ' ')) AS term FROM c) WHERE term <> '')"""
 KNOWN = """df AS (SELECT item_id, t.doc, t.term, count(p.chunk_id) AS df FROM t LEFT JOIN p ON p.doc = t.doc AND p.term = t.term GROUP BY ALL),
 w AS (SELECT df.*, n, (n < 6 OR df <= n * 0.5 OR regexp_matches(term, '[0-9]')) AS informative, ln(1 + (n - df + 0.5) / (df + 0.5)) AS idf
   FROM df JOIN (SELECT doc, count(*) AS n FROM c GROUP BY doc) USING (doc)),
@@ -36,10 +36,14 @@ def _asked(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return R.questions(table(spark, d, "benchmark")), R.chunks(table(spark, d, "documents"))
 
 
+def _index(spark: SparkSession, d: str) -> DataFrame:
+    return R.indexed(table(spark, d, "documents"))
+
+
 def _lists(spark: SparkSession, d: str) -> dict:
     asked, parts = _asked(spark, d)
     pages = F.array(F.col("item_id") % 5 + 1, F.col("item_id") % 7 + 11)
-    return {"lexical": (R.lexical(asked, parts), 1.0), "semantic": (R.semantic(asked, parts, table(spark, d, "embeddings")), 1.0), "page": (R.paged(asked, parts, pages), 3.0)}
+    return {"lexical": (R.lexical(asked, parts), 1.0), "semantic": (R.semantic(asked, parts, table(spark, d, "embeddings")), 1.0), "page": (R.paged(asked, _index(spark, d), pages), 3.0)}
 
 
 @query(f"WITH {ASKED}, {TERMS} SELECT item_id, doc, term FROM t")
@@ -71,7 +75,7 @@ def agg_idfsum(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"{BASE}, {LEX} SELECT item_id, doc, chunk_id, chunk_index, score, rank FROM lex")
 def rt_lexical(spark: SparkSession, d: str) -> DataFrame:
-    return R.lexical(*_asked(spark, d))
+    return R.lexical(*_asked(spark, d)).join(_index(spark, d), ["doc", "chunk_id"]).select("item_id", "doc", "chunk_id", "chunk_index", "score", "rank")
 
 
 @query(f"{BASE}, {LEX} SELECT item_id, doc, chunk_id, rank FROM lex WHERE rank <= 6")
@@ -96,8 +100,8 @@ def rt_hits(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {CHUNKS}, {ASKED}, {PAGE} SELECT item_id, chunk_id, rank FROM pg")
 def flt_pages(spark: SparkSession, d: str) -> DataFrame:
-    asked, parts = _asked(spark, d)
-    return R.paged(asked, parts, F.array(F.col("item_id") % 5 + 1, F.col("item_id") % 7 + 11)).select("item_id", "chunk_id", "rank")
+    asked, _ = _asked(spark, d)
+    return R.paged(asked, _index(spark, d), F.array(F.col("item_id") % 5 + 1, F.col("item_id") % 7 + 11)).select("item_id", "chunk_id", "rank")
 
 
 @query(f"WITH {CHUNKS}, {ASKED}, {PAGE} SELECT item_id, chunk_id, 3.0::DOUBLE AS weight, rank FROM pg")
@@ -136,9 +140,7 @@ def jn_inner_emb(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"{BASE} SELECT item_id, w.doc, w.term, chunk_id FROM w JOIN p ON p.doc = w.doc AND p.term = w.term WHERE informative AND df > 0")
 def jn_inner_terms(spark: SparkSession, d: str) -> DataFrame:
-    asked, parts = _asked(spark, d)
-    posted = R.postings(parts, R.terms(asked))
-    return R.weighed(asked, parts, posted).filter("informative and df > 0").join(posted, ["doc", "term"]).select("item_id", "doc", "term", "chunk_id")
+    return R.hits(*_asked(spark, d)).select("item_id", "doc", "term", "chunk_id")
 
 
 @query(f"{ALL} SELECT item_id, chunk_id, score, rank FROM f")
@@ -202,7 +204,8 @@ def agg_retrbench(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {CHUNKS} SELECT doc, chunk_id, chunk_index, length(content) AS char_count FROM c")
 def prj_outline(spark: SparkSession, d: str) -> DataFrame:
-    return _asked(spark, d)[1].select("doc", "chunk_id", "chunk_index", F.length("content").cast("long").alias("char_count"))
+    sizes = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.length("text").cast("long").alias("char_count"))
+    return _index(spark, d).join(sizes, "chunk_id").select("doc", "chunk_id", "chunk_index", "char_count")
 
 
 @query("SELECT doc_id, source FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)")
@@ -223,7 +226,7 @@ def flt_prefix_cap(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {CHUNKS}, n AS (SELECT doc, count(*) AS n FROM c GROUP BY doc)
 SELECT c.doc, c.chunk_id FROM c JOIN (SELECT doc, unnest(CASE WHEN n <= 8 THEN range(n) ELSE list_transform(range(8), lambda k: floor(k * (n - 1) / 7 + 0.5)::BIGINT) END) AS chunk_index FROM n) i ON i.doc = c.doc AND i.chunk_index = c.chunk_index""")
 def smp_even(spark: SparkSession, d: str) -> DataFrame:
-    parts = _asked(spark, d)[1].select("doc", "chunk_id", "chunk_index")
+    parts = _index(spark, d)
     picked = parts.groupBy("doc").agg(F.count("*").alias("n")).select("doc", F.explode(R.spread(F.col("n"), 8)).alias("chunk_index"))
     return parts.join(picked, ["doc", "chunk_index"]).select("doc", "chunk_id")
 

@@ -7,18 +7,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import stages
+
 
 def _base(spark: SparkSession) -> str:
-    import atexit
-    import shutil
-    import tempfile
-
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        path = tempfile.mkdtemp(prefix="quillstone-stream-")
-        atexit.register(shutil.rmtree, path, ignore_errors=True)
-        base = f"file://{path}"
-    return f"{base.rstrip('/')}/streams-{uuid.uuid4().hex}"
+    return f"{stages.folder(spark)}/streams-{uuid.uuid4().hex}"
 
 
 def counted(events: DataFrame, size: str = "1 hour", late: str = "1 day") -> DataFrame:
