@@ -7,10 +7,12 @@ half of (square of the sum - sum of the squares), so scoring is linear in the in
 
 from __future__ import annotations
 
+import pickle
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -152,15 +154,37 @@ def _inputs(docs: DataFrame) -> list[Column]:
     return [F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), length.alias("length")]
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
-    """Learns from at most ``sample`` labelled rows that are not held out: those whose doc_ids have the smallest hashes.
+def sample_of(docs: DataFrame, labels: DataFrame, column: str, sample: int, usable: Column | None = None) -> DataFrame:
+    """At most ``sample`` labelled rows of docs (with doc_id and text), with their label y: those whose doc_ids have the smallest hashes, one row for each.
 
-    Labels other than 0 and 1 and null doc_ids are left out; a doc_id labelled twice has its larger label.
+    Labels other than 0 and 1 and null doc_ids are left out; a doc_id labelled twice has its larger label. Of rows that share a doc_id the one whose
+    text has the smallest hash is taken.
     """
+    known = labels.filter(F.col(column).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(column).cast("int").alias("y"))
+    picked = (known if usable is None else known.filter(usable)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    rows = docs.join(F.broadcast(picked), "doc_id")  # at most `sample` rows of two numbers
+    return rows.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), *[c for c in rows.columns if c != "doc_id"])).alias("row")).select("doc_id", "row.*")
+
+
+def fitted(features: DataFrame, make: Callable[[pa.Table], Any]) -> Any:
+    """A model that one task fits to all rows of features, a bounded sample in ascending doc_id order; only the model reaches the driver."""
+    schema = pa.schema([("doc_id", pa.int64()), *((c, pa.list_({"int": pa.int32(), "float": pa.float32(), "double": pa.float64()}[t[6:-1]]) if t.startswith("array") else pa.int32() if t == "int" else pa.int64()) for c, t in features.dtypes if c != "doc_id")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches([b.select(schema.names) for b in batches], schema)
+        yield pa.RecordBatch.from_pydict({"model": pa.array([pickle.dumps(make(rows.sort_by("doc_id").combine_chunks()))], pa.binary())})
+
+    return pickle.loads(features.repartition(1).mapInArrow(run, "model binary").first()["model"])
+
+
+def flat(rows: pa.Table, column: str, kind: type) -> np.ndarray:
+    return np.asarray(rows[column].combine_chunks().flatten(), kind) if len(rows) else np.zeros(0, kind)
+
+
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
+    """Learns from at most ``sample`` labelled rows that are not held out, as sample_of() picks them."""
     modest_batches(docs.sparkSession)
-    known = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").cast("int").alias("y"))
-    picked = known.filter(~is_held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.select(*_inputs(docs)).join(F.broadcast(picked), "doc_id")  # at most `sample` rows of two numbers
+    rows = sample_of(docs.select(*_inputs(docs)), labels, "quality", sample, ~is_held_out(F.col("doc_id")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = kept(Featuriser)
@@ -171,9 +195,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
                 cut = pa.array(np.append(0, np.cumsum(size)), pa.int32())
                 yield pa.RecordBatch.from_arrays([b["doc_id"], pa.ListArray.from_arrays(cut, pa.array(index, pa.int32())), pa.ListArray.from_arrays(cut, pa.array(value, pa.float32())), pa.array(list(stats), pa.list_(pa.float64())), b["y"]], ["doc_id", "i", "v", "s", "y"])
 
-    got = rows.select("doc_id", "text", "length", "y").mapInArrow(run, "doc_id long, i array<int>, v array<float>, s array<double>, y int").toArrow().sort_by([("doc_id", "ascending"), ("y", "ascending")]).combine_chunks()
-    flat = lambda c, kind: np.asarray(got[c].combine_chunks().flatten(), kind)
-    return fit(flat("i", np.int64), flat("v", np.float64), np.asarray(got["i"].combine_chunks().value_lengths(), np.int64), flat("s", np.float64).reshape(-1, STATS), np.asarray(got["y"], np.float64))
+    def make(got: pa.Table) -> Machine:
+        size = np.asarray(got["i"].combine_chunks().value_lengths(), np.int64) if len(got) else np.zeros(0, np.int64)
+        return fit(flat(got, "i", np.int64), flat(got, "v", np.float64), size, flat(got, "s", np.float64).reshape(-1, STATS), np.asarray(got["y"], np.float64))
+
+    return fitted(rows.select("doc_id", "text", "length", "y").mapInArrow(run, "doc_id long, i array<int>, v array<float>, s array<double>, y int"), make)
 
 
 def score(docs: DataFrame, machine: Machine, keep: bool = False) -> DataFrame:

@@ -3,6 +3,9 @@
 One linear model for each category, in a fixed order; each sees the words and the probabilities that earlier models of the chain
 gave. While training, those probabilities come from models that have not seen the row (out of fold), so a later model learns how
 reliable the earlier ones are on new text. The last link is the label itself.
+
+Labels only say toxic or not. The categories are found in the toxic rows themselves: a non-negative factorisation of the words that tell toxic rows from
+others groups words that stand together, and a row belongs to the categories that make up much of it.
 """
 
 from __future__ import annotations
@@ -20,14 +23,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._shared import kept, modest_batches
+from .quality import fitted, flat, sample_of
 
-#: What marks a category in a toxic document, in chain order. The labels only say toxic or not.
-CATEGORIES = {
-    "insult": ("idiot", "moron", "stupid", "clown", "loser", "fool", "dumb", "imbecile"),
-    "degradation": ("trash", "scum", "worthless", "disgusting", "pathetic", "garbage", "filth", "vermin"),
-    "threat": ("kill", "die", "hurt", "destroy", "murder", "beat", "burn"),
-    "obscenity": ("fuck", "fucking", "shit", "bitch", "bastard", "asshole", "crap", "damn"),
-}
+#: Categories looked for, words that they are told by at most, share of a row from which it belongs to a category, steps of the factorisation.
+CATEGORIES, MARKS, PART, STEPS = 4, 400, 0.3, 200
 LAST = "toxic"
 BUCKETS, FOLDS, SAMPLE, TOGETHER, KNOWN = 1 << 18, 5, 8000, 512, 200_000
 #: A word is an input if it is in so many training rows at least and its log odds are so many standard errors from none.
@@ -72,6 +71,43 @@ class Link:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
+def _telling(row: np.ndarray, inputs: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct buckets, each input's place among them, their log odds, and which of them tell the classes apart."""
+    n, pos = len(y), float(y.sum())
+    bucket, slot, df = np.unique(inputs, return_inverse=True, return_counts=True)
+    with_y = np.bincount(slot, y[row], len(bucket))
+    a, b, c, d = with_y + 0.5, pos - with_y + 0.5, df - with_y + 0.5, n - pos - df + with_y + 0.5
+    odds = np.log(a * d / (b * c))
+    return bucket, slot, odds, (df >= SUPPORT) & (np.abs(odds) > ERRORS * np.sqrt(1 / a + 1 / b + 1 / c + 1 / d))
+
+
+def categories(row: np.ndarray, inputs: np.ndarray, toxic: np.ndarray, seed: int = 11) -> np.ndarray:
+    """A column of labels for each category, the most frequent first: a toxic row's shares in the factors of its telling words. Without such words all are 0."""
+    y = np.zeros((len(toxic), CATEGORIES))
+    if not len(toxic) or not 0 < toxic.sum() < len(toxic):
+        return y
+    _, slot, odds, keep = _telling(row, inputs, toxic)
+    keep &= odds > 0
+    chosen = np.flatnonzero(keep)[np.argsort(-odds[keep], kind="stable")[:MARKS]]
+    to = np.full(len(keep), -1)
+    to[chosen] = np.arange(len(chosen))
+    used = (to[slot] >= 0) & (toxic[row] > 0)
+    if not used.any():
+        return y
+    rows, r = np.unique(row[used], return_inverse=True)
+    x = np.zeros((len(rows), len(chosen)))
+    x[r, to[slot[used]]] = 1
+    rng = np.random.default_rng(seed)
+    w, h = rng.random((len(rows), CATEGORIES)) + 0.1, rng.random((CATEGORIES, len(chosen))) + 0.1
+    for _ in range(STEPS):  # multiplicative updates for the squared error
+        h *= (w.T @ x) / (w.T @ w @ h + 1e-9)
+        w *= (x @ h.T) / (w @ (h @ h.T) + 1e-9)
+    part = w * h.sum(axis=1)
+    part /= np.maximum(part.sum(axis=1, keepdims=True), 1e-12)
+    y[rows] = part >= PART
+    return y[:, np.argsort(-y.sum(axis=0), kind="stable")]
+
+
 def learn(row: np.ndarray, inputs: np.ndarray, earlier: np.ndarray, y: np.ndarray, steps: int = 150) -> Link:
     """Logistic regression on the words that tell the classes apart, by Adam's steps over all rows, with a ridge."""
     n, pos = len(y), float(y.sum())
@@ -80,10 +116,7 @@ def learn(row: np.ndarray, inputs: np.ndarray, earlier: np.ndarray, y: np.ndarra
     none = Link(np.zeros(0, np.int64), np.zeros(0), np.zeros(earlier.shape[1]), base)
     if n == 0 or pos in (0, n):
         return none
-    bucket, slot, df = np.unique(inputs, return_inverse=True, return_counts=True)
-    with_y = np.bincount(slot, y[row], len(bucket))
-    a, b, c, d = with_y + 0.5, pos - with_y + 0.5, df - with_y + 0.5, n - pos - df + with_y + 0.5
-    keep = (df >= SUPPORT) & (np.abs(np.log(a * d / (b * c))) > ERRORS * np.sqrt(1 / a + 1 / b + 1 / c + 1 / d))
+    bucket, slot, _, keep = _telling(row, inputs, y)
     to = np.cumsum(keep) - 1
     used = keep[slot]
     r, s = row[used], to[slot[used]]
@@ -138,7 +171,7 @@ def fit(words: list[np.ndarray], y: np.ndarray, fold: np.ndarray) -> Chain:
             f1 = 2 * (said & true).sum() / max(said.sum() + true.sum(), 1)
             if f1 > best + 1e-12 or f1 > best - 1e-12 and abs(t - 0.5) < abs(threshold - 0.5):
                 best, threshold = max(best, f1), float(t)
-    return Chain([*CATEGORIES, LAST], made, threshold)
+    return Chain([f"category_{k + 1}" for k in range(links - 1)] + [LAST], made, threshold)
 
 
 def _inputs(docs: DataFrame) -> list[Column]:
@@ -146,40 +179,35 @@ def _inputs(docs: DataFrame) -> list[Column]:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Chain:
-    """Learns from at most ``sample`` labelled rows, those whose doc_ids have the smallest hashes; a doc_id labelled twice has its larger label.
-
-    A category's label is 1 where the document is labelled toxic and holds one of the category's words.
-    """
+    """Learns from at most ``sample`` labelled rows, as quality.sample_of() picks them. Folds are dealt by a hash of the text, so copies share one."""
     modest_batches(docs.sparkSession)
-    known = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("y"))
-    picked = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    rows = sample_of(docs.select(*_inputs(docs)), labels, "toxic", sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = kept(Words)
         for batch in batches:
             for a in range(0, batch.num_rows, TOGETHER):
                 b = batch.slice(a, TOGETHER)
-                yield pa.RecordBatch.from_arrays([b["doc_id"], b["y"], pa.array([x.astype(np.int32) for x in make(b["text"].to_pylist())], pa.list_(pa.int32()))], ["doc_id", "y", "words"])
+                yield pa.RecordBatch.from_arrays([b["doc_id"], b["y"], b["hash"], pa.array([x.astype(np.int32) for x in make(b["text"].to_pylist())], pa.list_(pa.int32()))], ["doc_id", "y", "hash", "words"])
+
+    def make(got: pa.Table) -> Chain:
+        size = np.asarray(got["words"].combine_chunks().value_lengths(), np.int64) if len(got) else np.zeros(0, np.int64)
+        inputs, toxic = flat(got, "words", np.int64), np.asarray(got["y"], np.float64)
+        words = np.split(inputs, np.cumsum(size)[:-1]) if len(size) else []
+        y = np.column_stack([categories(np.repeat(np.arange(len(size)), size), inputs, toxic), toxic])
+        return fit(words, y, np.asarray(got["hash"], np.int64) % FOLDS)
 
-    got = docs.select(*_inputs(docs)).join(F.broadcast(picked), "doc_id").select("doc_id", "text", "y").mapInArrow(run, "doc_id long, y int, words array<int>").toArrow().sort_by("doc_id")
-    words = [np.asarray(x, np.int64) for x in got["words"].to_numpy()]
-    toxic = np.asarray(got["y"], np.float64)
-    y = np.zeros((len(words), len(CATEGORIES) + 1))
-    for k, marks in enumerate(CATEGORIES.values()):
-        own = np.array([zlib.crc32(m.encode()) % BUCKETS for m in marks])
-        y[:, k] = toxic * np.array([np.isin(own, w).any() for w in words], np.float64).reshape(-1)
-    y[:, -1] = toxic
-    return fit(words, y, np.asarray(got["doc_id"], np.int64) % FOLDS)
+    return fitted(rows.select("doc_id", "text", "y", "hash").mapInArrow(run, "doc_id long, y int, hash long, words array<int>"), make)
 
 
 def score(docs: DataFrame, chain: Chain, keep: bool = False) -> DataFrame:
-    """Per document: doc_id, p_<category> for each category, score (the chain's last probability) and toxic (1 from the threshold on).
+    """Per document: doc_id, p_category_1 and so on, score (the chain's last probability) and toxic (1 from the threshold on).
 
     keep: return the documents' rows whole, as the struct own, and toxic. A null or empty text has the probabilities of no words. Rows keep their repeats;
     only doc_id and text are read for a score.
     """
     held = docs.sparkSession.sparkContext.broadcast(chain)  # the chosen words of a bounded sample
-    names = [f"p_{x}" for x in CATEGORIES] + ["score"]
+    names = [f"p_{x}" for x in chain.names[:-1]] + ["score"]
     modest_batches(docs.sparkSession)
     rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("own")) if keep else docs.select(*_inputs(docs))
 
