@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ..functions import fixed
+from . import layout
 
 SENTENCE = re.compile(r"[.!?؟。…]+['\")\]]*\s+|\n+")
 CLAUSE = re.compile(r"[,;:،]\s+")
@@ -66,7 +67,8 @@ def chunked(docs: DataFrame, **options: int) -> DataFrame:
             rows = []
             for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
                 for k, (a, b, o) in enumerate(cut(text or "", **options)):
-                    rows.append({"doc_id": doc_id, "chunk_index": k, "char_start": a, "char_end": b, "overlap_chars": o, "token_count": -(-(b - a + o) * 24 // 100), "content": text[a - o : b]})
-            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("doc_id", pa.int64()), ("chunk_index", pa.int64()), ("char_start", pa.int64()), ("char_end", pa.int64()), ("overlap_chars", pa.int64()), ("token_count", pa.int64()), ("content", pa.string())]))
+                    rows.append({"doc_id": doc_id, "chunk_index": k, "char_start": a, "char_end": b, "overlap_chars": o, "content": text[a - o : b]})
+            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("doc_id", pa.int64()), ("chunk_index", pa.int64()), ("char_start", pa.int64()), ("char_end", pa.int64()), ("overlap_chars", pa.int64()), ("content", pa.string())]))
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, chunk_index long, char_start long, char_end long, overlap_chars long, token_count long, content string")
+    cut_ = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, chunk_index long, char_start long, char_end long, overlap_chars long, content string")
+    return cut_.select("doc_id", "chunk_index", "char_start", "char_end", "overlap_chars", layout.token_estimate("content").alias("token_count"), "content")

@@ -6,6 +6,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.stages import staged
+from .retrieval import numbered
+
 LINE, SPACE, TABLE = 0.5, 0.25, 3.0
 
 
@@ -49,40 +52,46 @@ def outlined(titles: DataFrame, blocks: DataFrame) -> DataFrame:
     return hit.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n")
 
 
-def representatives(chunks: pd.DataFrame, most: int) -> list[int]:
-    """Indices of chunks spread over a document's pages: near section starts where one is close, never twice, first always."""
-    rows = chunks.sort_values("chunk_index").to_dict("records")
-    n = len(rows)
-    if n <= most:
-        return [r["chunk_index"] for r in rows]
-    first, last = rows[0]["page_start"], rows[-1]["page_end"]
-    slots = max(most, 2)
-    span = (last - first) / (slots - 1)
-    starts = [k for k, r in enumerate(rows) if r["section"] and (k == 0 or r["section"] != rows[k - 1]["section"])]
-    chosen = {0}
-
-    def away(k: int, page: int) -> int:
-        r = rows[k]
-        return 0 if r["page_start"] <= page <= r["page_end"] else min(abs(page - r["page_start"]), abs(page - r["page_end"]))
-
-    for slot in range(1, slots):
-        page = int(first + slot * span + 0.5)
-        near = [(away(k, page), k) for k in starts if k not in chosen]
-        best = min(near, default=None)
-        if best is None or best[0] > max(1, span / 2):
-            best = min((away(k, page), k) for k in range(n) if k not in chosen)
-        chosen.add(best[1])
-    rest = [k for k in range(n) if k not in chosen]
-    need = most - len(chosen)
-    if need > 0:
-        chosen |= {rest[int(s * (len(rest) - 1) / max(need - 1, 1) + 0.5)] for s in range(need)}
-    return [rows[k]["chunk_index"] for k in sorted(chosen)][:most]
+def _near(rows: DataFrame, slots: DataFrame, most: int) -> DataFrame:
+    """For each slot of a document its nearest rows by pages between, then by place: as many as can be needed, since each of the others takes one at most."""
+    page = F.col("page")
+    away = F.when(page.between(F.col("page_start"), F.col("page_end")), 0).otherwise(F.least(F.abs(page - F.col("page_start")), F.abs(page - F.col("page_end"))))
+    rank = F.row_number().over(Window.partitionBy("doc", "slot").orderBy("away", "k"))
+    return rows.join(slots, "doc").select("doc", "slot", "k", away.cast("long").alias("away")).withColumn("near", rank).filter(F.col("near") <= most + 1).drop("near")
 
 
 def sampled(chunks: DataFrame, most: int = 8) -> DataFrame:
-    """Representative chunks of each document: needs (doc, chunk_index, page_start, page_end, section)."""
-    kind = chunks.schema["doc"].dataType.simpleString()
-    return chunks.groupBy("doc").applyInPandas(lambda p: pd.DataFrame({"doc": p["doc"].iloc[0], "chunk_index": representatives(p, most)}), f"doc {kind}, chunk_index long")
+    """Chunks that stand for each document: (doc, chunk_index). Needs (doc, chunk_index, page_start, page_end, section).
+
+    The pages of a document are divided evenly by ``most`` targets; the first is the first chunk, every other takes the nearest start of a section if one is within
+    half a step (a page at least), else the nearest chunk, of those that are free. What targets leave over is filled up evenly. Rows are numbered by ranges and
+    only a few candidates for each target meet in one row, so a document's size doesn't matter.
+    """
+    keys = numbered(chunks, "doc", "chunk_index", "k")
+    before = keys.select("doc", (F.col("k") + 1).alias("k"), F.col("section").alias("before"))
+    rows = keys.join(before, ["doc", "k"], "left").withColumn("starts", F.col("section").isNotNull() & ~F.col("section").eqNullSafe(F.col("before"))).drop("before")
+    rows = staged(rows.select("doc", "k", "chunk_index", "page_start", "page_end", "starts"), "places")
+    targets = max(most, 2)
+    whole = rows.groupBy("doc").agg(F.count("*").alias("n"), F.min_by("page_start", "k").alias("first"), F.max_by("page_end", "k").alias("last"))
+    whole = whole.withColumn("step", (F.col("last") - F.col("first")) / (targets - 1))
+    slots = whole.filter(F.col("n") > most).select("doc", F.explode(F.sequence(F.lit(1), F.lit(targets - 1))).alias("slot"), "first", "step").select("doc", "slot", F.floor(F.col("first") + F.col("slot") * F.col("step") + 0.5).alias("page"))
+    few = lambda of, name: of.groupBy("doc", "slot").agg(F.sort_array(F.collect_list(F.struct("away", "k"))).alias(name))
+    near = few(_near(rows, slots, most), "any").join(few(_near(rows.filter("starts"), slots, most), "start"), ["doc", "slot"], "left")
+    per = near.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("slot", F.coalesce("start", F.array().cast("array<struct<away:bigint,k:bigint>>")).alias("start"), "any"))).alias("slots"))
+    free = lambda of, taken: F.get(F.filter(of, lambda x: ~F.array_contains(taken, x["k"])), 0)
+    close = F.greatest(F.lit(1.0), F.col("step") / 2)
+
+    def take(taken: Column, slot: Column) -> Column:
+        start = free(slot["start"], taken)
+        return F.array_append(taken, F.when(start["away"] <= close, start["k"]).otherwise(free(slot["any"], taken)["k"]))
+
+    chosen = per.join(whole, "doc").withColumn("taken", F.aggregate("slots", F.array(F.lit(0).cast("long")), take))
+    # The r-th row that is not taken: r moved on by every taken row at or before it.
+    gap, left = F.lit(most) - F.size("taken"), F.col("n") - F.size("taken")
+    fill = F.when(gap > 0, F.transform(F.sequence(F.lit(0), gap - 1), lambda s: F.aggregate(F.array_sort("taken"), F.floor(s * (left - 1) / F.greatest(gap - 1, F.lit(1)) + 0.5).cast("long"), lambda r, t: F.when(t <= r, r + 1).otherwise(r)))).otherwise(F.array().cast("array<long>"))
+    picked = chosen.select("doc", F.explode(F.slice(F.array_sort(F.array_union("taken", fill)), 1, most)).alias("k"))
+    small = rows.join(whole.filter(F.col("n") <= most).select("doc"), "doc", "left_semi").select("doc", "k")
+    return rows.join(picked.unionByName(small), ["doc", "k"]).select("doc", "chunk_index")
 
 
 def held_stream(parts: pd.DataFrame, marks: tuple[str, ...] = ("[[NO_ANSWER]]",)) -> pd.DataFrame:
@@ -111,8 +120,21 @@ def streamed(parts: DataFrame) -> DataFrame:
     return parts.groupBy("turn_id").applyInPandas(lambda p: held_stream(p), "turn_id long, seq long, text string, refused boolean")
 
 
+# Hundredths of a token for each letter, Arabic letter, ASCII digit, CJK character, white space, astral character and other character; a run of
+# letters or digits is a token at least, and a space before a symbol costs as much as a symbol.
+LETTER, ARABIC, DIGIT, CJK, BLANK, ASTRAL, SYMBOL = 34, 42, 55, 85, 10, 150, 100
+_CJK = r"\x{3040}-\x{30ff}\x{3400}-\x{9fff}\x{ac00}-\x{d7af}\x{f900}-\x{faff}\x{20000}-\x{2fa1f}"
+_ARABIC = r"[\x{600}-\x{6ff}&&[\p{L}\p{M}]]\x{750}-\x{77f}\x{fb50}-\x{feff}"
+_SPACE = r"\t\n\r \x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}"
+_LETTER = rf"[[\p{{L}}\p{{M}}]&&[^{_ARABIC}]&&[^{_CJK}]&&[\x{{0}}-\x{{ffff}}]]"
+_OTHER = rf"[[\x{{0}}-\x{{ffff}}]&&[^\p{{L}}\p{{M}}]&&[^{_ARABIC}]&&[^{_CJK}]&&[^{_SPACE}]&&[^0-9]]"
+
+
 def token_estimate(column: str) -> Column:
-    """Tokens by kinds of characters: CJK most, Latin and Arabic about a quarter each, digits and marks in between; rounded up."""
+    """Tokens of a text by runs of letters and digits and by single characters of other kinds, rounded up."""
     c = F.col(column)
-    n = lambda p: F.regexp_count(c, F.lit(p))
-    return F.ceil(n(r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}]") * 0.6 + n(r"[\p{IsLatin}\p{IsArabic}\p{IsCyrillic}\p{IsGreek}]") * 0.24 + n(r"\p{N}") * 0.5 + n(r"[\p{P}\p{S}]") * 0.5).cast("long")
+    count = lambda p: F.regexp_count(c, F.lit(p)) if isinstance(p, str) else p
+    runs = lambda p, each: F.aggregate(F.regexp_extract_all(c, F.lit(p), F.lit(0)), F.lit(0), lambda n, x: n + F.greatest(F.lit(100), F.char_length(x) * each))
+    other = count(_OTHER) * SYMBOL + count(rf"(?<=[{_SPACE}])[{_OTHER}&&[^\x{{660}}-\x{{669}}\x{{6f0}}-\x{{6f9}}]]") * (SYMBOL - BLANK)
+    whole = runs(f"{_LETTER}+", LETTER) + runs(f"[{_ARABIC}]+", ARABIC) + runs("[0-9]+", DIGIT) + count(f"[{_CJK}]") * CJK + count(f"[{_SPACE}]") * BLANK + count(rf"[[\x{{10000}}-\x{{10ffff}}]&&[^\x{{20000}}-\x{{2fa1f}}]]") * ASTRAL + other
+    return F.ceil(whole / 100).cast("long")

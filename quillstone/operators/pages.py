@@ -6,66 +6,96 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def ratios(c: Column) -> dict[str, Column]:
-    """Counts behind a page's quality: characters, odd characters, mojibake-like pairs."""
-    n = F.length(c)
-    garbage = F.regexp_count(c, F.lit(r"[#$%&*|]"))
-    unmapped = F.regexp_count(c, F.lit("[�\\x{E000}-\\x{F8FF}]"))
-    mojibake = F.regexp_count(c, F.lit("(?:Ã[\\x{80}-\\x{BF}]|â€)"))
-    share = lambda x: F.when(n > 0, F.round(x / n, 6)).otherwise(0.0)
-    return {"char_count": n.cast("long"), "garbage_ratio": share(garbage), "unmapped_ratio": share(unmapped), "mojibake_ratio": share(mojibake)}
+# Limits of a trusted page, and how sure or how complete a reading must be to replace its text.
+FEW, IMAGE_CHARS, IMAGE, DRAWN, GARBAGE, UNMAPPED, MOJIBAKE, ARABIC_SHARE = 25, 200, 0.5, 20, 0.3, 0.005, 0.2, 0.05
+WORD, COVERED, GAIN, UNSURE = 5, 0.8, 1.5, 40
+# Scripts by ranges of letters, for telling scattered ones; other letters count by blocks of 256.
+BUCKETS = {
+    "latin": r"\x{0}-\x{24f}", "arabic": r"\x{600}-\x{6ff}\x{750}-\x{77f}\x{fb50}-\x{feff}", "cyrillic": r"\x{400}-\x{52f}", "greek": r"\x{370}-\x{3ff}", "hebrew": r"\x{590}-\x{5ff}",
+    "kana": r"\x{3040}-\x{30ff}", "han": r"\x{4e00}-\x{9fff}", "hangul": r"\x{ac00}-\x{d7af}",
+}
+DAMAGED = ("garbage", "unmapped-glyphs", "mojibake", "sandwiched-ascii", "script-scatter", "arabic-font-without-arabic")
+WORTHLESS = ("mojibake", "script-scatter", "garbage", "arabic-font-without-arabic")
+
+
+def _scattered(c: Column) -> Column:
+    """Whether more than half of 20 letters or more stand outside the two largest kinds of script."""
+    known = F.regexp_replace(c, r"\P{L}", "")
+    rest = known
+    for r in BUCKETS.values():
+        rest = F.regexp_replace(rest, f"[{r}]", "")
+    blocks = F.transform(F.filter(F.split(rest, ""), lambda x: x != ""), lambda x: F.floor(F.ascii(x) / 256))
+    sizes = F.concat(F.array(*[F.regexp_count(known, F.lit(f"[{r}]")) for r in BUCKETS.values()]), F.transform(F.array_distinct(blocks), lambda b: F.size(F.filter(blocks, lambda x: x == b))))
+    top, n = F.sort_array(sizes, asc=False), F.char_length(known)
+    return (n >= 20) & ((n - top[0] - top[1]) * 2 > n)
+
+
+def ratios(c: Column, raw: Column, unmapped: Column, controls: Column, fonts: Column) -> dict[str, Column]:
+    """What speaks for and against a page's own text: the cleaned text, and of before the cleaning the counts of characters, of glyphs without a character and of
+    control characters; fonts: whether one of the page's fonts is an Arabic one."""
+    count = lambda p: F.regexp_count(c, F.lit(p))
+    of = count(r"[^\s\x{a0}\x{feff}]") + unmapped + controls
+    share = lambda x, n: F.when(n > 0, F.round(x / n, 6)).otherwise(0.0)
+    odd = r"\x{e000}-\x{f8ff}\x{fffd}"
+    scripts = F.regexp_count(c, F.lit(r"[\p{IsArabic}&&\p{L}]"))
+    return {
+        "char_count": F.char_length(c).cast("long"), "garbage_ratio": share(count(f"[{odd}]") + unmapped, of), "unmapped_ratio": share(unmapped, raw),
+        "mojibake_ratio": share(count(rf"[\x{{1}}-\x{{8}}\x{{b}}\x{{c}}\x{{e}}-\x{{1f}}\x{{7f}}-\x{{9f}}\x{{c0}}-\x{{ff}}{odd}]") + unmapped + controls, of),
+        "sandwiched": count(r"(?<=\p{IsArabic})[0-9@#$%&*+=<>^_~|\\/]+(?=\p{IsArabic})").cast("long"), "arabic_share": share(scripts, count(r"\p{L}")), "scattered": _scattered(c), "arabic_fonts": fonts,
+    }
 
 
 def blank(pages: DataFrame) -> Column:
-    return (F.col("char_count") == 0) & (F.col("image_coverage") == 0) & (F.col("vector_paths") < 20)
+    return (F.col("char_count") == 0) & (F.col("image_coverage") == 0) & (F.col("vector_paths") < DRAWN)
 
 
 def reasons() -> Column:
     """Why a page's own text is not trusted, in fixed order."""
     say = lambda cond, name: F.when(cond, F.lit(name))
+    few = F.col("char_count") < FEW
     return F.array_compact(F.array(
-        say(F.col("char_count") < 25, "few-characters"), say((F.col("char_count") < 200) & (F.col("image_coverage") > 0.5), "image-page"), say(F.col("garbage_ratio") > 0.3, "garbage"),
-        say(F.col("unmapped_ratio") > 0.005, "unmapped"), say(F.col("mojibake_ratio") > 0.2, "mojibake"),
+        say(few, "few-characters"), say((F.col("char_count") < IMAGE_CHARS) & (F.col("image_coverage") > IMAGE), "image-page"), say(F.col("garbage_ratio") > GARBAGE, "garbage"),
+        say(F.col("unmapped_ratio") > UNMAPPED, "unmapped-glyphs"), say(F.col("mojibake_ratio") > MOJIBAKE, "mojibake"), say((F.col("sandwiched") >= 2) & (F.col("arabic_share") > 0), "sandwiched-ascii"),
+        say(F.col("scattered"), "script-scatter"), say(F.col("arabic_fonts") & (F.col("arabic_share") < ARABIC_SHARE) & ~few, "arabic-font-without-arabic"),
     ))
 
 
 def assessed(pages: DataFrame) -> DataFrame:
     """Adds reasons, needs_ocr, low_quality and unreliable."""
-    r = F.col("reasons")
-    has = lambda *names: F.arrays_overlap(r, F.array(*[F.lit(x) for x in names]))
-    return pages.withColumn("reasons", reasons()).withColumn("needs_ocr", F.size(r) > 0).withColumn("low_quality", has("garbage", "unmapped", "mojibake")).withColumn("unreliable", has("garbage", "mojibake"))
+    has = lambda names: F.arrays_overlap("reasons", F.array(*[F.lit(x) for x in names]))
+    return pages.withColumn("reasons", reasons()).withColumn("needs_ocr", F.size("reasons") > 0).withColumn("low_quality", has(DAMAGED)).withColumn("unreliable", has(WORTHLESS))
 
 
 def score() -> Column:
-    """0 to 100 by the worst ratio of damaged text; none where the text is unreliable."""
-    worst = F.greatest("garbage_ratio", "unmapped_ratio", "mojibake_ratio")
-    return F.when(F.col("unreliable"), F.lit(0)).otherwise(F.round(100 * F.pow(1 - worst, 5))).cast("int")
+    """0 to 100: the share of words without a damaged character, as told by the worst ratio; none where the text is unreliable."""
+    worst = F.least(F.lit(1.0), F.greatest("garbage_ratio", "unmapped_ratio", "mojibake_ratio", F.when(F.col("char_count") > 0, F.col("sandwiched") / F.col("char_count")).otherwise(0.0)))
+    return F.when(F.col("unreliable"), F.lit(0)).otherwise(F.floor(100 * F.pow(1 - worst, WORD) + 0.5)).cast("int")
 
 
 def decided(pages: DataFrame) -> DataFrame:
-    """Where each page's text comes from (text, ocr, empty) and its warning. Needs assessed(), ocr_kind, ocr_chars and ocr_confidence."""
-    text, ocr = F.col("char_count"), F.col("ocr_chars")
-    is_blank = blank(pages)
-    few = F.array_contains("reasons", "few-characters")
-    sparse = few | F.array_contains("reasons", "image-page")
-    adequate = (text > 0) & ~F.col("low_quality") & ~few
-    sure = F.col("ocr_confidence").isNull() | (F.col("ocr_confidence") >= 40)
-    better = F.col("ocr_confidence").isNull() | (F.col("ocr_confidence") > score())
-    replace = (text == 0) | F.col("unreliable") | F.when(sparse, (ocr >= 1.5 * text) & (~adequate | sure)).otherwise((ocr >= 0.8 * text) & better)
+    """Where each page's text comes from (text, ocr, empty) and its warnings. Needs assessed(), ocr_kind, ocr_chars and ocr_confidence (null: not reported)."""
+    text, ocr, sure = F.col("char_count"), F.col("ocr_chars"), F.col("ocr_confidence")
+    has = lambda name: F.array_contains("reasons", name)
+    adequate = (text > 0) & ~F.col("low_quality") & ~has("few-characters")
+    # A reading replaces worthless text whatever it is; little text when it is much longer; other text when it covers most of it and is better.
+    longer = (ocr >= GAIN * text) & (~adequate | sure.isNull() | (sure >= UNSURE))
+    better = (ocr >= COVERED * text) & (sure.isNull() | (sure > score()))
+    replaces = (text == 0) | F.col("unreliable") | F.when(has("few-characters") | has("image-page"), longer).otherwise(better)
+    read = F.col("ocr_kind") == "read"
+    taken = F.col("needs_ocr") & read & (ocr > 0) & replaces
     own = F.when(text > 0, "text").otherwise("empty")
-    unread = F.col("ocr_kind") != "read"
-    source = F.when(~F.col("needs_ocr"), "text").when(unread | (ocr == 0), own).when(replace, "ocr").otherwise("text")
+    low = F.lit("LOW_TEXT_QUALITY")
     absent = F.when(F.col("ocr_kind") == "unavailable", "OCR_UNAVAILABLE").otherwise("OCR_PARTIAL")
-    warning = (
-        F.when(~F.col("needs_ocr"), None).when(unread & (is_blank | adequate), None).when(unread, absent).when((ocr == 0) & ~is_blank, "LOW_TEXT_QUALITY").when(ocr == 0, None)
-        .when(replace & (F.col("ocr_confidence") < 40), "LOW_TEXT_QUALITY")
+    said = F.array(
+        F.when(F.col("needs_ocr") & ~read & ~blank(pages) & ~adequate, absent),
+        F.when(taken, F.when(sure < UNSURE, low)).when(~F.col("needs_ocr"), None).when(text > 0, F.when(F.col("low_quality"), low)).when(read & (ocr == 0) & ~blank(pages), low),
     )
-    return pages.withColumn("source", source).withColumn("warning", warning)
+    return pages.withColumn("source", F.when(~F.col("needs_ocr"), "text").when(taken, "ocr").otherwise(own)).withColumn("warnings", F.array_compact(said))
 
 
 def warnings(pages: DataFrame) -> DataFrame:
     """Warnings by document and code with their pages in order."""
-    return pages.filter("warning is not null").groupBy("doc", "warning").agg(F.sort_array(F.collect_set("page")).alias("pages"))
+    return pages.select("doc", "page", F.explode("warnings").alias("warning")).groupBy("doc", "warning").agg(F.sort_array(F.collect_set("page")).alias("pages"))
 
 
 def confidence(lines: DataFrame) -> DataFrame:

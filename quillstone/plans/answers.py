@@ -275,7 +275,8 @@ def st_stream_hold(spark: SparkSession, d: str) -> DataFrame:
     return out.groupBy("turn_id").agg(joined.alias("text"), F.max("refused").alias("refused")).withColumn("turn_id", F.col("turn_id").cast("int"))
 
 
-@query(r"SELECT doc_id, ceil(len(regexp_extract_all(text, '\p{Latin}')) * 0.24::DOUBLE + len(regexp_extract_all(text, '\p{N}')) * 0.5::DOUBLE + len(regexp_extract_all(text, '[\p{P}\p{S}]')) * 0.5::DOUBLE)::BIGINT AS tokens FROM documents")
+@query(r"""SELECT doc_id, ceil((list_sum(list_transform(regexp_extract_all(text, '[\p{L}\p{M}]+'), lambda x: greatest(100, 34 * length(x)))) + coalesce(list_sum(list_transform(regexp_extract_all(text, '[0-9]+'), lambda x: greatest(100, 55 * length(x)))), 0)
+  + 10 * len(regexp_extract_all(text, '[\t\n\r \x{a0}]')) + 100 * len(regexp_extract_all(text, '[^\p{L}\p{M}0-9\t\n\r \x{a0}]')) + 90 * len(regexp_extract_all(text, '[\t\n\r \x{a0}][^\p{L}\p{M}0-9\t\n\r \x{a0}]'))) / 100)::BIGINT AS tokens FROM documents""")
 def fn_tokens(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", Y.token_estimate("text").alias("tokens"))
 

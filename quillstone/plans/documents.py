@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed, text
-from ..operators import chunking, pages
+from ..operators import chunking, pages, retrieval
 from .registry import norm_sql, query, table
 
 
@@ -167,22 +167,36 @@ def grd_ngram(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumn("blocked", (F.col("matched") >= fixed.GUARD_LEAST) & (F.col("matched") >= fixed.GUARD_SHARE * F.col("shingles")))
 
 
-QUALITY = r"p AS (SELECT doc_id, source AS doc, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS page, length(text) AS char_count, CASE WHEN length(text) > 0 THEN round(len(regexp_extract_all(text, '[#$%&*|]')) / length(text), 6) ELSE 0 END AS garbage_ratio, (doc_id % 10) / 10.0::DOUBLE AS image_coverage, doc_id % 30 AS vector_paths FROM documents)"
-ASSESS = "a AS (SELECT *, list_filter([CASE WHEN char_count < 25 THEN 'few-characters' END, CASE WHEN char_count < 200 AND image_coverage > 0.5 THEN 'image-page' END, CASE WHEN garbage_ratio > 0.3 THEN 'garbage' END], lambda x: x IS NOT NULL) AS reasons, char_count = 0 AND image_coverage = 0 AND vector_paths < 20 AS is_blank FROM p)"
+# Pages as an extraction would leave them: some hold private-use characters, lost glyphs and control characters.
+QUALITY = r"""x AS (SELECT doc_id, source AS doc, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS page, text || repeat(chr(57344), CASE WHEN doc_id % 7 = 0 THEN doc_id % 300 ELSE 0 END::BIGINT) AS t,
+  CASE WHEN doc_id % 5 = 0 THEN doc_id % 40 ELSE 0 END AS lost, doc_id % 3 AS ctl, doc_id % 11 = 0 AS fonts FROM documents),
+y AS (SELECT *, length(regexp_replace(t, '[\s\x{a0}\x{feff}]', '', 'g')) + lost + ctl AS whole, length(t) + lost + ctl AS raw, len(regexp_extract_all(t, '[\x{e000}-\x{f8ff}\x{fffd}]')) AS odd,
+  len(regexp_extract_all(t, '[\x{1}-\x{8}\x{b}\x{c}\x{e}-\x{1f}\x{7f}-\x{9f}\x{c0}-\x{ff}\x{e000}-\x{f8ff}\x{fffd}]')) AS moji FROM x),
+p AS (SELECT doc_id, doc, page, length(t) AS char_count, CASE WHEN whole > 0 THEN round((odd + lost) / whole, 6) ELSE 0 END AS garbage_ratio, CASE WHEN raw > 0 THEN round(lost / raw, 6) ELSE 0 END AS unmapped_ratio,
+  CASE WHEN whole > 0 THEN round((moji + lost + ctl) / whole, 6) ELSE 0 END AS mojibake_ratio, 0.0::DOUBLE AS arabic_share, fonts, (doc_id % 10) / 10.0::DOUBLE AS image_coverage, doc_id % 30 AS vector_paths FROM y)"""
+ASSESS = """a AS (SELECT *, len(reasons) > 0 AS needs, len(list_intersect(reasons, ['garbage', 'unmapped-glyphs', 'mojibake', 'arabic-font-without-arabic'])) > 0 AS low, len(list_intersect(reasons, ['garbage', 'mojibake', 'arabic-font-without-arabic'])) > 0 AS worthless,
+  char_count = 0 AND image_coverage = 0 AND vector_paths < 20 AS is_blank FROM (SELECT *, list_filter([CASE WHEN char_count < 25 THEN 'few-characters' END, CASE WHEN char_count < 200 AND image_coverage > 0.5 THEN 'image-page' END, CASE WHEN garbage_ratio > 0.3 THEN 'garbage' END,
+    CASE WHEN unmapped_ratio > 0.005 THEN 'unmapped-glyphs' END, CASE WHEN mojibake_ratio > 0.2 THEN 'mojibake' END, CASE WHEN fonts AND arabic_share < 0.05 AND char_count >= 25 THEN 'arabic-font-without-arabic' END], lambda x: x IS NOT NULL) AS reasons FROM p))"""
+SCORE = "CASE WHEN worthless THEN 0 ELSE floor(100 * pow(1 - greatest(garbage_ratio, unmapped_ratio, mojibake_ratio), 5) + 0.5) END::INTEGER"
 
 
 def _pages(spark: SparkSession, d: str) -> DataFrame:
-    order = Window.partitionBy("source").orderBy("doc_id")
-    q = pages.ratios(F.col("text"))
-    return _docs(spark, d).select("doc_id", F.col("source").alias("doc"), F.row_number().over(order).cast("long").alias("page"), *[c.alias(k) for k, c in q.items()], (F.col("doc_id") % 10 / 10.0).alias("image_coverage"), (F.col("doc_id") % 30).alias("vector_paths"))
+    """Every page's ratios and its number in its manuscript; texts stay where they are read."""
+    k = F.col("doc_id")
+    lost, ctl = F.when(k % 5 == 0, k % 40).otherwise(0), k % 3
+    t = F.concat("text", F.repeat(F.lit("\ue000"), F.when(k % 7 == 0, k % 300).otherwise(0).cast("int")))
+    once = _docs(spark, d).select("doc_id", F.explode(F.array(t)).alias("t"))
+    q = pages.ratios(F.col("t"), F.length("t") + lost + ctl, lost, ctl, k % 11 == 0)
+    rows = once.select("doc_id", *[c.alias(n) for n, c in q.items()], (k % 10 / 10.0).alias("image_coverage"), (k % 30).alias("vector_paths"))
+    return rows.join(retrieval.indexed(_docs(spark, d)).select(F.col("chunk_id").alias("doc_id"), "doc", (F.col("chunk_index") + 1).alias("page")), "doc_id")
 
 
-@query(f"WITH {QUALITY} SELECT doc_id, char_count, garbage_ratio, 0.0::DOUBLE AS unmapped_ratio, 0.0::DOUBLE AS mojibake_ratio FROM p")
+@query(f"WITH {QUALITY} SELECT doc_id, char_count, garbage_ratio, unmapped_ratio, mojibake_ratio, 0::BIGINT AS sandwiched, arabic_share, false AS scattered FROM p")
 def q_compute(spark: SparkSession, d: str) -> DataFrame:
-    return _pages(spark, d).select("doc_id", "char_count", "garbage_ratio", "unmapped_ratio", "mojibake_ratio")
+    return _pages(spark, d).select("doc_id", "char_count", "garbage_ratio", "unmapped_ratio", "mojibake_ratio", "sandwiched", "arabic_share", "scattered")
 
 
-@query(f"WITH {QUALITY}, {ASSESS} SELECT doc_id, reasons, len(reasons) > 0 AS needs_ocr, list_contains(reasons, 'garbage') AS low_quality, list_contains(reasons, 'garbage') AS unreliable FROM a")
+@query(f"WITH {QUALITY}, {ASSESS} SELECT doc_id, reasons, needs AS needs_ocr, low AS low_quality, worthless AS unreliable FROM a")
 def q_assess(spark: SparkSession, d: str) -> DataFrame:
     return pages.assessed(_pages(spark, d)).select("doc_id", "reasons", "needs_ocr", "low_quality", "unreliable")
 
@@ -193,17 +207,17 @@ def q_blank(spark: SparkSession, d: str) -> DataFrame:
     return p.select("doc_id", pages.blank(p).alias("is_blank"))
 
 
-@query(f"WITH {QUALITY} SELECT doc_id, CASE WHEN garbage_ratio > 0.3 THEN 0 ELSE round(100 * pow(1 - garbage_ratio, 5)) END::INTEGER AS score FROM p")
+@query(f"WITH {QUALITY}, {ASSESS} SELECT doc_id, {SCORE} AS score FROM a")
 def q_score(spark: SparkSession, d: str) -> DataFrame:
     return pages.assessed(_pages(spark, d)).select("doc_id", pages.score().alias("score"))
 
 
-DECIDE = f"""{QUALITY}, {ASSESS}, o AS (SELECT *, CASE doc_id % 4 WHEN 0 THEN 'unavailable' WHEN 1 THEN 'failed' ELSE 'read' END AS ocr_kind, doc_id % 400 AS ocr_chars, CASE WHEN doc_id % 6 <> 0 THEN (doc_id % 100)::DOUBLE END AS ocr_confidence,
-  len(reasons) > 0 AS needs, list_contains(reasons, 'garbage') AS bad, list_contains(reasons, 'few-characters') AS few, CASE WHEN garbage_ratio > 0.3 THEN 0 ELSE round(100 * pow(1 - garbage_ratio, 5)) END AS score FROM a),
-z AS (SELECT *, char_count > 0 AND NOT bad AND NOT few AS adequate, ocr_kind <> 'read' AS unread FROM o),
-r AS (SELECT *, char_count = 0 OR bad OR CASE WHEN few OR list_contains(reasons, 'image-page') THEN ocr_chars >= 1.5 * char_count AND (NOT adequate OR ocr_confidence IS NULL OR ocr_confidence >= 40) ELSE ocr_chars >= 0.8 * char_count AND (ocr_confidence IS NULL OR ocr_confidence > score) END AS repl FROM z),
-dec AS (SELECT *, CASE WHEN NOT needs THEN 'text' WHEN unread OR ocr_chars = 0 THEN CASE WHEN char_count > 0 THEN 'text' ELSE 'empty' END WHEN repl THEN 'ocr' ELSE 'text' END AS src,
-  CASE WHEN NOT needs THEN NULL WHEN unread AND (is_blank OR adequate) THEN NULL WHEN unread THEN CASE WHEN ocr_kind = 'unavailable' THEN 'OCR_UNAVAILABLE' ELSE 'OCR_PARTIAL' END WHEN ocr_chars = 0 AND NOT is_blank THEN 'LOW_TEXT_QUALITY' WHEN ocr_chars = 0 THEN NULL WHEN repl AND ocr_confidence < 40 THEN 'LOW_TEXT_QUALITY' END AS warning FROM r)"""
+DECIDE = f"""{QUALITY}, {ASSESS}, o AS (SELECT *, CASE doc_id % 4 WHEN 0 THEN 'unavailable' WHEN 1 THEN 'failed' ELSE 'read' END AS kind, doc_id % 400 AS ocr, CASE WHEN doc_id % 6 <> 0 THEN (doc_id % 100)::DOUBLE END AS conf, list_contains(reasons, 'few-characters') AS few, {SCORE} AS score FROM a),
+z AS (SELECT *, char_count > 0 AND NOT low AND NOT few AS adequate FROM o),
+r AS (SELECT *, needs AND kind = 'read' AND ocr > 0 AND (char_count = 0 OR worthless OR CASE WHEN few OR list_contains(reasons, 'image-page') THEN ocr >= 1.5 * char_count AND (NOT adequate OR conf IS NULL OR conf >= 40) ELSE ocr >= 0.8 * char_count AND (conf IS NULL OR conf > score) END) AS taken FROM z),
+dec AS (SELECT doc_id, doc, page, CASE WHEN NOT needs THEN 'text' WHEN taken THEN 'ocr' WHEN char_count > 0 THEN 'text' ELSE 'empty' END AS src,
+  list_filter(CASE WHEN NOT needs THEN [] WHEN kind <> 'read' AND (is_blank OR adequate) THEN [] WHEN kind <> 'read' THEN [CASE WHEN kind = 'unavailable' THEN 'OCR_UNAVAILABLE' ELSE 'OCR_PARTIAL' END, CASE WHEN char_count > 0 AND low THEN 'LOW_TEXT_QUALITY' END]
+    WHEN ocr = 0 AND char_count = 0 THEN [CASE WHEN NOT is_blank THEN 'LOW_TEXT_QUALITY' END] WHEN taken THEN [CASE WHEN conf < 40 THEN 'LOW_TEXT_QUALITY' END] ELSE [CASE WHEN low THEN 'LOW_TEXT_QUALITY' END] END, lambda x: x IS NOT NULL) AS warnings FROM r)"""
 
 
 def _decided(spark: SparkSession, d: str) -> DataFrame:
@@ -212,25 +226,25 @@ def _decided(spark: SparkSession, d: str) -> DataFrame:
     return pages.decided(pages.assessed(_pages(spark, d)).select("*", kind.alias("ocr_kind"), (e % 400).alias("ocr_chars"), F.when(e % 6 != 0, (e % 100).cast("double")).alias("ocr_confidence")))
 
 
-@query(f"WITH {DECIDE} SELECT doc_id, src AS source, warning FROM dec")
+@query(f"WITH {DECIDE} SELECT doc_id, src AS source, warnings FROM dec")
 def q_decide(spark: SparkSession, d: str) -> DataFrame:
-    return _decided(spark, d).select("doc_id", "source", "warning")
+    return _decided(spark, d).select("doc_id", "source", "warnings")
 
 
-@query(f"WITH {DECIDE} SELECT doc, warning, list(DISTINCT page ORDER BY page) AS pages FROM dec WHERE warning IS NOT NULL GROUP BY ALL")
+@query(f"WITH {DECIDE} SELECT doc, warning, list(DISTINCT page ORDER BY page) AS pages FROM (SELECT doc, page, unnest(warnings) AS warning FROM dec) GROUP BY ALL")
 def agg_warnings(spark: SparkSession, d: str) -> DataFrame:
     return pages.warnings(_decided(spark, d))
 
 
-@query(f"WITH {DECIDE} SELECT doc, count(*) AS pages, count(*) FILTER (src = 'ocr') AS read, count(*) FILTER (src = 'empty') AS empty, bool_or(warning = 'OCR_UNAVAILABLE') AS missing FROM dec GROUP BY doc")
+@query(f"WITH {DECIDE} SELECT doc, count(*) AS pages, count(*) FILTER (src = 'ocr') AS read, count(*) FILTER (src = 'empty') AS empty, bool_or(list_contains(warnings, 'OCR_UNAVAILABLE')) AS missing FROM dec GROUP BY doc")
 def q_settle(spark: SparkSession, d: str) -> DataFrame:
-    return _decided(spark, d).groupBy("doc").agg(F.count("*").alias("pages"), F.count_if(F.col("source") == "ocr").alias("read"), F.count_if(F.col("source") == "empty").alias("empty"), F.max(F.col("warning") == "OCR_UNAVAILABLE").alias("missing"))
+    return _decided(spark, d).groupBy("doc").agg(F.count("*").alias("pages"), F.count_if(F.col("source") == "ocr").alias("read"), F.count_if(F.col("source") == "empty").alias("empty"), F.max(F.array_contains("warnings", "OCR_UNAVAILABLE")).alias("missing"))
 
 
-@query(f"WITH {QUALITY}, {ASSESS} SELECT doc, doc_id, n <= 5 AS planned FROM (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY page) AS n FROM a WHERE len(reasons) > 0)")
+@query(f"WITH {QUALITY}, {ASSESS} SELECT doc, doc_id, n <= 5 AS planned FROM (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY page) AS n FROM a WHERE needs)")
 def q_plan(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("doc").orderBy("page")
-    return pages.assessed(_pages(spark, d)).filter("needs_ocr").select("doc", "doc_id", (F.row_number().over(w) <= 5).alias("planned"))
+    rows = pages.assessed(_pages(spark, d)).filter("needs_ocr").select("doc", "doc_id", "page")
+    return retrieval.numbered(rows, "doc", "page", "n").select("doc", "doc_id", (F.col("n") < 5).alias("planned"))
 
 
 @query("SELECT source AS doc, round(greatest(0, least(100, sum(n_chars * (doc_id % 120)) / sum(n_chars))), 4)::DOUBLE AS confidence FROM documents GROUP BY source")

@@ -1,5 +1,6 @@
 """The library's operators against plain Python on small tables."""
 
+import math
 import random
 
 import pytest
@@ -129,9 +130,25 @@ def test_conversation(spark):
 
 def test_page_decisions(spark):
     rows = [(100, 0.0, 0.0, 0, "read", 50, 90.0), (0, 0.0, 0.9, 0, "read", 300, 20.0), (0, 0.0, 0.0, 3, "failed", 0, None), (300, 0.5, 0.0, 0, "unavailable", 0, None), (300, 0.5, 0.0, 0, "read", 400, 95.0), (10, 0.0, 0.0, 40, "read", 0, None)]
-    df = spark.createDataFrame(rows, "char_count long, garbage_ratio double, image_coverage double, vector_paths long, ocr_kind string, ocr_chars long, ocr_confidence double").withColumns({"unmapped_ratio": F.lit(0.0), "mojibake_ratio": F.lit(0.0)})
-    got = [(r.source, r.warning) for r in pages.decided(pages.assessed(df)).collect()]
-    assert got == [("text", None), ("ocr", "LOW_TEXT_QUALITY"), ("empty", None), ("text", "OCR_UNAVAILABLE"), ("ocr", None), ("text", "LOW_TEXT_QUALITY")]
+    df = spark.createDataFrame(rows, "char_count long, garbage_ratio double, image_coverage double, vector_paths long, ocr_kind string, ocr_chars long, ocr_confidence double")
+    df = df.withColumns({"unmapped_ratio": F.lit(0.0), "mojibake_ratio": F.lit(0.0), "arabic_share": F.lit(0.0), "sandwiched": F.lit(0), "scattered": F.lit(False), "arabic_fonts": F.lit(False)})
+    got = [(r.source, r.warnings) for r in pages.decided(pages.assessed(df)).collect()]
+    low = "LOW_TEXT_QUALITY"  # a reading of nothing leaves the little clean text that is there, without a warning
+    assert got == [("text", []), ("ocr", [low]), ("empty", []), ("text", ["OCR_UNAVAILABLE", low]), ("ocr", []), ("text", [])]
+
+
+def test_page_ratios(spark):
+    """Damage of each kind, by hand-counted characters."""
+    mixed = "".join(chr(c) for base in (0x905, 0x10D0, 0xE01, 0x531, 0x1200, 0xD05) for c in range(base, base + 8))
+    rows = [("ab cd\ue000", 10, 2, 1, False), ("سلام12سلام#سلام", 13, 0, 0, True), (mixed, 48, 0, 0, False), ("Ã©Ã¨ text", 9, 0, 0, False), ("", 0, 0, 0, False), ("plain latin letters only here", 29, 0, 0, True)]
+    df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "k int, t string, raw long, lost long, ctl long, fonts boolean")
+    q = pages.ratios(F.col("t"), F.col("raw"), F.col("lost"), F.col("ctl"), F.col("fonts"))
+    got = df.select("k", *[c.alias(n) for n, c in q.items()]).orderBy("k").collect()
+    assert (got[0].garbage_ratio, got[0].unmapped_ratio, got[0].mojibake_ratio) == (round(3 / 8, 6), 0.2, round(4 / 8, 6))
+    assert got[1].sandwiched == 2 and got[1].arabic_share == 1.0 and got[2].scattered and not got[1].scattered and not got[5].scattered
+    assert got[3].mojibake_ratio == 0.25 and got[4].garbage_ratio == 0.0
+    said = pages.assessed(df.select("k", *[c.alias(n) for n, c in q.items()]).withColumns({"image_coverage": F.lit(0.0), "vector_paths": F.lit(0)})).orderBy("k").collect()
+    assert said[5].reasons == ["arabic-font-without-arabic"] and "sandwiched-ascii" in said[1].reasons and "script-scatter" in said[2].reasons
 
 
 @pytest.mark.parametrize("seed", range(5))
@@ -149,15 +166,49 @@ def test_registry(spark):
     assert set(catalog.oracle_sql()) <= set(catalog.queries()) and len(catalog.queries()) > 100 and fixed.RRF_K == 60
 
 
-def test_representatives():
-    import pandas as pd
+def standing(rows, most):
+    """Plain Python: the first chunk; for each further target page the nearest free section start within half a step, else the nearest free chunk; then an even fill."""
+    n = len(rows)
+    if n <= most:
+        return list(range(n))
+    first, last, m = rows[0][0], rows[-1][1], max(most, 2)
+    step, taken = (last - first) / (m - 1), [0]
+    starts = [k for k in range(n) if rows[k][2] is not None and (k == 0 or rows[k][2] != rows[k - 1][2])]
+    far = lambda k, p: 0 if rows[k][0] <= p <= rows[k][1] else min(abs(p - rows[k][0]), abs(p - rows[k][1]))
+    for slot in range(1, m):
+        page = math.floor(first + slot * step + 0.5)
+        best = min(((far(k, page), k) for k in starts if k not in taken), default=(1e9, 0))
+        taken.append(best[1] if best[0] <= max(1, step / 2) else min((far(k, page), k) for k in range(n) if k not in taken)[1])
+    rest, gap = [k for k in range(n) if k not in taken], most - len(taken)
+    taken += [rest[math.floor(s * (len(rest) - 1) / max(gap - 1, 1) + 0.5)] for s in range(gap)]
+    return sorted(set(taken))[:most]
+
+
+def test_representatives(spark):
+    from quillstone.operators import layout
 
+    rng, docs = random.Random(8), {}
+    for d in range(12):
+        page, rows = 1, []
+        for _ in range(rng.choice([1, 3, 8, 9, 20, 60])):
+            end = page + rng.choice([0, 0, 1, 3])
+            rows.append((page, end, rng.choice([None, "a", "b"]) if d % 3 else None))
+            page = end + rng.choice([0, 1])
+        docs[d] = rows
+    df = spark.createDataFrame([(d, k, *r) for d, rows in docs.items() for k, r in enumerate(rows)], "doc long, chunk_index long, page_start long, page_end long, section string")
+    for most in (1, 5, 8):
+        got = {}
+        for r in layout.sampled(df, most).collect():
+            got.setdefault(r.doc, []).append(r.chunk_index)
+        assert {d: sorted(x) for d, x in got.items()} == {d: standing(rows, most) for d, rows in docs.items()}
+
+
+def test_token_estimate(spark):
     from quillstone.operators import layout
 
-    rows = pd.DataFrame([{"doc": "a", "chunk_index": k, "page_start": k + 1, "page_end": k + 1, "section": "s" if 10 <= k < 12 else None} for k in range(40)])
-    got = layout.representatives(rows, 5)
-    assert got[0] == 0 and len(got) == len(set(got)) == 5 and 10 in got and got == sorted(got)
-    assert layout.representatives(rows.head(3), 5) == [0, 1, 2]
+    cases = {"x": 1, "word": 2, "MS-4471": 5, "a b": 3, "": 0, "漢字": 2, "سلام": 2, "٣٤": 2, "a +b": 4, "😀": 2, "naïve": 2, "(x)": 3}
+    df = spark.createDataFrame([(c,) for c in cases], "c string")
+    assert {r.c: r.n for r in df.select("c", layout.token_estimate("c").alias("n")).collect()} == cases
 
 
 def test_replies():
