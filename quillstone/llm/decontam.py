@@ -1,23 +1,31 @@
 """Benchmark decontamination by template windows, with DataFrame functions alone.
 
-A text becomes a template: numbers, units after numbers, and names (capitalised words inside a sentence) become typed slots. Windows of
-template words are hashed and joined with those of the benchmark, so a question with other numbers or names still meets. What fills
-the slots must then be consistent: along one alignment, a value of the item always stands for the same value of the document. Every window is
-also joined as the plain words that it is, whatever its slots.
+A text becomes a template: numbers and units after numbers become typed slots, and in benchmark items names (capitalised words inside a sentence) too. A
+name's slot takes any word of a document, so a document's case does not matter. Items are cut into windows; each is met by the rarest of its short runs,
+hashed as a template or as the plain words that it is, and joined by that hash with the runs of the documents. The alignment that a run suggests is then
+compared word by word: windows match where words agree and what fills the slots is consistent, that is, a value of the item always
+stands for the same value of the document.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._shared import settle
+
 #: Words of a window; words of the shortest item that is also met as a template; share of an item's windows, or so many of them, that contaminate.
 WINDOW, SHORTEST, SHARE, MANY = 8, 4, 0.5, 16
 #: Words of the windows of items below three windows' length, and below three of these: a changed word leaves half of an item's windows. Words
-#: of an unbroken run that contaminates, whatever the item's length.
-MIDDLE, FEW, RUN = 5, 4, 14
-#: Benchmark windows that are broadcast at most: some tens of megabytes. Beyond it Spark joins by shuffle.
+#: of an unbroken run that contaminates, whatever the item's length. Words of the runs that windows are met by.
+MIDDLE, FEW, RUN, MET = 5, 4, 14, 4
+#: Runs of the benchmark that are broadcast at most: some tens of megabytes. Beyond it Spark joins by shuffle.
 BROADCAST = 1_000_000
+#: Words of 64 bits of the filter of the benchmark's runs (least, most), bits for each run, and how far a hash is shifted for each of its bits.
+FILTER, PER_RUN, SHIFTS = (1 << 10, 1 << 17), 48, (0, 20, 40)
 #: Units that may follow a number.
 UNITS = "km|cm|mm|m|kg|mg|g|lb|lbs|oz|ml|l|km/h|mph|s|ms|min|h|hours?|minutes?|seconds?|days?|weeks?|months?|years?|meters?|metres?|miles?|feet|inches|grams?|liters?|litres?|dollars?|euros?|cents?|percent|%|€|£|\\$|°C|°F"
 #: White space that may stand before a name at most: a line break and its indentation.
@@ -26,17 +34,27 @@ GAP = 16
 MARK = "\u0001"
 
 
-def marked(text: Column) -> Column:
-    """The text with marks before numbers, units and names; what fills them stays."""
-    named = F.regexp_replace(text, rf"(?=\p{{Lu}})(?<=[\p{{Ll}}\p{{N}},;][\s\p{{Z}}]{{1,{GAP}}})(\p{{Lu}}[\p{{Ll}}\p{{M}}]+)", f"{MARK}n$1")
-    united = F.regexp_replace(named, rf"(?<=[0-9])[ ]?({UNITS})(?![\p{{L}}\p{{N}}])", f" {MARK}u$1 ")
-    return F.when(named.rlike("[0-9]"), F.regexp_replace(F.regexp_replace(united, r"(?<![0-9])([0-9]+(?:[.,/][0-9]+)*)", f" {MARK}d$1 "), r"([€£$])", " $1 ")).otherwise(named)
+def words(text: Column, names: bool = False) -> Column:
+    """Lower-case words: letters, marks of letters, digits; slots begin with MARK. Digits hold together over a point, comma or stroke: 3.5, 3/4."""
+    clean = F.replace(F.coalesce(text, F.lit("")), F.lit(MARK), F.lit(" "))
+    if names:
+        clean = F.regexp_replace(clean, rf"(?=\p{{Lu}})(?<=[\p{{Ll}}\p{{N}},;][\s\p{{Z}}]{{1,{GAP}}})(\p{{Lu}}[\p{{Ll}}\p{{M}}]+)", f"{MARK}n$1")
+    united = F.regexp_replace(clean, rf"(?<=[0-9])[ ]?((?i:{UNITS}))(?![\p{{L}}\p{{N}}])", f" {MARK}u$1 ")
+    slots = F.regexp_replace(F.regexp_replace(united, r"(?<![0-9])([0-9]+(?:[.,/][0-9]+)*)", f" {MARK}d$1 "), r"([€£$])", " $1 ")
+    with_numbers = F.split(F.lower(slots), rf"(?:[^\p{{L}}\p{{M}}\p{{N}}{MARK}%€£$°.,/]|(?<![0-9])[.,/]|[.,/](?![0-9]))+")
+    return F.array_remove(F.when(clean.rlike("[0-9]"), with_numbers).otherwise(F.split(F.lower(clean), rf"[^\p{{L}}\p{{M}}\p{{N}}{MARK}%€£$°]+")), "")
+
+
+def _slot(x: Column) -> Column:
+    return F.startswith(x, F.lit(MARK))
+
 
+def _plain(x: Column) -> Column:
+    return F.when(_slot(x), F.substring(x, 3, 1 << 30)).otherwise(x)
 
-def words(text: Column) -> Column:
-    """Lower-case words of the marked text: letters, marks of letters, digits, slots. Digits hold together over a point, comma or stroke: 3.5, 3/4."""
-    clean = F.translate(F.coalesce(text, F.lit("")), MARK, " ")
-    return F.array_remove(F.split(F.lower(marked(clean)), rf"(?:[^\p{{L}}\p{{M}}\p{{N}}{MARK}%€£$°.,/]|(?<![0-9])[.,/]|[.,/](?![0-9]))+"), "")
+
+def _form(x: Column) -> Column:
+    return F.when(_slot(x), F.substring(x, 1, 2)).otherwise(x)
 
 
 def _size(n: Column, window: int) -> Column:
@@ -44,71 +62,119 @@ def _size(n: Column, window: int) -> Column:
     return F.when(n >= 3 * window - 1, window).when(n >= 3 * MIDDLE - 1, min(MIDDLE, window)).when(n >= 2 * FEW, min(FEW, window)).otherwise(n)
 
 
-def _windows(df: DataFrame, keep: list[str], sizes: str) -> DataFrame:
-    """A row for each window of the row's sizes: keep, size, pos, hash and the slots' contents in it (null: plain lower-case words).
-
-    A window with slots stands twice, as a template and as the plain words that it is.
-    """
-    slot = F.lit(MARK)
-    # Exploding an array of one keeps what is computed once: projections are not merged across it.
-    split = df.select(*keep, sizes, F.explode(F.array(words(F.col("text")))).alias("w"))
-    split = split.select(*keep, "w", F.exists("w", lambda x: F.startswith(x, slot)).alias("any"), F.filter(sizes, lambda s: s <= F.size("w")).alias("s")).filter(F.size("s") > 0)
-    plain = F.transform("w", lambda x: F.xxhash64(F.when(F.startswith(x, slot), F.substring(x, 3, 1 << 30)).otherwise(x)))
-    form = F.when(F.col("any"), F.transform("w", lambda x: F.xxhash64(F.when(F.startswith(x, slot), F.substring(x, 1, 2)).otherwise(x))))
-    hashed = split.select(*keep, "s", F.explode(F.array(F.struct(plain.alias("h"), form.alias("f"), F.when(F.col("any"), F.col("w")).alias("w")))).alias("x")).select(*keep, "s", "x.*")
+def _run(hashes: Column | str, i: Column, length: int) -> Column:
+    """The hash of the run of ``length`` words from i on; runs of different lengths never meet."""
+    return F.xxhash64(F.lit(length), *[F.get(hashes, i + k) for k in range(length)])
 
-    def row(s: Column, i: Column, slots: bool) -> Column:
-        own = F.filter(F.slice("w", i, s), lambda x: F.startswith(x, slot)) if slots else F.lit(None).cast("array<string>")
-        form = F.xxhash64(F.slice("f", i, s)) if slots else F.lit(None).cast("long")
-        return F.struct(s.alias("size"), (i - 1).alias("pos"), F.xxhash64(F.slice("h", i, s)).alias("hash"), form.alias("form"), own.alias("slots"))
 
-    every = lambda slots: F.flatten(F.transform("s", lambda s: F.transform(F.sequence(F.lit(1), F.size("h") - s + 1), lambda i: row(s, i, slots))))
-    rows = hashed.select(*keep, F.explode(F.when(F.col("w").isNull(), every(False)).otherwise(every(True))).alias("x")).select(*keep, "x.*")
-    none = F.lit(None).cast("array<string>")
-    two = F.when(F.size("slots") > 0, F.array(F.struct("hash", none.alias("slots")), F.struct(F.col("form").alias("hash"), "slots"))).otherwise(F.array(F.struct("hash", none.alias("slots"))))
-    return rows.select(*keep, "size", "pos", F.explode(two).alias("x")).select(*keep, "size", "pos", "x.hash", "x.slots")
+def _items(benchmark: DataFrame, window: int) -> DataFrame:
+    items = benchmark.filter(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).distinct()
+    items = items.select("item_id", F.explode(F.array(words(F.col("text"), names=True))).alias("item")).filter(F.size("item") > 0)
+    items = items.select("*", F.size("item").alias("n")).withColumn("size", _size(F.col("n"), window)).withColumn("met", F.least(F.col("size"), F.lit(MET)))
+    return items.withColumn("text", F.xxhash64("item"))  # an item_id may stand for several texts
+
+
+def _runs(items: DataFrame) -> DataFrame:
+    """(hash, item_id, text, n, at, met): for each window its rarest run as a template, of at most half slots and no name, and its rarest run word for word."""
+    seq = F.sequence(F.lit(0), F.col("n") - F.col("met"))
+    of = lambda form: F.xxhash64(F.col("met"), *[F.when(F.col("met") > k, F.get(form, F.col("at") + k)) for k in range(MET)])
+    hashed = items.select("item_id", "text", "n", "size", "met", "item", F.transform("item", lambda x: F.xxhash64(_plain(x))).alias("p"), F.transform("item", lambda x: F.xxhash64(_form(x))).alias("f"), F.explode(seq).alias("at"))
+    some = F.slice("item", F.col("at") + 1, F.col("met"))
+    whole = F.array(F.struct(F.lit(0).alias("kind"), of("p").alias("hash")), F.struct(F.lit(1).alias("kind"), F.when((F.size(F.filter(some, _slot)) * 2 <= F.col("met")) & ~F.exists(some, lambda x: F.startswith(x, F.lit(f"{MARK}n"))), of("f")).alias("hash")))
+    runs = hashed.select("item_id", "text", "n", "size", "met", "at", F.explode(whole).alias("x")).select("item_id", "text", "n", "size", "met", "at", "x.*").filter("hash is not null")
+    often = runs.groupBy("hash").agg(F.count_distinct("item_id").alias("items"))
+    # A run at `at` lies in the windows from at + met - size to at.
+    windows = runs.join(often, "hash").select("*", F.explode(F.sequence(F.greatest(F.lit(0), F.col("at") + F.col("met") - F.col("size")), F.least(F.col("at"), F.col("n") - F.col("size")))).alias("window"))
+    best = windows.groupBy("item_id", "text", "n", "met", "window", "kind").agg(F.min(F.struct("items", "at", "hash")).alias("x"))
+    return best.select("x.hash", "item_id", "text", "n", "x.at", "met").distinct()
+
+
+def _filter(runs: DataFrame, count: int) -> Callable[..., Column]:
+    """Tells hashes by a bit map of the benchmark's runs, one literal: what it stops is in no run, what it lets through is joined."""
+    size = FILTER[0]
+    while size * 64 < count * PER_RUN and size < FILTER[1]:
+        size *= 2
+    place = lambda h, k: F.shiftright(h, k).bitwiseAND(F.lit(size * 64 - 1))
+    places = runs.select(F.explode(F.array(*[place(F.col("hash"), k) for k in SHIFTS])).alias("place"))
+    got = places.groupBy(F.shiftright("place", 6).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(place & 63 as int))")).alias("bits")).collect()
+    bits = [0] * size
+    for r in got:
+        bits[r.word] = r.bits
+    held = F.split(F.lit(",".join(map(str, bits))), ",").cast("array<long>")  # constant, so Spark makes it once
+    test = lambda h, k: F.getbit(F.get(held, F.shiftright(place(h, k), 6).cast("int")), place(h, k).bitwiseAND(F.lit(63)).cast("int")) == 1
+    return lambda h, most=len(SHIFTS): reduce(lambda a, b: a & b, [test(h, k) for k in SHIFTS[:most]])
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
+    """(a, b, item_id, windows, matched, same): for each text, by two hashes of it, the items found in it."""
+    items = settle(_items(benchmark, window), "items")
+    runs = settle(_runs(items), "runs")
+    count, longest = runs.agg(F.count("*"), F.coalesce(F.max("n"), F.lit(1))).first()
+    lengths = [r.met for r in items.select("met").distinct().collect()]
+    hit = _filter(runs, count)
+    # Exploding an array of one keeps what is computed once: projections are not merged across it.
+    once = lambda df, **made: df.select(*df.columns, F.explode(F.array(F.struct(*[c.alias(k) for k, c in made.items()]))).alias("x")).select(*df.columns, "x.*")
+    split = once(docs.filter(F.col("text").isNotNull()).select(F.xxhash64("text").alias("a"), F.hash("text").alias("b"), "text"), w=words(F.col("text")))
+    plain = F.when(F.exists("w", _slot), F.transform("w", lambda x: F.xxhash64(_plain(x)))).otherwise(F.transform("w", lambda x: F.xxhash64(x)))
+    split = once(split, p=plain, f=F.when(F.exists("w", _slot), F.transform("w", lambda x: F.xxhash64(_form(x))))).drop("w")
+    no_longs = F.array().cast("array<long>")
+    every = lambda of, n: F.when(F.size(of) >= n, F.transform(F.sequence(F.lit(0), F.size(of) - n), lambda i: _run(of, i, n))).otherwise(no_longs)
+    split = once(split, **{f"{of}{n}": every(of, n) for n in lengths for of in ("p", "f")}).drop("p", "f") if lengths else split
+    names = [f"{of}{n}" for n in lengths for of in ("p", "f")]
+    met = lambda c: F.filter(F.transform(c, lambda h, i: F.struct(i.alias("i"), h.alias("hash"))), lambda x: hit(x["hash"], 1))
+    found = split.filter(F.greatest(F.lit(0), F.lit(0), *[F.size(F.filter(c, hit)) for c in names]) > 0) if names else split.limit(0)
+    found = once(found, w=words(F.col("text"))).select("a", "b", "w", F.explode(F.array_distinct(F.concat(F.array().cast("array<struct<i:int,hash:bigint>>"), *map(met, names)))).alias("x"))
+    base = F.greatest(F.col("x.i") - longest, F.lit(0))
+    found = found.select("a", "b", "x.*", base.alias("base"), F.slice("w", base + 1, F.lit(2 * longest + MET)).alias("w"))
+    runs = F.broadcast(runs) if count <= BROADCAST else runs
+    shift = F.col("i") - F.col("at")
+    theirs = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda k: F.get("w", k + F.col("shift") - F.col("base")))
+    aligned = found.join(runs, "hash").withColumn("shift", shift).select("a", "b", "item_id", "text", "shift", theirs.alias("w")).groupBy("a", "b", "item_id", "text", "shift").agg(F.first("w").alias("w"))
+    aligned = aligned.join(F.broadcast(items) if count <= BROADCAST else items, ["item_id", "text"])
+
+    # Of each word: is it the item's, and if not, may it fill the item's slot?
+    word = lambda x, y: F.struct(
+        (_plain(x) == _plain(y)).alias("same"), F.when(F.startswith(x, F.lit(f"{MARK}n")), ~_slot(y)).when(_slot(x), _form(x) == _form(y)).otherwise(x == y).alias("fits"), F.when(_slot(x), F.struct(_plain(x).alias("a"), _plain(y).alias("b"))).alias("pair"),
+    )
+    compared = aligned.select("a", "b", "item_id", "n", "size", F.explode(F.array(F.zip_with("item", "w", word))).alias("x"))
+    at = lambda k: F.slice("x", k + 1, F.col("size"))
+    every = F.sequence(F.lit(0), F.col("n") - F.col("size"))
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    same = F.filter(every, lambda k: F.forall(at(k), lambda x: yes(x["same"])))
+    template = F.filter(every, lambda k: F.forall(at(k), lambda x: yes(x["fits"])) & F.exists(at(k), lambda x: x["pair"].isNotNull()) & (F.size(F.filter(at(k), lambda x: x["pair"].isNotNull())) * 2 <= F.col("size")) & (F.col("n") >= SHORTEST))
+    compared = compared.select("*", F.explode(F.array(F.struct(same.alias("same"), template.alias("template")))).alias("y")).select("a", "b", "item_id", "n", "size", "x", "y.*").filter((F.size("same") > 0) | (F.size("template") > 0))
+    pairs = F.array_distinct(F.flatten(F.transform("template", lambda k: F.transform(F.filter(at(k), lambda x: x["pair"].isNotNull()), lambda x: x["pair"]))))
+    compared = compared.select("*", F.explode(F.array(pairs)).alias("pairs"))
+    clash = F.transform(F.filter("pairs", lambda p: F.exists("pairs", lambda q: (q["a"] == p["a"]) & (q["b"] != p["b"]))), lambda p: p["a"])
+    compared = compared.select("*", F.explode(F.array(clash)).alias("clash"))
+    agree = F.filter("template", lambda k: ~F.exists(at(k), lambda x: x["pair"].isNotNull() & F.array_contains("clash", x["pair"]["a"])))
+    compared = compared.select("a", "b", "item_id", "n", "size", F.array_union("same", agree).alias("at"), "same")
+    more = F.greatest(F.lit(RUN) - F.col("size"), F.lit(0))  # windows of a run beside its first
+    run = F.exists("at", lambda k: F.size(F.array_intersect("at", F.sequence(k, k + more))) == more + 1)
+    count_of = lambda c: F.size(F.array_distinct(F.flatten(F.collect_list(c))))
+    whole = compared.groupBy("a", "b", "item_id").agg(F.max(F.col("n") - F.col("size") + 1).alias("windows"), count_of("at").alias("matched"), count_of("same").alias("same"), F.max(run).alias("run"))
+    return whole.filter((F.col("matched") >= F.col("windows") * SHARE) | (F.col("matched") >= MANY) | F.col("run")).drop("run")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """A row for each document and benchmark item found in it: doc_id, item_id, windows (of the item), matched, share, exact (all of them as in the item).
 
-    An item is found where SHARE of its windows, or MANY of them, or those of a run of RUN words match: word for word, or as templates whose slots
-    agree with all of their alignment; where a value of the item meets two values of the document, only the windows that hold it go. Windows of
+    An item is found where SHARE of its windows, or MANY of them, or those of a run of RUN words match: word for word in whatever case, or as templates
+    whose slots agree with all of their alignment; where a value of the item meets two values of the document, only the windows that hold it go. Windows of
     short items are shorter (_size). Only word for word match windows with more slots than words and items below SHORTEST words; an item of a single
-    word is found wherever that word stands. Null and empty texts match nothing; rows without doc_id or item_id are left out;
+    word is found wherever that word stands. Null and empty texts match nothing; rows without doc_id or item_id are left out here;
     repeated rows count once. Other columns are not read.
     """
-    items = benchmark.filter(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).distinct()
-    texts = docs.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    items = items.select("*", F.explode(F.array(F.size(words(F.col("text"))))).alias("n")).filter("n > 0")
-    items = items.withColumn("size", _size(F.col("n"), window)).withColumn("sizes", F.array("size"))
-    sizes = [r.size for r in items.select("size").distinct().collect()]
-    texts = texts.withColumn("sizes", F.array(*map(F.lit, sizes)).cast("array<int>"))
-    bench = _windows(items, ["item_id", "n"], "sizes")
-    # In the middle of a document's sentence an item's first word, if capitalised, looks like a name.
-    inner = _windows(items.withColumn("text", F.concat(F.lit("a "), "text")), ["item_id", "n"], "sizes").filter("pos = 1").withColumn("pos", F.lit(0))
-    bench = bench.unionByName(inner).filter(F.col("slots").isNull() | ((F.size("slots") * 2 <= F.col("size")) & (F.col("n") >= SHORTEST)))
-    bench = bench.select("item_id", F.col("pos").alias("at"), "hash", F.col("slots").alias("theirs")).distinct()
-    bench = F.broadcast(bench) if bench.count() <= BROADCAST else bench
-    hits = _windows(texts, ["doc_id"], "sizes").join(bench, "hash")
-    pairs = F.zip_with("theirs", "slots", lambda a, b: F.struct(a.alias("a"), b.alias("b")))  # null: word for word
-    hits = hits.select("doc_id", "item_id", "size", (F.col("pos") - F.col("at")).alias("shift"), F.struct("at", pairs.alias("pairs")).alias("hit"))
-    along = hits.groupBy("doc_id", "item_id", "size", "shift").agg(F.collect_set("hit").alias("hits"))
-    along = along.select("*", F.array_distinct(F.flatten(F.transform("hits", lambda x: F.coalesce(x["pairs"], F.array().cast("array<struct<a:string,b:string>>"))))).alias("pairs"))
-    clash = F.transform(F.filter("pairs", lambda p: F.exists("pairs", lambda q: (q["a"] == p["a"]) & (q["b"] != p["b"]))), lambda p: p["a"])
-    along = along.select("*", F.explode(F.array(clash)).alias("clash"))
-    kept = F.filter("hits", lambda x: x["pairs"].isNull() | ~F.exists(x["pairs"], lambda p: F.array_contains("clash", p["a"])))
-    along = along.select("doc_id", "item_id", "size", F.array_distinct(F.transform(kept, lambda x: x["at"])).alias("at"), F.transform(F.filter("hits", lambda x: x["pairs"].isNull()), lambda x: x["at"]).alias("same"))
-    more = F.greatest(F.lit(RUN) - F.col("size"), F.lit(0))  # windows of a run beside its first
-    run = F.exists("at", lambda k: F.size(F.array_intersect("at", F.sequence(k, k + more))) == more + 1)
-    count = lambda c: F.size(F.array_distinct(F.flatten(F.collect_list(c))))
-    whole = along.groupBy("doc_id", "item_id").agg(count("at").alias("matched"), count("same").alias("same"), F.max(run).alias("run"))
-    of = items.groupBy("item_id").agg(F.max(F.col("n") - F.col("size") + 1).alias("windows"))
-    out = whole.join(of, "item_id").withColumn("share", F.round(F.col("matched") / F.col("windows"), 6)).withColumn("exact", F.col("same") == F.col("matched"))
-    found = (F.col("matched") >= F.col("windows") * SHARE) | (F.col("matched") >= MANY) | F.col("run")
-    return out.filter(found).select("doc_id", "item_id", F.col("windows").cast("long").alias("windows"), F.col("matched").cast("long").alias("matched"), "share", "exact")
+    rows = docs.filter(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    found = settle(_found(rows, benchmark, window), "found")
+    out = rows.filter("doc_id is not null").select("doc_id", F.xxhash64("text").alias("a"), F.hash("text").alias("b")).join(found, ["a", "b"])
+    out = out.groupBy("doc_id", "item_id").agg(F.max(F.struct("matched", "same", "windows")).alias("x")).select("doc_id", "item_id", "x.*")
+    return out.select("doc_id", "item_id", F.col("windows").cast("long").alias("windows"), F.col("matched").cast("long").alias("matched"), F.round(F.col("matched") / F.col("windows"), 6).alias("share"), (F.col("same") == F.col("matched")).alias("exact"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents in which no benchmark item is found, with all their columns. Documents without doc_id stay."""
-    return docs.join(contaminated(docs, benchmark).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    """The rows in whose texts no benchmark item is found, with all their columns, whatever their doc_id."""
+    rows = docs.select(F.col("text").cast("string").alias("text"))
+    bad = settle(_found(rows, benchmark, WINDOW).select("a", "b").distinct(), "found")  # written, so that Spark knows its size and can broadcast it
+    own = docs.select(F.struct(*docs.columns).alias("own"), F.xxhash64(F.col("text").cast("string")).alias("a"), F.hash(F.col("text").cast("string")).alias("b"))
+    return own.join(bad, ["a", "b"], "left_anti").select("own.*")
