@@ -89,8 +89,8 @@ def _runs(items: DataFrame) -> DataFrame:
     return best.select("x.hash", "item_id", "text", "n", "x.at", "met").distinct()
 
 
-def _filter(runs: DataFrame, count: int) -> Callable[..., Column]:
-    """Tells hashes by a bit map of the benchmark's runs, one literal: what it stops is in no run, what it lets through is joined."""
+def _filter(runs: DataFrame, count: int) -> Callable[[int], Callable[[Column], Column]]:
+    """Tells hashes by a bit map of the benchmark's runs, one literal: what it stops is in no run, what it lets through is joined. How many of a hash's bits are looked at is given."""
     size = FILTER[0]
     while size * 64 < count * PER_RUN and size < FILTER[1]:
         size *= 2
@@ -102,7 +102,7 @@ def _filter(runs: DataFrame, count: int) -> Callable[..., Column]:
         bits[r.word] = r.bits
     held = F.split(F.lit(",".join(map(str, bits))), ",").cast("array<long>")  # constant, so Spark makes it once
     test = lambda h, k: F.getbit(F.get(held, F.shiftright(place(h, k), 6).cast("int")), place(h, k).bitwiseAND(F.lit(63)).cast("int")) == 1
-    return lambda h, most=len(SHIFTS): reduce(lambda a, b: a & b, [test(h, k) for k in SHIFTS[:most]])
+    return lambda most: lambda h: reduce(lambda a, b: a & b, [test(h, k) for k in SHIFTS[:most]])
 
 
 def _found(docs: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
@@ -111,7 +111,8 @@ def _found(docs: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
     runs = settle(_runs(items), "runs")
     count, longest = runs.agg(F.count("*"), F.coalesce(F.max("n"), F.lit(1))).first()
     lengths = [r.met for r in items.select("met").distinct().collect()]
-    hit = _filter(runs, count)
+    filtered = _filter(runs, count)
+    hit, loose = filtered(len(SHIFTS)), filtered(1)
     # Exploding an array of one keeps what is computed once: projections are not merged across it.
     once = lambda df, **made: df.select(*df.columns, F.explode(F.array(F.struct(*[c.alias(k) for k, c in made.items()]))).alias("x")).select(*df.columns, "x.*")
     split = once(docs.filter(F.col("text").isNotNull()).select(F.xxhash64("text").alias("a"), F.hash("text").alias("b"), "text"), w=words(F.col("text")))
@@ -121,7 +122,7 @@ def _found(docs: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
     every = lambda of, n: F.when(F.size(of) >= n, F.transform(F.sequence(F.lit(0), F.size(of) - n), lambda i: _run(of, i, n))).otherwise(no_longs)
     split = once(split, **{f"{of}{n}": every(of, n) for n in lengths for of in ("p", "f")}).drop("p", "f") if lengths else split
     names = [f"{of}{n}" for n in lengths for of in ("p", "f")]
-    met = lambda c: F.filter(F.transform(c, lambda h, i: F.struct(i.alias("i"), h.alias("hash"))), lambda x: hit(x["hash"], 1))
+    met = lambda c: F.filter(F.transform(c, lambda h, i: F.struct(i.alias("i"), h.alias("hash"))), lambda x: loose(x["hash"]))
     found = split.filter(F.greatest(F.lit(0), F.lit(0), *[F.size(F.filter(c, hit)) for c in names]) > 0) if names else split.limit(0)
     found = once(found, w=words(F.col("text"))).select("a", "b", "w", F.explode(F.array_distinct(F.concat(F.array().cast("array<struct<i:int,hash:bigint>>"), *map(met, names)))).alias("x"))
     base = F.greatest(F.col("x.i") - longest, F.lit(0))
