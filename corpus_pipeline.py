@@ -37,17 +37,15 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of documents linked on shingles of five words at 0.8, the one with the least doc_id; documents without doc_id stay.
+    """Of each component of documents linked on shingles of five words at 0.8, the one with the least doc_id.
 
-    Rows that share a doc_id count as one document.
+    Rows that share a doc_id but not their text are judged each for itself; of rows that share both one stays.
     """
-    other = jaccard.join(docs, shingle=5, num=80, den=100).filter("doc_id <> component_id").select("doc_id").distinct()
-    left = docs.join(other, "doc_id", "left_anti").select(*docs.columns)
-    return left.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(docs.filter("doc_id is null"))
+    return jaccard.keep_one(docs, shingle=5, num=80, den=100)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no benchmark item is found."""
+    """Documents in whose texts no benchmark item is found."""
     return decontam.clean(docs, _table(spark, sf_dir, "benchmark"))
 
 
