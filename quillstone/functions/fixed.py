@@ -14,6 +14,20 @@ STOPWORDS = {
         este esta estos estas ese esa esos esas su sus mi mis que quien cual cuando donde como porque no mas muy tambien solo""",
     "de": """der die das den dem des ein eine einen einem einer eines und oder aber wenn dann von zu in im an am auf aus bei
         mit nach vor durch gegen ohne um ist sind war waren sein es er sie wir ihr ich du wer was wo wann warum wie nicht kein auch nur sehr noch schon""",
+    "it": """il lo la i gli le un uno una di del dello della dei degli delle a al allo alla ai agli alle da dal dallo dalla in
+        nel nello nella con su sul sulla per tra fra e o ma se allora che chi cui come dove quando perche non piu molto
+        anche solo sono erano essere stato ha hanno aveva avere questo questa questi queste quello quella lui lei loro noi voi io tu mi ti si""",
+    "pt": """o a os as um uma uns umas de do da dos das em no na nos nas por para com sem entre sobre sob e ou mas se entao
+        que quem qual quais quando onde como porque nao mais muito tambem so sao eram ser foi ha tinha ter este esta estes estas
+        esse essa esses essas isso isto ele ela eles elas voces eu tu me te lhe seu sua seus suas""",
+    "tr": """ve veya ama ise de da ki bir bu su o bunlar sunlar onlar ben sen biz siz ne nasil neden nerede kim hangi kac icin
+        ile gibi kadar daha cok en mi mu hem hic her olan olarak var yok degil""",
+    "ar": """من في على الى عن مع بين عند حتى ثم لكن الا او ان انه انها انهم اذا اذ لو لا لم لن ما ماذا هل هو هي هم هن هذا هذه
+        ذلك تلك اولئك هنا هناك كان كانت كانوا يكون تكون كل بعض غير قد لقد كيف متى اين لماذا اي كم الذي التي الذين بعد قبل فوق تحت حول
+        خلال منذ نحو عبر له لها لهم لنا لك به بها بهم فيه فيها عليه عليها منه منها عنه عنها ايضا فقط جدا ليس ليست ولا وما وهل وان وقد""",
+    "fa": """و در به از که این آن را با برای است بود هست هستند بودند شد شده می هم یا تا چه کی کجا چرا چگونه کدام چند
+        نیز اما اگر پس بر روی زیر میان درباره خود او ما شما آنها چیست کسی مورد""",
+    "ur": "کا کی کے میں ہے ہیں اور سے کو پر یہ وہ کہ بھی نے تھا تھی تھے کیا کون کب کہاں کیوں کیسے ایک تو ہی لیے ساتھ کس بارے",
 }
 # Words of a request, which a document need not contain.
 TASK_WORDS = "summarize summarise summary overview translate translation read list give show talk tell explain describe say mean contain cover discuss outline display quote paraphrase extract"
@@ -32,6 +46,10 @@ NOT_FOUND = {
     "fr": "Je n’ai pas trouvé cette information dans le document. Le PDF fourni ne semble pas couvrir ce sujet.",
     "es": "No pude encontrar esta información en el documento. El PDF proporcionado no parece cubrir este tema.",
     "de": "Ich konnte diese Information im Dokument nicht finden. Das bereitgestellte PDF scheint dieses Thema nicht abzudecken.",
+    "it": "Non ho trovato questa informazione nel documento. Il PDF fornito non sembra trattare questo argomento.",
+    "pt": "Não encontrei esta informação no documento. O PDF fornecido não parece abordar este tema.",
+    "tr": "Bu bilgiyi belgede bulamadım. Sağlanan PDF bu konuyu kapsıyor gibi görünmüyor.",
+    "ar": "لم أتمكن من العثور على هذه المعلومة في المستند. يبدو أن ملف PDF المقدَّم لا يغطي هذا الموضوع.",
 }
 # Instruction-like wording on folded text (words apart by one space).
 _GAP = r"(?:\S+ ){0,3}?"
@@ -47,9 +65,35 @@ INJECTION_RULES = {
     "en-reply-only": r"(?:reply|respond|answer|output) (?:only|exclusively) with",
     "en-new-instructions": r"new instructions?",
     "en-hide-from-user": r"do not (?:tell|mention|reveal|inform) (?:the )?user",
+    "ar-ignore-instructions": rf"(?:تجاهل|تجاهلي|اهمل|انس|انسي|تخط|تخطي|تجاوز) {_GAP}(?:التعليمات|الاوامر|القواعد|التوجيهات|الارشادات|التعليمات\S*)",
+    "ar-system-prompt": r"(?:تعليمات|موجه|رسالة|رساله|امر|اوامر) (?:النظام|المطور)",
+    "ar-you-are-now": r"انت الان",
+    "ar-mode": r"وضع (?:المطور|التصحيح|المبرمج)",
+    "ar-reply-only": r"(?:اجب|رد|اكتب|قل) (?:فقط|حصريا) \S*",
+    "ar-reveal": rf"(?:اكشف|اظهر|اعرض|اطبع|كرر) (?:لي )?{_GAP}(?:النظام|التعليمات|الموجه)",
+    "ar-act-as": r"تصرف (?:كانك|كما لو|ك\S+)",
+    "ar-from-now-on": r"من الان فصاعدا",
     "fr-ignore-instructions": rf"(?:ignore[zr]?|oublie[zr]?|neglige[zr]?) {_GAP}(?:instructions?|consignes?|regles?|directives?)",
+    "fr-system-prompt": r"(?:prompt|invite|message|instructions?) (?:du )?(?:systeme|developpeur)",
+    "fr-you-are-now": r"(?:tu es|vous etes) (?:maintenant|desormais)",
+    "fr-mode": r"mode developpeur",
+    "fr-reply-only": r"(?:reponds?|repondez) (?:uniquement|seulement) (?:par|avec)",
+    "fr-reveal": rf"(?:revele[zr]?|affiche[zr]?|montre[zr]?) {_GAP}(?:instructions|prompt)",
+    "fr-from-now-on": r"a partir de maintenant",
     "es-ignore-instructions": rf"(?:ignora|ignore|ignorar|olvida|olvide|omite) {_GAP}(?:instrucciones|reglas|indicaciones|directrices)",
+    "es-system-prompt": r"(?:prompt|mensaje|instrucciones) (?:del )?(?:sistema|desarrollador)",
+    "es-you-are-now": r"(?:ahora eres|eres ahora|ahora actuas)",
+    "es-mode": r"modo (?:desarrollador|programador)",
+    "es-reply-only": r"responde (?:solo|unicamente|solamente) con",
+    "es-reveal": rf"(?:revela|muestra|imprime) {_GAP}(?:instrucciones|prompt)",
+    "es-from-now-on": r"a partir de ahora",
     "de-ignore-instructions": rf"(?:ignoriere|ignorieren|vergiss|missachte|ubergehe|uberspringe) {_GAP}(?:anweisungen|instruktionen|regeln|vorgaben|befehle)",
+    "de-system-prompt": r"(?:system ?prompt|systemnachricht|entwicklernachricht)",
+    "de-you-are-now": r"(?:du bist|sie sind) (?:jetzt|nun|ab sofort)",
+    "de-mode": r"entwicklermodus",
+    "de-reply-only": r"(?:antworte|antworten sie) nur mit",
+    "de-reveal": rf"(?:verrate|enthulle|zeige) {_GAP}(?:anweisungen|prompt|systemprompt)",
+    "de-from-now-on": r"ab jetzt",
 }
 RAW_RULES = {"chat-template-token": r"(?i)<\|[a-z_]+\|>", "llama-marker": r"(?i)\[\s*/?\s*inst\s*\]|<<\s*/?\s*sys\s*>>", "markdown-role-heading": r"(?im)^[ \t]*#{1,6}[ \t]*(?:system|instructions?)\b"}
 # First words of a reply that refuse.
@@ -65,5 +109,10 @@ BUDGETS = {"llm": 300, "embed": 800, "ocr": 100, "aux": 400}
 PACIFIC = "America/Los_Angeles"
 
 
+#: Letters that the match form folds, and what they become.
+FOLDED = ("أإآٱىةکیېہۀە٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹", "ااااي" + "هكييههه" + "0123456789" * 2)
+
+
 def stopwords() -> list[str]:
-    return sorted({w for words in STOPWORDS.values() for w in words.split()})
+    """All languages' function words in the match form."""
+    return sorted({w.translate(str.maketrans(*FOLDED)) for words in STOPWORDS.values() for w in words.split()})

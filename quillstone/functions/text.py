@@ -31,7 +31,7 @@ def nfkc(df: DataFrame, column: str) -> DataFrame:
 def match_form(c: Column) -> Column:
     """Lower case without format characters and Arabic marks, letters and digits folded, punctuation to spaces, single spaces."""
     x = F.regexp_replace(F.lower(c), r"[\p{Cf}\x{64B}-\x{65F}\x{670}\x{640}]", "")
-    x = F.translate(x, "أإآٱىةکیېہۀە٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹'’‘ʼ", "ااااي" + "هكييههه" + "0123456789" * 2)
+    x = F.translate(x, fixed.FOLDED[0] + "'’‘ʼ", fixed.FOLDED[1])
     return F.trim(F.regexp_replace(F.regexp_replace(x, r"[\p{P}\p{S}]", " "), r"\s+", " "))
 
 
@@ -136,6 +136,11 @@ def shingles(words: Column, n: int) -> Column:
     return F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, F.lit(n)), " "))).otherwise(F.array().cast("array<string>"))
 
 
+def hashed_shingles(words: Column, n: int) -> Column:
+    """A 64-bit hash of each run of n words, repeats included."""
+    return F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(0), F.size(words) - n), lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(n)]))).otherwise(F.array().cast("array<long>"))
+
+
 def trigger(c: Column) -> Column:
     """The phrase that a message is, exactly or with up to 12 % of typing errors (eight words, twelve characters)."""
     said = match_form(c)
@@ -181,10 +186,12 @@ def without_markers(c: Column) -> Column:
 
 
 def signals(c: Column, folded: Column) -> Column:
-    """Ids of the rules of instruction-like wording that a text and its match form (between spaces) meet, raw rules first."""
+    """Ids of the rules of instruction-like wording that a text and its match form (between spaces) meet, raw rules first. The rules are told apart only where one is met."""
+    any_rule = "|".join(f"(?:{p})" for p in fixed.INJECTION_RULES.values())
     raw = [F.when(c.rlike(p), F.lit(k)) for k, p in fixed.RAW_RULES.items()]
     own = [F.when(folded.rlike(f" (?:{p}) "), F.lit(k)) for k, p in fixed.INJECTION_RULES.items()]
-    return F.array_compact(F.array(*raw, *own))
+    none = F.array().cast("array<string>")
+    return F.concat(F.array_compact(F.array(*raw)), F.when(folded.rlike(f" (?:{any_rule}) "), F.array_compact(F.array(*own))).otherwise(none))
 
 
 def flagged(df: DataFrame, column: str) -> DataFrame:

@@ -82,6 +82,5 @@ def highlights(lines: DataFrame, most: int = 60) -> DataFrame:
 
 
 def sentences(df: DataFrame, column: str) -> DataFrame:
-    """Adds the sentences of a reply; abbreviations end none."""
-    split = F.udf(lambda s: answers.reply_sentences(s or ""), "array<string>", useArrow=True)
-    return df.withColumn("sentences", split(F.col(column)))
+    """Adds the sentences of a line; abbreviations end none."""
+    return df.withColumn("sentences", answers.sentences(F.col(column)))

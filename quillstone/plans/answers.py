@@ -75,10 +75,10 @@ def hist_text(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([("A [S1]. B [S2][S2].",), ("none",)], "said string").withColumn("text", A.history_notes(F.col("said")))
 
 
-REPLIES = ["It was 1847 [s1]. Dr. Hale wrote it [S1-S3]. Nobody knows why.", "Made up [S9].", "[[NO_ANSWER]]", "## Facts\nOne (S2).", ""]
+REPLIES = ["It was 1847 [s1]. Dr. Hale wrote it [S1-S3]. Nobody knows why.", "Made up [S9].", "[[NO_ANSWER]]", "## Facts\nOne (S2).", "The facts:\n- One (S2). Two. [S1] Three\n- Four", "No marker. At all.", ""]
 
 
-@query("SELECT r AS reply, a AS answer, c AS cited, d AS dropped FROM (VALUES ('It was 1847 [s1]. Dr. Hale wrote it [S1-S3]. Nobody knows why.', 'It was 1847 [S1]. Dr. Hale wrote it [S1][S2][S3].', [1, 2, 3], 1), ('Made up [S9].', '', [], 1), ('[[NO_ANSWER]]', '', [], 0), ('## Facts' || chr(10) || 'One (S2).', '## Facts' || chr(10) || 'One [S2].', [2], 0), ('', '', [], 0)) t(r, a, c, d)")
+@query("SELECT r AS reply, a AS answer, c AS cited, d AS dropped FROM (VALUES ('It was 1847 [s1]. Dr. Hale wrote it [S1-S3]. Nobody knows why.', 'It was 1847 [S1]. Dr. Hale wrote it [S1][S2][S3].', [1, 2, 3], 1), ('Made up [S9].', 'Made up.', [], 0), ('[[NO_ANSWER]]', '', [], 0), ('## Facts' || chr(10) || 'One (S2).', 'One [S2].', [2], 1), ('The facts:' || chr(10) || '- One (S2). Two. [S1] Three' || chr(10) || '- Four', 'The facts:' || chr(10) || '- One [S2]. Two [S1].', [2, 1], 2), ('No marker. At all.', 'No marker. At all.', [], 0), ('', '', [], 0)) t(r, a, c, d)")
 def rep_final(spark: SparkSession, d: str) -> DataFrame:
     return A.replies(spark.createDataFrame([(r, 3) for r in REPLIES], "reply string, excerpt_count int")).drop("excerpt_count")
 

@@ -158,8 +158,9 @@ def grd_ngram(spark: SparkSession, d: str) -> DataFrame:
     """How many eight-word runs of a reply (a document) stand in protected text (the benchmark). Runs are hashed; the protected side is checked before it is broadcast."""
 
     def runs(df: DataFrame, *k: str) -> DataFrame:
-        words = df.select(*k, F.explode(F.array(text.surface_words(F.col("text")))).alias("w"))  # words are split once, not once for each run
-        return words.select(*k, F.explode_outer(text.shingles(F.col("w"), fixed.GUARD_WORDS)).alias("s")).filter("s is not null")
+        hashes = lambda w: F.transform(w, lambda x: F.xxhash64(x))
+        words = df.select(*k, F.explode(F.array(hashes(text.surface_words(F.col("text"))))).alias("w"))  # words are split once, not once for each run
+        return words.select(*k, F.explode(text.hashed_shingles(F.col("w"), fixed.GUARD_WORDS)).alias("s"))
 
     known = runs(table(spark, d, "benchmark")).distinct().withColumn("hit", F.lit(1))
     known = F.broadcast(known) if known.count() <= 200_000 else known

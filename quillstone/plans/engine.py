@@ -17,10 +17,10 @@ class Engine:
         self.spark, self.provider = spark, provider or embeddings.Trigrams()
 
     def ingest(self, pages: DataFrame, **options: int) -> DataFrame:
-        """Chunks of all pages: (doc, chunk_id, chunk_index, page, content)."""
+        """Chunks of all pages: (doc, chunk_id, chunk_index, page, content); chunk_index orders a document's chunks by page, 16 million of a page at most."""
         cut = chunking.chunked(pages, **options).join(pages.select("doc_id", F.col("source").alias("doc")), "doc_id")
         key = F.xxhash64("doc_id", "chunk_index")
-        return cut.select("doc", key.alias("chunk_id"), (F.col("doc_id") * 100_000 + F.col("chunk_index")).alias("chunk_index"), F.col("doc_id").alias("page"), "content")
+        return cut.select("doc", key.alias("chunk_id"), (F.shiftleft(F.col("doc_id"), 24) + F.col("chunk_index")).alias("chunk_index"), F.col("doc_id").alias("page"), "content")
 
     def embed(self, chunks: DataFrame) -> DataFrame:
         return embeddings.embedded(chunks, "chunk_id", "content", self.provider)

@@ -102,12 +102,12 @@ def rt_reveal(spark: SparkSession, d: str) -> DataFrame:
     return m.groupBy("conv_id").agg(F.max_by("text", "turn").alias("focus"))
 
 
-@query(values(("'A b. Dr. X c. D!'", "['A b. ', 'Dr. X c. ', 'D!']"), ("''", "[]::VARCHAR[]"), names="said, sentences"))
+@query(values(("'A b. Dr. X c. D!'", "['A b.', 'Dr. X c.', 'D!']"), ("''", "['']"), ("'one. two. Three'", "['one. two.', 'Three']"), names="said, sentences"))
 def rep_sentences(spark: SparkSession, d: str) -> DataFrame:
-    return P.sentences(_rows(spark, "A b. Dr. X c. D!", ""), "said")
+    return P.sentences(_rows(spark, "A b. Dr. X c. D!", "", "one. two. Three"), "said")
 
 
-@query(values(("'One [S1]. Two.'", "1"), ("'None. At all.'", "2"), names="reply, dropped"))
+@query(values(("'One [S1]. Two.'", "1"), ("'None. At all.'", "0"), names="reply, dropped"))
 def rep_uncited(spark: SparkSession, d: str) -> DataFrame:
     return A.replies(spark.createDataFrame([("One [S1]. Two.", 2), ("None. At all.", 2)], "reply string, excerpt_count int")).select("reply", F.col("dropped").cast("int").alias("dropped"))
 

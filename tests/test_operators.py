@@ -211,8 +211,15 @@ def test_token_estimate(spark):
     assert {r.c: r.n for r in df.select("c", layout.token_estimate("c").alias("n")).collect()} == cases
 
 
-def test_replies():
+def test_replies(spark):
     from quillstone.operators import answers
 
-    assert answers.normalise_markers("a [s1-S3] (S2, 4) 【S5】") == "a [S1][S2][S3] [S2][S4] [S5]"
-    assert answers.finalise("One [S1]. Two. Mr. X said [S2].", {1, 2}) == ("One [S1]. Mr. X said [S2].", [1, 2], 1)
+    assert one(spark, answers.plain_markers, "a [s1-S3] (S2, 4) 【S5】") == "a [S1][S2][S3] [S2][S4] [S5]"
+    assert one(spark, answers.plain_markers, "[S1-S40] [S٣] [S2–4, 9] none [X1]") == "[S1][S40] [S3] [S2][S3][S4][S9] none [X1]"
+    said = lambda t, n: tuple(one(spark, lambda c: answers.finalised(c, F.lit(n)), t))
+    assert said("One [S1]. Two. Mr. X said [S2].", 2) == ("One [S1]. Mr. X said [S2].", [1, 2], 1)
+    assert said("He left in 1847. [S2] Then nothing.", 2) == ("He left in 1847 [S2].", [2], 1)
+    assert said("Uncited. Reply.", 2) == ("Uncited. Reply.", [], 0) and said("[[NO_ANSWER]] x", 2) == ("", [], 0)
+    assert said("Names:\n\n- A [S1]\n- B\n\nThe end of it all:", 1) == ("Names:\n\n- A [S1]", [1], 2)
+    assert said("About this. Heading:\n- A [S1]", 1) == ("- A [S1]", [1], 2)
+
