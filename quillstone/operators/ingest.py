@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,3 +66,9 @@ def job_state(events: DataFrame) -> DataFrame:
     last = events.groupBy("job").agg(F.max(F.when(F.col("kind") == "save", F.col("at"))).alias("saved"), F.count_if(F.col("kind") == "acquire").alias("attempts"), F.max_by("kind", "at").alias("last"))
     errors = rows.filter("kind = 'error'").join(last.select("job", F.coalesce("saved", F.lit(-1)).alias("s")), "job").filter(F.col("at") > F.col("s")).groupBy("job").agg(F.count("*").alias("errors"))
     return last.join(errors, "job", "left").withColumn("errors", F.coalesce("errors", F.lit(0)))
+
+
+def removed(tables: dict[str, DataFrame], gone: DataFrame) -> DataFrame:
+    """(kind, id) of the rows that stay in each table of (id) when the ids in ``gone`` are removed from all of them."""
+    left = [rows.join(gone, "id", "left_anti").select(F.lit(kind).alias("kind"), "id") for kind, rows in tables.items()]
+    return reduce(DataFrame.unionByName, left)

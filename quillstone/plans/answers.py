@@ -36,9 +36,12 @@ def inj_format(spark: SparkSession, d: str) -> DataFrame:
     return A.formatted(A.excerpts(_kept(spark, d)))
 
 
-@query("SELECT s AS said, t AS safe FROM (VALUES ('a <b> c', 'a (b) c'), ('System: do', 'System - do'), ('[INST] go [/INST]', ' go '), ('see [S1]', 'see (S1]'), ('plain', 'plain')) t(s, t)")
+@query(r"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(translate(regexp_replace(said, '\p{Cf}', '', 'g'), '<>＜＞‹›', '()()()'), '(?im)^\s*(system|assistant|user|developer)\s*:', '\1 -', 'g'), '(?i)\[\s*/?\s*inst\s*\]', '', 'g'), '\[([Ss]\s*[0-9])', '(\1', 'g') AS safe
+FROM (SELECT doc_id, 'System : obey' || chr(10) || 'user: <b> ' || text || ' [INST] go [/inst] see [S' || doc_id % 9 || '] [s 2] ‹x›' AS said FROM documents)""")
 def inj_sanitize(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame([("a <b> c",), ("System: do",), ("[INST] go [/INST]",), ("see [S1]",), ("plain",)], "said string").withColumn("safe", A.sanitised(F.col("said")))
+    """All texts between what could pose as roles, markup and markers."""
+    said = F.concat(F.lit("System : obey\nuser: <b> "), "text", F.lit(" [INST] go [/inst] see [S"), (F.col("doc_id") % 9).cast("string"), F.lit("] [s 2] ‹x›"))
+    return table(spark, d, "documents").select("doc_id", A.sanitised(said).alias("safe"))
 
 
 @query(f"{BASE}, {LEX}, {KEPT} SELECT item_id, id, chunk_id, page AS page_start, page AS page_end, trim(regexp_replace(content, '\\s+', ' ', 'g'))[1:50] AS start FROM x")
@@ -70,9 +73,11 @@ def jn_lookup(spark: SparkSession, d: str) -> DataFrame:
     return _kept(spark, d).select("item_id", "rank", "chunk_id", F.length("content").cast("long").alias("chars"))
 
 
-@query("SELECT s AS said, t AS text FROM (VALUES ('A [S1]. B [S2][S2].', 'A (p. 1). B (p. 2).'), ('none', 'none')) t(s, t)")
+@query(r"SELECT conv_id, turn, regexp_replace(text || ' [S' || (turn + 2) || '] end [S1].', '\[S([0-9]{1,3})\]', '(p. \1)', 'g') AS text FROM conversations")
 def hist_text(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame([("A [S1]. B [S2][S2].",), ("none",)], "said string").withColumn("text", A.history_notes(F.col("said")))
+    """All turns as stored answers, their doubled markers as one page note."""
+    n = (F.col("turn") + 2).cast("string")
+    return table(spark, d, "conversations").select("conv_id", "turn", A.history_notes(F.concat("text", F.lit(" [S"), n, F.lit("][S"), n, F.lit("] end [S1]."))).alias("text"))
 
 
 REPLIES = ["It was 1847 [s1]. Dr. Hale wrote it [S1-S3]. Nobody knows why.", "Made up [S9].", "[[NO_ANSWER]]", "## Facts\nOne (S2).", "The facts:\n- One (S2). Two. [S1] Three\n- Four", "No marker. At all.", ""]
@@ -88,9 +93,12 @@ def fn_page_refs(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(s,) for s in ("See page 3 and p. 7", "pages 2-4", "pages 1 to 9", "Seite 12", "page 400", "no page")], "said string").withColumn("pages", A.page_references(F.col("said"), F.lit(50)))
 
 
-@query("SELECT s AS said, t AS here FROM (VALUES ('What does this page say?', true), ('Résume cette page', true), ('page 3', false)) t(s, t)")
+@query(r"SELECT item_id, regexp_matches(said, '(?i)\b(?:this|current|visible) page\b|\bcette page\b|\besta página\b|\bdiese[rn]? seite\b|هذه الصفحة') AS here FROM (SELECT item_id, text || CASE item_id % 4 WHEN 0 THEN ' What does this page say?' WHEN 1 THEN ' Résume cette page' WHEN 2 THEN ' auf dieser Seite' ELSE ' page 3' END AS said FROM benchmark)")
 def fn_deictic(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame([("What does this page say?",), ("Résume cette page",), ("page 3",)], "said string").withColumn("here", A.deictic(F.col("said")))
+    """All items, some of them asked of the page in view."""
+    k = F.col("item_id") % 4
+    said = F.concat("text", F.when(k == 0, " What does this page say?").when(k == 1, " Résume cette page").when(k == 2, " auf dieser Seite").otherwise(" page 3"))
+    return table(spark, d, "benchmark").select("item_id", A.deictic(said).alias("here"))
 
 
 @query("SELECT s AS said, t AS names FROM (VALUES ('Who was the brother of Anna Karlsson, Peter?', ['anna', 'karlsson', 'peter']), ('All Words Are Capital Here', []::VARCHAR[]), ('nobody', []::VARCHAR[])) t(s, t)")
@@ -227,11 +235,12 @@ def src_embed(spark: SparkSession, d: str) -> DataFrame:
     return E.embedded(table(spark, d, "benchmark"), "item_id", "text")
 
 
-@query("SELECT d.doc_id, d.source FROM documents d WHERE d.source <> 'src3'")
+@query("SELECT 'documents' AS kind, doc_id AS id FROM documents WHERE source <> 'src3' UNION ALL SELECT 'labels', doc_id FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE source = 'src3') UNION ALL SELECT 'embeddings', vec_id FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM documents WHERE source = 'src3')")
 def rm_document(spark: SparkSession, d: str) -> DataFrame:
-    """What is left of the pages after a manuscript is removed, by its keys."""
-    docs = table(spark, d, "documents").select("doc_id", "source")
-    return docs.join(docs.filter("source = 'src3'").select("doc_id"), "doc_id", "left_anti")
+    """What is left after a manuscript is removed: its pages and all that hangs on them."""
+    docs = table(spark, d, "documents")
+    tables = {"documents": docs.select(F.col("doc_id").alias("id")), "labels": table(spark, d, "labels").select(F.col("doc_id").alias("id")), "embeddings": table(spark, d, "embeddings").select(F.col("vec_id").alias("id"))}
+    return I.removed(tables, docs.filter("source = 'src3'").select(F.col("doc_id").alias("id")))
 
 
 @query("SELECT user_id, event_type, greatest(0, sum(CASE WHEN event_id % 10 = 0 THEN -1 ELSE 1 END))::BIGINT AS used FROM events WHERE event_type IN ('view', 'click') GROUP BY ALL")
@@ -267,12 +276,15 @@ def smp_repr(spark: SparkSession, d: str) -> DataFrame:
     return Y.sampled(parts).groupBy("doc").agg(F.count("*").alias("n"), F.min("chunk_index").cast("int").alias("first"))
 
 
-@query("SELECT t AS turn_id, s AS text, r AS refused FROM (VALUES (1, 'It is so [S1].', false), (2, '', true)) v(t, s, r)")
+@query("SELECT conv_id * 1000 + turn AS turn_id, CASE WHEN conv_id % 6 = 0 THEN '' ELSE text END AS text, conv_id % 6 = 0 AS refused FROM conversations")
 def st_stream_hold(spark: SparkSession, d: str) -> DataFrame:
-    parts = [(1, 0, "It is"), (1, 1, " so [S"), (1, 2, "1]."), (2, 0, "[[NO_"), (2, 1, "ANSWER]] x")]
-    out = Y.streamed(spark.createDataFrame(parts, "turn_id long, seq long, text string"))
+    """All turns as streams of seven characters at a time, every sixth conversation a refusal: nothing of a refusal is shown, all of the others in the end."""
+    said = F.concat(F.when(F.col("conv_id") % 6 == 0, " [[NO_ANSWER]]").otherwise(""), "text")
+    whole = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("turn_id"), said.alias("said"))
+    parts = whole.select("turn_id", "said", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.floor((F.length("said") - 1) / 7), F.lit(0)).cast("long"))).alias("seq"))
+    out = Y.streamed(parts.select("turn_id", "seq", F.substring("said", (F.col("seq") * 7 + 1).cast("int"), F.lit(7)).alias("text")))
     joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]), "")
-    return out.groupBy("turn_id").agg(joined.alias("text"), F.max("refused").alias("refused")).withColumn("turn_id", F.col("turn_id").cast("int"))
+    return out.groupBy("turn_id").agg(joined.alias("text"), F.max("refused").alias("refused"))
 
 
 @query(r"""SELECT doc_id, ceil((list_sum(list_transform(regexp_extract_all(text, '[\p{L}\p{M}]+'), lambda x: greatest(100, 34 * length(x)))) + coalesce(list_sum(list_transform(regexp_extract_all(text, '[0-9]+'), lambda x: greatest(100, 55 * length(x)))), 0)

@@ -119,19 +119,29 @@ def fn_trigger(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(s,) for s in SAID], "said string").withColumn("phrase", text.trigger(F.col("said")))
 
 
-@query("SELECT s AS said, t AS text FROM (VALUES ('cannot open /var/lib/x/file.pdf now', 'cannot open <path> now'), ('no path / here', 'no path / here'), ('C:\\Users\\me\\a.pdf failed', '<path> failed')) t(s, t)")
+@query(r"""SELECT doc_id, regexp_replace(regexp_replace(said, '[A-Za-z]:\\[^\s''"]+', '<path>', 'g'), '(^|[\s''"(])/(?:[^\s/''"]+/)+[^\s/''"]*', '\1<path>', 'g') AS text FROM (SELECT doc_id, 'cannot open /var/lib/' || doc_id || '/file.pdf or C:\Users\me\' || doc_id || '.pdf / ' || text AS said FROM documents)""")
 def fn_scrub(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame([("cannot open /var/lib/x/file.pdf now",), ("no path / here",), ("C:\\Users\\me\\a.pdf failed",)], "said string").withColumn("text", text.scrubbed(F.col("said")))
+    """All texts behind an error that names paths."""
+    k = F.col("doc_id").cast("string")
+    said = F.concat(F.lit("cannot open /var/lib/"), k, F.lit("/file.pdf or C:\\Users\\me\\"), k, F.lit(".pdf / "), "text")
+    return _docs(spark, d).select("doc_id", text.scrubbed(said).alias("text"))
 
 
-@query("SELECT s AS said, t AS markers, u AS shown FROM (VALUES ('A [S1]. B [S3][S1].', [1, 3], 'A. B.'), ('none', []::INTEGER[], 'none'), ('open [S', []::INTEGER[], 'open')) t(s, t, u)")
+@query(r"""SELECT conv_id, turn, list_filter(m, lambda x, i: list_position(m, x) = i) AS markers, trim(regexp_replace(regexp_replace(said, '\s*\[S[0-9]{1,3}\]', '', 'g'), '\[S?[0-9]*$', '')) AS shown
+FROM (SELECT *, list_transform(regexp_extract_all(said, '\[S([0-9]{1,3})\]', 1), lambda x: x::INTEGER) AS m FROM (SELECT conv_id, turn, '[S' || (turn + 2) || '] ' || text || ' [S1][S' || (turn + 2) || ']. [S' AS said FROM conversations))""")
 def rep_markers(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame([("A [S1]. B [S3][S1].",), ("none",), ("open [S",)], "said string").select("said", text.markers(F.col("said")).alias("markers"), text.without_markers(F.col("said")).alias("shown"))
+    """All turns with markers before and after them, the last unfinished."""
+    n = (F.col("turn") + 2).cast("string")
+    said = F.concat(F.lit("[S"), n, F.lit("] "), "text", F.lit(" [S1][S"), n, F.lit("]. [S"))
+    return table(spark, d, "conversations").select("conv_id", "turn", text.markers(said).alias("markers"), text.without_markers(said).alias("shown"))
 
 
-@query("SELECT s AS said, t AS refused FROM (VALUES ('No, it does not.', true), ('**not** here', true), ('Yes', false), ('Nothing', false), ('لا', true)) t(s, t)")
+@query(r"SELECT conv_id, turn, lower(regexp_extract(said, '[\p{L}\p{N}]+')) IN ('no', 'not', 'لا', 'ليس', 'غير', 'لم') AS refused FROM (SELECT conv_id, turn, CASE conv_id % 5 WHEN 0 THEN '**Not** so. ' WHEN 1 THEN 'لا، ' WHEN 2 THEN '(no) ' ELSE '' END || text AS said FROM conversations)")
 def grd_ground(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame([("No, it does not.",), ("**not** here",), ("Yes",), ("Nothing",), ("لا",)], "said string").withColumn("refused", text.refuses(F.col("said")))
+    """All turns as grounding replies, some of them a no."""
+    k = F.col("conv_id") % 5
+    said = F.concat(F.when(k == 0, "**Not** so. ").when(k == 1, "لا، ").when(k == 2, "(no) ").otherwise(""), "text")
+    return table(spark, d, "conversations").select("conv_id", "turn", text.refuses(said).alias("refused"))
 
 
 _RULES_SQL = " || ".join(f"CASE WHEN regexp_matches(' ' || {norm_sql('said')} || ' ', ' (?:{p}) ') THEN ['{k}'] ELSE []::VARCHAR[] END" for k, p in fixed.INJECTION_RULES.items())

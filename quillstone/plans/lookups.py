@@ -102,9 +102,9 @@ def rt_reveal(spark: SparkSession, d: str) -> DataFrame:
     return m.groupBy("conv_id").agg(F.max_by("text", "turn").alias("focus"))
 
 
-@query(values(("'A b. Dr. X c. D!'", "['A b.', 'Dr. X c.', 'D!']"), ("''", "['']"), ("'one. two. Three'", "['one. two.', 'Three']"), names="said, sentences"))
+@query(values(("'He came. Dr. Hale left. Done!'", "['He came.', 'Dr. Hale left.', 'Done!']"), ("''", "['']"), ("'one. two. Three'", "['one. two.', 'Three']"), names="said, sentences"))
 def rep_sentences(spark: SparkSession, d: str) -> DataFrame:
-    return P.sentences(_rows(spark, "A b. Dr. X c. D!", "", "one. two. Three"), "said")
+    return P.sentences(_rows(spark, "He came. Dr. Hale left. Done!", "", "one. two. Three"), "said")
 
 
 @query(values(("'One [S1]. Two.'", "1"), ("'None. At all.'", "0"), names="reply, dropped"))
@@ -112,14 +112,20 @@ def rep_uncited(spark: SparkSession, d: str) -> DataFrame:
     return A.replies(spark.createDataFrame([("One [S1]. Two.", 2), ("None. At all.", 2)], "reply string, excerpt_count int")).select("reply", F.col("dropped").cast("int").alias("dropped"))
 
 
-@query(values(("'[[NO_ANSWER]]'", "true"), ("'The uploaded document does not provide enough information.'", "true"), ("'The document says so.'", "false"), names="said, refused"))
+@query(r"SELECT conv_id, turn, regexp_matches(said, '^\s*(?:\[\[NO_ANSWER\]\]|(?i:the (?:uploaded )?document does not (?:provide|contain) (?:enough )?information))') AS refused FROM (SELECT conv_id, turn, CASE conv_id % 4 WHEN 0 THEN '[[NO_ANSWER]] ' WHEN 1 THEN ' The document does not contain information on it. ' ELSE '' END || text AS said FROM conversations)")
 def rep_refusal(spark: SparkSession, d: str) -> DataFrame:
-    return _rows(spark, "[[NO_ANSWER]]", "The uploaded document does not provide enough information.", "The document says so.").withColumn("refused", P.refusal(F.col("said")))
+    """All turns, some with a refusal before them."""
+    k = F.col("conv_id") % 4
+    said = F.concat(F.when(k == 0, "[[NO_ANSWER]] ").when(k == 1, " The document does not contain information on it. ").otherwise(""), "text")
+    return table(spark, d, "conversations").select("conv_id", "turn", P.refusal(said).alias("refused"))
 
 
-@query(values(("'Title' || chr(10) || '- a [S1]' || chr(10) || '- b'", "'Title' || chr(10) || '- a [S1]'"), names="said, text"))
+@query(r"""SELECT conv_id, turn, array_to_string(list_filter(string_split(said, chr(10)), lambda x: NOT regexp_matches(x, '^\s*[-*•]') OR regexp_matches(x, '\[S[0-9]{1,3}\]')), chr(10)) AS text
+FROM (SELECT conv_id, turn, text || chr(10) || '- a [S' || turn || ']' || chr(10) || '• b' || chr(10) || 'end' AS said FROM conversations)""")
 def rep_points(spark: SparkSession, d: str) -> DataFrame:
-    return _rows(spark, "Title\n- a [S1]\n- b").withColumn("text", P.cited_points(F.col("said")))
+    """All turns with a list after them; points that cite nothing go."""
+    said = F.concat("text", F.lit("\n- a [S"), F.col("turn").cast("string"), F.lit("]\n• b\nend"))
+    return table(spark, d, "conversations").select("conv_id", "turn", P.cited_points(said).alias("text"))
 
 
 @query("SELECT item_id, 'Answer in en from the excerpts alone and cite them as [S1].' || chr(10) || '<x>' || chr(10) || 'Question: ' || text AS prompt FROM benchmark")
@@ -127,9 +133,11 @@ def prm_build(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "benchmark").select("item_id", P.prompt(F.col("text"), F.lit("<x>"), F.lit("en")).alias("prompt"))
 
 
-@query(values(("'A [S1] b'", "'A b'"), ("'A [S'", "'A'"), names="said, shown"))
+@query(r"SELECT conv_id, turn, trim(regexp_replace(regexp_replace(said, '\s*\[S[0-9]{1,3}\]', '', 'g'), '\[S?[0-9]*$', '')) AS shown FROM (SELECT conv_id, turn, text || ' [S' || turn || '] and [S1' AS said FROM conversations)")
 def ui_display(spark: SparkSession, d: str) -> DataFrame:
-    return _rows(spark, "A [S1] b", "A [S").withColumn("shown", text.without_markers(F.col("said")))
+    """All turns as they stream: markers hidden, an unfinished one too."""
+    said = F.concat("text", F.lit(" [S"), F.col("turn").cast("string"), F.lit("] and [S1"))
+    return table(spark, d, "conversations").select("conv_id", "turn", text.without_markers(said).alias("shown"))
 
 
 BODIES = ['{"error":{"code":429,"message":"Quota PerDay, retry in 23s","status":"X"}}', '{"error":{"code":500,"message":"{\\"error\\":{\\"code\\":503,\\"message\\":\\"wait 250ms\\"}}"}}', "gone"]
