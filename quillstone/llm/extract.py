@@ -1,9 +1,9 @@
-"""Main text of web pages: what the markup settles, and page differencing for the rest.
+"""Main text of web pages by page differencing, beside what the markup says.
 
-Tags, roles and class names settle most lines: an article or main element is kept, menus, forms, adverts, notices and comments go. Where a
-page marks no article, its remaining lines are compared with those of the nearest pages by URL path of the same host: both are aligned by
-their longest common subsequence, and lines that they share are the site's, not the page's. Where the neighbours are copies of the page, lines on
-most different pages of the host are the site's.
+Every page's text lines are aligned with those of the nearest pages by URL path of the same host, by their longest common subsequence; lines that a page
+shares with such a neighbour are the site's, not the page's, and go. Markup is evidence about a line: one inside an article element is the page's
+even where another page repeats it; one in a menu, form, advert, notice or comment is not the page's, but still helps to align. Where a neighbour is
+mostly a copy of the page, only those shared lines go that stand on most different pages of the host.
 """
 
 from __future__ import annotations
@@ -34,18 +34,51 @@ HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 BAD = frozenset(
     "ad ads adv advert adverts advertisement advertising banner promo promotion sponsor sponsored cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup "
     "sidebar side rail menu nav navbar navigation breadcrumb breadcrumbs header masthead topbar footer bottombar comment comments commentlist reply replies respond discussion disqus share sharing social related recommended "
-    "recommendations pagination pager widget toolbar login search skip form copyright legal disclaimer tags byline outbrain taboola".split()
+    "recommendations pagination pager widget toolbar login search skip form copyright disclaimer outbrain taboola".split()
 )
 GOOD = frozenset("article content main post entry story text maincontent articlebody".split())
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+OPEN = re.compile(r"<(?:!--|!\[CDATA\[|[!?]|(/?)([A-Za-z][A-Za-z0-9:-]*+))")
+#: The rest of a tag, with quoted values that may hold its end.
+REST = re.compile(r"""[^>"']*+(?:(?:"[^"]*+"|'[^']*+')[^>"']*+)*+>""")
 NAMES = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 PARTS = re.compile(r"[A-Za-z]+")
 HIDDEN = re.compile(r"""\bhidden\b(?!\s*=\s*["']?until)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
-#: Pages of one unit of differencing, pages parsed together, share of a page's characters from which a neighbour is a copy of it.
-UNIT, TOGETHER, COPY = 2000, 128, 0.6
-#: Different pages from which a host's usual lines are told; hosts whose usual lines are broadcast at most. Beyond it Spark joins by shuffle.
-PAGES, BROADCAST = 3, 20_000
+#: A line's mark: inside an article element; undecided; left out by the markup.
+INSIDE, OPEN_, OUTSIDE = 1, 0, -1
+#: Pages of one unit of differencing, units at most, pages parsed together, share of a page's undecided characters from which a neighbour is a copy of it.
+UNIT, UNITS, TOGETHER, COPY = 2000, 1 << 16, 128, 0.6
+#: Different pages from which a host's usual lines are told; hosts whose usual lines are broadcast at most (beyond it Spark joins by shuffle); bits of
+#: an alignment's table that are held at once.
+PAGES, BROADCAST, BITS = 3, 20_000, 1 << 28
+
+
+class Tags:
+    """A page's tags from left to right in linear time. A tag, comment or declaration without an end takes the rest of the page with it."""
+
+    def __init__(self, page: str):
+        self.page, self.quotes = page, True
+
+    def next(self, at: int) -> tuple[int, int, str | None, bool, str]:
+        """Where the next tag begins and ends, its name (None for what is no tag), whether it closes, its attributes. At the end of the page it begins there."""
+        page = self.page
+        m = OPEN.search(page, at)
+        if not m:
+            return len(page), len(page), None, False, ""
+        start, end = m.span()
+        if m[2] is None:
+            close = {"<!--": "-->", "<![CDATA[": "]]>"}.get(m[0], ">")
+            to = page.find(close, end - 2 if m[0] == "<!--" and page.startswith(">", end) else end)
+            return start, len(page) if to < 0 else to + len(close), None, False, ""
+        if self.quotes:
+            r = REST.match(page, end)
+            if r:
+                return start, r.end(), m[2].lower(), m[1] == "/", page[end : r.end() - 1]
+            self.quotes = False  # a quote that never ends: from here on, a tag ends at its first >
+        to = page.find(">", end)
+        if to < 0:
+            return start, len(page), None, False, ""
+        return start, to + 1, m[2].lower(), m[1] == "/", page[end:to]
 
 
 def _marks(tag: str, attrs: str) -> str:
@@ -65,47 +98,63 @@ def _marks(tag: str, attrs: str) -> str:
     return "in" if words & {"article", "maincontent", "articlebody"} or {"main", "content"} <= words or {"post", "content"} <= words or {"entry", "content"} <= words else ""
 
 
-def lines(page: str) -> tuple[list[str], bool]:
-    """The blocks that the markup leaves, in page order, and whether an article element settled them."""
-    inside: list[str] = []  # blocks of the article
-    around: list[str] = []
+def lines(page: str) -> list[tuple[str, int]]:
+    """The page's blocks of text in their order, each with its mark. Scripts, styles and their like are no text.
+
+    Beside an article element everything else is left out; beside a main element, or one whose class says so, everything around it.
+    """
+    out: list[tuple[str, int, bool]] = []  # text, mark, inside a main element
     held: list[str] = []
-    article: list[str] = []  # open elements of the article, by tag
-    header = heading = False
-    skip, depth, found = "", 0, False
-    at, low = 0, None
+    article: list[str] = []  # open elements that hold the main text, by tag
+    strong = header = heading = False  # the open one is an article element; inside a header or heading of it
+    skip, depth = "", 0
+    tags, at = Tags(page), 0
+    seen_article = seen_main = False
 
     def end() -> None:
+        nonlocal seen_article, seen_main
         text = " ".join(entities.unescape("".join(held)).split())
         held.clear()
         if text:
-            (inside if article else around).append(text)
+            gone = bool(skip) or header and bool(article) and not heading
+            out.append((text, OUTSIDE if gone else INSIDE if article and strong else OPEN_, bool(article)))
+            seen_article |= out[-1][1] == INSIDE
+            seen_main |= bool(article) and not gone
 
     while at < len(page):
-        m = TAG.search(page, at)
-        if not skip and not (header and article and not heading):
-            held.append(page[at : m.start() if m else len(page)])
-        if not m:
+        start, to, tag, closing, attrs = tags.next(at)
+        held.append(page[at:start])
+        if start == len(page):
             break
-        at = m.end()
-        tag = m[2]
+        at = to
         if tag is None:
-            if m[0].startswith("<![CDATA[") and not skip:
-                held.append(entities.escape(m[0][9:-3]))
+            if page.startswith("<![CDATA[", start):
+                held.append(entities.escape(page[start + 9 : to - 3]))
+            continue
+        if tag in RAW and not closing:
+            m = re.compile(f"</{re.escape(tag)}(?![A-Za-z0-9])[^>]*>?", re.I).search(page, at)
+            at = m.end() if m else len(page)
             continue
-        tag, closing = tag.lower(), m[1] == "/"
         if skip:
             if tag == skip:
                 depth += -1 if closing else 0 if skip in SHORT else 1
                 if depth <= 0 or not closing and skip in SHORT:
+                    end()
                     skip = ""
                     if closing:
                         continue
                 else:
+                    if tag in BLOCK:
+                        end()
                     continue
             elif skip in SHORT and (closing and tag in BLOCK or tag in BLOCK and tag not in SHORT and skip == "p"):
+                end()
                 skip = ""
             else:
+                if tag in BLOCK:
+                    end()
+                elif tag in ("br", "td", "th"):
+                    held.append(" ")
                 continue
         if closing:
             if tag in BLOCK:
@@ -117,21 +166,13 @@ def lines(page: str) -> tuple[list[str], bool]:
             if article and tag == article[0]:
                 article.pop()
             continue
-        if tag in RAW:
-            if low is None:
-                low = page.lower()
-            to = low.find(f"</{tag}", at)
-            to = len(page) if to < 0 else to
-            close = page.find(">", to)
-            at = len(page) if close < 0 else close + 1
-            continue
         if tag in BLOCK:
             end()
         elif tag in ("br", "td", "th"):
             held.append(" ")
         if tag in VOID:
             continue
-        mark = _marks(tag, m[3])
+        mark = _marks(tag, attrs)
         if tag == "header":
             if article:
                 header, heading = True, False
@@ -140,24 +181,24 @@ def lines(page: str) -> tuple[list[str], bool]:
         if tag in HEADING:
             heading = True
         if tag in OUT or mark == "out":
-            if not m[3].rstrip().endswith("/"):
+            if not attrs.rstrip().endswith("/"):
                 skip, depth = tag, 1
             continue
-        if tag in ("article", "main") or mark == "in":
-            if article:
-                if tag == article[0]:
-                    article.append(tag)
-            else:
+        if article:
+            if tag == "article" and not strong:  # an article inside a main element
+                article, strong = [tag], True
+            elif tag == article[0]:
                 article.append(tag)
-                found = True
-        elif article and tag == article[0]:
-            article.append(tag)
+        elif tag in ("article", "main") or mark == "in":
+            article, strong = [tag], tag == "article"
     end()
-    return (inside, True) if found and inside else (around + inside, False)
+    if seen_article:
+        return [(t, m if m == INSIDE else OUTSIDE) for t, m, _ in out]
+    return [(t, OUTSIDE if seen_main and not inside else m) for t, m, inside in out]
 
 
-def shared(a: list[str], b: list[str]) -> set[int]:
-    """Indices of a's lines in a longest common subsequence of both; equal ends are matched first."""
+def shared(a: list, b: list) -> list[tuple[int, int]]:
+    """A longest common subsequence of both as pairs of indices, ascending. Equal ends are matched first; the rest by whole numbers whose bits are b's items."""
     n, m = len(a), len(b)
     head = 0
     while head < min(n, m) and a[head] == b[head]:
@@ -165,63 +206,93 @@ def shared(a: list[str], b: list[str]) -> set[int]:
     tail = 0
     while tail < min(n, m) - head and a[n - 1 - tail] == b[m - 1 - tail]:
         tail += 1
-    out = {*range(head), *range(n - tail, n)}
-    know = set(b[head : m - tail])
+    know, have = set(b[head : m - tail]), set(a[head : n - tail])
     x = [k for k in range(head, n - tail) if a[k] in know]
-    have = {a[k] for k in x}
     y = [k for k in range(head, m - tail) if b[k] in have]
-    if not x or not y:
-        return out
-    ids = {t: k for k, t in enumerate(have)}
-    u, v = [ids[a[k]] for k in x], np.array([ids[b[k]] for k in y])
-    rows = np.zeros((len(u) + 1, len(v) + 1), np.int32)
-    for i in range(len(u) - 1, -1, -1):  # longest for the suffixes; a running maximum from the right
-        best = np.maximum(rows[i + 1, :-1], np.where(v == u[i], rows[i + 1, 1:] + 1, 0))
-        rows[i, :-1] = np.maximum.accumulate(best[::-1])[::-1]
-    i = j = 0
-    while i < len(u) and j < len(v):
-        if u[i] == v[j] and rows[i, j] == rows[i + 1, j + 1] + 1:
-            out.add(x[i])
-            i, j = i + 1, j + 1
-        elif rows[i + 1, j] == rows[i, j]:
-            i += 1
-        else:
-            j += 1
-    return out
+    inner = _common([a[k] for k in x], [b[k] for k in y])
+    return [(k, k) for k in range(head)] + [(x[i], y[j]) for i, j in inner] + [(n - k, m - k) for k in range(tail, 0, -1)]
+
+
+def _rows(a: list, b: list) -> Iterator[int]:
+    """For each prefix of a, the bits of b: a zero where the longest common subsequence with b's prefix grows."""
+    where: dict = {}
+    for k, t in enumerate(b):
+        where[t] = where.get(t, 0) | 1 << k
+    full = (1 << len(b)) - 1
+    v = full
+    for t in a:
+        u = v & where.get(t, 0)
+        v = ((v + u) | (v - u)) & full
+        yield v
+
+
+def _common(a: list, b: list) -> list[tuple[int, int]]:
+    if not a or not b:
+        return []
+    if len(a) * len(b) <= BITS or len(a) == 1:
+        rows = [(1 << len(b)) - 1, *_rows(a, b)]
+        out, i, j = [], len(a), len(b)
+        zeros = lambda v, j: j - (v & (1 << j) - 1).bit_count()
+        left = zeros(rows[i], j)
+        while left:
+            while zeros(rows[i - 1], j) == left:
+                i -= 1
+            j = (~rows[i] & (1 << j) - 1).bit_length() - 1
+            i, left = i - 1, left - 1
+            out.append((i, j))
+        return out[::-1]
+    # Too large a table: halve a, and cut b where both halves together have most in common.
+    mid = len(a) // 2
+    last = lambda a, b: list(np.append(0, np.cumsum(1 - np.unpackbits(np.frombuffer(_last(a, b).to_bytes(len(b) // 8 + 1, "little"), np.uint8), bitorder="little")[: len(b)].astype(np.int64))))
+    one, two = np.array(last(a[:mid], b)), np.array(last(a[mid:][::-1], b[::-1]))[::-1]
+    cut = int(np.argmax(one + two))
+    return _common(a[:mid], b[:cut]) + [(i + mid, j + cut) for i, j in _common(a[mid:], b[cut:])]
+
+
+def _last(a: list, b: list) -> int:
+    v = 0
+    for v in _rows(a, b):
+        pass
+    return v
 
 
 def _hash(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode(), digest_size=8).digest(), "little", signed=True)
 
 
-def differenced(own: list[str], near: list[list[str]], usual: frozenset[int] = frozenset()) -> list[str]:
-    """own without the lines that it shares with its neighbours; a neighbour that is a copy of most of the page says nothing about the site.
+Page = list[tuple[str, int]]
+
+
+def differenced(own: Page, near: list[Page], usual: frozenset[int] = frozenset()) -> list[str]:
+    """The lines of own that its markup does not leave out, without those undecided ones that it shares with a neighbour.
 
-    Where all neighbours are such copies, own without the host's usual lines, if anything is left then.
+    A line that the neighbour holds inside its article stays. Of a neighbour that shares more than COPY of the undecided characters only the host's usual lines
+    count, where the host has enough different pages to tell; where it has not, all of them, unless nothing would be left.
     """
+    text = [t for t, _ in own]
+    whole = sum(len(t) for t, m in own if m == OPEN_)
     gone: set[int] = set()
-    whole = sum(map(len, own))
-    told = not near
     for other in near:
-        both = shared(own, other)
-        if sum(len(own[k]) for k in both) <= COPY * whole:
-            gone |= both
-            told = True
-    if not told:
-        return [t for t in own if _hash(t) not in usual] or own
-    return [t for k, t in enumerate(own) if k not in gone]
+        both = {i for i, j in shared(text, [t for t, _ in other]) if own[i][1] == OPEN_ and other[j][1] != INSIDE}
+        if sum(len(text[i]) for i in both) > COPY * whole:
+            if usual:
+                both = {i for i in both if _hash(text[i]) in usual}
+            elif all(i in both for i, (_, m) in enumerate(own) if m != OUTSIDE):
+                continue
+        gone |= both
+    return [t for i, (t, m) in enumerate(own) if m != OUTSIDE and i not in gone]
 
 
 def _usual(rows: DataFrame) -> DataFrame:
-    """Per host the hashes of lines that stand on more than half of its different pages that no article settles; hosts of fewer than PAGES such pages have none."""
+    """Per host the hashes of undecided lines that stand on more than half of its different pages with such lines; hosts of fewer than PAGES such pages have none."""
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for r in batch.to_pylist():
-                text, settled = lines(r["html"])
-                if text and not settled:
-                    out.append({"host": r["host"], "page": _hash("\x00".join(text)), "lines": sorted({_hash(t) for t in text})})
+            for host, page in zip(batch["host"].to_pylist(), batch["html"], strict=True):
+                open_ = sorted({_hash(t) for t, m in lines(page.as_py()) if m == OPEN_})
+                if open_:
+                    out.append({"host": host, "page": _hash(repr(open_)), "lines": open_})
             yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("host", pa.string()), ("page", pa.int64()), ("lines", pa.list_(pa.int64()))]))
 
     different = rows.filter("host <> ''").select("host", "html").mapInArrow(listed, "host string, page long, lines array<long>").groupBy("host", "page").agg(F.first("lines").alias("lines"))
@@ -231,69 +302,85 @@ def _usual(rows: DataFrame) -> DataFrame:
     return settle(often.join(of, "host").filter("2 * n > of").groupBy("host").agg(F.collect_list("line").alias("usual")), "usual")
 
 
-def _pack(text: list[str]) -> bytes:
-    return zlib.compress("\x00".join(text).encode(), 1) if text else b""
+def _pack(page: Page) -> bytes:
+    """The separator is white space, which no line holds but single spaces."""
+    return zlib.compress("\x1e".join(f"{m + 1}{t}" for t, m in page).encode(errors="surrogatepass"), 1) if page else b""
+
+
+def _unpack(data: bytes) -> Page:
+    return [(x[1:], int(x[0]) - 1) for x in zlib.decompress(data).decode(errors="surrogatepass").split("\x1e")] if data else []
 
 
-def _unpack(data: bytes) -> list[str]:
-    return zlib.decompress(data).decode().split("\x00") if data else []
+KEY = ["host", "path", "sum"]
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """Per page: page_id, url, text (blocks joined by an empty line; empty if none) and n_chars.
 
-    Pages are sorted by host, path, page_id and URL into units of about UNIT pages; a unit also gets the last page before it and the first after it,
-    so a page's two neighbours are the same however the rows are dealt. A large host spans many units. A null html is empty; a null URL has
-    neither host nor path, and a page has no neighbours there. Rows keep their repeats; other columns are not read.
+    Different pages (by host, path and a hash of the html) are sorted by host, path and hash into units of about UNIT; a unit also gets the last page before it
+    and the first after it, so a page's two neighbours are the same however the rows are dealt. A large host spans many units, and copies of a page are
+    differenced once: rows with the same URL and html get the same text. Beyond UNIT * UNITS pages units grow. A null html is empty; a null URL or one
+    without a host has no neighbours. Rows keep their repeats; other columns are not read.
     """
     spark = pages.sparkSession
     modest_batches(spark)
     url = F.col("url").cast("string")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), url.alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    key = ["host", "path", "page_id", "url"]
-    light = rows.select(F.coalesce(urls.host_of(url), F.lit("")).alias("host"), F.coalesce(urls.path_of(url), F.lit("")).alias("path"), F.coalesce("page_id", F.lit(-1)).alias("page_id"), F.coalesce("url", F.lit("")).alias("url"))
-    units = max(1, min(1 << 14, light.count() // UNIT))
-    # The first and last key of each range: as many as units, 16,384 at most, whatever the input.
-    ranged = light.distinct().repartitionByRange(units, *key).groupBy(F.spark_partition_id().alias("p")).agg(F.min(F.struct(*key)).alias("a"), F.max(F.struct(*key)).alias("b"))
-    ends = sorted((tuple(r.a), tuple(r.b)) for r in ranged.collect())
-    held = spark.sparkContext.broadcast(ends)
-    schema = "unit int, core boolean, page_id long, url string, host string, path string, settled boolean, data binary"
-
-    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows = rows.select("*", F.coalesce(urls.host_of(url), F.lit("")).alias("host"), F.coalesce(urls.path_of(url), F.lit("")).alias("path"), F.xxhash64("html").alias("sum"))
+
+    keys = settle(rows.groupBy(*KEY).agg(F.count("*").alias("rows")), "keys")
+    repeated = settle(keys.filter("rows > 1").select(*KEY), "repeated")  # written, so that Spark knows its size
+    units = max(1, min(UNITS, keys.count() // UNIT))
+    # The first and last key of each range: as many as units, whatever the input.
+    ranged = keys.select(*KEY).repartitionByRange(units, *KEY).groupBy(F.spark_partition_id().alias("p")).agg(F.min(F.struct(*KEY)).alias("a"), F.max(F.struct(*KEY)).alias("b"))
+    held = spark.sparkContext.broadcast(sorted((tuple(r.a), tuple(r.b)) for r in ranged.collect()))
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Parsed pages with their unit, and with a neighbouring one at its ends. Of rows with one URL and html a task passes on the first."""
         ends = held.value
         firsts, lasts = [a for a, _ in ends], {b: k for k, (_, b) in enumerate(ends)}
+        seen: set[tuple] = set()
         for batch in batches:
             for a in range(0, batch.num_rows, TOGETHER):
-                out = []
-                for r in batch.slice(a, TOGETHER).to_pylist():
-                    text, settled = lines(r["html"])
-                    k = (r["host"], r["path"], -1 if r["page_id"] is None else r["page_id"], r["url"] or "")
-                    unit = max(0, bisect.bisect_right(firsts, k) - 1)
-                    row = {"unit": unit, "core": True, "page_id": r["page_id"], "url": r["url"], "host": r["host"], "path": r["path"], "settled": settled, "data": _pack(text)}
-                    out.append(row)
-                    if unit and k == firsts[unit]:
-                        out.append(row | {"unit": unit - 1, "core": False})
-                    if k in lasts and unit + 1 < len(ends):
-                        out.append(row | {"unit": unit + 1, "core": False})
-                yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("unit", pa.int32()), ("core", pa.bool_()), ("page_id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("path", pa.string()), ("settled", pa.bool_()), ("data", pa.binary())]))
+                b, row, unit, core, data = batch.slice(a, TOGETHER), [], [], [], []
+                for k, key in enumerate(zip(*(b[c].to_pylist() for c in KEY), strict=True)):
+                    if key in seen:
+                        continue
+                    if len(seen) > 50_000:
+                        seen.clear()
+                    seen.add(key)
+                    u = max(0, bisect.bisect_right(firsts, key) - 1)
+                    also = [u - 1] * (u > 0 and key == firsts[u]) + [u + 1] * (key in lasts and u + 1 < len(ends))
+                    row += [k] * (1 + len(also))
+                    unit += [u, *also]
+                    core += [True, *[False] * len(also)]
+                    data += [_pack(lines(b["html"][k].as_py()))] * (1 + len(also))
+                own = b.select(["page_id", "url", *KEY]).take(pa.array(row, pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(unit, pa.int32()), pa.array(core, pa.bool_()), *own.columns, pa.array(data, pa.binary())], ["unit", "core", *own.schema.names, "data"])
 
     def difference(table: pa.Table) -> pa.Table:
-        out = []
-        seq = sorted(table.to_pylist(), key=lambda r: (r["host"], r["path"], -1 if r["page_id"] is None else r["page_id"], r["url"] or "", r["data"]))
-        for k, r in enumerate(seq):
-            if not r["core"]:
-                continue
-            own = _unpack(r["data"])
-            if not r["settled"] and r["host"]:
-                near = [seq[j] for j in (k - 1, k + 1) if 0 <= j < len(seq) and seq[j]["host"] == r["host"]]
-                own = differenced(own, [_unpack(x["data"]) for x in near], frozenset(r["usual"] or ()))
-            text = "\n\n".join(own)
-            out.append({"page_id": r["page_id"], "url": r["url"], "text": text, "n_chars": len(text)})
-        return pa.Table.from_pylist(out, schema=pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())]))
-
-    rows = rows.withColumn("host", F.coalesce(urls.host_of(url), F.lit(""))).withColumn("path", F.coalesce(urls.path_of(url), F.lit("")))
+        keys = list(zip(*(table[c].to_pylist() for c in KEY), strict=True))
+        seq = sorted(range(len(keys)), key=lambda k: keys[k])
+        seq = [k for at, k in enumerate(seq) if at == 0 or keys[k] != keys[seq[at - 1]]]  # what several tasks brought
+        data, core, usual = table["data"], table["core"].to_pylist(), table["usual"]
+        page = lambda k: _unpack(data[k].as_py())
+        own, text, window = [], [], {}
+        for at, k in enumerate(seq):
+            near = [seq[j] for j in (at - 1, at + 1) if 0 <= j < len(seq) and keys[k][0] and keys[seq[j]][0] == keys[k][0]]
+            window = {j: window[j] if j in window else page(j) for j in (k, *near)}
+            if core[k]:
+                own.append(k)
+                text.append("\n\n".join(differenced(window[k], [window[j] for j in near], frozenset(usual[k].as_py() or ()))))
+        kept = table.select(["page_id", "url", *KEY]).take(pa.array(own, pa.int64()))
+        return pa.Table.from_arrays([*kept.columns, pa.array(text, pa.string())], [*kept.schema.names, "text"])
+
     usual = _usual(rows).withColumnRenamed("host", "of")
     usual = F.broadcast(usual) if usual.count() <= BROADCAST else usual
-    parsed = rows.mapInArrow(parse, schema)
-    parsed = parsed.join(usual, (F.col("host") == F.col("of")) & ~F.col("settled"), "left").drop("of")
-    return parsed.groupBy("unit").applyInArrow(difference, "page_id long, url string, text string, n_chars long")
+    whole = "page_id long, url string, host string, path string, sum long"
+    units_of = rows.mapInArrow(dealt, f"unit int, core boolean, {whole}, data binary").join(usual, F.col("host") == F.col("of"), "left").drop("of")
+    texts = units_of.groupBy("unit").applyInArrow(difference, f"{whole}, text string")
+    out = texts.select("page_id", "url", "text")
+    if not repeated.isEmpty():  # a page's copies get its text by a join, so that no unit holds them all
+        copies = rows.select("page_id", "url", *KEY).join(repeated, KEY, "left_semi").join(texts.select(*KEY, "text").join(repeated, KEY, "left_semi"), KEY)
+        out = texts.join(repeated, KEY, "left_anti").select("page_id", "url", "text").unionByName(copies.select("page_id", "url", "text"))
+    return out.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))

@@ -1,8 +1,92 @@
-"""Differencing where the nearest pages are copies."""
+"""Page differencing: against plain Python on random sites, and what markup, copies and broken pages do to it."""
+
+import random
+import time
+
+from pyspark.sql import functions as F
 
 from quillstone.llm import extract
 
 
+def longest(a, b):
+    """Plain dynamic programming: the length of a longest common subsequence."""
+    rows = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            rows[i + 1][j + 1] = rows[i][j] + 1 if x == y else max(rows[i][j + 1], rows[i + 1][j])
+    return rows[-1][-1]
+
+
+def test_common_subsequence(monkeypatch):
+    rng = random.Random(1)
+    for bits in (1 << 28, 20):
+        monkeypatch.setattr(extract, "BITS", bits)
+        for _ in range(500):
+            a, b = ([rng.choice("abcde") for _ in range(rng.randint(0, 14))] for _ in range(2))
+            pairs = extract.shared(a, b)
+            assert all(a[i] == b[j] for i, j in pairs) and all(p < q and r < s for (p, r), (q, s) in zip(pairs, pairs[1:], strict=False)) and len(pairs) == longest(a, b)
+
+
+def run(spark, rows):
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    return {r.page_id: r.text for r in extract.extract(pages).collect()}
+
+
+def site(rng, host, k, own):
+    """One template for a host: lines of their own between the site's; every third page has an article element, every fifth a menu element."""
+    body = "".join(f"<p>{x}</p>" for x in own)
+    body = f"<article>{body}</article>" if k % 3 == 0 else f"<div>{body}</div>"
+    menu = f"<nav><li>{host} menu</li></nav>" if k % 5 == 0 else f"<div>{host} menu</div>"
+    return f"<body>{menu}<div>{host} head</div>{body}<script>x({k})</script><div>{host} foot</div></body>"
+
+
+def test_random_sites_like_plain_python(spark, monkeypatch):
+    monkeypatch.setattr(extract, "UNIT", 7)  # many units, so that neighbours lie in others
+    rng, rows, own = random.Random(3), [], {}
+    for h in range(3):
+        for k in range(25):
+            lines = [f"line {h} {k} {x} " + "word " * rng.randint(10, 20) for x in range(rng.randint(1, 5))]
+            if k % 4 == 0:
+                lines.insert(0, f"a paragraph that pages of host {h} repeat, again and again")
+            rows.append((len(rows), f"http://h{h}.org/{rng.randint(100, 999)}", site(rng, f"h{h}", k, lines)))
+            own[rows[-1][0]] = [" ".join(x.split()) for x in lines]
+    got = run(spark, rows)
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").select("page_id", F.regexp_extract("url", "//([^/]*)", 1), F.regexp_extract("url", "//[^/]*(/.*)", 1), F.xxhash64("html"), "html")
+    seq = sorted((r[1], r[2], r[3], r[0], r[4]) for r in pages.collect())
+    for at, (host, _, _, k, html) in enumerate(seq):
+        near = [extract.lines(seq[j][4]) for j in (at - 1, at + 1) if 0 <= j < len(seq) and seq[j][0] == host]
+        want = []
+        for t, m in extract.lines(html):
+            # A template's lines stand in one order, so sharing a line is sharing it in a longest common subsequence.
+            if m == 1 or m == 0 and not any(t == u and v < 1 for other in near for u, v in other):
+                want.append(t)
+        assert got[k] == "\n\n".join(want)
+        if "<article>" in html:
+            assert got[k].split("\n\n") == own[k]
+        else:
+            assert not {f"{host.split('.')[0]} {x}" for x in ("head", "foot", "menu")} & set(got[k].split("\n\n"))
+
+
+def test_a_page_without_article_between_pages_with_one(spark):
+    page = lambda body: f"<div>Site head</div>{body}<div>Site foot</div>"
+    rows = [(1, "http://a.org/1", page("<article><p>One of its own</p><p>Shared</p></article>")), (2, "http://a.org/2", page("<p>hi there</p><p>Shared</p>")), (3, "http://a.org/3", page("<article><p>Three of its own</p></article>"))]
+    assert run(spark, rows) == {1: "One of its own\n\nShared", 2: "hi there\n\nShared", 3: "Three of its own"}
+
+
+def test_short_page_in_a_large_template(spark):
+    head, foot = "<div>" + "menu words " * 30 + "</div>", "<div>" + "foot words " * 30 + "</div>"
+    rows = [(k, f"http://b.org/{k}", f"{head}<p>hi there {k}</p>{foot}") for k in range(4)]
+    assert run(spark, rows) == {k: f"hi there {k}" for k in range(4)}
+    assert run(spark, rows[:2]) == {k: f"hi there {k}" for k in range(2)}
+
+
+def test_copies_keep_their_text(spark):
+    body = "".join(f"<p>Paragraph {k} of the text, some words long</p>" for k in range(8))
+    rows = [(k, f"http://c.org/{k}", f"<div>Menu</div>{body}<script>{k}</script>") for k in range(3)] + [(9 + k, f"http://c.org/x{k}", f"<div>Menu</div><p>Other page {k}, and quite another text</p>") for k in range(6)]
+    got = run(spark, rows)
+    assert all(got[k].count("Paragraph") == 8 for k in range(3)) and "Menu" not in got[1]
+
+
 def test_short_pages_and_runs_of_copies(spark):
     site = [f"A long line of the site's own menu, number {k}, that stands on all of its pages" for k in range(12)]
     page = lambda *own: "".join(f"<div>{t}</div>" for t in [*site[:6], *own, *site[6:]])
@@ -10,3 +94,28 @@ def test_short_pages_and_runs_of_copies(spark):
     rows += [(100 + k, f"http://runs.org/{k:03d}", page(f"The story is number {k // 5} of them. " * 60)) for k in range(20)]
     got = {r.page_id: r.text for r in extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
     assert got == {k: f"story {k}" for k in range(8)} | {100 + k: ("The story is number %d of them. " % (k // 5) * 60).strip() for k in range(20)}
+
+
+def test_repeated_rows_get_the_same_text(spark):
+    rows = [(1, "http://a.org/1", "<p>head</p><p>one</p>")] * 3 + [(None, "http://a.org/1", "<p>head</p><p>one</p>"), (2, "http://a.org/2", "<p>head</p><p>two</p>"), (3, None, None), (3, None, "<p>x</p>")]
+    got = sorted((str(r.page_id), r.text, r.n_chars) for r in extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect())
+    assert got == sorted([("1", "one", 3)] * 3 + [("None", "one", 3), ("2", "two", 3), ("3", "", 0), ("3", "x", 1)])
+
+
+def test_main_element_is_differenced(spark):
+    rows = [(k, f"http://d.org/{k}", f"<p>around {k}</p><main><p>Share this page</p><p>Text {k} of some length here</p></main>") for k in range(4)]
+    assert run(spark, rows) == {k: f"Text {k} of some length here" for k in range(4)}
+
+
+def test_broken_pages_take_linear_time():
+    for page in ("<a " * 333_000, '<a b=" ' * 150_000, "<!-- " * 200_000, "<![CDATA[" * 100_000, "<" * 1_000_000, "<script>" * 120_000, "<p>" * 300_000):
+        began = time.perf_counter()
+        assert not [t for t, m in extract.lines(page) if "a b" in t and m > 0 and "script" in t]
+        assert time.perf_counter() - began < 5
+    assert extract.lines('<p>a <b title="x>y">c</b> &lt;d&gt;</p>') == [("a c <d>", 0)]
+
+
+def test_markup_marks():
+    page = "<nav>menu</nav><h1>Top</h1><article><header>by me<h2>Title</h2></header><p>Text</p><aside>also</aside><div class='comments'><p>reply</p></div></article><footer>foot</footer>"
+    assert extract.lines(page) == [("menu", -1), ("Top", -1), ("by me", -1), ("Title", 1), ("Text", 1), ("also", -1), ("reply", -1), ("foot", -1)]
+    assert extract.lines("") == []

@@ -136,8 +136,8 @@ def test_toxicity(spark, labelled):
     got = toxicity.score(docs, toxicity.train(docs, labels)).collect()
     assert len(got) == 904
     assert all(bool(r.toxic) == (r.doc_id is not None and r.doc_id < 900 and r.doc_id % 6 == 1) for r in got)
-    insult = [r.p_insult for r in got if r.toxic]
-    assert min(insult) > 0.5 and all(0 <= r.score <= 1 for r in got)
+    most = [max(r.p_category_1, r.p_category_2, r.p_category_3, r.p_category_4) for r in got if r.toxic]
+    assert min(most) > 0.3 and all(0 <= r.score <= 1 for r in got)
     assert {r.toxic for r in toxicity.score(docs, toxicity.train(docs, labels.limit(0))).collect()} <= {0, 1}
     assert toxicity.score(docs.limit(0), toxicity.train(docs, labels)).collect() == []
 
@@ -150,11 +150,12 @@ PAGE = """<!DOCTYPE html><html lang="en"><head><title>T</title><style>p{margin:0
 
 
 def test_markup():
-    assert extract.lines(PAGE) == (["A & B", "One two – three", "Four five six", "l1", "l2", "tail"], True)
-    assert extract.lines("") == ([], False) and extract.lines("plain  text") == (["plain text"], False)
-    assert extract.lines("<p>a<!-- never closed <p>b") == (["a"], False)
-    assert extract.lines("<p>1 < 2 & 3 > 2</p>")[0] == ["1 < 2 & 3 > 2"]
-    assert extract.lines("<div class='ad'>x<div>y</div></div>z<p class=ad>p<p>q")[0] == ["z", "q"]
+    kept = lambda page: [(t, m == extract.INSIDE) for t, m in extract.lines(page) if m != extract.OUTSIDE]
+    assert kept(PAGE) == [(t, True) for t in ("A & B", "One two – three", "Four five six", "l1", "l2", "tail")]
+    assert kept("") == [] and kept("plain  text") == [("plain text", False)]
+    assert kept("<p>a<!-- never closed <p>b") == [("a", False)]
+    assert kept("<p>1 < 2 & 3 > 2</p>") == [("1 < 2 & 3 > 2", False)]
+    assert kept("<div class='ad'>x<div>y</div></div>z<p class=ad>p<p>q") == [("z", False), ("q", False)]
 
 
 def test_longest_common_subsequence():
@@ -168,7 +169,7 @@ def test_longest_common_subsequence():
     rng = np.random.default_rng(4)
     for _ in range(300):
         a, b = (["abcd"[k] for k in rng.integers(0, 4, rng.integers(0, 12))] for _ in range(2))
-        got = [a[k] for k in sorted(extract.shared(a, b))]
+        got = [a[k] for k, _ in extract.shared(a, b)]
         assert len(got) == longest(a, b) and longest(got, b) == len(got)
 
 
@@ -197,7 +198,7 @@ def test_contamination(spark):
     ]
     bench = spark.createDataFrame([(0, item, 1), (1, short, 1), (2, None, 1), (3, "", 1), (None, item, 1), (4, "1 kg 2 kg 3 kg 4 kg 5 kg", 1), (0, item, 1)], "item_id long, text string, windows int")
     got = {(r.doc_id, r.item_id): r for r in decontam.contaminated(spark.createDataFrame([(*d, "z") for d in docs], "doc_id long, text string, item_id string"), bench).collect()}
-    assert set(got) == {(1, 0), (3, 0), (8, 1)} and got[1, 0].exact and not got[3, 0].exact
+    assert set(got) == {(1, 0), (2, 0), (3, 0), (8, 1)} and got[1, 0].exact and not got[3, 0].exact  # 2: other names and numbers, all in lower case
     left = decontam.clean(spark.createDataFrame(docs, "doc_id long, text string"), bench)
-    assert sorted((r.doc_id for r in left.collect()), key=str) == sorted([2, 4, 5, 6, 7, None, 9, 10], key=str)
+    assert sorted((r.doc_id for r in left.collect()), key=str) == sorted([4, 5, 6, 7, 9, 10], key=str)  # the item itself goes without a doc_id too
     assert decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string").limit(0), bench).collect() == []
