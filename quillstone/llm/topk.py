@@ -19,6 +19,8 @@ from ._shared import settle
 #: Dimensions added between two bounds; queries of one matrix product; queries broadcast at a time; candidates for the first thresholds.
 DIMS, TILE, QUERIES, SEEDS = 16, 256, 65_536, 4096
 LOW = np.iinfo(np.int64).min
+#: Queries of a tile of whole numbers.
+EXACT = 64
 
 
 def quantised(ids: pa.ChunkedArray | pa.Array, vectors: pa.ChunkedArray | pa.Array, scale: int) -> tuple[np.ndarray, np.ndarray]:
@@ -73,7 +75,7 @@ class Search:
         x = np.ascontiguousarray(_same_width(x, max(width, int(self.order.max(initial=-1)) + 1))[:, self.order].T)
         top = np.sqrt(np.square(self.q).sum(axis=1)).max(initial=0) * np.sqrt(np.square(x).sum(axis=0)).max(initial=0)
         kind = np.float32 if top < 2**23 else np.float64 if top < 2**52 else None
-        found = [self._exact(x, ids)] if kind is None else [self._tile(a, x.astype(kind), ids, kind) for a in range(0, len(self.qid), TILE)]
+        found = [self._exact(a, x, ids) for a in range(0, len(self.qid), EXACT)] if kind is None else [self._tile(a, x.astype(kind), ids, kind) for a in range(0, len(self.qid), TILE)]
         row, col, score = (np.concatenate([f[i] for f in found]) for i in range(3))
         row, vid, score = np.concatenate([self.row, row]), np.concatenate([self.vid, ids[col]]), np.concatenate([self.score, score])
         keep = _best(row, vid, score, self.k)
@@ -125,16 +127,18 @@ class Search:
                 row, pairs, score = row[alive], pairs[alive], score[alive]
         return row + a, pairs, np.rint(score).astype(np.int64)
 
-    def _exact(self, x: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For components too large for doubles: whole numbers of any size, held within 64 bits at the end."""
+    def _exact(self, a: int, x: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For components too large for doubles, a few queries at a time: whole numbers of any size, held within 64 bits at the end."""
         whole = lambda m: np.array([[int(v) for v in r] for r in m], dtype=object).reshape(m.shape)
-        s = np.clip(whole(self.q).dot(whole(x)), LOW, -1 - LOW)
+        some = self.q[a : a + EXACT]
+        s = np.clip(whole(some).dot(whole(x)), LOW, -1 - LOW)
         row, col = np.divmod(np.arange(s.size), max(len(ids), 1))
         out = np.ones(s.size, bool)
-        r, c = self._own(0, len(self.qid), ids)
+        r, c = self._own(a, a + len(some), ids)
         out[r * len(ids) + c] = False
-        score = s.reshape(-1)[out].astype(np.int64)
-        return row[out], col[out], score
+        row, col, score = row[out], col[out], s.reshape(-1)[out].astype(np.int64)
+        best = _best(row, ids[col], score, self.k)
+        return row[best] + a, col[best], score[best]
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256) -> DataFrame:
@@ -142,7 +146,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
 
     Components become floor(scale * x). Rows with a null id, a null vector or a null or non-finite component take no part; a shorter
     vector counts as padded with zeros; rows that share an id are candidates each, and an id queried twice is answered once for each of its
-    rows' best. Fewer than k candidates give fewer rows, an empty table none.
+    rows' best. Fewer than k candidates give fewer rows, an empty table none. A score beyond 64 bits is held at their end.
 
     Queries are broadcast in blocks of at most about 65,536, each block read against every row; the first thresholds come from a few thousand
     rows of the block. A task keeps k rows for each query at most.

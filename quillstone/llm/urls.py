@@ -16,13 +16,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: The characters told apart; digits are one kind, all others another, and the edge of a URL a third.
-LETTERS = "abcdefghijklmnopqrstuvwxyz./-_?=&%#:"
-DIGIT, OTHER, EDGE = len(LETTERS), len(LETTERS) + 1, len(LETTERS) + 2
-KINDS, ORDER = len(LETTERS) + 3, 4
-#: Parts of host names that block lists of the web commonly reject; each counts as this share of the rejected URLs.
-SEEDS = ("casino", "poker", "jackpot", "free-bets", "betting", "lottery", "cheap-pills", "viagra", "pharmacy", "porn", "xxx", "adult", "payday-loans", "replica-watches", "free-money", "warez")
-SEED_SHARE = 0.02
+#: The characters told apart; all others are one kind, and the edge of a URL is another.
+LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789./-_?=&%#:"
+OTHER, EDGE = len(LETTERS), len(LETTERS) + 1
+KINDS, ORDER = len(LETTERS) + 2, 4
 #: Bins of scores for the calibration, to either side of zero, and their width.
 BINS, WIDTH = 2000, 0.005
 
@@ -68,7 +65,6 @@ for _k, _c in enumerate(LETTERS):
     _KIND[ord(_c)] = _k
 for _c in b"ABCDEFGHIJKLMNOPQRSTUVWXYZ":
     _KIND[_c] = _c - 65
-_KIND[48:58] = DIGIT
 
 
 def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -88,12 +84,12 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 def smoothed(counts: np.ndarray) -> np.ndarray:
     """log P(character | three before) for all contexts, from counts of shape (KINDS,) * ORDER."""
-    p = np.full(KINDS, 1.0 / KINDS)
+    p = np.full(KINDS, 1.0 / KINDS, counts.dtype)
     for order in range(ORDER):
         n = counts.sum(axis=tuple(range(ORDER - 1 - order))).reshape((KINDS,) * (order + 1))
-        total, kinds = n.sum(axis=-1, keepdims=True), (n > 0).sum(axis=-1, keepdims=True)
+        total, kinds = n.sum(axis=-1, keepdims=True), (n > 0).sum(axis=-1, keepdims=True).astype(counts.dtype)
         p = np.where(total > 0, (n + kinds * p) / np.maximum(total + kinds, 1e-12), p)
-    return np.log(p)
+    return np.log(p, out=p)
 
 
 def score_of(table: np.ndarray, texts: list[str]) -> np.ndarray:
@@ -126,14 +122,15 @@ def learn(labelled: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_pydict({"code": both, "n": n.astype(np.int64)})
 
     got = labelled.mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()  # 2 * KINDS ** ORDER rows at most
-    flat = np.zeros(2 * KINDS**ORDER)
-    flat[np.asarray(got["code"], np.int64)] = np.asarray(got["n"], np.float64)
-    seeds, _ = grams([f"{front}{s}." for s in SEEDS for front in ("", "www.", "m.")])
-    inner = seeds[seeds % KINDS != EDGE]
-    rejected = flat[::2].reshape(-1, KINDS)[:, EDGE].sum()  # each URL ends once
-    np.add.at(flat, inner * 2, max(1.0, SEED_SHARE * rejected))
-    shape = (KINDS,) * ORDER
-    return (smoothed(flat[1::2].reshape(shape)) - smoothed(flat[::2].reshape(shape))).ravel().astype(np.float32)
+    code, n = np.asarray(got["code"], np.int64), np.asarray(got["n"], np.float64)
+
+    def model(accepted: int) -> np.ndarray:
+        counts = np.zeros(KINDS**ORDER)
+        own = code % 2 == accepted
+        counts[code[own] // 2] = n[own]
+        return smoothed(counts.reshape((KINDS,) * ORDER)).ravel().astype(np.float32)
+
+    return model(1) - model(0)
 
 
 def calibrate(labelled: DataFrame, table: np.ndarray) -> float:
@@ -151,17 +148,37 @@ def calibrate(labelled: DataFrame, table: np.ndarray) -> float:
     return float(edge[best[np.argmin(np.abs(edge[best]))]])
 
 
-def judge(pages: DataFrame, rules: list[Rule]) -> DataFrame:
+def judge(pages: DataFrame, rules: list[Rule], labelled: DataFrame | None = None) -> DataFrame:
     """Per page: page_id, host, path, rule, verdict (the rule's, else the models'), score and threshold.
 
-    URLs that a rule decides are the models' labelled rows: four fifths of them (by a hash of the URL) are counted, all of them whatever their
-    number, and the rest set the threshold. A null URL or one without ``://`` has empty host and path and is judged by the models alone. Rows
-    keep their repeats; other columns are not read. An empty table gives no rows.
+    URLs that a rule decides are the models' labelled rows, and those of ``labelled`` (url string, accepted boolean; nulls are left out) beside them: four
+    fifths (by a hash of host and path) are counted, all of them whatever their number, and the rest set the threshold. A null URL or one without
+    ``://`` has empty host and path and is judged by the models alone. Rows keep their repeats; other columns are not read. An empty table gives no rows.
     """
-    url = F.col("url").cast("string")
-    rows = ruled(pages.select(F.col("page_id").cast("long").alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path")).na.fill("", ["host", "path"]), rules)
-    known = rows.filter("rule_verdict is not null").select("host", "path", (F.col("rule_verdict") == "allow").alias("accepted"), (F.pmod(F.xxhash64("host", "path"), F.lit(5)) == 0).alias("apart"))
+    rows = ruled(_placed(pages, F.col("page_id").cast("long").alias("page_id")), rules)
+    known = _labelled(rows, labelled)
     table = learn(known.filter("not apart").drop("apart"))
     threshold = calibrate(known.filter("apart").drop("apart"), table)
     verdict = F.coalesce("rule_verdict", F.when(F.col("score") >= threshold, "allow").otherwise("block"))
     return _scored(rows, table).select("page_id", "host", "path", "rule", verdict.alias("verdict"), "score", F.lit(threshold).alias("threshold"))
+
+
+def _placed(df: DataFrame, *also: Column) -> DataFrame:
+    url = F.col("url").cast("string")
+    return df.select(*also, host_of(url).alias("host"), path_of(url).alias("path")).na.fill("", ["host", "path"])
+
+
+def _labelled(rows: DataFrame, labelled: DataFrame | None) -> DataFrame:
+    known = rows.filter("rule_verdict is not null").select("host", "path", (F.col("rule_verdict") == "allow").alias("accepted"))
+    if labelled is not None:
+        known = known.unionByName(_placed(labelled.filter("url is not null and accepted is not null"), F.col("accepted")))
+    return known.withColumn("apart", F.pmod(F.xxhash64("host", "path"), F.lit(5)) == 0)
+
+
+def measured(pages: DataFrame, rules: list[Rule], labelled: DataFrame | None = None) -> DataFrame:
+    """One row on labelled URLs that neither model counted: urls, and the shares of accepted and of rejected ones that the models judge so. They set the threshold."""
+    known = _labelled(ruled(_placed(pages), rules), labelled)
+    table = learn(known.filter("not apart").drop("apart"))
+    apart = known.filter("apart").drop("apart")
+    said = F.col("score") >= calibrate(apart, table)
+    return _scored(apart, table).agg(F.count("*").alias("urls"), F.avg(F.when(F.col("accepted"), said.cast("int"))).alias("accepted_right"), F.avg(F.when(~F.col("accepted"), (~said).cast("int"))).alias("rejected_right"))
