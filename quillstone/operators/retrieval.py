@@ -185,6 +185,12 @@ def evidence(signals: DataFrame) -> DataFrame:
     return signals.withColumn("informative", informative).withColumn("evidence", said)
 
 
+def majority(blocks: DataFrame) -> DataFrame:
+    """The language of most letters of each document: needs (doc, block, lang, letters); und is ignored, the one that comes first wins among equals."""
+    per = blocks.filter("lang <> 'und'").groupBy("doc", "lang").agg(F.sum("letters").alias("letters"), F.min("block").alias("first"))
+    return per.groupBy("doc").agg(F.max_by("lang", F.struct("letters", -F.col("first"))).alias("lang"))
+
+
 def spread(n: Column, most: int) -> Column:
     """Evenly spaced indices of n items, first and last among them."""
     return F.when(n <= most, F.sequence(F.lit(0).cast("long"), n - 1)).otherwise(F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda k: F.floor(k * (n - 1) / (most - 1) + 0.5).cast("long")))

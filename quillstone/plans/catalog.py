@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import answers, documents, evaluation, lookups, records, registry, retrieval  # noqa: F401  registers on import
+from . import answers, documents, evaluation, jobs, lookups, records, registry, retrieval  # noqa: F401  registers on import
 
 
 def queries() -> dict[str, registry.Query]:

@@ -29,10 +29,12 @@ def fn_direction(spark: SparkSession, d: str) -> DataFrame:
     return _docs(spark, d).select("doc_id", text.direction(F.col("text")).alias("direction"))
 
 
-@query(r"SELECT doc_id, len(regexp_extract_all(text, '\p{Latin}')) AS latin, len(regexp_extract_all(text, '\p{Arabic}')) AS arabic, len(regexp_extract_all(text, '\p{Han}')) AS han FROM documents")
+SCRIPTS_SQL = ", ".join(rf"len(regexp_extract_all(text, '\p{{{x}}}')) AS {x.lower()}" for x in text.SCRIPTS)
+
+
+@query(f"SELECT doc_id, {SCRIPTS_SQL} FROM documents")
 def agg_script(spark: SparkSession, d: str) -> DataFrame:
-    n = lambda s: text.script_count(F.col("text"), s).cast("long")
-    return _docs(spark, d).select("doc_id", n("Latin").alias("latin"), n("Arabic").alias("arabic"), n("Han").alias("han"))
+    return _docs(spark, d).select("doc_id", *[text.script_count(F.col("text"), x).cast("long").alias(x.lower()) for x in text.SCRIPTS])
 
 
 @query(r"SELECT doc_id, CASE WHEN len(regexp_extract_all(text, '\p{Latin}')) >= 40 THEN 'Latin' ELSE 'und' END AS script FROM documents")
@@ -269,12 +271,6 @@ def agg_langshare(spark: SparkSession, d: str) -> DataFrame:
     return pages.shares(_docs(spark, d).select(F.col("source").alias("doc"), F.when(F.col("doc_id") % 7 == 0, "und").otherwise(F.col("lang")).alias("lang"), F.col("n_chars").alias("letters")))
 
 
-@query("SELECT source AS doc, arg_max(lang, n * 1000 - ascii(lang)) AS lang FROM (SELECT source, lang, count(*) AS n FROM documents GROUP BY ALL) GROUP BY source")
-def agg_majority(spark: SparkSession, d: str) -> DataFrame:
-    per = _docs(spark, d).groupBy("source", "lang").agg(F.count("*").alias("n"))
-    return per.groupBy(F.col("source").alias("doc")).agg(F.max_by("lang", F.col("n") * 1000 - F.ascii("lang")).alias("lang"))
-
-
 CARRY = "t AS (SELECT source AS doc, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS page, CASE WHEN doc_id % 9 = 0 THEN lang END AS title FROM documents), s AS (SELECT *, last_value(title IGNORE NULLS) OVER (PARTITION BY doc ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS section FROM t)"
 
 

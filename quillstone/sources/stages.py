@@ -26,8 +26,13 @@ def folder(spark: SparkSession) -> str:
     return f"file://{_OWN[app]}"
 
 
+def path(spark: SparkSession, name: str) -> str:
+    """A place of its own in the shared folder."""
+    return f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """df as it is now: written as Parquet and read back, so nothing above it runs twice and Spark knows its size."""
-    path = f"{folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    place = path(df.sparkSession, name)
+    df.write.parquet(place)
+    return df.sparkSession.read.schema(df.schema).parquet(place)
