@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import shutil
 import tempfile
 import uuid
 from collections.abc import Callable
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
@@ -41,11 +44,21 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def release() -> None:
+    """Gives memory that is free back to the system, as JVM and Python workers share an executor's."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    c = ctypes.CDLL(None)
+    if hasattr(c, "malloc_trim"):
+        c.malloc_trim(0)
+
+
 def kept(make: Callable[..., Any], *args: Any) -> Any:
     """What a Python worker keeps from task to task (words it has seen, a codec): one thing at a time, so that stages do not add up."""
     key = (make, *args)
     if key not in _KEPT:
         _KEPT.clear()
+        release()
         _KEPT[key] = make(*args)
     return _KEPT[key]
 

@@ -33,7 +33,7 @@ APART = r"[\t-\r \x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pieces remembered by a task, the longest one remembered, the longest of single words, documents taken from a batch together, bytes of texts whose
 #: pieces are numbered together, pieces held of a huge text, and bytes from which a text is huge.
-KEPT, LONG, SHORT, TOGETHER, ROUND, STEP, HUGE = 500_000, 60, 12, 2000, 8_000_000, 200_000, 1_000_000
+KEPT, LONG, SHORT, TOGETHER, ROUND, STEP, HUGE = 500_000, 60, 12, 512, 2_000_000, 100_000, 1_000_000
 #: Pieces that a worker remembers unless it is told otherwise: modest, since other stages share its executor.
 REMEMBERED = 300_000
 
@@ -220,6 +220,7 @@ class Memo:
             usual, others = self._round(cut.flatten(), np.asarray(cut.offsets, np.int64)), self._round(pa.array(chain.from_iterable(spaced), pa.string()), np.cumsum([0, *map(len, spaced)]))
             for k, (alone, apart) in enumerate(zip(huge.tolist(), odd.tolist(), strict=True)):
                 yield self._huge(some[k].as_py()) if alone else next(others if apart else usual)
+        pa.default_memory_pool().release_unused()
 
     def _round(self, flat: pa.Array, starts: np.ndarray, first: bool = True) -> Iterator[bytes]:
         """Of texts' pieces laid end to end, and where the texts start and end among them; first: they begin with their heads."""
