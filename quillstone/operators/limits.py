@@ -72,9 +72,9 @@ def runs(rows: DataFrame, key: list[str], order: str, flag: str) -> DataFrame:
 
 def lease(jobs: DataFrame, now: Column, concurrency: int) -> DataFrame:
     """What an attempt to take each job meets: held, parked, busy or acquired; a lease that ran out adds an attempt."""
-    live = F.sum(F.when(F.col("lease_until") > now, 1).otherwise(0)).over(Window.partitionBy("pool"))
+    live = jobs.groupBy("pool").agg(F.count_if(F.col("lease_until") > now).alias("live"))  # a row for each pool, so no pool's jobs meet in one task
     said = F.when(F.col("lease_until") > now, "held").when(F.col("parked_until") > now, "parked").when(F.col("live") >= concurrency, "busy").otherwise("acquired")
-    rows = jobs.withColumn("live", live).withColumn("outcome", said)
+    rows = jobs.join(live, "pool").withColumn("outcome", said)
     return rows.withColumn("attempts_after", F.col("attempts") + F.when((F.col("outcome") == "acquired") & F.col("lease_until").isNotNull(), 1).otherwise(0))
 
 

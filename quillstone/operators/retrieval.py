@@ -23,8 +23,8 @@ def chunks(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("source").alias("doc"), F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))
 
 
-def numbered(rows: DataFrame, group: str, key: str, name: str, each: int = 50_000) -> DataFrame:
-    """rows with their place, from 0, in the order of a whole-number key inside their group, without gathering a group.
+def numbered(rows: DataFrame, group: str, key: str, name: str, then: tuple[str, ...] = (), each: int = 50_000) -> DataFrame:
+    """rows with their place, from 0, in the order of a whole-number key (and of the columns ``then``, among equals) inside their group, without gathering a group.
 
     Keys are cut into ranges of about ``each`` rows if they are dense. Ranges are counted, their counts summed up before them, and rows numbered inside their range.
     """
@@ -34,7 +34,7 @@ def numbered(rows: DataFrame, group: str, key: str, name: str, each: int = 50_00
     cut = rows.withColumn("_part", part)
     sizes = cut.groupBy(group, "_part").agg(F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    inside = F.row_number().over(Window.partitionBy(group, "_part").orderBy(key)) - 1
+    inside = F.row_number().over(Window.partitionBy(group, "_part").orderBy(key, *then)) - 1
     return cut.withColumn("_in", inside).join(sizes.select(group, "_part", before.alias("_before")), [group, "_part"]).withColumn(name, (F.col("_before") + F.col("_in")).cast("long")).drop("_part", "_in", "_before")
 
 

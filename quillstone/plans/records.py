@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed, text
 from ..operators import conversation as C
 from ..operators import limits as L
+from ..operators.retrieval import numbered
 from .registry import query, table
 
 NOW = "2024-01-20 12:00:00"
@@ -130,8 +131,8 @@ def ocr_ledger(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS position FROM events WHERE value > 50")
 def win_queue(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("event_type").orderBy("ts", "event_id")
-    return _events(spark, d).filter("value > 50").select("event_id", "event_type", F.row_number().over(w).cast("long").alias("position"))
+    rows = _events(spark, d).filter("value > 50").select("event_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    return numbered(rows, "event_type", "at", "n", ("event_id",)).select("event_id", "event_type", (F.col("n") + 1).alias("position"))
 
 
 JOBS = "j AS (SELECT event_id, user_id % 10 AS pool, CASE WHEN event_id % 3 = 0 THEN ts + INTERVAL 4 DAY END AS lease_until, CASE WHEN event_id % 4 = 0 THEN ts + INTERVAL 3 DAY END AS parked_until, event_id % 5 AS attempts FROM events)"
