@@ -11,7 +11,7 @@ from ..operators import ingest as I  # noqa: E741
 from ..operators import layout as Y
 from ..operators import retrieval as R
 from ..sources import embeddings as E
-from .registry import norm_sql, query, table
+from .registry import ITEMS_SQL, norm_sql, placed_words, query, table
 from .retrieval import ALL, BASE, BUDGET, COVER, LANGS, LEX, SEM, SIGNALS, UNIT, _asked, _index, _lists, _signals
 
 NOW = "2024-01-20 12:00:00"
@@ -218,11 +218,6 @@ def ch_furniture(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", (last.rlike(r"^\s*[0-9]+\s*$") | last.rlike(r"[.!?]\s*$")).alias("ends"))
 
 
-@query(f"SELECT l.quality, count(*) AS n, sum(len(list_distinct(list_filter(string_split({norm_sql('text')}, ' '), lambda w: w <> ''))))::BIGINT AS words FROM documents JOIN labels l USING (doc_id) GROUP BY ALL")
-def an_pages(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select("doc_id", F.size(F.array_distinct(text.surface_words(F.col("text")))).alias("w"))
-    return docs.join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id").groupBy("quality").agg(F.count("*").alias("n"), F.sum("w").alias("words"))
-
 
 @query("SELECT page_id, to_json({'id': page_id, 'url': url}) AS frame FROM pages")
 def snk_sse(spark: SparkSession, d: str) -> DataFrame:
@@ -248,11 +243,10 @@ def rate_refund(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").filter(F.col("event_type").isin("view", "click")).groupBy("user_id", "event_type").agg(F.greatest(F.lit(0), F.sum(F.when(F.col("event_id") % 10 == 0, -1).otherwise(1))).alias("used"))
 
 
-@query("SELECT n AS page, 0 AS line, 'Ab cd' AS text, false AS tabular FROM range(3) t(n) UNION ALL SELECT n, 1, 'x 9', true FROM range(3) t(n)")
+@query(f"WITH w AS ({ITEMS_SQL}) SELECT page, k::BIGINT AS line, array_to_string(w[9 * k + 1:9 * k + 9], ' ') AS text, len(w) - 9 * k > 5 AS tabular FROM w, range(ceil(len(w) / 9.0)::BIGINT) r(k)")
 def lay_lines(spark: SparkSession, d: str) -> DataFrame:
-    """Items of three small pages as lines."""
-    items = [(p, x, y, w, 10.0, t) for p in range(3) for x, y, w, t in ((0.0, 0.0, 10.0, "Ab"), (15.0, 1.0, 10.0, "cd"), (0.0, 20.0, 5.0, "x"), (60.0, 20.5, 5.0, "9"))]
-    return Y.lines(spark.createDataFrame(items, "page long, x double, y double, width double, size double, text string")).select("page", F.col("line").cast("int").alias("line"), "text", "tabular")
+    """All words of every document as items of a page, nine to a line with a wide gap after the fifth, put together again."""
+    return Y.lines(placed_words(table(spark, d, "documents"))).select("page", "line", "text", "tabular")
 
 
 @query("WITH p AS (SELECT doc_id % 50 AS page, (doc_id % 4 + 9)::DOUBLE AS size, length(text) AS n FROM documents) SELECT page, arg_max(size, n * 1000 + size) AS body FROM (SELECT page, size, sum(n) AS n FROM p GROUP BY ALL) GROUP BY page")

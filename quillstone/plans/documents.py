@@ -271,6 +271,23 @@ def agg_langshare(spark: SparkSession, d: str) -> DataFrame:
     return pages.shares(_docs(spark, d).select(F.col("source").alias("doc"), F.when(F.col("doc_id") % 7 == 0, "und").otherwise(F.col("lang")).alias("lang"), F.col("n_chars").alias("letters")))
 
 
+@query(f"WITH {QUALITY}, {ASSESS} SELECT doc, count(*) FILTER (NOT worthless) AS trusted, sum(CASE WHEN worthless THEN 0 ELSE char_count END)::BIGINT AS chars FROM a GROUP BY doc")
+def an_garbled(spark: SparkSession, d: str) -> DataFrame:
+    """Pages whose text is garbled give no evidence of language."""
+    rows = pages.assessed(_pages(spark, d))
+    return rows.groupBy("doc").agg(F.count_if(~F.col("unreliable")).alias("trusted"), F.sum(F.when(F.col("unreliable"), 0).otherwise(F.col("char_count"))).alias("chars"))
+
+
+@query(rf"""WITH s AS (SELECT doc_id AS item_id, lower(text) AS t, string_split(trim(regexp_replace(lower(text), '[^\p{{L}}''’-]+', ' ', 'g')), ' ') AS w FROM documents), n AS ({_cues_sql()}),
+g AS (SELECT item_id AS doc_id, CASE WHEN a[1] >= 2 AND a[1] - a[2] >= 1 THEN best ELSE 'und' END AS said FROM (SELECT item_id, list(n ORDER BY n DESC, lang DESC) AS a, first(lang ORDER BY n DESC, lang DESC) AS best FROM n GROUP BY item_id)),
+p AS (SELECT source AS doc, said AS lang, sum(len(regexp_extract_all(text, '\p{{L}}'))) AS letters FROM documents JOIN g USING (doc_id) GROUP BY ALL), k AS (SELECT *, max(lang <> 'und') OVER (PARTITION BY doc) AS known FROM p)
+SELECT doc, lang, round(letters / sum(letters) OVER (PARTITION BY doc), 4) AS share, row_number() OVER (PARTITION BY doc ORDER BY letters DESC, lang) AS place FROM k WHERE NOT known OR lang <> 'und'""")
+def an_pages(spark: SparkSession, d: str) -> DataFrame:
+    """The languages of every manuscript by the letters of the pages in them, each page's language told by its own text."""
+    once = _docs(spark, d).select(F.col("source").alias("doc"), F.explode(F.array(F.struct(text.question_language(F.col("text")).alias("lang"), F.regexp_count("text", F.lit(r"\p{L}")).alias("letters")))).alias("x"))
+    return pages.shares(once.select("doc", "x.*"))
+
+
 CARRY = "t AS (SELECT source AS doc, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS page, CASE WHEN doc_id % 9 = 0 THEN lang END AS title FROM documents), s AS (SELECT *, last_value(title IGNORE NULLS) OVER (PARTITION BY doc ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS section FROM t)"
 
 

@@ -10,7 +10,7 @@ from ..operators import answers as A
 from ..operators import chunking, layout, retrieval
 from ..operators import replies as P
 from ..sources import schemas
-from .registry import norm_sql, query, table
+from .registry import ITEMS_SQL, norm_sql, placed_words, query, table
 from .retrieval import BASE, COVER, LEX, _asked, _index
 
 
@@ -192,16 +192,11 @@ def prj_summary(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").groupBy(F.col("source").alias("doc")).agg(F.count("*").alias("pages"), F.when(bad, "failed").otherwise("ready").alias("status"), F.when(bad, "OCR_UNAVAILABLE").alias("error"))
 
 
-@query("SELECT source AS doc, count(*) FILTER (NOT bad) AS trusted, sum(CASE WHEN bad THEN 0 ELSE n_chars END)::BIGINT AS letters FROM (SELECT *, doc_id % 6 = 0 AS bad FROM documents) GROUP BY source")
-def an_garbled(spark: SparkSession, d: str) -> DataFrame:
-    """Pages whose text is garbled give no evidence of language."""
-    bad = F.col("doc_id") % 6 == 0
-    return table(spark, d, "documents").groupBy(F.col("source").alias("doc")).agg(F.count_if(~bad).alias("trusted"), F.sum(F.when(bad, 0).otherwise(F.col("n_chars"))).alias("letters"))
 
-
-@query("SELECT doc_id, regexp_matches(text, '\\|') AS tabular FROM documents".replace("\\\\", "\\"))
+@query(f"WITH w AS ({ITEMS_SQL}) SELECT page, bool_or(len(w) - 9 * k > 5) AS tabular FROM w, range(ceil(len(w) / 9.0)::BIGINT) r(k) GROUP BY page")
 def lay_tabular(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", F.contains("text", F.lit("|")).alias("tabular"))
+    """Whether a page has a line with a gap of more than three em."""
+    return layout.lines(placed_words(table(spark, d, "documents"))).groupBy("page").agg(F.max("tabular").alias("tabular"))
 
 
 @query("SELECT 0::BIGINT AS violations")

@@ -5,6 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -28,3 +31,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def norm_sql(x: str) -> str:
     """The match form in SQL, for text without Arabic."""
     return rf"trim(regexp_replace(regexp_replace(translate(lower({x}), '''’‘ʼ', ''), '[\p{{P}}\p{{S}}]', ' ', 'g'), '\s+', ' ', 'g'))"
+
+
+#: Every document's words as the items of a page: nine to a line, 14 units apart, with 40 more after the fifth.
+ITEMS_SQL = f"SELECT doc_id AS page, list_filter(string_split({norm_sql('text')}, ' '), lambda x: x <> '') AS w FROM documents"
+
+
+def placed_words(docs: DataFrame) -> DataFrame:
+    words = docs.select(F.col("doc_id").alias("page"), F.posexplode(text.surface_words(F.col("text"))).alias("i", "text"))
+    x = 14.0 * (F.col("i") % 9) + F.when(F.col("i") % 9 >= 5, 40.0).otherwise(0.0)
+    return words.select("page", x.alias("x"), (20.0 * F.floor(F.col("i") / 9)).alias("y"), F.lit(10.0).alias("width"), F.lit(10.0).alias("size"), "text")
