@@ -51,7 +51,7 @@ def snk_generated(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.schema(floors.schema).json(path)
 
 
-@query("""WITH o AS (SELECT item_id, text[1:20] AS t FROM benchmark), e AS (
+@query(r"""WITH o AS (SELECT item_id, text[1:20] AS t FROM benchmark), e AS (
   SELECT item_id, 0 AS place, 'Part  ' || item_id AS title, 1 AS page FROM o UNION ALL SELECT item_id, 2, 'Deep ' || item_id, (item_id % 9 + 2)::INTEGER FROM o UNION ALL SELECT item_id, 4, 'Last', 9 FROM o WHERE item_id % 2 = 0)
 SELECT item_id, place - CASE WHEN place > 0 THEN 1 ELSE 0 END - CASE WHEN place > 3 THEN 1 ELSE 0 END AS place, regexp_replace(title, '\s+', ' ', 'g') AS title, page FROM e""")
 def src_outline(spark: SparkSession, d: str) -> DataFrame:
