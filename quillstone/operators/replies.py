@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import text
+from ..functions import fixed, text
 from . import answers
 
 # Letters that only Urdu, or only Persian and Urdu, write.
@@ -42,8 +44,10 @@ def cited_points(c: Column) -> Column:
 
 
 def refusal(c: Column) -> Column:
-    """Whether a reply opens with the sentinel or a mandated sentence."""
-    return c.rlike(r"^\s*(?:\[\[NO_ANSWER\]\]|(?i:the (?:uploaded )?document does not (?:provide|contain) (?:enough )?information))")
+    """Whether a reply opens with the sentinel or a mandated sentence of any language, however it is written."""
+    said = text.match_form(c)
+    mandated = [F.startswith(said, text.match_form(F.lit(x))) for x in fixed.NOT_FOUND.values()]
+    return reduce(lambda a, b: a | b, mandated) | c.rlike(r"^\s*(?:\[\[NO_ANSWER\]\]|(?i:the (?:uploaded )?document does not (?:provide|contain) (?:enough )?information))")
 
 
 def prompt(question: Column, block: Column, lang: Column) -> Column:

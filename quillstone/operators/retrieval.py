@@ -116,15 +116,16 @@ def coverage(asked: DataFrame, parts: DataFrame) -> DataFrame:
 
 
 def nearest(queries: DataFrame, candidates: DataFrame, scope: list[str], k: int, key: str) -> DataFrame:
-    """Exact k nearest by cosine inside a scope: (query_id, key, score, rank). Vectors are made unit once, so a pair costs one product.
+    """Exact k nearest by cosine inside a scope: (query_id, key, score, rank). A vector's norm is taken once, so a pair costs one product.
 
     The queries are the broadcast side while they are few, so candidates stay where they are read and a task passes on k of them for each query.
     """
     queries = F.broadcast(queries) if queries.select("query_id").count() <= BROADCAST_QUERIES else queries
-    q = queries.withColumn("q", vectors.unit(F.col("embedding"))).drop("embedding")
-    c = candidates.withColumn("c", vectors.unit(F.col("embedding"))).drop("embedding")
+    sized = lambda df, v, n: df.withColumn(n, F.explode(F.array(vectors.norm(F.col("embedding"))))).withColumnRenamed("embedding", v)  # noqa: E731  each norm once, not once for each element
+    q, c = sized(queries, "q", "q_norm"), sized(candidates, "c", "c_norm")
     pairs = c.join(q, scope).filter(F.col("query_id") != F.col(key)) if key == "vec_id" else c.join(q, scope)
-    scored = pairs.select("query_id", key, F.round(vectors.dot(F.col("q"), F.col("c")), 6).alias("score"))
+    both = F.col("q_norm") * F.col("c_norm")
+    scored = pairs.select("query_id", key, F.round(F.when(both > 0, vectors.dot(F.col("q"), F.col("c")) / both).otherwise(0.0), 6).alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
     return scored.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= k)
 

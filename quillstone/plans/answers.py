@@ -11,6 +11,7 @@ from ..operators import ingest as I  # noqa: E741
 from ..operators import layout as Y
 from ..operators import retrieval as R
 from ..sources import embeddings as E
+from ..sources.stages import staged
 from .registry import ITEMS_SQL, norm_sql, placed_words, query, table
 from .retrieval import ALL, BASE, BUDGET, COVER, LANGS, LEX, SEM, SIGNALS, UNIT, _asked, _index, _lists, _signals
 
@@ -293,5 +294,5 @@ def engine_ask(spark: SparkSession, d: str) -> DataFrame:
     from .engine import Engine
 
     engine = Engine(spark)
-    chunks = engine.ingest(table(spark, d, "documents"))
-    return engine.ask(R.questions(table(spark, d, "benchmark")), chunks, engine.embed(chunks))
+    chunks = staged(engine.ingest(table(spark, d, "documents")), "chunks")  # as an engine keeps them
+    return engine.ask(R.questions(table(spark, d, "benchmark")), chunks, staged(engine.embed(chunks), "vectors"))

@@ -16,7 +16,7 @@ def _docs(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT doc_id, {norm_sql('text')} AS norm FROM documents")
 def fn_norm_core(spark: SparkSession, d: str) -> DataFrame:
-    return _docs(spark, d).select("doc_id", text.match_form(F.col("text")).alias("norm"))
+    return text.nfkc(_docs(spark, d).select("doc_id", "text"), "text").select("doc_id", text.match_form(F.col("text")).alias("norm"))
 
 
 @query(f"SELECT doc_id, list_sort(list_distinct(list_filter(string_split({norm_sql('text')}, ' '), lambda w: w <> ''))) AS terms FROM documents")

@@ -18,6 +18,7 @@ class Engine:
 
     def ingest(self, pages: DataFrame, **options: int) -> DataFrame:
         """Chunks of all pages: (doc, chunk_id, chunk_index, page, content); chunk_index orders a document's chunks by page, 16 million of a page at most."""
+        pages = text.nfkc(pages.select("doc_id", "source", "text"), "text")
         cut = chunking.chunked(pages, **options).join(pages.select("doc_id", F.col("source").alias("doc")), "doc_id")
         key = F.xxhash64("doc_id", "chunk_index")
         return cut.select("doc", key.alias("chunk_id"), (F.shiftleft(F.col("doc_id"), 24) + F.col("chunk_index")).alias("chunk_index"), F.col("doc_id").alias("page"), "content")
@@ -27,6 +28,7 @@ class Engine:
 
     def ask(self, questions: DataFrame, chunks: DataFrame, vectors: DataFrame | None = None) -> DataFrame:
         """(item_id, rank, chunk_id, page, snippet, flagged, evidence) of questions (item_id, doc, question)."""
+        questions = text.nfkc(questions.select("item_id", "doc", "question"), "question")
         lists = {"lexical": (retrieval.lexical(questions, chunks), 1.0)}
         signals = retrieval.coverage(questions, chunks)
         if vectors is not None:

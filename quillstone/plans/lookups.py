@@ -112,12 +112,16 @@ def rep_uncited(spark: SparkSession, d: str) -> DataFrame:
     return A.replies(spark.createDataFrame([("One [S1]. Two.", 2), ("None. At all.", 2)], "reply string, excerpt_count int")).select("reply", F.col("dropped").cast("int").alias("dropped"))
 
 
-@query(r"SELECT conv_id, turn, regexp_matches(said, '^\s*(?:\[\[NO_ANSWER\]\]|(?i:the (?:uploaded )?document does not (?:provide|contain) (?:enough )?information))') AS refused FROM (SELECT conv_id, turn, CASE conv_id % 4 WHEN 0 THEN '[[NO_ANSWER]] ' WHEN 1 THEN ' The document does not contain information on it. ' ELSE '' END || text AS said FROM conversations)")
+MANDATED = " OR ".join(f"starts_with({norm_sql('said')}, {norm_sql(chr(39) + x + chr(39))})" for x in fixed.NOT_FOUND.values())
+REFUSED = ["[[NO_ANSWER]] ", " The document does not contain information on it. ", *[x.upper().replace(".", " -") for k, x in fixed.NOT_FOUND.items() if k != "tr"]]
+
+
+@query(rf"""SELECT conv_id, turn, regexp_matches(said, '^\s*(?:\[\[NO_ANSWER\]\]|(?i:the (?:uploaded )?document does not (?:provide|contain) (?:enough )?information))') OR {MANDATED} AS refused
+FROM (SELECT conv_id, turn, coalesce([{", ".join("'" + x + "'" for x in REFUSED)}][conv_id % 12 + 1], '') || text AS said FROM conversations)""")
 def rep_refusal(spark: SparkSession, d: str) -> DataFrame:
-    """All turns, some with a refusal before them."""
-    k = F.col("conv_id") % 4
-    said = F.concat(F.when(k == 0, "[[NO_ANSWER]] ").when(k == 1, " The document does not contain information on it. ").otherwise(""), "text")
-    return table(spark, d, "conversations").select("conv_id", "turn", P.refusal(said).alias("refused"))
+    """All turns, most with a refusal before them, in capitals and without its stops."""
+    head = F.coalesce(F.get(F.array(*[F.lit(x) for x in REFUSED]), (F.col("conv_id") % 12).cast("int")), F.lit(""))
+    return table(spark, d, "conversations").select("conv_id", "turn", P.refusal(F.concat(head, "text")).alias("refused"))
 
 
 @query(r"""SELECT conv_id, turn, array_to_string(list_filter(string_split(said, chr(10)), lambda x: NOT regexp_matches(x, '^\s*[-*•]') OR regexp_matches(x, '\[S[0-9]{1,3}\]')), chr(10)) AS text
