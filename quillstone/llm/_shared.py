@@ -8,7 +8,8 @@ import gc
 import shutil
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from typing import Any
 
 import pyarrow as pa
@@ -32,11 +33,25 @@ def workspace(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/quillstone"
 
 
+@contextmanager
+def brief(spark: SparkSession, most: int = 4000) -> Iterator[None]:
+    """Spark keeps the text of every plan, and of its changes while it runs, in the driver; within this block it is cut to ``most`` characters."""
+    name = "spark.sql.maxPlanStringLength"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, str(most))
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def settle(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """Writes df as Parquet into the shared folder and reads it back: the lineage is cut and survives lost executors."""
     spark = df.sparkSession
     path = f"{workspace(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
+    with brief(spark):
+        df.write.option("compression", compression).parquet(path)
+    release()
     return spark.read.schema(df.schema).parquet(path)
 
 

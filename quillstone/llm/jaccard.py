@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import kept, modest_batches, partitions, settle
+from ._shared import brief, kept, modest_batches, partitions, settle
 
 #: Documents hashed together; words and set names that a task remembers.
 TOGETHER, KNOWN, SEEN = 256, 250_000, 50_000
@@ -336,7 +336,8 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         ends = e.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(e.select(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))
         ends = ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
-        count, open_ = ends.agg(F.coalesce(F.sum("up"), F.lit(0)), F.coalesce(F.sum(((F.col("up") > 1) | ((F.col("up") > 0) & (F.col("down") > 0))).cast("int")), F.lit(0))).first()
+        with brief(e.sparkSession):
+            count, open_ = ends.agg(F.coalesce(F.sum("up"), F.lit(0)), F.coalesce(F.sum(((F.col("up") > 1) | ((F.col("up") > 0) & (F.col("down") > 0))).cast("int")), F.lit(0))).first()
         if not open_:
             return e
         degree = max(1000, 2 * count // HUBS)  # the edges have 2 * count ends, so HUBS nodes at most have more
