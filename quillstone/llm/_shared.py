@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
@@ -83,3 +84,8 @@ def modest_batches(spark: SparkSession, rows: int = 2000) -> None:
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(name, "10000") == "10000":
         spark.conf.set(name, str(rows))
+
+
+def spans(start: np.ndarray, width: np.ndarray) -> np.ndarray:
+    """start[k] to start[k] + width[k] - 1, for every k."""
+    return np.repeat(start - (np.cumsum(width) - width), width) + np.arange(int(width.sum()))
