@@ -98,7 +98,12 @@ INJECTION_RULES = {
 RAW_RULES = {"chat-template-token": r"(?i)<\|[a-z_]+\|>", "llama-marker": r"(?i)\[\s*/?\s*inst\s*\]|<<\s*/?\s*sys\s*>>", "markdown-role-heading": r"(?im)^[ \t]*#{1,6}[ \t]*(?:system|instructions?)\b"}
 # First words of a reply that refuse.
 NO_WORDS = ("no", "not", "لا", "ليس", "غير", "لم")
+# Hundredths of a token for each letter, Arabic letter, ASCII digit, CJK character, white space, astral character and other character; a run of
+# letters or digits is a token at least, and a space before a symbol costs as much as a symbol.
+LETTER, ARABIC, DIGIT, CJK, BLANK, ASTRAL, SYMBOL = 34, 42, 55, 85, 10, 150, 100
 # Search and evidence.
+# Weight of a cover of one word, and how many places of a word count.
+COVER, PLACES = 0.1, 255
 RRF_K, DROP_RATIO, LEAST_CHUNKS, MOST_TOKENS, LEAST_CHARS = 60, 0.5, 6, 40, 2
 TOP_K, CANDIDATES, CONTEXT_CHARS, CUT_LEAST = 6, 24, 16000, 400
 FLOOR, SAME_FLOOR, STRONG, CROSS_STRONG, INFORMATIVE, STRONG_COVERAGE = 0.60, 0.57, 0.71, 0.69, 0.45, 0.6

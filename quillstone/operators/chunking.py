@@ -8,8 +8,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ..functions import fixed
-from . import layout
+from ..functions import fixed, tokens
 
 SENTENCE = re.compile(r"[.!?؟。…]+['\")\]]*\s+|\n+")
 CLAUSE = re.compile(r"[,;:،]\s+")
@@ -59,16 +58,25 @@ def cut(text: str, target: int = fixed.CHUNK_TARGET, most: int = fixed.CHUNK_MAX
     return [(a, b, o) for a, b, o in out if text[a:b].strip()]
 
 
+#: Documents whose chunks are held at a time.
+TOGETHER = 200
+CHUNK = "doc_id long, chunk_index long, char_start long, char_end long, overlap_chars long, token_count long, content string"
+
+
 def chunked(docs: DataFrame, **options: int) -> DataFrame:
     """(doc_id, chunk_index, char_start, char_end, overlap_chars, token_count, content). Null and blank texts have no chunks."""
+    names = [f.split()[0] for f in CHUNK.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
-                for k, (a, b, o) in enumerate(cut(text or "", **options)):
-                    rows.append({"doc_id": doc_id, "chunk_index": k, "char_start": a, "char_end": b, "overlap_chars": o, "content": text[a - o : b]})
-            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("doc_id", pa.int64()), ("chunk_index", pa.int64()), ("char_start", pa.int64()), ("char_end", pa.int64()), ("overlap_chars", pa.int64()), ("content", pa.string())]))
-
-    cut_ = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, chunk_index long, char_start long, char_end long, overlap_chars long, content string")
-    return cut_.select("doc_id", "chunk_index", "char_start", "char_end", "overlap_chars", layout.token_estimate("content").alias("token_count"), "content")
+        for whole in batches:
+            for first in range(0, whole.num_rows, TOGETHER):
+                batch = whole.slice(first, TOGETHER)
+                columns: list[list] = [[] for _ in names]
+                for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
+                    for k, (a, b, o) in enumerate(cut(text or "", **options)):
+                        content = text[a - o : b]
+                        for column, value in zip(columns, (doc_id, k, a, b, o, tokens.estimate(content), content), strict=True):
+                            column.append(value)
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if n == "content" else pa.int64()) for n, c in zip(names, columns, strict=True)], names)
+
+    return docs.select("doc_id", "text").mapInArrow(run, CHUNK)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .retrieval import numbered
+from .ordered import numbered
 
 # Readings that fail in a row, and stops of the reader, after which the rest of a document is skipped; levels and entries of an outline.
 FAILURES, STOPS, LEVELS, ENTRIES = 5, 3, 3, 500

@@ -6,8 +6,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import fixed
 from ..sources.stages import staged
-from .retrieval import numbered
+from .ordered import numbered
 
 LINE, SPACE, TABLE = 0.5, 0.25, 3.0
 
@@ -120,9 +121,7 @@ def streamed(parts: DataFrame) -> DataFrame:
     return parts.groupBy("turn_id").applyInPandas(lambda p: held_stream(p), "turn_id long, seq long, text string, refused boolean")
 
 
-# Hundredths of a token for each letter, Arabic letter, ASCII digit, CJK character, white space, astral character and other character; a run of
-# letters or digits is a token at least, and a space before a symbol costs as much as a symbol.
-LETTER, ARABIC, DIGIT, CJK, BLANK, ASTRAL, SYMBOL = 34, 42, 55, 85, 10, 150, 100
+LETTER, ARABIC, DIGIT, CJK, BLANK, ASTRAL, SYMBOL = fixed.LETTER, fixed.ARABIC, fixed.DIGIT, fixed.CJK, fixed.BLANK, fixed.ASTRAL, fixed.SYMBOL
 _CJK = r"\x{3040}-\x{30ff}\x{3400}-\x{9fff}\x{ac00}-\x{d7af}\x{f900}-\x{faff}\x{20000}-\x{2fa1f}"
 _ARABIC = r"[\x{600}-\x{6ff}&&[\p{L}\p{M}]]\x{750}-\x{77f}\x{fb50}-\x{feff}"
 _SPACE = r"\t\n\r \x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}"

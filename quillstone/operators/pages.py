@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import folded, ranged
 
 # Limits of a trusted page, and how sure or how complete a reading must be to replace its text.
 FEW, IMAGE_CHARS, IMAGE, DRAWN, GARBAGE, UNMAPPED, MOJIBAKE, ARABIC_SHARE = 25, 200, 0.5, 20, 0.3, 0.005, 0.2, 0.05
@@ -105,7 +106,7 @@ def confidence(lines: DataFrame) -> DataFrame:
 
 
 def shares(pages: DataFrame) -> DataFrame:
-    """Each document's languages by letters; und only where nothing else is known; largest first, then by code."""
+    """Each document's languages by letters; und only where nothing else is known; largest first, then by code. A document has a row for each language by then."""
     per = pages.groupBy("doc", "lang").agg(F.sum("letters").alias("letters"))
     w = Window.partitionBy("doc")
     known = per.withColumn("known", F.max(F.col("lang") != "und").over(w)).filter(~F.col("known") | (F.col("lang") != "und"))
@@ -115,15 +116,16 @@ def shares(pages: DataFrame) -> DataFrame:
 
 def carried(rows: DataFrame) -> DataFrame:
     """The last heading before or at each row, and whether a section starts there."""
-    w = Window.partitionBy("doc").orderBy("page")
-    held = rows.withColumn("section", F.last("title", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    before = F.lag("section").over(w)
-    return held.withColumn("starts", F.col("section").isNotNull() & ~F.col("section").eqNullSafe(before))
+    key = ["doc"], ["page"]
+    held = folded(ranged(rows, *key), *key, last={"section": F.col("title")})
+    held = folded(held, *key, former={"_before": F.col("section")})
+    return held.withColumn("starts", F.col("section").isNotNull() & ~F.col("section").eqNullSafe(F.col("_before"))).drop("_part", "_before")
 
 
 def blocks(lines: DataFrame) -> DataFrame:
     """Numbers lines' blocks: a new one where the advance exceeds 1.4 leadings or sizes differ by over 15 %."""
-    w = Window.partitionBy("doc").orderBy("line")
-    size, last = F.col("size"), F.lag("size").over(w)
-    breaks = (F.col("y") - F.lag("y").over(w) > 1.4 * F.col("leading")) | (F.greatest(size, last) / F.least(size, last) > 1.15)
-    return lines.withColumn("broke", F.coalesce(breaks.cast("int"), F.lit(0))).withColumn("block", F.sum("broke").over(w))
+    key = ["doc"], ["line"]
+    held = folded(ranged(lines, *key), *key, former={"_size": F.col("size"), "_y": F.col("y")})
+    breaks = (F.col("y") - F.col("_y") > 1.4 * F.col("leading")) | (F.greatest("size", "_size") / F.least("size", "_size") > 1.15)
+    broke = held.withColumn("broke", F.coalesce(breaks.cast("int"), F.lit(0)))
+    return folded(broke, *key, sums={"block": F.col("broke")}).drop("_part", "_size", "_y")

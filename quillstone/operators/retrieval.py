@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed, text, vectors
 from ..sources import stages
+from .ordered import numbered
 
 #: Question terms that are broadcast to the scan of the chunks at most.
 BROADCAST_TERMS = 500_000
@@ -23,30 +24,15 @@ def chunks(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("source").alias("doc"), F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))
 
 
-def numbered(rows: DataFrame, group: str, key: str, name: str, then: tuple[str, ...] = (), each: int = 50_000) -> DataFrame:
-    """rows with their place, from 0, in the order of a whole-number key (and of the columns ``then``, among equals) inside their group, without gathering a group.
-
-    Keys are cut into ranges of about ``each`` rows if they are dense. Ranges are counted, their counts summed up before them, and rows numbered inside their range.
-    """
-    low, high, n = rows.agg(F.min(key), F.max(key), F.count("*")).first()
-    step = max(1, (high - low) * each // max(n, 1)) if n else 1
-    part = F.floor((F.col(key) - F.lit(low)) / step)
-    cut = rows.withColumn("_part", part)
-    sizes = cut.groupBy(group, "_part").agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    inside = F.row_number().over(Window.partitionBy(group, "_part").orderBy(key, *then)) - 1
-    return cut.withColumn("_in", inside).join(sizes.select(group, "_part", before.alias("_before")), [group, "_part"]).withColumn(name, (F.col("_before") + F.col("_in")).cast("long")).drop("_part", "_in", "_before")
-
-
 def indexed(docs: DataFrame) -> DataFrame:
     """Where each chunk stands in its document: (doc, chunk_id, chunk_index); no text is read."""
     return numbered(docs.select(F.col("source").alias("doc"), F.col("doc_id").alias("chunk_id")), "doc", "chunk_id", "chunk_index")
 
 
-def questions(benchmark: DataFrame, docs: int = 20) -> DataFrame:
-    """The first twelve words of each item, asked of one document."""
-    asked = F.array_join(F.slice(F.split("text", r"\s+"), 1, 12), " ")
-    return benchmark.select("item_id", F.concat(F.lit("src"), F.col("item_id") % docs).alias("doc"), asked.alias("question"))
+def questions(benchmark: DataFrame, docs: DataFrame) -> DataFrame:
+    """(item_id, doc, question): each whole item, asked of the manuscript that holds the document of its number; items without such a document are not asked."""
+    asked = benchmark.select("item_id", F.trim(F.regexp_replace("text", r"\s+", " ")).alias("question"))
+    return asked.join(docs.select(F.col("doc_id").alias("item_id"), F.col("source").alias("doc")), "item_id").select("item_id", "doc", "question")
 
 
 def terms(asked: DataFrame) -> DataFrame:
@@ -58,13 +44,21 @@ def _place(parts: DataFrame) -> str:
     return "chunk_index" if "chunk_index" in parts.columns else "chunk_id"
 
 
-def postings(parts: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
-    """(doc, chunk_id, term), each once, with chunk_index where parts have one; only the wanted (doc, term) where given, so nothing else is shuffled."""
-    rows = parts.select("doc", *dict.fromkeys(["chunk_id", _place(parts)]), F.explode(F.array_distinct(text.surface_words(F.col("content")))).alias("term"))
-    if wanted is None:
-        return rows
-    keys = wanted.select("doc", "term").distinct()
-    return rows.join(F.broadcast(keys) if keys.count() <= BROADCAST_TERMS else keys, ["doc", "term"], "left_semi")
+def vocabulary(parts: DataFrame) -> DataFrame:
+    """(doc, term, df): how many chunks of a document hold each of its words."""
+    return parts.select("doc", F.explode(F.array_distinct(text.surface_words(F.col("content")))).alias("term")).groupBy("doc", "term").agg(F.count("*").alias("df"))
+
+
+def postings(parts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(doc, chunk_id, term, tf) of the wanted (doc, term), with chunk_index where parts have one; tf counts the places of the term in the chunk.
+
+    Chunks of other documents are not read for words, and nothing else is shuffled.
+    """
+    keys = ["doc", *dict.fromkeys(["chunk_id", _place(parts)]), "term"]
+    words = lambda of: of.select(*keys[:-1], F.explode(text.surface_words(F.col("content"))).alias("term"))
+    few = wanted.select("doc", "term").distinct()
+    few = F.broadcast(few) if few.count() <= BROADCAST_TERMS else few
+    return words(parts.join(few.select("doc").distinct(), "doc", "left_semi")).join(few, ["doc", "term"], "left_semi").groupBy(*keys).agg(F.count("*").alias("tf"))
 
 
 def frequencies(asked: DataFrame, posted: DataFrame) -> DataFrame:
@@ -93,15 +87,20 @@ def hits(asked: DataFrame, parts: DataFrame, posted: DataFrame | None = None) ->
 
 
 def matched(asked: DataFrame, parts: DataFrame, posted: DataFrame | None = None) -> DataFrame:
-    """Chunks that hold an informative asked term: (item_id, doc, chunk_id, score, hits), with chunk_index where parts have one."""
+    """Chunks that hold an informative asked term: (item_id, doc, chunk_id, score, hits, density), with chunk_index where parts have one.
+
+    density is the cover density of the terms, any of which will do: then every place of a term is a minimal cover of one word, of weight COVER,
+    and of a term's places the first PLACES count.
+    """
     keys = ["item_id", "doc", *dict.fromkeys(["chunk_id", _place(parts)])]
-    return hits(asked, parts, posted).groupBy(*keys).agg(F.round(F.sum("idf"), 6).alias("score"), F.count("*").alias("hits"))
+    places = F.sum(F.least("tf", F.lit(fixed.PLACES)))
+    return hits(asked, parts, posted).groupBy(*keys).agg(F.round(F.sum("idf"), 6).alias("score"), F.count("*").alias("hits"), F.round(places * fixed.COVER, 1).alias("density"))
 
 
 def lexical(asked: DataFrame, parts: DataFrame, k: int = fixed.CANDIDATES) -> DataFrame:
-    """The k best chunks by summed idf; ties go to more distinct terms, then to the earlier chunk."""
-    order = Window.partitionBy("item_id", "doc").orderBy(F.desc("score"), F.desc("hits"), _place(parts))
-    return matched(asked, parts).withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= k).drop("hits")
+    """The k best chunks by summed idf; ties go to the denser covers, then to the earlier chunk."""
+    order = Window.partitionBy("item_id", "doc").orderBy(F.desc("score"), F.desc("density"), _place(parts))
+    return matched(asked, parts).withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= k).drop("hits", "density")
 
 
 def coverage(asked: DataFrame, parts: DataFrame) -> DataFrame:

@@ -295,4 +295,4 @@ def engine_ask(spark: SparkSession, d: str) -> DataFrame:
 
     engine = Engine(spark)
     chunks = staged(engine.ingest(table(spark, d, "documents")), "chunks")  # as an engine keeps them
-    return engine.ask(R.questions(table(spark, d, "benchmark")), chunks, staged(engine.embed(chunks), "vectors"))
+    return engine.ask(R.questions(table(spark, d, "benchmark"), table(spark, d, "documents")), chunks, staged(engine.embed(chunks), "vectors"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed, text
-from ..operators import chunking, pages, retrieval
+from ..operators import chunking, ordered, pages, retrieval
 from .registry import norm_sql, query, table
 
 
@@ -257,7 +257,7 @@ def q_settle(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {QUALITY}, {ASSESS} SELECT doc, doc_id, n <= 5 AS planned FROM (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY page) AS n FROM a WHERE needs)")
 def q_plan(spark: SparkSession, d: str) -> DataFrame:
     rows = pages.assessed(_pages(spark, d)).filter("needs_ocr").select("doc", "doc_id", "page")
-    return retrieval.numbered(rows, "doc", "page", "n").select("doc", "doc_id", (F.col("n") < 5).alias("planned"))
+    return ordered.numbered(rows, "doc", "page", "n").select("doc", "doc_id", (F.col("n") < 5).alias("planned"))
 
 
 @query("SELECT source AS doc, round(greatest(0, least(100, sum(n_chars * (doc_id % 120)) / sum(n_chars))), 4)::DOUBLE AS confidence FROM documents GROUP BY source")
@@ -292,8 +292,8 @@ CARRY = "t AS (SELECT source AS doc, row_number() OVER (PARTITION BY source ORDE
 
 
 def _titled(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("source").orderBy("doc_id")
-    return pages.carried(_docs(spark, d).select(F.col("source").alias("doc"), F.row_number().over(w).cast("long").alias("page"), F.when(F.col("doc_id") % 9 == 0, F.col("lang")).alias("title")))
+    rows = _docs(spark, d).select(F.col("source").alias("doc"), "doc_id", F.when(F.col("doc_id") % 9 == 0, F.col("lang")).alias("title"))
+    return pages.carried(ordered.numbered(rows, "doc", "doc_id", "page").withColumn("page", F.col("page") + 1))
 
 
 @query(f"WITH {CARRY} SELECT doc, page, section FROM s")
@@ -312,9 +312,8 @@ LINES = "n AS (SELECT source AS doc, row_number() OVER (PARTITION BY source ORDE
 @query(f"""WITH {LINES}, b AS (SELECT *, coalesce((y - lag(y) OVER w > 1.4 * ld) OR greatest(size, lag(size) OVER w) / least(size, lag(size) OVER w) > 1.15, false)::INTEGER AS broke FROM n WINDOW w AS (PARTITION BY doc ORDER BY line))
 SELECT doc, line, sum(broke) OVER (PARTITION BY doc ORDER BY line)::BIGINT AS block FROM b""")
 def win_lead_break(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("source").orderBy("doc_id")
-    lines = _docs(spark, d).select(F.col("source").alias("doc"), F.row_number().over(w).cast("long").alias("line"), (F.col("doc_id") % 4 + 9).cast("double").alias("size"), F.lit(12.0).alias("leading"), (F.col("doc_id") * 13.0).alias("y"))
-    return pages.blocks(lines).select("doc", "line", "block")
+    lines = _docs(spark, d).select(F.col("source").alias("doc"), "doc_id", (F.col("doc_id") % 4 + 9).cast("double").alias("size"), F.lit(12.0).alias("leading"), (F.col("doc_id") * 13.0).alias("y"))
+    return pages.blocks(ordered.numbered(lines, "doc", "doc_id", "line").withColumn("line", F.col("line") + 1)).select("doc", "line", "block")
 
 
 @query("SELECT lang, round(quantile_cont(n_chars, 0.25), 4) AS q25, round(median(n_chars), 4) AS mid, list_sort(list(n_chars))[1 + floor(0.9 * (count(*) - 1))::INTEGER] AS q90 FROM documents GROUP BY lang")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed, text
 from ..operators import answers as A
-from ..operators import chunking, layout, retrieval
+from ..operators import chunking, layout, ordered, retrieval
 from ..operators import replies as P
 from ..sources import schemas
 from .registry import ITEMS_SQL, norm_sql, placed_words, query, table
@@ -180,8 +180,9 @@ def ch_highlights(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT doc_id, lang FROM (SELECT source, doc_id, lang, lag(lang) OVER (PARTITION BY source ORDER BY doc_id) AS before FROM documents) WHERE lang IS DISTINCT FROM before")
 def win_dedup_adj(spark: SparkSession, d: str) -> DataFrame:
-    before = F.lag("lang").over(Window.partitionBy("source").orderBy("doc_id"))
-    return table(spark, d, "documents").withColumn("before", before).filter(~F.col("lang").eqNullSafe(F.col("before"))).select("doc_id", "lang")
+    key = ["source"], ["doc_id"]
+    rows = ordered.ranged(table(spark, d, "documents").select("source", "doc_id", "lang"), *key)
+    return ordered.folded(rows, *key, former={"before": F.col("lang")}).filter(~F.col("lang").eqNullSafe(F.col("before"))).select("doc_id", "lang")
 
 
 @query("SELECT o_orderkey, o_custkey FROM orders o WHERE o_totalprice > 200000 AND EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey AND l_returnflag = 'R')")

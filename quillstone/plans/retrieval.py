@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed, text, vectors
@@ -12,16 +12,18 @@ from .registry import norm_sql, query, table
 STOP = ", ".join(f"'{w}'" for w in fixed.stopwords())
 TASK = ", ".join(f"'{w}'" for w in fixed.TASK_WORDS.split())
 CHUNKS = "c AS (SELECT source AS doc, doc_id AS chunk_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS chunk_index, text AS content FROM documents)"
-ASKED = r"q AS (SELECT item_id, 'src' || (item_id % 20) AS doc, array_to_string(string_split_regex(text, '\s+')[1:12], ' ') AS question FROM benchmark)"
-TERMS = f"""t AS (SELECT DISTINCT item_id, doc, term FROM (SELECT item_id, doc, unnest(string_split({norm_sql("question")}, ' ')) AS term FROM q)
-  WHERE term <> '' AND (regexp_matches(term, '[0-9]') OR (length(term) >= 2 AND term NOT IN ({STOP}))))"""
+ASKED = r"q AS MATERIALIZED (SELECT item_id, source AS doc, trim(regexp_replace(b.text, '\s+', ' ', 'g')) AS question FROM benchmark b JOIN documents ON doc_id = item_id)"
+TERMS = f"""t AS MATERIALIZED (SELECT item_id, doc, term FROM (SELECT item_id, doc, term, row_number() OVER (PARTITION BY item_id ORDER BY min(i)) AS k
+  FROM (SELECT item_id, doc, unnest(w) AS term, generate_subscripts(w, 1) AS i FROM (SELECT item_id, doc, string_split({norm_sql("question")}, ' ') AS w FROM q))
+  WHERE term <> '' AND (regexp_matches(term, '[0-9]') OR (length(term) >= {fixed.LEAST_CHARS} AND term NOT IN ({STOP}))) GROUP BY item_id, doc, term) WHERE k <= {fixed.MOST_TOKENS})"""
 POSTED = f"""p AS MATERIALIZED (SELECT DISTINCT doc, chunk_id, chunk_index, term FROM (SELECT doc, chunk_id, chunk_index, unnest(string_split({norm_sql("content")}, ' ')) AS term FROM c) WHERE term <> '')"""
-KNOWN = """df AS (SELECT item_id, t.doc, t.term, count(p.chunk_id) AS df FROM t LEFT JOIN p ON p.doc = t.doc AND p.term = t.term GROUP BY ALL),
-w AS (SELECT df.*, n, (n < 6 OR df <= n * 0.5 OR regexp_matches(term, '[0-9]')) AS informative, ln(1 + (n - df + 0.5) / (df + 0.5)) AS idf
+HELD = f"""p AS MATERIALIZED (SELECT doc, chunk_id, chunk_index, term, count(*) AS tf FROM (SELECT doc, chunk_id, chunk_index, unnest(string_split({norm_sql("content")}, ' ')) AS term FROM c) WHERE (doc, term) IN (SELECT doc, term FROM t) GROUP BY ALL)"""
+KNOWN = f"""df AS MATERIALIZED (SELECT item_id, t.doc, t.term, count(p.chunk_id) AS df FROM t LEFT JOIN p ON p.doc = t.doc AND p.term = t.term GROUP BY ALL),
+w AS MATERIALIZED (SELECT df.*, n, (n < 6 OR df <= n * 0.5 OR regexp_matches(term, '[0-9]')) AS informative, ln(1 + (n - df + 0.5) / (df + 0.5)) AS idf
   FROM df JOIN (SELECT doc, count(*) AS n FROM c GROUP BY doc) USING (doc)),
-m AS (SELECT item_id, w.doc, chunk_id, chunk_index, round(sum(idf), 6) AS score, count(*) AS hits FROM w JOIN p ON p.doc = w.doc AND p.term = w.term WHERE informative AND df > 0 GROUP BY ALL)"""
-BASE = f"WITH {CHUNKS}, {ASKED}, {TERMS}, {POSTED}, {KNOWN}"
-LEX = "lex AS (SELECT * FROM (SELECT item_id, doc, chunk_id, chunk_index, score, row_number() OVER (PARTITION BY item_id, doc ORDER BY score DESC, hits DESC, chunk_index) AS rank FROM m) WHERE rank <= 24)"
+m AS (SELECT item_id, w.doc, chunk_id, chunk_index, round(sum(idf), 6) AS score, count(*) AS hits, sum(least(tf, {fixed.PLACES})) AS places FROM w JOIN p ON p.doc = w.doc AND p.term = w.term WHERE informative AND df > 0 GROUP BY ALL)"""
+BASE = f"WITH {CHUNKS}, {ASKED}, {TERMS}, {HELD}, {KNOWN}"
+LEX = "lex AS (SELECT * FROM (SELECT item_id, doc, chunk_id, chunk_index, score, row_number() OVER (PARTITION BY item_id, doc ORDER BY score DESC, places DESC, chunk_index) AS rank FROM m) WHERE rank <= 24)"
 UNIT = "u AS (SELECT vec_id, label, embedding::DOUBLE[] AS e, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings)"
 SEM = """sem AS (SELECT * FROM (SELECT item_id, chunk_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, chunk_id) AS rank FROM (
   SELECT q.item_id, c.chunk_id, round(list_dot_product(a.e, b.e) / (a.n * b.n), 6) AS score FROM q JOIN u a ON a.vec_id = q.item_id JOIN c ON c.doc = q.doc JOIN u b ON b.vec_id = c.chunk_id)) WHERE rank <= 24)"""
@@ -33,7 +35,8 @@ ALL = f"{BASE}, {LEX}, {UNIT}, {SEM}, {PAGE}, {FUSED}"
 
 
 def _asked(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    return R.questions(table(spark, d, "benchmark")), R.chunks(table(spark, d, "documents"))
+    docs = table(spark, d, "documents")
+    return R.questions(table(spark, d, "benchmark"), docs), R.chunks(docs)
 
 
 def _index(spark: SparkSession, d: str) -> DataFrame:
@@ -53,7 +56,7 @@ def fn_query_tokens(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {CHUNKS}, {POSTED} SELECT doc, term, count(*) AS df FROM p GROUP BY ALL")
 def agg_df(spark: SparkSession, d: str) -> DataFrame:
-    return R.postings(_asked(spark, d)[1]).groupBy("doc", "term").agg(F.count("*").alias("df"))
+    return R.vocabulary(_asked(spark, d)[1])
 
 
 @query(f"{BASE} SELECT item_id, doc, term, df FROM df")
@@ -235,6 +238,6 @@ def smp_even(spark: SparkSession, d: str) -> DataFrame:
 SELECT doc, doc_id, CASE WHEN total <= 20000 THEN chars ELSE least(chars, 20000 // n) END::BIGINT AS kept FROM c""")
 def smp_fit(spark: SparkSession, d: str) -> DataFrame:
     """Texts cut to an equal share of a budget where they exceed it together."""
-    w = Window.partitionBy("source")
-    rows = table(spark, d, "documents").select(F.col("source").alias("doc"), "doc_id", F.length("text").cast("long").alias("chars"), F.sum(F.length("text")).over(w).alias("total"), F.count("*").over(w).alias("n"))
+    rows = table(spark, d, "documents").select(F.col("source").alias("doc"), "doc_id", F.length("text").cast("long").alias("chars"))
+    rows = rows.join(rows.groupBy("doc").agg(F.sum("chars").alias("total"), F.count("*").alias("n")), "doc")
     return rows.select("doc", "doc_id", F.when(F.col("total") <= 20000, F.col("chars")).otherwise(F.least(F.col("chars"), F.floor(F.lit(20000) / F.col("n")))).alias("kept"))
