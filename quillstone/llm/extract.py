@@ -30,11 +30,15 @@ BLOCK = frozenset("p div h1 h2 h3 h4 h5 h6 li ul ol dl dt dd table thead tbody t
 VOID = frozenset("br hr img input meta link area base col embed source track wbr".split())
 SHORT = frozenset("p li dt dd tr td th option h1 h2 h3 h4 h5 h6".split())
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
-#: Words of class names and ids that mark what is no article, and those that mark one.
+#: Class names and ids, whole, of what is no article.
 BAD = frozenset(
-    "ad ads adv advert adverts advertisement advertising banner promo promotion sponsor sponsored cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup "
-    "sidebar side rail menu nav navbar navigation breadcrumb breadcrumbs header masthead topbar footer bottombar comment comments commentlist reply replies respond discussion disqus share sharing social related recommended "
-    "recommendations pagination pager widget toolbar login search skip form copyright disclaimer outbrain taboola".split()
+    "ad ads ad-slot adsbygoogle advert advertisement banner-ad sponsored cookie-notice cookie-banner cookie-consent gdpr newsletter newsletter-signup sidebar site-header site-footer navbar main-nav breadcrumb breadcrumbs menu "
+    "comment comments comment-list commentlist respond disqus_thread share-buttons share-links social-share social-links related-posts pagination search-form login-form skip-link popup modal".split()
+)
+#: Words inside class names and ids that make their lines suspect, so that neighbours decide; and those that mark an article.
+SUSPECT = frozenset(
+    "ad ads advert advertisement advertising banner promo promotion sponsor sponsored cookie cookies consent notice alert popup modal overlay newsletter subscribe subscription signup sidebar side rail menu nav navigation breadcrumb "
+    "header masthead footer comment comments reply replies discussion share sharing social related recommended recommendations pagination widget toolbar login search skip form copyright disclaimer".split()
 )
 GOOD = frozenset("article content main post entry story text maincontent articlebody".split())
 OPEN = re.compile(r"<(?:!--|!\[CDATA\[|[!?]|(/?)([A-Za-z][A-Za-z0-9:-]*+))")
@@ -43,6 +47,7 @@ REST = re.compile(r"""[^>"']*+(?:(?:"[^"]*+"|'[^']*+')[^>"']*+)*+>""")
 NAMES = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 PARTS = re.compile(r"[A-Za-z]+")
 HIDDEN = re.compile(r"""\bhidden\b(?!\s*=\s*["']?until)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
+#: Roles of what is no article.
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 #: A line's mark: inside an article element; undecided; left out by the markup.
 INSIDE, OPEN_, OUTSIDE = 1, 0, -1
@@ -82,44 +87,100 @@ class Tags:
 
 
 def _marks(tag: str, attrs: str) -> str:
-    """'out', 'in' or '' by an element's attributes."""
+    """'out', 'suspect', 'main', 'in' or '' by an element's attributes."""
     if not attrs or tag in ("html", "body"):
         return ""
     if HIDDEN.search(attrs):
         return "out"
-    words = set()
+    words: set[str] = set()
     for m in NAMES.finditer(attrs):
         said = m[1] or m[2] or m[3] or ""
-        if said.lower() in ROLES:
+        if said.lower() == "main":
+            return "main"
+        if said.lower() in ROLES or BAD.intersection(said.lower().split()):
             return "out"
         words |= {w.lower() for w in PARTS.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", said))}
-    if words & BAD:
-        return "" if words & GOOD and not words & {"comment", "comments", "reply", "replies", "related", "share", "ad", "ads", "sponsored"} else "out"
-    return "in" if words & {"article", "maincontent", "articlebody"} or {"main", "content"} <= words or {"post", "content"} <= words or {"entry", "content"} <= words else ""
+    if words & {"article", "maincontent", "articlebody"} or {"main", "content"} <= words or {"post", "content"} <= words or {"entry", "content"} <= words:
+        return "in"
+    return "suspect" if words & SUSPECT and not words & GOOD else ""
+
+
+class _Region:
+    """The part of a page inside one kind of element, counted by its tag: which of them a line stands in, or none."""
+
+    def __init__(self) -> None:
+        self.tag, self.depth, self.count = "", 0, 0
+
+    def open(self, tag: str) -> None:
+        self.tag, self.depth, self.count = tag, 1, self.count + 1
+
+    def tagged(self, tag: str, closing: bool) -> None:
+        if self.depth and tag == self.tag:
+            self.depth += -1 if closing else 1
+
+    @property
+    def at(self) -> int:
+        return self.count if self.depth else 0
+
+
+Line = tuple[str, bool, bool, int, int, bool]
+
+
+def _settled(out: list[Line]) -> list[tuple[str, int]]:
+    """Each line's mark. out: text, left out, suspect, number of its article element, of its main part, whether that is a main element."""
+    size: dict[int, int] = {}
+    inner: dict[int, int] = {}
+    own = {True: 0, False: 0}
+    for t, gone, _, article, main, real in out:
+        if gone:
+            continue
+        if article:
+            size[article] = size.get(article, 0) + len(t)
+            if main and real:
+                inner[article] = size[article]
+        elif main:
+            own[real] += len(t)
+    if own[True] or inner:  # a main element: article elements outside it are cards, and so are those inside it if it says more itself
+        chosen = {} if own[True] > sum(inner.values()) else inner
+        around = True
+    else:
+        chosen, around = size, False
+    most = max(chosen.values(), default=0)
+    if 3 * most > 2 * sum(chosen.values()):  # one article among cards
+        chosen = {k: n for k, n in chosen.items() if n == most}
+    found = []
+    for t, gone, suspect, article, main, real in out:
+        if chosen:
+            mark = OUTSIDE if article not in chosen else OPEN_ if suspect else INSIDE
+        elif around:
+            mark = OPEN_ if main and real and not article else OUTSIDE
+        else:
+            mark = OUTSIDE if own[False] and not main else OPEN_
+        found.append((t, OUTSIDE if gone else mark))
+    return found
 
 
 def lines(page: str) -> list[tuple[str, int]]:
     """The page's blocks of text in their order, each with its mark. Scripts, styles and their like are no text.
 
-    Beside an article element everything else is left out; beside a main element, or one whose class says so, everything around it.
+    Where there is a main element, everything around it is left out, article elements too; inside it, article elements are the text if they say more than the rest of
+    it. Without one, article elements are the text, and else a part whose class says so. Of several article elements one that holds more than two thirds
+    of their text is the article and the others are cards. Inside the text only elements, roles and whole class names known to be none of it are left out; a
+    class name that merely holds a telling word leaves its lines undecided.
     """
-    out: list[tuple[str, int, bool]] = []  # text, mark, inside a main element
+    out: list[Line] = []
     held: list[str] = []
-    article: list[str] = []  # open elements that hold the main text, by tag
-    strong = header = heading = False  # the open one is an article element; inside a header or heading of it
+    article, main, suspect = _Region(), _Region(), _Region()
+    header = heading = real = False  # inside a header of the text, or a heading; whether the main part is a main element
     skip, depth = "", 0
     tags, at = Tags(page), 0
-    seen_article = seen_main = False
 
     def end() -> None:
-        nonlocal seen_article, seen_main
         text = " ".join(entities.unescape("".join(held)).split())
         held.clear()
         if text:
-            gone = bool(skip) or header and bool(article) and not heading
-            out.append((text, OUTSIDE if gone else INSIDE if article and strong else OPEN_, bool(article)))
-            seen_article |= out[-1][1] == INSIDE
-            seen_main |= bool(article) and not gone
+            gone = bool(skip) or header and not heading and bool(article.at or main.at)
+            out.append((text, gone, bool(suspect.at), article.at, main.at, real))
 
     while at < len(page):
         start, to, tag, closing, attrs = tags.next(at)
@@ -163,8 +224,8 @@ def lines(page: str) -> list[tuple[str, int]]:
                 header = False
             if tag in HEADING:
                 heading = False
-            if article and tag == article[0]:
-                article.pop()
+            for region in (article, main, suspect):
+                region.tagged(tag, True)
             continue
         if tag in BLOCK:
             end()
@@ -174,7 +235,7 @@ def lines(page: str) -> list[tuple[str, int]]:
             continue
         mark = _marks(tag, attrs)
         if tag == "header":
-            if article:
+            if article.at or main.at:
                 header, heading = True, False
                 continue
             mark = "out"
@@ -184,17 +245,22 @@ def lines(page: str) -> list[tuple[str, int]]:
             if not attrs.rstrip().endswith("/"):
                 skip, depth = tag, 1
             continue
-        if article:
-            if tag == "article" and not strong:  # an article inside a main element
-                article, strong = [tag], True
-            elif tag == article[0]:
-                article.append(tag)
-        elif tag in ("article", "main") or mark == "in":
-            article, strong = [tag], tag == "article"
+        if suspect.at and suspect.tag in SHORT and tag in BLOCK:
+            suspect.depth = 0  # such an element ends where the next block begins
+        for region in (article, main, suspect):
+            region.tagged(tag, False)
+        if tag == "article" and not article.at:
+            article.open(tag)
+        elif (tag == "main" or mark == "main") and not (main.at and real):
+            main.open(tag)
+            real = True
+        elif mark == "in" and not main.at and not article.at:
+            main.open(tag)
+            real = False
+        elif mark == "suspect" and not suspect.at:
+            suspect.open(tag)
     end()
-    if seen_article:
-        return [(t, m if m == INSIDE else OUTSIDE) for t, m, _ in out]
-    return [(t, OUTSIDE if seen_main and not inside else m) for t, m, inside in out]
+    return _settled(out)
 
 
 def shared(a: list, b: list) -> list[tuple[int, int]]:
@@ -263,24 +329,26 @@ def _hash(text: str) -> int:
 Page = list[tuple[str, int]]
 
 
-def differenced(own: Page, near: list[Page], usual: frozenset[int] = frozenset()) -> list[str]:
-    """The lines of own that its markup does not leave out, without those undecided ones that it shares with a neighbour.
+def differenced(own: Page, near: list[Page], usual: frozenset[int] = frozenset()) -> tuple[list[str], bool]:
+    """The lines of own that its markup does not leave out, without those undecided ones that it shares with a neighbour; and whether a neighbour is mostly a copy.
 
-    A line that the neighbour holds inside its article stays. Of a neighbour that shares more than COPY of the undecided characters only the host's usual lines
+    A line that the neighbour holds as its text stays. Of a neighbour that shares more than COPY of the undecided characters only the host's usual lines
     count, where the host has enough different pages to tell; where it has not, all of them, unless nothing would be left.
     """
     text = [t for t, _ in own]
     whole = sum(len(t) for t, m in own if m == OPEN_)
     gone: set[int] = set()
-    for other in near:
+    copy = False
+    for other in near if whole else ():
         both = {i for i, j in shared(text, [t for t, _ in other]) if own[i][1] == OPEN_ and other[j][1] != INSIDE}
         if sum(len(text[i]) for i in both) > COPY * whole:
+            copy = True
             if usual:
                 both = {i for i in both if _hash(text[i]) in usual}
             elif all(i in both for i, (_, m) in enumerate(own) if m != OUTSIDE):
                 continue
         gone |= both
-    return [t for i, (t, m) in enumerate(own) if m != OUTSIDE and i not in gone]
+    return [t for i, (t, m) in enumerate(own) if m != OUTSIDE and i not in gone], copy
 
 
 def _usual(rows: DataFrame) -> DataFrame:
@@ -312,24 +380,17 @@ def _unpack(data: bytes) -> Page:
 
 
 KEY = ["host", "path", "sum"]
+WHOLE = "page_id long, url string, host string, path string, sum long"
+#: What became of a page: settled; a neighbour is mostly a copy of it; it has undecided lines and no neighbour.
+SETTLED, COPIED, ALONE = 0, 1, 2
+#: Opening tags with the class or id that they begin with: a page's template is the set of them.
+SKELETON = r"""<[a-zA-Z][a-zA-Z0-9]*(?:\s+(?:class|id)\s*=\s*(?:"[^"]*"|'[^']*'))?"""
 
 
-def extract(pages: DataFrame) -> DataFrame:
-    """Per page: page_id, url, text (blocks joined by an empty line; empty if none) and n_chars.
-
-    Different pages (by host, path and a hash of the html) are sorted by host, path and hash into units of about UNIT; a unit also gets the last page before it
-    and the first after it, so a page's two neighbours are the same however the rows are dealt. A large host spans many units, and copies of a page are
-    differenced once: rows with the same URL and html get the same text. Beyond UNIT * UNITS pages units grow. A null html is empty; a null URL or one
-    without a host has no neighbours. Rows keep their repeats; other columns are not read.
-    """
-    spark = pages.sparkSession
-    modest_batches(spark)
-    url = F.col("url").cast("string")
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), url.alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    rows = rows.select("*", F.coalesce(urls.host_of(url), F.lit("")).alias("host"), F.coalesce(urls.path_of(url), F.lit("")).alias("path"), F.xxhash64("html").alias("sum"))
-
-    keys = settle(rows.groupBy(*KEY).agg(F.count("*").alias("rows")), "keys")
-    repeated = settle(keys.filter("rows > 1").select(*KEY), "repeated")  # written, so that Spark knows its size
+def _differenced(rows: DataFrame, usual: DataFrame | None = None) -> DataFrame:
+    """(page_id, url, host, path, sum, text, state): one row for each different page, differenced with the pages before and after it in (host, path, sum)."""
+    spark = rows.sparkSession
+    keys = settle(rows.select(*KEY).distinct(), "keys")
     units = max(1, min(UNITS, keys.count() // UNIT))
     # The first and last key of each range: as many as units, whatever the input.
     ranged = keys.select(*KEY).repartitionByRange(units, *KEY).groupBy(F.spark_partition_id().alias("p")).agg(F.min(F.struct(*KEY)).alias("a"), F.max(F.struct(*KEY)).alias("b"))
@@ -362,23 +423,60 @@ def extract(pages: DataFrame) -> DataFrame:
         keys = list(zip(*(table[c].to_pylist() for c in KEY), strict=True))
         seq = sorted(range(len(keys)), key=lambda k: keys[k])
         seq = [k for at, k in enumerate(seq) if at == 0 or keys[k] != keys[seq[at - 1]]]  # what several tasks brought
-        data, core, usual = table["data"], table["core"].to_pylist(), table["usual"]
+        data, core = table["data"], table["core"].to_pylist()
+        known = table["usual"] if "usual" in table.schema.names else None
         page = lambda k: _unpack(data[k].as_py())
-        own, text, window = [], [], {}
+        own, text, state, window = [], [], [], {}
         for at, k in enumerate(seq):
             near = [seq[j] for j in (at - 1, at + 1) if 0 <= j < len(seq) and keys[k][0] and keys[seq[j]][0] == keys[k][0]]
             window = {j: window[j] if j in window else page(j) for j in (k, *near)}
             if core[k]:
+                said, copy = differenced(window[k], [window[j] for j in near], frozenset(known[k].as_py() or ()) if known is not None else frozenset())
                 own.append(k)
-                text.append("\n\n".join(differenced(window[k], [window[j] for j in near], frozenset(usual[k].as_py() or ()))))
+                text.append("\n\n".join(said))
+                state.append(COPIED if copy else ALONE if not near and any(m == OPEN_ for _, m in window[k]) else SETTLED)
         kept = table.select(["page_id", "url", *KEY]).take(pa.array(own, pa.int64()))
-        return pa.Table.from_arrays([*kept.columns, pa.array(text, pa.string())], [*kept.schema.names, "text"])
+        return pa.Table.from_arrays([*kept.columns, pa.array(text, pa.string()), pa.array(state, pa.int32())], [*kept.schema.names, "text", "state"])
+
+    units_of = rows.select("page_id", "url", *KEY, "html").mapInArrow(dealt, f"unit int, core boolean, {WHOLE}, data binary")
+    if usual is not None:
+        usual = usual.withColumnRenamed("host", "of")
+        usual = F.broadcast(usual) if usual.count() <= BROADCAST else usual
+        units_of = units_of.join(usual, F.col("host") == F.col("of"), "left").drop("of")
+    return units_of.groupBy("unit").applyInArrow(difference, f"{WHOLE}, text string, state int")
+
 
-    usual = _usual(rows).withColumnRenamed("host", "of")
-    usual = F.broadcast(usual) if usual.count() <= BROADCAST else usual
-    whole = "page_id long, url string, host string, path string, sum long"
-    units_of = rows.mapInArrow(dealt, f"unit int, core boolean, {whole}, data binary").join(usual, F.col("host") == F.col("of"), "left").drop("of")
-    texts = units_of.groupBy("unit").applyInArrow(difference, f"{whole}, text string")
+def extract(pages: DataFrame) -> DataFrame:
+    """Per page: page_id, url, text (blocks joined by an empty line; empty if none) and n_chars.
+
+    Different pages (by host, path and a hash of the html) are sorted by host, path and hash into units of about UNIT; a unit also gets the last page before it
+    and the first after it, so a page's two neighbours are the same however the rows are dealt. A large host spans many units, and copies of a page are
+    differenced once: rows with the same URL and html get the same text. A page is parsed once, unless a neighbour is mostly a copy of it (then its host is
+    differenced again with the lines that are usual there) or its host has no other page and its markup leaves lines undecided: then its
+    neighbours are the pages of other such hosts with the same set of tags and classes; without any it keeps those lines. Pages of any length are read
+    whole, a page being one task's; beyond UNIT * UNITS pages units grow. A null html is empty; a null URL or one without a host has no neighbours. Rows keep
+    their repeats; an empty table gives no rows; other columns, whatever their names, are not read.
+    """
+    spark = pages.sparkSession
+    modest_batches(spark)
+    url = F.col("url").cast("string")
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), url.alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
+    rows = rows.select("*", F.coalesce(urls.host_of(url), F.lit("")).alias("host"), F.coalesce(urls.path_of(url), F.lit("")).alias("path"), F.xxhash64("html").alias("sum"))
+    repeated = settle(rows.groupBy(*KEY).agg(F.count("*").alias("rows")).filter("rows > 1").select(*KEY), "repeated")  # written, so that Spark knows its size
+    first = settle(_differenced(rows), "first")
+    states = {r.state for r in first.select("state").distinct().collect()}
+    texts = first.filter(F.col("state") == SETTLED) if states - {SETTLED} else first
+    if COPIED in states:
+        some = rows.join(settle(first.filter(F.col("state") == COPIED).select("host").distinct(), "hosts"), "host", "left_semi")
+        texts = texts.unionByName(_differenced(some, _usual(some)).filter(F.col("state") == COPIED))
+    if ALONE in states:
+        lone = settle(first.filter((F.col("state") == ALONE) & (F.col("host") != "")).select(*KEY), "lone")
+        skeleton = F.concat(F.lit("<"), F.hex(F.xxhash64(F.array_sort(F.array_distinct(F.regexp_extract_all("html", F.lit(SKELETON), F.lit(0)))))))
+        # A template's pages are sorted by host and path; <, which no host holds, tells templates from hosts.
+        again = rows.join(lone, KEY, "left_semi").select("page_id", "url", "html", skeleton.alias("host"), F.concat_ws("/", "host", "path").alias("path"), "sum", F.col("host").alias("own_host"), F.col("path").alias("own_path"))
+        names = again.select(*KEY, "own_host", "own_path").distinct()
+        met = _differenced(again).drop("state").join(names, KEY).select("page_id", "url", F.col("own_host").alias("host"), F.col("own_path").alias("path"), "sum", "text", F.lit(ALONE).alias("state"))
+        texts = texts.unionByName(met).unionByName(first.filter((F.col("state") == ALONE) & (F.col("host") == "")))
     out = texts.select("page_id", "url", "text")
     if not repeated.isEmpty():  # a page's copies get its text by a join, so that no unit holds them all
         copies = rows.select("page_id", "url", *KEY).join(repeated, KEY, "left_semi").join(texts.select(*KEY, "text").join(repeated, KEY, "left_semi"), KEY)

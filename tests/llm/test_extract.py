@@ -119,3 +119,109 @@ def test_markup_marks():
     page = "<nav>menu</nav><h1>Top</h1><article><header>by me<h2>Title</h2></header><p>Text</p><aside>also</aside><div class='comments'><p>reply</p></div></article><footer>foot</footer>"
     assert extract.lines(page) == [("menu", -1), ("Top", -1), ("by me", -1), ("Title", 1), ("Text", 1), ("also", -1), ("reply", -1), ("foot", -1)]
     assert extract.lines("") == []
+
+
+def test_main_before_cards(spark):
+    page = "<body><div>Menu</div><main><h1>Big news</h1><p>The whole story…</p></main><article><h2>Other story</h2><p>Teaser text</p></article><article><h2>Third</h2><p>Teaser two</p></article></body>"
+    assert run(spark, [(1, "http://n.org/1", page)]) == {1: "Big news\n\nThe whole story…"}
+    cards = "<body><div>Menu</div><main><article><p>First of the blog</p></article><article><p>Next of the blog</p></article></main></body>"
+    assert run(spark, [(1, "http://n.org/1", cards)]) == {1: "First of the blog\n\nNext of the blog"}
+
+
+def test_telling_words_in_class_names_leave_it_to_the_neighbours(spark):
+    body = '<article><p>Story {k}</p><p class="notice-of-birth">Born {k}</p><div class="author-side-note">A note on {k}</div><div id="social-history"><p>History of {k}</p></div><div class="share-row"><p>Share this story with friends</p></div><div class="ad">Buy</div></article>'
+    got = run(spark, [(k, f"http://c.org/{k}", body.replace("{k}", str(k))) for k in range(4)])
+    assert got == {k: f"Story {k}\n\nBorn {k}\n\nA note on {k}\n\nHistory of {k}" for k in range(4)}
+
+
+def test_lone_hosts_meet_others_of_their_template(spark):
+    page = lambda name, text: f'<body><div class="top">Home</div><div>Shop now</div><p>{text}</p><div class="bottom">Powered by Templates</div><div>Copyright 2020 {name}</div></body>'
+    rows = [(k, f"http://lone{k}.org/x", page(f"L{k}", f"Alone in the world {k}")) for k in range(3)] + [(9, "http://other.org/", "<section>Home</section><p>Nothing like it</p>")]
+    got = run(spark, rows)
+    assert got == {k: f"Alone in the world {k}\n\nCopyright 2020 L{k}" for k in range(3)} | {9: "Home\n\nNothing like it"}
+
+
+def test_like_a_tree_parser(spark):
+    """Well-formed random pages, read by the standard library's parser and plain rules over its tree."""
+    from html.parser import HTMLParser
+
+    class Tree(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.root = self.now = {"tag": "root", "attrs": {}, "kids": [], "up": None}
+
+        def handle_starttag(self, tag, attrs):
+            new = {"tag": tag, "attrs": dict(attrs), "kids": [], "up": self.now}
+            self.now["kids"].append(new)
+            if tag not in ("br", "img"):
+                self.now = new
+
+        def handle_endtag(self, tag):
+            self.now = self.now["up"]
+
+        def handle_data(self, data):
+            self.now["kids"].append(data)
+
+    inline = {"b", "i", "a", "span", "em"}
+    gone = {"nav", "footer", "aside", "form", "script", "style", "head", "button"}
+
+    def blocks(node, out):
+        for kid in node["kids"]:
+            if isinstance(kid, str):
+                out[-1] += kid
+            elif kid["tag"] in gone or kid["attrs"].get("class") in ("ad", "comments", "sidebar") or kid["attrs"].get("role") == "navigation":
+                out.append("")
+            elif kid["tag"] == "br":
+                out[-1] += " "
+            elif kid["tag"] in inline:
+                blocks(kid, out)
+            else:
+                out.append("")
+                blocks(kid, out)
+                out.append("")
+        return out
+
+    rng = random.Random(12)
+
+    def inner(depth):
+        out = ""
+        for _ in range(rng.randint(1, 4)):
+            kind = rng.choice(["p", "p", "text", "div", "ul", "b", "br", "gone", "note"]) if depth else "p"
+            word = f"w{rng.randint(0, 10**9)} &amp; &#233;  \n x"
+            if kind == "p":
+                out += f"<p>{word} <b>bold</b><br>more</p>"
+            elif kind == "text":
+                out += word
+            elif kind == "b":
+                out += f"<b>{word}</b>"
+            elif kind == "br":
+                out += "<br>"
+            elif kind == "ul":
+                out += f"<ul><li>{word}</li><li>{word}</li></ul>"
+            elif kind == "div":
+                out += f'<div class="x{rng.randint(0, 9)}">{inner(depth - 1)}</div>'
+            elif kind == "note":
+                out += f'<div class="birth-notice">{word}</div>'
+            else:
+                out += rng.choice([f"<nav><ul><li>{word}</li></ul></nav>", f"<aside>{word}</aside>", f'<div class="ad"><p>{word}</p></div>', f'<div class="comments"><p>{word}</p></div>', f"<script>{word.replace('&', '')}</script>", f'<div role="navigation">{word}</div>', f"<form><p>{word}</p></form>"])
+        return out
+
+    rows, want = [], {}
+    for k in range(60):
+        tag = rng.choice(["article", "main"])
+        page = f"<html><head><title>t</title></head><body><nav>menu</nav><div>top {k}</div><{tag}><h1>Title {k}</h1>{inner(3)}</{tag}><footer>foot</footer></body></html>"
+        tree = Tree()
+        tree.feed(page)
+        body = tree.root["kids"][0]["kids"][1]
+        part = next(x for x in body["kids"] if not isinstance(x, str) and x["tag"] == tag)
+        rows.append((k, f"http://t{k % 6}.org/{k}", page))
+        want[k] = "\n\n".join(t for t in (" ".join(b.split()) for b in blocks(part, [""])) if t)
+    assert run(spark, rows) == want
+
+
+def test_pages_that_differencing_decides(spark):
+    """Pages without an article element: how many lose lines by their neighbours alone. The README names the figure."""
+    rng = random.Random(9)
+    rows = [(k, f"http://d{k % 20}.org/{k:04d}", f"<div>d{k % 20} home</div><div class='links'><a>About us</a></div><p>own {rng.random()} text</p><p>and {rng.random()} more</p><div>All rights reserved</div>") for k in range(400)]
+    got = run(spark, rows)
+    assert sum(t.count("\n\n") == 1 and "home" not in t and "rights" not in t and "About" not in t for t in got.values()) == 400
