@@ -28,9 +28,7 @@ BROADCAST = 1_000_000
 FILTER, PER_RUN, SHIFTS = (1 << 10, 1 << 17), 48, (0, 20, 40)
 #: Units that may follow a number.
 UNITS = "km|cm|mm|m|kg|mg|g|lb|lbs|oz|ml|l|km/h|mph|s|ms|min|h|hours?|minutes?|seconds?|days?|weeks?|months?|years?|meters?|metres?|miles?|feet|inches|grams?|liters?|litres?|dollars?|euros?|cents?|percent|%|€|£|\\$|°C|°F"
-#: White space that may stand before a name at most: a line break and its indentation.
-GAP = 16
-#: What a slot begins with, then d (number), u (unit) or n (name), then what fills it.
+#: What a slot begins with, then d (number), u (unit) or n (name), then what fills it; s marks a capitalised word that opens a sentence.
 MARK = "\u0001"
 
 
@@ -38,7 +36,9 @@ def words(text: Column, names: bool = False) -> Column:
     """Lower-case words: letters, marks of letters, digits; slots begin with MARK. Digits hold together over a point, comma or stroke: 3.5, 3/4."""
     clean = F.replace(F.coalesce(text, F.lit("")), F.lit(MARK), F.lit(" "))
     if names:
-        clean = F.regexp_replace(clean, rf"(?=\p{{Lu}})(?<=[\p{{Ll}}\p{{N}},;][\s\p{{Z}}]{{1,{GAP}}})(\p{{Lu}}[\p{{Ll}}\p{{M}}]+)", f"{MARK}n$1")
+        clean = F.regexp_replace(clean, r"[\s\p{Z}]+", " ")
+        clean = F.regexp_replace(clean, r"(?<=[\p{Ll}\p{N},;] )(\p{Lu}[\p{Ll}\p{M}]+)", f"{MARK}n$1")
+        clean = F.regexp_replace(clean, rf"(?<![\p{{L}}\p{{M}}\p{{N}}{MARK}])(?<!{MARK}n)(\p{{Lu}}[\p{{Ll}}\p{{M}}]+)", f"{MARK}s$1")
     united = F.regexp_replace(clean, rf"(?<=[0-9])[ ]?((?i:{UNITS}))(?![\p{{L}}\p{{N}}])", f" {MARK}u$1 ")
     slots = F.regexp_replace(F.regexp_replace(united, r"(?<![0-9])([0-9]+(?:[.,/][0-9]+)*)", f" {MARK}d$1 "), r"([€£$])", " $1 ")
     with_numbers = F.split(F.lower(slots), rf"(?:[^\p{{L}}\p{{M}}\p{{N}}{MARK}%€£$°.,/]|(?<![0-9])[.,/]|[.,/](?![0-9]))+")
@@ -69,24 +69,43 @@ def _run(hashes: Column | str, i: Column, length: int) -> Column:
 
 def _items(benchmark: DataFrame, window: int) -> DataFrame:
     items = benchmark.filter(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).distinct()
-    items = items.select("item_id", F.explode(F.array(words(F.col("text"), names=True))).alias("item")).filter(F.size("item") > 0)
+    items = items.select("item_id", F.explode(F.array(words(F.col("text"), names=True))).alias("w")).filter(F.size("w") > 0)
+    # A capitalised word that opens a sentence is a name if it is one elsewhere in the item.
+    known = F.transform(F.filter("w", lambda x: F.startswith(x, F.lit(f"{MARK}n"))), _plain)
+    items = items.select("item_id", "w", F.explode(F.array(known)).alias("known"))
+    opened = lambda x: F.when(F.array_contains("known", _plain(x)), F.concat(F.lit(f"{MARK}n"), _plain(x))).otherwise(_plain(x))
+    items = items.select("item_id", F.transform("w", lambda x: F.when(F.startswith(x, F.lit(f"{MARK}s")), opened(x)).otherwise(x)).alias("item"))
     items = items.select("*", F.size("item").alias("n")).withColumn("size", _size(F.col("n"), window)).withColumn("met", F.least(F.col("size"), F.lit(MET)))
     return items.withColumn("text", F.xxhash64("item"))  # an item_id may stand for several texts
 
 
+def _gapped(hashes: Callable[[int], Column], mask: Column | int) -> Column:
+    """The hash of a run of MET words without those at the bits of ``mask``, which stand for names."""
+    bit = lambda k: F.lit(mask >> k & 1 == 1) if isinstance(mask, int) else mask.bitwiseAND(F.lit(1 << k)) > 0
+    return F.xxhash64(F.lit(-1) - mask, *[F.when(bit(k), F.lit(0).cast("long")).otherwise(hashes(k)) for k in range(MET)])
+
+
 def _runs(items: DataFrame) -> DataFrame:
-    """(hash, item_id, text, n, at, met): for each window its rarest run as a template, of at most half slots and no name, and its rarest run word for word."""
+    """(hash, item_id, text, n, at, met, mask): for each window its rarest run as a template, of at most half slots, and its rarest run word for word.
+
+    The run of a template holds no name, mask 0, unless every run of the window does: then names are gaps in it, and two plain words at least are left.
+    """
     seq = F.sequence(F.lit(0), F.col("n") - F.col("met"))
     of = lambda form: F.xxhash64(F.col("met"), *[F.when(F.col("met") > k, F.get(form, F.col("at") + k)) for k in range(MET)])
     hashed = items.select("item_id", "text", "n", "size", "met", "item", F.transform("item", lambda x: F.xxhash64(_plain(x))).alias("p"), F.transform("item", lambda x: F.xxhash64(_form(x))).alias("f"), F.explode(seq).alias("at"))
+    name = lambda x: F.startswith(x, F.lit(f"{MARK}n"))
     some = F.slice("item", F.col("at") + 1, F.col("met"))
-    whole = F.array(F.struct(F.lit(0).alias("kind"), of("p").alias("hash")), F.struct(F.lit(1).alias("kind"), F.when((F.size(F.filter(some, _slot)) * 2 <= F.col("met")) & ~F.exists(some, lambda x: F.startswith(x, F.lit(f"{MARK}n"))), of("f")).alias("hash")))
+    mask = reduce(lambda a, b: a + b, [F.when(name(F.get("item", F.col("at") + k)), 1 << k).otherwise(0) for k in range(MET)])
+    hashed = hashed.select("*", F.explode(F.array(F.struct(some.alias("some"), F.when(F.exists(some, name), mask).otherwise(0).alias("mask")))).alias("y")).select(*hashed.columns, "y.*")
+    slots = F.size(F.filter("some", _slot))
+    template = F.when((F.col("mask") == 0) & (slots * 2 <= F.col("met")), of("f")).when((F.col("mask") > 0) & (F.col("met") == MET) & (F.size("some") - slots >= 2), _gapped(lambda k: F.get("f", F.col("at") + k), F.col("mask")))
+    whole = F.array(F.struct(F.lit(0).alias("kind"), F.lit(0).alias("mask"), of("p").alias("hash")), F.struct(F.lit(1).alias("kind"), "mask", template.alias("hash")))
     runs = hashed.select("item_id", "text", "n", "size", "met", "at", F.explode(whole).alias("x")).select("item_id", "text", "n", "size", "met", "at", "x.*").filter("hash is not null")
     often = runs.groupBy("hash").agg(F.count_distinct("item_id").alias("items"))
     # A run at `at` lies in the windows from at + met - size to at.
     windows = runs.join(often, "hash").select("*", F.explode(F.sequence(F.greatest(F.lit(0), F.col("at") + F.col("met") - F.col("size")), F.least(F.col("at"), F.col("n") - F.col("size")))).alias("window"))
-    best = windows.groupBy("item_id", "text", "n", "met", "window", "kind").agg(F.min(F.struct("items", "at", "hash")).alias("x"))
-    return best.select("x.hash", "item_id", "text", "n", "x.at", "met").distinct()
+    best = windows.groupBy("item_id", "text", "n", "met", "window", "kind").agg(F.min(F.struct("mask", "items", "at", "hash")).alias("x"))
+    return best.select("x.hash", "item_id", "text", "n", "x.at", "met", "x.mask").distinct()
 
 
 def _filter(runs: DataFrame, count: int) -> Callable[[int], Callable[[Column], Column]]:
@@ -109,28 +128,36 @@ def _found(docs: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
     """(a, b, item_id, windows, matched, same): for each text, by two hashes of it, the items found in it."""
     items = settle(_items(benchmark, window), "items")
     runs = settle(_runs(items), "runs")
-    count, longest = runs.agg(F.count("*"), F.coalesce(F.max("n"), F.lit(1))).first()
+    count = runs.count()
     lengths = [r.met for r in items.select("met").distinct().collect()]
+    masks = [r.mask for r in runs.filter("mask > 0").select("mask").distinct().collect()]  # ten at most: two words of four stay
     filtered = _filter(runs, count)
     hit, loose = filtered(len(SHIFTS)), filtered(1)
     # Exploding an array of one keeps what is computed once: projections are not merged across it.
     once = lambda df, **made: df.select(*df.columns, F.explode(F.array(F.struct(*[c.alias(k) for k, c in made.items()]))).alias("x")).select(*df.columns, "x.*")
-    split = once(docs.filter(F.col("text").isNotNull()).select(F.xxhash64("text").alias("a"), F.hash("text").alias("b"), "text"), w=words(F.col("text")))
+    texts = docs.filter(F.col("text").isNotNull()).select(F.xxhash64("text").alias("a"), F.hash("text").alias("b"), "text")
+    split = once(texts, w=words(F.col("text"))).drop("text")
     plain = F.when(F.exists("w", _slot), F.transform("w", lambda x: F.xxhash64(_plain(x)))).otherwise(F.transform("w", lambda x: F.xxhash64(x)))
     split = once(split, p=plain, f=F.when(F.exists("w", _slot), F.transform("w", lambda x: F.xxhash64(_form(x))))).drop("w")
     no_longs = F.array().cast("array<long>")
-    every = lambda of, n: F.when(F.size(of) >= n, F.transform(F.sequence(F.lit(0), F.size(of) - n), lambda i: _run(of, i, n))).otherwise(no_longs)
-    split = once(split, **{f"{of}{n}": every(of, n) for n in lengths for of in ("p", "f")}).drop("p", "f") if lengths else split
-    names = [f"{of}{n}" for n in lengths for of in ("p", "f")]
+    every = lambda of, n, hashed: F.when(F.size(of) >= n, F.transform(F.sequence(F.lit(0), F.size(of) - n), hashed)).otherwise(no_longs)
+    straight = lambda of, n: lambda i: _run(of, i, n)
+    gapped = lambda m: lambda i: _gapped(lambda k: F.get("form", i + k), m)
+    made = {f"{of}{n}": every(of, n, straight(of, n)) for n in lengths for of in ("p", "f")}
+    split = split.withColumn("form", F.coalesce("f", "p"))
+    made |= {f"m{m}": every("form", MET, gapped(m)) for m in masks}
+    split = once(split, **made).select("a", "b", *made) if made else split.limit(0)
     met = lambda c: F.filter(F.transform(c, lambda h, i: F.struct(i.alias("i"), h.alias("hash"))), lambda x: loose(x["hash"]))
-    found = split.filter(F.greatest(F.lit(0), F.lit(0), *[F.size(F.filter(c, hit)) for c in names]) > 0) if names else split.limit(0)
-    found = once(found, w=words(F.col("text"))).select("a", "b", "w", F.explode(F.array_distinct(F.concat(F.array().cast("array<struct<i:int,hash:bigint>>"), *map(met, names)))).alias("x"))
-    base = F.greatest(F.col("x.i") - longest, F.lit(0))
-    found = found.select("a", "b", "x.*", base.alias("base"), F.slice("w", base + 1, F.lit(2 * longest + MET)).alias("w"))
+    found = split.filter(F.greatest(F.lit(0), F.lit(0), *[F.size(F.filter(c, hit)) for c in made]) > 0)
+    found = found.select("a", "b", F.explode(F.array_distinct(F.concat(F.array().cast("array<struct<i:int,hash:bigint>>"), *map(met, made)))).alias("x")).select("a", "b", "x.*")
     runs = F.broadcast(runs) if count <= BROADCAST else runs
-    shift = F.col("i") - F.col("at")
-    theirs = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda k: F.get("w", k + F.col("shift") - F.col("base")))
-    aligned = found.join(runs, "hash").withColumn("shift", shift).select("a", "b", "item_id", "text", "shift", theirs.alias("w")).groupBy("a", "b", "item_id", "text", "shift").agg(F.first("w").alias("w"))
+    # Which item may stand where in which text: rows of numbers. Only the texts that have any are split again, and each hit takes its own item's length of words.
+    places = settle(found.join(runs, "hash").select("a", "b", "item_id", "text", "n", (F.col("i") - F.col("at")).alias("shift")).distinct(), "places")
+    of = settle(places.groupBy("a", "b").agg(F.collect_list(F.struct("item_id", F.col("text").alias("item_text"), "n", "shift")).alias("hits")), "hits")
+    again = once(texts.join(of, ["a", "b"]), w=words(F.col("text"))).drop("text")
+    theirs = lambda h: F.transform(F.sequence(F.lit(0), h["n"] - 1), lambda k: F.get("w", k + h["shift"]))
+    again = again.select("a", "b", F.explode(F.transform("hits", lambda h: F.struct(h["item_id"].alias("item_id"), h["item_text"].alias("text"), h["shift"].alias("shift"), theirs(h).alias("w")))).alias("x"))
+    aligned = again.select("a", "b", "x.*").groupBy("a", "b", "item_id", "text", "shift").agg(F.first("w").alias("w"))
     aligned = aligned.join(F.broadcast(items) if count <= BROADCAST else items, ["item_id", "text"])
 
     # Of each word: is it the item's, and if not, may it fill the item's slot?

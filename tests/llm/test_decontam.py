@@ -67,8 +67,11 @@ UNIT = regex.compile(r"(?<=[0-9])[ ]?((?i:" + decontam.UNITS + r"))(?![\p{L}\p{N
 
 def plain_words(text, names):
     """Words of a text as (kind, content): w, d, u or n."""
+    known = set()
     if names:
-        text = regex.sub(r"(?<=[\p{Ll}\p{N},;][\s\p{Z}]{1,16})(\p{Lu}[\p{Ll}\p{M}]+)", "\x01n\\1", text)
+        name = regex.compile(r"(?<=[\p{Ll}\p{N},;][\s\p{Z}]+)\p{Lu}[\p{Ll}\p{M}]+")
+        known = {x.lower() for x in name.findall(text)}
+        text = regex.sub(r"(?<![\p{L}\p{M}\p{N}])\p{Lu}[\p{Ll}\p{M}]+", lambda m: "\x01n" + m[0] if m[0].lower() in known else m[0], text)
     if regex.search("[0-9]", text):
         text = UNIT.sub(" \x01u\\1 ", text)
         text = regex.sub(r"(?<![0-9])([0-9]+(?:[.,/][0-9]+)*)", " \x01d\\1 ", text)
@@ -139,3 +142,25 @@ def test_recall_on_changed_items(spark):
 def test_very_long_text(spark):
     got = found(spark, [LONG], ["word " * 200_000 + LONG.upper() + " word" * 200_000])
     assert set(got) == {(0, 0)}
+
+
+def test_items_full_of_names(spark):
+    """Every run of four words holds a name; other names and numbers, in any case."""
+    rng = random.Random(11)
+    people, verbs, things = "Anna Tom Karl Mia Paul Ben Olga Hugo Nils Otto Lisa Max Rosa Emil Ida Kurt".split(), "gives sells lends shows sends brings owes hands".split(), "apples pears coins books pens cups stones nuts".split()
+    item = lambda who, n: f"{who[0]} {v[0]} {who[1]} {n[0]} {t[0]} and {who[1]} {v[1]} {who[2]} {n[1]} {t[1]} and {who[2]} {v[2]} {who[0]} {n[2]} {t[2]}"
+    items, docs = ["Anna gives Tom 5 apples and Tom gives Anna 3 pears"], ["Once more Lisa gives Max 7 apples and Max gives Lisa 9 pears that day", "Lisa sells Max 7 pens and Max owes Karl 9 plums"]
+    for _ in range(40):
+        v, t = rng.sample(verbs, 3), rng.sample(things, 3)
+        items.append(item(rng.sample(people, 3), rng.sample(range(2, 50), 3)))
+        text = f"And then {item(rng.sample(people, 3), rng.sample(range(50, 99), 3))} as told"
+        docs.append(rng.choice([str, str.lower, str.upper])(text))
+    got = found(spark, items, docs)
+    assert (0, 0) in got and not got[0, 0].exact and (1, 0) not in got
+    assert sum((k + 1, k) in got for k in range(1, 41)) >= 36
+
+
+def test_a_name_after_many_blanks(spark):
+    item = "If Tom has 12 apples and gives Anna 5 apples, then how many apples does Tom have left at the end of the day"
+    wide = item.replace(" Anna", " " * 40 + "Anna")
+    assert set(found(spark, [wide], [item.replace("Anna", "Olga").replace("Tom", "Hugo")])) == {(0, 0)}
