@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from ._shared import settle
 
-#: Words of a window; words of the shortest item that is also met as a template; share of an item's windows, or so many of them, that contaminate.
-WINDOW, SHORTEST, SHARE, MANY = 8, 4, 0.5, 16
+#: Words of a window; words of the shortest item that is also met as a template; share of slots in a window at most; share of an item's windows, or so many of them, that contaminate.
+WINDOW, SHORTEST, SLOTS, SHARE, MANY = 8, 4, 0.6, 0.5, 16
 #: Words of the windows of items below three windows' length, and below three of these: a changed word leaves half of an item's windows. Words
 #: of an unbroken run that contaminates, whatever the item's length. Words of the runs that windows are met by.
 MIDDLE, FEW, RUN, MET = 5, 4, 14, 4
@@ -169,7 +169,7 @@ def _found(docs: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
     every = F.sequence(F.lit(0), F.col("n") - F.col("size"))
     yes = lambda c: F.coalesce(c, F.lit(False))
     same = F.filter(every, lambda k: F.forall(at(k), lambda x: yes(x["same"])))
-    template = F.filter(every, lambda k: F.forall(at(k), lambda x: yes(x["fits"])) & F.exists(at(k), lambda x: x["pair"].isNotNull()) & (F.size(F.filter(at(k), lambda x: x["pair"].isNotNull())) * 2 <= F.col("size")) & (F.col("n") >= SHORTEST))
+    template = F.filter(every, lambda k: F.forall(at(k), lambda x: yes(x["fits"])) & F.exists(at(k), lambda x: x["pair"].isNotNull()) & (F.size(F.filter(at(k), lambda x: x["pair"].isNotNull())) <= F.col("size") * SLOTS) & (F.col("n") >= SHORTEST))
     compared = compared.select("*", F.explode(F.array(F.struct(same.alias("same"), template.alias("template")))).alias("y")).select("a", "b", "item_id", "n", "size", "x", "y.*").filter((F.size("same") > 0) | (F.size("template") > 0))
     pairs = F.array_distinct(F.flatten(F.transform("template", lambda k: F.transform(F.filter(at(k), lambda x: x["pair"].isNotNull()), lambda x: x["pair"]))))
     compared = compared.select("*", F.explode(F.array(pairs)).alias("pairs"))
@@ -189,7 +189,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) ->
 
     An item is found where SHARE of its windows, or MANY of them, or those of a run of RUN words match: word for word in whatever case, or as templates
     whose slots agree with all of their alignment; where a value of the item meets two values of the document, only the windows that hold it go. Windows of
-    short items are shorter (_size). Only word for word match windows with more slots than words and items below SHORTEST words; an item of a single
+    short items are shorter (_size). Only word for word match windows with more than SLOTS of slots and items below SHORTEST words; an item of a single
     word is found wherever that word stands. Null and empty texts match nothing; rows without doc_id or item_id are left out here;
     repeated rows count once. Other columns are not read.
     """

@@ -94,7 +94,7 @@ def plainly(text, item):
             form.append(y is not None and (y[0] == "w" if kind == "n" else y[0] == kind if kind != "w" else y == (kind, x)))
         slots = [kind != "w" for kind, _ in a]
         whole = {k for k in range(n - s + 1) if all(same[k : k + s])}
-        likely = {k for k in range(n - s + 1) if all(form[k : k + s]) and 0 < 2 * sum(slots[k : k + s]) <= s and n >= 4}
+        likely = {k for k in range(n - s + 1) if all(form[k : k + s]) and 0 < sum(slots[k : k + s]) <= 0.6 * s and n >= 4}
         meant = {}
         for k in likely:
             for j in range(k, k + s):
