@@ -53,6 +53,7 @@ def settle(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     with brief(spark):
         df.write.option("compression", compression).parquet(path)
     release()
+    release_driver(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -69,6 +70,24 @@ def release() -> None:
         c.malloc_trim(0)
 
 
+def release_driver(spark: SparkSession) -> None:
+    """The same for the driver's JVM, whose many threads keep freed native memory in arenas of their own. JVMs without that command are left alone."""
+    jvm, new_array = spark.sparkContext._jvm, spark.sparkContext._gateway.new_array
+    server = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+    name = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+    # The server's own class is not open to callers; the interface's methods are.
+    method = {m.getName(): m for m in jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethods()}
+
+    def call(what: str, *args: Any) -> Any:
+        given = new_array(jvm.java.lang.Object, len(args))
+        for k, x in enumerate(args):
+            given[k] = x
+        return method[what].invoke(server, given)
+
+    if call("isRegistered", name) and any(o.getName() == "systemTrimNativeHeap" for o in call("getMBeanInfo", name).getOperations()):
+        call("invoke", name, "systemTrimNativeHeap", None, None)
+
+
 def kept(make: Callable[..., Any], *args: Any) -> Any:
     """What a Python worker keeps from task to task (words it has seen, a codec): one thing at a time, so that stages do not add up."""
     key = (make, *args)
