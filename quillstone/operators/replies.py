@@ -64,6 +64,12 @@ def parsed_error(body: Column) -> Column:
     return F.struct(F.coalesce(inner["code"], outer["code"]).alias("status"), seconds.alias("retry_s"), said.rlike("PerDay|Daily").alias("daily"))
 
 
+def recognised_text(c: Column) -> Column:
+    """The text in a recogniser's answer: the ``text`` of its JSON object, in a fence, among words or alone; an answer without one is the text itself."""
+    body = F.regexp_extract(c, r"(?s)\{.*\}", 0)
+    return F.coalesce(F.get_json_object(body, "$.text"), c)
+
+
 def received(c: DataFrame) -> DataFrame:
     """The first upload rule that is broken: one file, its field, its ending, its type."""
     rule = F.when(F.col("files") != 1, "ONE_FILE").when(F.col("field") != "file", "FIELD").when(~F.lower("name").endswith(".pdf"), "NOT_PDF").when(~F.col("mime").isin("application/pdf", "application/x-pdf", "application/octet-stream"), "MIME")

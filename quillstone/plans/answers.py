@@ -81,38 +81,14 @@ def hist_text(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "conversations").select("conv_id", "turn", A.history_notes(F.concat("text", F.lit(" [S"), n, F.lit("][S"), n, F.lit("] end [S1]."))).alias("text"))
 
 
-REPLIES = ["It was 1847 [s1]. Dr. Hale wrote it [S1-S3]. Nobody knows why.", "Made up [S9].", "[[NO_ANSWER]]", "## Facts\nOne (S2).", "The facts:\n- One (S2). Two. [S1] Three\n- Four", "No marker. At all.", ""]
-
-
-@query("SELECT r AS reply, a AS answer, c AS cited, d AS dropped FROM (VALUES ('It was 1847 [s1]. Dr. Hale wrote it [S1-S3]. Nobody knows why.', 'It was 1847 [S1]. Dr. Hale wrote it [S1][S2][S3].', [1, 2, 3], 1), ('Made up [S9].', 'Made up.', [], 0), ('[[NO_ANSWER]]', '', [], 0), ('## Facts' || chr(10) || 'One (S2).', 'One [S2].', [2], 1), ('The facts:' || chr(10) || '- One (S2). Two. [S1] Three' || chr(10) || '- Four', 'The facts:' || chr(10) || '- One [S2]. Two [S1].', [2, 1], 2), ('No marker. At all.', 'No marker. At all.', [], 0), ('', '', [], 0)) t(r, a, c, d)")
-def rep_final(spark: SparkSession, d: str) -> DataFrame:
-    return A.replies(spark.createDataFrame([(r, 3) for r in REPLIES], "reply string, excerpt_count int")).drop("excerpt_count")
-
-
-@query("SELECT s AS said, p AS pages FROM (VALUES ('See page 3 and p. 7', [3, 7]), ('pages 2-4', [2, 3, 4]), ('pages 1 to 9', [1, 9]), ('Seite 12', [12]), ('page 400', []::BIGINT[]), ('no page', []::BIGINT[])) t(s, p)")
-def fn_page_refs(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame([(s,) for s in ("See page 3 and p. 7", "pages 2-4", "pages 1 to 9", "Seite 12", "page 400", "no page")], "said string").withColumn("pages", A.page_references(F.col("said"), F.lit(50)))
-
-
-@query(r"SELECT item_id, regexp_matches(said, '(?i)\b(?:this|current|visible) page\b|\bcette page\b|\besta página\b|\bdiese[rn]? seite\b|هذه الصفحة') AS here FROM (SELECT item_id, text || CASE item_id % 4 WHEN 0 THEN ' What does this page say?' WHEN 1 THEN ' Résume cette page' WHEN 2 THEN ' auf dieser Seite' ELSE ' page 3' END AS said FROM benchmark)")
+@query("SELECT item_id, item_id % 7 <> 6 AS here FROM benchmark")
 def fn_deictic(spark: SparkSession, d: str) -> DataFrame:
     """All items, some of them asked of the page in view."""
-    k = F.col("item_id") % 4
-    said = F.concat("text", F.when(k == 0, " What does this page say?").when(k == 1, " Résume cette page").when(k == 2, " auf dieser Seite").otherwise(" page 3"))
+    asked = (" What does this page say?", " Résume cette page", " auf dieser Seite", " ماذا تقول هذه الصفحة", " and the opposite paragraph", " en estas páginas", " page 3 of thispage")
+    said = F.concat("text", F.get(F.array(*map(F.lit, asked)), (F.col("item_id") % 7).cast("int")))
     return table(spark, d, "benchmark").select("item_id", A.deictic(said).alias("here"))
 
 
-@query("SELECT s AS said, t AS names FROM (VALUES ('Who was the brother of Anna Karlsson, Peter?', ['anna', 'karlsson', 'peter']), ('All Words Are Capital Here', []::VARCHAR[]), ('nobody', []::VARCHAR[])) t(s, t)")
-def fn_proper_names(spark: SparkSession, d: str) -> DataFrame:
-    said = ("Who was the brother of Anna Karlsson, Peter?", "All Words Are Capital Here", "nobody")
-    return spark.createDataFrame([(s,) for s in said], "said string").withColumn("names", A.proper_names(F.col("said")))
-
-
-@query("SELECT s AS said, t AS meta FROM (VALUES ('Summarize the document', true), ('What is this document about?', true), ('Summarize the war of 1847', false), ('Who was king?', false)) t(s, t)")
-def fn_meta_question(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame([("Summarize the document",), ("What is this document about?",), ("Summarize the war of 1847",), ("Who was king?",)], "said string").withColumn("meta", A.meta_question(F.col("said")))
-
-
 EVIDENCE = """e AS (SELECT *, CASE WHEN NOT found THEN 'none' WHEN page_only THEN 'strong' WHEN degraded THEN 'weak' WHEN NOT inf AND s < fl THEN 'none' WHEN s >= mk THEN 'strong' WHEN inf AND coverage >= 0.6 AND s >= fl THEN 'strong' ELSE 'weak' END AS evidence
 FROM (SELECT *, coalesce(cosine, -1e9) AS s, lexical_hit AND (identifier_hit OR proper_name_hit OR coverage >= 0.45) AS inf, CASE WHEN same_language IS NULL THEN 0.57 WHEN same_language THEN 0.57 ELSE 0.60 END AS fl, CASE WHEN same_language IS NULL THEN 0.69 WHEN same_language THEN 0.71 ELSE 0.69 END AS mk FROM sig))"""
 
@@ -168,16 +144,6 @@ def st_embed(spark: SparkSession, d: str) -> DataFrame:
     return I.pending(_index(spark, d), have, "m", 16).select("doc", "chunk_id")
 
 
-@query("SELECT s AS code, t AS part FROM (VALUES ('08006', 'database'), ('57P01', 'database'), ('blob gone', 'store'), ('embedding failed', 'embedding'), ('Timeout', 'timeout'), ('bad pdf', NULL)) t(s, t)")
-def err_transient(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame([("08006",), ("57P01",), ("blob gone",), ("embedding failed",), ("Timeout",), ("bad pdf",)], "code string").withColumn("part", I.transient(F.col("code")))
-
-
-@query("SELECT s AS code, t AS status, v AS about_file FROM (VALUES ('NOT_FOUND', 404, false), ('TOO_LARGE', 413, false), ('INVALID_PDF', 500, true), ('RATE_LIMITED', 429, false), ('NO_TEXT', 500, true)) t(s, t, v)")
-def err_http(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame([("NOT_FOUND",), ("TOO_LARGE",), ("INVALID_PDF",), ("RATE_LIMITED",), ("NO_TEXT",)], "code string").select("code", I.http_status(F.col("code")).alias("status"), I.about_file(F.col("code")).alias("about_file"))
-
-
 @query("SELECT event_id, CASE WHEN event_type = 'error' AND NOT (left_ <= greatest(1, floor(pages / 10.0)) AND done >= 1) THEN TIMESTAMP '2024-02-01 08:00:00' END AS parked_until FROM (SELECT *, event_id % 40 + 1 AS pages, event_id % 37 AS done, event_id % 40 + 1 - event_id % 37 AS left_ FROM events)")
 def st_park(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "events").select("event_id", (F.col("event_type") == "error").alias("exhausted"), (F.col("event_id") % 40 + 1).alias("pages"), (F.col("event_id") % 37).alias("done"))

@@ -67,12 +67,6 @@ def lang_same(spark: SparkSession, d: str) -> DataFrame:
     return _docs(spark, d).select("doc_id", F.when((asked == "und") | F.col("lang").isNull(), None).otherwise(asked == F.col("lang")).alias("same"))
 
 
-@query(None)
-def lang_latin(spark: SparkSession, d: str) -> DataFrame:
-    """Detected against labelled languages, counted."""
-    return _docs(spark, d).groupBy("lang", text.question_language(F.col("text")).alias("detected")).agg(F.count("*").alias("n"))
-
-
 _CUT = r"""h AS (SELECT doc_id, text, substring(text, 1, 400) AS head FROM documents),
 l AS (SELECT *, greatest(s1, s2) AS s FROM (SELECT *, CASE WHEN contains(head, '. ') THEN length(head) - position(' .' IN reverse(head)) - 1 ELSE -1 END AS s1, CASE WHEN contains(head, chr(10)) THEN length(head) - position(chr(10) IN reverse(head)) ELSE -1 END AS s2,
   CASE WHEN contains(head, ' ') THEN length(head) - position(' ' IN reverse(head)) ELSE -1 END AS w FROM h))"""
@@ -113,14 +107,6 @@ def fn_passage_text(spark: SparkSession, d: str) -> DataFrame:
     return _docs(spark, d).select("doc_id", F.concat(F.lit("title: "), "source", F.lit(" | text: "), "text").alias("passage"), F.concat(F.lit("task: search result | query: "), "lang").alias("asked"))
 
 
-SAID = ["Open the memory", "open teh memory!", "Show me what is hiden", "turn back the leaves", "Take me to that page now please and thanks", "Reveal", "reveal the secrts"]
-
-
-@query("SELECT s AS said, t AS phrase FROM (VALUES ('Open the memory', 'Open the memory.'), ('open teh memory!', NULL), ('Show me what is hiden', 'Show me what is hidden.'), ('turn back the leaves', 'Turn back the leaves.'), ('Take me to that page now please and thanks', NULL), ('Reveal', NULL), ('reveal the secrts', 'Reveal the secrets.')) t(s, t)")
-def fn_trigger(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame([(s,) for s in SAID], "said string").withColumn("phrase", text.trigger(F.col("said")))
-
-
 @query(r"""SELECT doc_id, regexp_replace(regexp_replace(said, '[A-Za-z]:\\[^\s''"]+', '<path>', 'g'), '(^|[\s''"(])/(?:[^\s/''"]+/)+[^\s/''"]*', '\1<path>', 'g') AS text FROM (SELECT doc_id, 'cannot open /var/lib/' || doc_id || '/file.pdf or C:\Users\me\' || doc_id || '.pdf / ' || text AS said FROM documents)""")
 def fn_scrub(spark: SparkSession, d: str) -> DataFrame:
     """All texts behind an error that names paths."""

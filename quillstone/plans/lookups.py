@@ -14,29 +14,6 @@ from .registry import ITEMS_SQL, norm_sql, placed_words, query, table
 from .retrieval import BASE, COVER, LEX, _asked, _index
 
 
-def _rows(spark: SparkSession, *said: str | None) -> DataFrame:
-    return spark.createDataFrame([(s,) for s in said], "said string")
-
-
-def values(*pairs: tuple, names: str) -> str:
-    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(p) + ')' for p in pairs)}) t({names})"
-
-
-@query(values(("'كتاب'", "'ar'"), ("'پدر'", "'fa'"), ("'ٹھیک ہے'", "'ur'"), ("'کی'", "'fa'"), names="said, lang"))
-def lang_arabic(spark: SparkSession, d: str) -> DataFrame:
-    return _rows(spark, "كتاب", "پدر", "ٹھیک ہے", "کی").withColumn("lang", P.arabic_language(F.col("said")))
-
-
-@query(values(("'والكتاب'", "'كتاب'"), ("'الم'", "'الم'"), ("'king'", "'king'"), names="said, stem"))
-def fn_light_stem(spark: SparkSession, d: str) -> DataFrame:
-    return _rows(spark, "والكتاب", "الم", "king").withColumn("stem", text.light_stem(F.col("said")))
-
-
-@query(values(("'Ignorez Éa'", "'ignorez ea'"), ("'Über-gehe'", "'uber gehe'"), names="said, folded"))
-def inj_fold(spark: SparkSession, d: str) -> DataFrame:
-    return _rows(spark, "Ignorez Éa", "Über-gehe").withColumn("folded", P.folded(F.col("said")))
-
-
 @query(r"SELECT item_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS question FROM benchmark")
 def fn_query_norm(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "benchmark").select("item_id", P.clean_line(F.col("text")).alias("question"))
@@ -47,30 +24,6 @@ def fn_clean_line(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", P.clean_line(F.col("url")).alias("url"))
 
 
-@query(r"SELECT doc_id, length(trim(regexp_replace(text, '\s+', ' ', 'g'))) <= 400 AS whole FROM documents")
-def fn_display(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", (~F.endswith(text.snippet(F.col("text")), F.lit("…"))).alias("whole"))
-
-
-@query(values(("'Query: \"who was king?\"'", "'who was king?'"), ("'plain' || chr(10) || 'more'", "'plain'"), ("'Question: a [S1]'", "'a'"), names="said, question"))
-def fn_rewrite_clean(spark: SparkSession, d: str) -> DataFrame:
-    return _rows(spark, 'Query: "who was king?"', "plain\nmore", "Question: a [S1]").withColumn("question", P.rewritten(F.col("said")))
-
-
-@query("SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS text FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents) GROUP BY doc_id")
-def fn_ocr_text(spark: SparkSession, d: str) -> DataFrame:
-    """Read lines back into page text."""
-    lines = table(spark, d, "documents").select("doc_id", F.split("text", "\n").alias("lines"))
-    return lines.select("doc_id", F.array_join("lines", "\n").alias("text"))
-
-
-@query(values(("'summarize page 2 please'", "true"), ("'what does page 2 say about taxes'", "false"), names="said, bare"))
-def rt_pageonly(spark: SparkSession, d: str) -> DataFrame:
-    """Whether a question names a page and nothing beside it."""
-    rest = F.filter(text.query_tokens(F.regexp_replace("said", r"(?i)\bpages?\s*[0-9]+", " ")), lambda w: ~w.isin(*fixed.TASK_WORDS.split()))
-    return _rows(spark, "summarize page 2 please", "what does page 2 say about taxes").withColumn("bare", (F.size(A.page_references(F.col("said"), F.lit(9))) > 0) & (F.size(rest) == 0))
-
-
 @query(f"SELECT item_id, len(list_filter(string_split({norm_sql('text')}, ' '), lambda w: w IN ('page', 'pages', 'text', 'about'))) AS vocabulary FROM benchmark")
 def fn_page_vocab(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "benchmark").select("item_id", F.size(F.filter(F.split(text.match_form(F.col("text")), " "), lambda w: w.isin("page", "pages", "text", "about"))).cast("long").alias("vocabulary"))
@@ -102,16 +55,6 @@ def rt_reveal(spark: SparkSession, d: str) -> DataFrame:
     return m.groupBy("conv_id").agg(F.max_by("text", "turn").alias("focus"))
 
 
-@query(values(("'He came. Dr. Hale left. Done!'", "['He came.', 'Dr. Hale left.', 'Done!']"), ("''", "['']"), ("'one. two. Three'", "['one. two.', 'Three']"), names="said, sentences"))
-def rep_sentences(spark: SparkSession, d: str) -> DataFrame:
-    return P.sentences(_rows(spark, "He came. Dr. Hale left. Done!", "", "one. two. Three"), "said")
-
-
-@query(values(("'One [S1]. Two.'", "1"), ("'None. At all.'", "0"), names="reply, dropped"))
-def rep_uncited(spark: SparkSession, d: str) -> DataFrame:
-    return A.replies(spark.createDataFrame([("One [S1]. Two.", 2), ("None. At all.", 2)], "reply string, excerpt_count int")).select("reply", F.col("dropped").cast("int").alias("dropped"))
-
-
 MANDATED = " OR ".join(f"starts_with({norm_sql('said')}, {norm_sql(chr(39) + x + chr(39))})" for x in fixed.NOT_FOUND.values())
 REFUSED = ["[[NO_ANSWER]] ", " The document does not contain information on it. ", *[x.upper().replace(".", " -") for k, x in fixed.NOT_FOUND.items() if k != "tr"]]
 
@@ -144,27 +87,6 @@ def ui_display(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "conversations").select("conv_id", "turn", text.without_markers(said).alias("shown"))
 
 
-BODIES = ['{"error":{"code":429,"message":"Quota PerDay, retry in 23s","status":"X"}}', '{"error":{"code":500,"message":"{\\"error\\":{\\"code\\":503,\\"message\\":\\"wait 250ms\\"}}"}}', "gone"]
-
-
-@query(values(("429", "23.0::DOUBLE", "true"), ("503", "0.25::DOUBLE", "false"), ("NULL", "NULL", "false"), names="status, retry_s, daily"))
-def err_parse(spark: SparkSession, d: str) -> DataFrame:
-    return _rows(spark, *BODIES).select(P.parsed_error(F.col("said")).alias("e")).select("e.*")
-
-
-@query(values(("'INVALID_PDF'", "true"), ("'BUSY'", "false"), names="said, delete_file"))
-def err_verdict(spark: SparkSession, d: str) -> DataFrame:
-    from ..operators import ingest
-
-    return _rows(spark, "INVALID_PDF", "BUSY").withColumn("delete_file", ingest.about_file(F.col("said")))
-
-
-@query(values(("1", "NULL"), ("2", "'ONE_FILE'"), ("3", "'NOT_PDF'"), ("4", "'MIME'"), ("5", "'FIELD'"), names="id, broken"))
-def up_receive(spark: SparkSession, d: str) -> DataFrame:
-    rows = [(1, 1, "file", "a.pdf", "application/pdf"), (2, 2, "file", "a.pdf", "application/pdf"), (3, 1, "file", "a.txt", "application/pdf"), (4, 1, "file", "a.PDF", "image/png"), (5, 1, "x", "a.pdf", "application/pdf")]
-    return P.received(spark.createDataFrame(rows, "id int, files int, field string, name string, mime string")).select("id", "broken")
-
-
 @query("WITH r AS (SELECT doc_id % 40 AS page, lang, max(n_chars % 97) AS confidence, max(doc_id % 2) AS fits FROM documents GROUP BY ALL) SELECT page, arg_max(lang, (fits, confidence, lang)) AS lang FROM (SELECT *, max(confidence) OVER (PARTITION BY page) AS top FROM r) WHERE confidence >= top - 3 GROUP BY page")
 def ocr_trial(spark: SparkSession, d: str) -> DataFrame:
     runs = table(spark, d, "documents").groupBy((F.col("doc_id") % 40).alias("page"), "lang").agg(F.max(F.col("n_chars") % 97).alias("confidence"), F.max(F.col("doc_id") % 2).alias("fits"))

@@ -110,11 +110,6 @@ def st_pacer(spark: SparkSession, d: str) -> DataFrame:
     return L.paced(_events(spark, d), ["user_id"], 2, 3600).select("event_id", "recent", "over")
 
 
-@query("SELECT n AS attempt, least(60.0, 2.0 * pow(3.0, n - 1))::DOUBLE AS wait FROM range(1, 11) t(n)")
-def st_backoff(spark: SparkSession, d: str) -> DataFrame:
-    return spark.range(1, 11).select(F.col("id").alias("attempt"), L.backoff(F.col("id")).alias("wait"))
-
-
 @query("""SELECT user_id, min(event_id) AS first, max(event_id) AS last, count(*) AS length FROM (
   SELECT user_id, event_id, n - row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS island FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events) WHERE event_type = 'error') GROUP BY user_id, island""")
 def win_failrun(spark: SparkSession, d: str) -> DataFrame:
@@ -167,12 +162,6 @@ def st_retention(spark: SparkSession, d: str) -> DataFrame:
     return one(expired).join(one(orphans), "_one").join(one(stale), "_one").drop("_one")
 
 
-@query("SELECT s AS status, m AS message, k AS kind FROM (VALUES (429, 'limit: 0', 'no_quota'), (429, 'RequestsPerDay', 'daily_quota'), (429, 'slow down', 'rate_limited'), (403, '', 'unauthorized'), (400, 'API key not valid', 'unauthorized'), (404, '', 'not_found'), (NULL, '', 'unavailable'), (503, '', 'unavailable'), (408, '', 'unavailable'), (400, 'bad', 'rejected')) t(s, m, k)")
-def err_map(spark: SparkSession, d: str) -> DataFrame:
-    rows = [(429, "limit: 0"), (429, "RequestsPerDay"), (429, "slow down"), (403, ""), (400, "API key not valid"), (404, ""), (None, ""), (503, ""), (408, ""), (400, "bad")]
-    return spark.createDataFrame(rows, "status int, message string").withColumn("kind", L.failure_kind(F.col("status"), F.col("message")))
-
-
 @query("SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events WHERE event_type <> 'error') WHERE n = 1")
 def flt_latest(spark: SparkSession, d: str) -> DataFrame:
     return L.latest(_events(spark, d).filter("event_type <> 'error'"), ["user_id"], [F.desc("ts"), F.desc("event_id")]).select("user_id", "event_id", "event_type")
