@@ -154,7 +154,9 @@ def _found(docs: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
     # Which item may stand where in which text: rows of numbers. Only the texts that have any are split again, and each hit takes its own item's length of words.
     places = settle(found.join(runs, "hash").select("a", "b", "item_id", "text", "n", (F.col("i") - F.col("at")).alias("shift")).distinct(), "places")
     of = settle(places.groupBy("a", "b").agg(F.collect_list(F.struct("item_id", F.col("text").alias("item_text"), "n", "shift")).alias("hits")), "hits")
-    again = once(texts.join(of, ["a", "b"]), w=words(F.col("text"))).drop("text")
+    keys = of.select("a", "b")
+    own = texts.join(F.broadcast(keys) if of.count() <= BROADCAST else keys, ["a", "b"], "left_semi").groupBy("a", "b").agg(F.first("text").alias("text"))  # copies collapse before they are dealt
+    again = once(own.join(of, ["a", "b"]), w=words(F.col("text"))).drop("text")
     theirs = lambda h: F.transform(F.sequence(F.lit(0), h["n"] - 1), lambda k: F.get("w", k + h["shift"]))
     again = again.select("a", "b", F.explode(F.transform("hits", lambda h: F.struct(h["item_id"].alias("item_id"), h["item_text"].alias("text"), h["shift"].alias("shift"), theirs(h).alias("w")))).alias("x"))
     aligned = again.select("a", "b", "x.*").groupBy("a", "b", "item_id", "text", "shift").agg(F.first("w").alias("w"))
