@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import affixed, answers, chunks, documents, evaluation, jobs, layouts, lookups, records, registry, retrieval  # noqa: F401  registers on import
+from . import affixed, answers, chunks, documents, evaluation, jobs, layouts, lookups, records, registry, retrieval, walks  # noqa: F401  registers on import
 
 
 def queries() -> dict[str, registry.Query]:
