@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import fixed
+from ..operators import refusals as R
 from ..operators import walks as W
 from ..operators.limits import quota_day
 from .registry import query, table
@@ -86,3 +88,20 @@ def snk_batches(spark: SparkSession, d: str) -> DataFrame:
     store.put(first, 1)
     store.remove(docs.filter("source = 'src3'").select("doc_id"), 3)
     return store.read()
+
+
+MANDATED = (*fixed.NOT_FOUND.values(), "**[[NOT_IN_DOCUMENT]]**", "> not found", "[[NO_ANSWER]]")
+
+
+@query(f"SELECT conv_id, turn, CASE WHEN conv_id % 2 = 0 THEN '' ELSE text END AS text, conv_id % 2 = 0 AS refused FROM conversations WHERE turn % 2 = 0 UNION ALL SELECT conv_id, turn, 'Not in ' || text, false FROM conversations WHERE turn % 2 = 1")
+def st_hold_all(spark: SparkSession, d: str) -> DataFrame:
+    """All turns as streams of five characters: every second conversation's even turns refuse, in all languages and in capitals; odd turns only begin like a refusal."""
+    k = F.col("conv_id")
+    head = F.get(F.array(*[F.upper(F.lit(m)) if i % 2 else F.lit(m) for i, m in enumerate(MANDATED)]), (F.floor(k / 2) % len(MANDATED)).cast("int"))
+    said = F.when(F.col("turn") % 2 == 1, F.concat(F.lit("Not in "), "text")).when(k % 2 == 0, F.concat(head, F.lit(" "), "text")).otherwise(F.col("text"))
+    whole = table(spark, d, "conversations").select("conv_id", "turn", said.alias("said"))
+    cuts = F.sequence(F.lit(0).cast("long"), F.greatest(F.floor((F.length("said") - 1) / 5), F.lit(0)).cast("long"))
+    parts = whole.select("conv_id", "turn", "said", F.explode(cuts).alias("seq")).select("conv_id", "turn", "seq", F.substring("said", (F.col("seq") * 5 + 1).cast("int"), F.lit(5)).alias("text"))
+    shown = R.held(parts, ["conv_id", "turn"])
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", "shown"))), lambda x: x["shown"]), "")
+    return shown.groupBy("conv_id", "turn").agg(joined.alias("text"), F.max("refused").alias("refused"))

@@ -90,3 +90,29 @@ def test_store(spark, tmp_path):
     assert read() == [(1, "full"), (3, "d")]
     store.put(rows((2, "again")), 6)
     assert read() == [(1, "full"), (2, "again"), (3, "d")]
+
+
+def test_refusals_however_they_are_cut(spark):
+    from quillstone.functions import fixed
+    from quillstone.operators import refusals as R
+
+    rng = random.Random(7)
+    texts = [f"{rng.choice(['', '**', '> ', ' «'])}{rng.choice([str, str.upper])(s)}{rng.choice(['', ' and more', '. More', '[S1]'])}" for s in fixed.NOT_FOUND.values() for _ in range(6)]
+    texts += ["[[NO_ANSWER]]", "(not in document)", "Not found", "Not founded until 1963", "NOT_IN_DOCUMENTATION", "not", "The uploaded document lists", "", None, "…", "It is so. Not found", "No answer was given"[:9] + "ing"]
+    for t in fixed.NOT_FOUND.values():
+        assert R.refuses(t) and not R.refuses(t[: len(t) // 2]) and not R.refuses("x " + t)
+    want = {k: ("" if R.refuses(t) else t or "", R.refuses(t)) for k, t in enumerate(texts)}
+    assert not want[len(fixed.NOT_FOUND) * 6 + 3][1] and not want[len(fixed.NOT_FOUND) * 6 + 4][1] and want[len(fixed.NOT_FOUND) * 6 + 2][1]
+    rows = []
+    for k, t in enumerate(texts):
+        at, seq = 0, 0
+        while at < len(t or "") or not seq:
+            n = rng.randint(0, 6)
+            rows.append((k, seq, t[at : at + n] if t is not None else None))
+            at, seq = at + n, seq + 1
+    rng.shuffle(rows)
+    got = {}
+    for r in R.held(spark.createDataFrame(rows, "id long, seq long, text string").repartition(4), ["id"]).orderBy("id", "seq").collect():
+        shown, refused = got.get(r.id, ("", False))
+        got[r.id] = (shown + r.shown, refused or r.refused)
+    assert got == want
