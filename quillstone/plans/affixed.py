@@ -13,6 +13,7 @@ from ..operators import ingest as I  # noqa: E741
 from ..operators import languages
 from ..operators import limits as L
 from ..operators import replies as P
+from ..operators import silences
 from .registry import norm_sql, query, table
 
 LATIN = "abcdefghijklmnopqrstuvwxyz"
@@ -235,3 +236,20 @@ def lang_latin(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
     found = languages.detect(docs, languages.train(docs, ~held_out(F.col("doc_id"))))
     return found.withColumn("held_out", held_out(F.col("doc_id")))
+
+
+LONG_WORDS = f"array_to_string(list_filter(string_split({norm_sql('text')}, ' '), lambda w: length(w) >= 7 AND regexp_full_match(w, '[\\p{{L}}]+'))[1:3], ' ')"
+
+
+@query(f"SELECT conv_id, turn, ['It is so [S1].', 'However, the document does not state whether ' || w || '.', 'The excerpts do not mention ' || w || '.', 'And more [S2].'] AS kept FROM (SELECT conv_id, turn, {LONG_WORDS} AS w FROM conversations)")
+def rep_silence(spark: SparkSession, d: str) -> DataFrame:
+    """All turns as questions and replies: silences about the question's own words stay, two at most and after a citation; others, claims and orders go."""
+    words = F.filter(text.surface_words(F.col("text")), lambda w: (F.length(w) >= 7) & w.rlike(r"^\p{L}+$"))
+    w = F.array_join(F.slice(words, 1, 3), " ")
+    rows = table(spark, d, "conversations").select("conv_id", "turn", F.explode(F.array(w)).alias("w"))
+    of = lambda head, tail=".": F.concat(F.lit(head), "w", F.lit(tail))
+    said = F.array(
+        of("The document does not mention "), F.lit("It is so [S1]."), of("However, the document does not state whether "), F.lit("The document does not mention refunds and housing or parking."), of("The document does not mention that ", " is impossible."),
+        of("The excerpts do not mention "), of("It does not say whether "), of("Please ask about "), F.lit("And more [S2]."),
+    )
+    return rows.select("conv_id", "turn", silences.kept(said, of("Is there ", "?")).alias("kept"))
