@@ -28,7 +28,9 @@ def _scattered(c: Column) -> Column:
     blocks = F.transform(F.filter(F.split(rest, ""), lambda x: x != ""), lambda x: F.floor(F.ascii(x) / 256))
     sizes = F.concat(F.array(*[F.regexp_count(known, F.lit(f"[{r}]")) for r in BUCKETS.values()]), F.transform(F.array_distinct(blocks), lambda b: F.size(F.filter(blocks, lambda x: x == b))))
     top, n = F.sort_array(sizes, asc=False), F.char_length(known)
-    return (n >= 20) & ((n - top[0] - top[1]) * 2 > n)
+    # Half of the letters in one kind of script settle it, without a look at the others.
+    letters, latin = F.regexp_count(c, F.lit(r"\p{L}")), F.regexp_count(c, F.lit(rf"[\p{{L}}&&[{BUCKETS['latin']}]]"))
+    return F.when((letters < 20) | (latin * 2 >= letters), False).otherwise((n >= 20) & ((n - top[0] - top[1]) * 2 > n))
 
 
 def ratios(c: Column, raw: Column, unmapped: Column, controls: Column, fonts: Column) -> dict[str, Column]:

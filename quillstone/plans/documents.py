@@ -186,7 +186,8 @@ def _pages(spark: SparkSession, d: str) -> DataFrame:
     t = F.concat("text", F.repeat(F.lit("\ue000"), F.when(k % 7 == 0, k % 300).otherwise(0).cast("int")))
     once = _docs(spark, d).select("doc_id", F.explode(F.array(t)).alias("t"))
     q = pages.ratios(F.col("t"), F.length("t") + lost + ctl, lost, ctl, k % 11 == 0)
-    rows = once.select("doc_id", *[c.alias(n) for n, c in q.items()], (k % 10 / 10.0).alias("image_coverage"), (k % 30).alias("vector_paths"))
+    once = once.select("doc_id", F.explode(F.array(F.struct(*[c.alias(n) for n, c in q.items()]))).alias("q"))  # else each ratio is taken wherever it is used
+    rows = once.select("doc_id", "q.*", (k % 10 / 10.0).alias("image_coverage"), (k % 30).alias("vector_paths"))
     return rows.join(retrieval.indexed(_docs(spark, d)).select(F.col("chunk_id").alias("doc_id"), "doc", (F.col("chunk_index") + 1).alias("page")), "doc_id")
 
 
