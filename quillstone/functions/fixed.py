@@ -114,8 +114,13 @@ BUDGETS = {"llm": 300, "embed": 800, "ocr": 100, "aux": 400}
 PACIFIC = "America/Los_Angeles"
 
 
-#: Letters that the match form folds, and what they become.
-FOLDED = ("أإآٱىةکیېہۀە٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹", "ااااي" + "هكييههه" + "0123456789" * 2)
+# Letters and digits that the match form folds, each with what it becomes.
+FOLDS = {
+    "أ": "ا", "إ": "ا", "آ": "ا", "ٱ": "ا", "ى": "ي", "ة": "ه", "ک": "ك", "ی": "ي", "ې": "ي", "ہ": "ه", "ۀ": "ه", "ە": "ه",
+    "٠": "0", "١": "1", "٢": "2", "٣": "3", "٤": "4", "٥": "5", "٦": "6", "٧": "7", "٨": "8", "٩": "9",
+    "۰": "0", "۱": "1", "۲": "2", "۳": "3", "۴": "4", "۵": "5", "۶": "6", "۷": "7", "۸": "8", "۹": "9",
+}
+FOLDED = ("".join(FOLDS), "".join(FOLDS.values()))
 
 
 def stopwords() -> list[str]:
