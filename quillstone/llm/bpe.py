@@ -292,7 +292,7 @@ def digests(docs: DataFrame, ranks: bytes, pattern: str, remembered: int = REMEM
     """Per document: doc_id, the count of ids, the SHA-256 of the ids (little-endian, 32 bits) and that of the bytes they decode to.
 
     ``ranks`` is a vocabulary file's content; ``remembered`` bounds the pieces that a worker remembers (some 300 bytes each), which only sets its speed. Each match of the pattern is encoded by itself, without special tokens; texts are cut at spaces only for PATTERN, and matched whole for any other. A worker replays the merges over each round's new words, so a word is replayed once for as long as a worker remembers it. A null text is
-    empty; an empty text has no ids and the digests of nothing. Rows keep their order and repeats; other columns are not read.
+    empty; an empty text has no ids and the digests of nothing. Rows keep their order and repeats; an empty table gives none; a very long text is encoded whole, piece by piece; other columns are not read.
     """
     return _mapped(docs, ranks, pattern, remembered, False)
 

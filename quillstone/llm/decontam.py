@@ -193,7 +193,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) ->
     whose slots agree with all of their alignment; where a value of the item meets two values of the document, only the windows that hold it go. Windows of
     short items are shorter (_size). Only word for word match windows with more than SLOTS of slots and items below SHORTEST words; an item of a single
     word is found wherever that word stands. Null and empty texts match nothing; rows without doc_id or item_id are left out here;
-    repeated rows count once. Other columns are not read.
+    repeated rows count once; an empty table on either side finds nothing; texts of any length are compared whole. Other columns are not read.
     """
     rows = docs.filter(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = settle(_found(rows, benchmark, window), "found")

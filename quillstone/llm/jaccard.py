@@ -509,7 +509,7 @@ def join(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100) -> Da
     Two documents link when den * (size of the intersection) >= num * (size of the union) of their sets of distinct shingles of ``shingle``
     words; a text with fewer words is one shingle; a null, empty or blank text has none and links with nothing. Copies link with each other
     and are handled as one set, so repeated rows stay in the result. Rows without a doc_id take part but name no component; one whose
-    component has no doc_id gets null. Shingles are 64-bit hashes of words' hashes, so two different ones are told apart but for chance. Other columns are not read. An empty table gives no rows.
+    component has no doc_id gets null. Shingles are 64-bit hashes of words' hashes, so two different ones are told apart but for chance. Other columns are not read. A text of any length is hashed whole, in one task. An empty table gives no rows.
     """
     out = _linked(docs, shingle, num, den)
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("first.doc_id")).otherwise(F.col("doc_id")).alias("component_id"), F.col("links").alias("n_links"))

@@ -206,7 +206,7 @@ def score(docs: DataFrame, machine: Machine, keep: bool = False) -> DataFrame:
     """Per document: doc_id, held_out, score from 0 to 1 (label 1 likelier when higher) and predicted (1 from 0.5 on).
 
     keep: return the documents' rows whole, as the struct own, and predicted. Null and empty texts are scored by their statistics alone. Rows keep their
-    repeats. Only doc_id, text and n_chars are read for a score.
+    repeats; an empty table gives none; a very long text is read whole, in one task. Only doc_id, text and n_chars are read for a score, whatever other columns are called.
     """
     held = docs.sparkSession.sparkContext.broadcast(machine)  # a fixed number of inputs and factors
     modest_batches(docs.sparkSession)

@@ -106,7 +106,7 @@ def shard(docs: DataFrame, n_shards: int = 24, seed: int = 20260101) -> DataFram
     """Every document's shard and slot. The law ``rows`` holds: the shards' counts are at most one apart.
 
     Row numbers follow doc_id ascending (nulls first), then checksum and size; rows alike in all three are interchangeable. Equal texts
-    are spread like any other rows. A null text counts as no bytes. An empty table gives no rows. Other columns are not read.
+    are spread like any other rows. A null text counts as no bytes; of a text of any length only size and checksum are moved. An empty table gives no rows. Other columns are not read.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     light = docs.select("doc_id", (F.octet_length(text) + F.lit(8)).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))

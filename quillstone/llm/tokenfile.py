@@ -13,6 +13,7 @@ import os
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -148,8 +149,10 @@ class Segment:
 def write(docs: DataFrame, spec: str, end: int = 0) -> tuple[DataFrame, bytes]:
     """Encodes every whole text (null: empty), appends the end id, and writes segments in ascending doc_id order (nulls first; rows that share one by a hash of their text).
 
-    Returns the written table (part, seq, base: ids before the segment in its part, n_ids, segment) and the dictionary. The dictionary is trained on about
-    SAMPLE whole documents, twice as many at most, picked by a hash of their doc_id among those of SAMPLE_CHARS characters at most; it only sets how small frames get.
+    Returns the written table (part, seq, base: ids before the segment in its part, n_ids, first_id and last_id: the least and greatest doc_id in it, segment) and the
+    dictionary. The dictionary is trained on about SAMPLE whole documents, twice as many at most, picked by a hash of their doc_id among those of SAMPLE_CHARS
+    characters at most; it only sets how small frames get. A very long text is encoded whole, in one task, and is a frame of its own; an empty table gives no
+    segments; other columns, whatever their names, are not read.
     """
     spark: SparkSession = docs.sparkSession
     modest_batches(spark)
@@ -167,7 +170,9 @@ def write(docs: DataFrame, spec: str, end: int = 0) -> tuple[DataFrame, bytes]:
         doc_ids, counts, frames, size = [], [], [], 0
 
         def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int32()), "base": [base], "n_ids": [sum(counts)], "segment": pa.array([pack(doc_ids, counts, frames, own.kind.itemsize, digest)], pa.binary())})
+            known = [x for x in doc_ids if x is not None]
+            first, last = (pa.array([f(known) if known else None], pa.int64()) for f in (min, max))
+            return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int32()), "base": [base], "n_ids": [sum(counts)], "first_id": first, "last_id": last, "segment": pa.array([pack(doc_ids, counts, frames, own.kind.itemsize, digest)], pa.binary())})
 
         for batch in batches:
             for a in range(0, batch.num_rows, TOGETHER):
@@ -186,7 +191,7 @@ def write(docs: DataFrame, spec: str, end: int = 0) -> tuple[DataFrame, bytes]:
 
     keys = ["doc_id", "_hash", "_tie"]
     ranged = rows.withColumn("_hash", F.xxhash64("text")).withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange(*keys).sortWithinPartitions(*keys)
-    made = ranged.select("doc_id", "text").mapInArrow(segments, "part int, seq int, base long, n_ids long, segment binary")
+    made = ranged.select("doc_id", "text").mapInArrow(segments, "part int, seq int, base long, n_ids long, first_id long, last_id long, segment binary")
     return settle(made, "tokens", "none"), dictionary
 
 
@@ -206,3 +211,33 @@ def read(segments: DataFrame, dictionary: bytes) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(s.doc_ids, pa.int64()), pa.array(start + np.cumsum(n) - n), pa.array(n), pa.array([zlib.crc32(x.tobytes()) for x in ids], pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return placed.mapInArrow(rows, "doc_id long, start long, n_tokens long, ids_crc32 long")
+
+
+#: Documents fetched at a time.
+FETCHED = 10_000
+
+
+def fetch(segments: DataFrame, dictionary: bytes, doc_ids: list[int]) -> DataFrame:
+    """(doc_id, ids) of the documents named, FETCHED at most. Only segments whose range of ids holds one of them are read, and of these only the frames asked for are inflated.
+
+    Rows that share a doc_id come each; ids that stand in no segment give no row.
+    """
+    asked = sorted(set(doc_ids))
+    if len(asked) > FETCHED:
+        raise ValueError(f"{len(asked)} documents; fetch {FETCHED} at most")
+    if not asked:
+        return segments.limit(0).selectExpr("first_id AS doc_id", "cast(array() AS array<bigint>) AS ids")
+    # A few stretches between the asked ids reach the scan as a filter on the columns' statistics.
+    cuts = [asked[k : k + -(-len(asked) // 64)] for k in range(0, len(asked), -(-len(asked) // 64))]
+    near = reduce(lambda a, b: a | b, [(F.col("first_id") <= c[-1]) & (F.col("last_id") >= c[0]) for c in cuts])
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = set(asked)
+        for batch in batches:
+            for data in batch["segment"]:
+                s = Segment(data.as_py(), dictionary)
+                found = [k for k, x in enumerate(s.doc_ids) if x in wanted]
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array([s.doc_ids[k] for k in found], pa.int64()), pa.array([s.read(k).astype(np.int64) for k in found], pa.list_(pa.int64()))], ["doc_id", "ids"])
+
+    return segments.filter(near).select("segment").mapInArrow(rows, "doc_id long, ids array<long>")

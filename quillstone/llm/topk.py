@@ -146,7 +146,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
 
     Components become floor(scale * x). Rows with a null id, a null vector or a null or non-finite component take no part; a shorter
     vector counts as padded with zeros; rows that share an id are candidates each, and an id queried twice is answered once for each of its
-    rows' best. Fewer than k candidates give fewer rows, an empty table none. A score beyond 64 bits is held at their end.
+    rows' best. Fewer than k candidates give fewer rows, an empty table none; vectors of any width take part with all their components; other columns, whatever their names, are not read. A score beyond 64 bits is held at their end.
 
     Queries are broadcast in blocks of at most about 65,536, each block read against every row; the first thresholds come from a few thousand
     rows of the block. A task keeps k rows for each query at most.

@@ -204,7 +204,7 @@ def score(docs: DataFrame, chain: Chain, keep: bool = False) -> DataFrame:
     """Per document: doc_id, p_category_1 and so on, score (the chain's last probability) and toxic (1 from the threshold on).
 
     keep: return the documents' rows whole, as the struct own, and toxic. A null or empty text has the probabilities of no words. Rows keep their repeats;
-    only doc_id and text are read for a score.
+    an empty table gives none; a very long text is read whole, in one task; only doc_id and text are read for a score, whatever other columns are called.
     """
     held = docs.sparkSession.sparkContext.broadcast(chain)  # the chosen words of a bounded sample
     names = [f"p_{x}" for x in chain.names[:-1]] + ["score"]

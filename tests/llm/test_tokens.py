@@ -111,3 +111,27 @@ def test_another_tokenizer_file_is_used_whole():
     theirs = Tokenizer.from_str(spec)
     for t in ("The End of it, all", "a  b", ""):
         assert np.frombuffer(next(tokenfile.Words(spec).ended(pa.array([t]), 0)), "<u2").tolist() == [*theirs.encode(t, add_special_tokens=False).ids, 0]
+
+
+def test_fetch_inflates_what_is_asked_for(spark, monkeypatch):
+    monkeypatch.setattr(tokenfile, "SEGMENT", 2000)
+    spec = open(P.path("byte_bpe_50k.json")).read()
+    theirs = Tokenizer.from_str(spec)
+    rows = [(k, f"document {k} " + f"word{k % 7} " * (k % 90)) for k in range(0, 900, 3)] + [(3, "another three"), (None, "no id")]
+    segments, dictionary = tokenfile.write(spark.createDataFrame(rows, "doc_id long, text string"), spec)
+    ids = lambda t: [*theirs.encode(t, add_special_tokens=False).ids, 0]
+    got = sorted((r.doc_id, r.ids) for r in tokenfile.fetch(segments, dictionary, [3, 600, 601, 10**9]).collect())
+    assert got == sorted((k, ids(t)) for k, t in rows if k in (3, 600))
+    assert tokenfile.fetch(segments, dictionary, []).collect() == [] and segments.count() > 1
+    assert segments.filter("first_id > last_id").count() == 0
+
+    def spoilt(data, keep):  # every frame but those of one document is overwritten
+        s, out = tokenfile.Segment(data, dictionary), bytearray(data)
+        for k in range(s.n):
+            if s.doc_ids[k] != keep:
+                a = s.body + (int(s.ends[k - 1]) if k else 0)
+                out[a : s.body + int(s.ends[k])] = b"\xff" * (s.body + int(s.ends[k]) - a)
+        return bytes(out)
+
+    bad = spark.createDataFrame([(*r[:-1], spoilt(bytes(r.segment), 600)) for r in segments.collect()], segments.schema)
+    assert [(r.doc_id, r.ids) for r in tokenfile.fetch(bad, dictionary, [600]).collect()] == [(600, ids(dict(rows)[600]))]
