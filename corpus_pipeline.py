@@ -1,6 +1,8 @@
 """The corpus pipeline: quality, toxicity, near-duplicates, benchmark contamination, byte-level BPE.
 
-Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. All but the last return the columns of documents.
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. All but the last return the columns of documents, all of them, whatever others they
+are called. Null and empty texts are judged like any other by the models, have no shingle and no benchmark item, and encode to nothing; texts of any length are read
+whole; repeated rows are judged alike, of near-duplicates one stays; an empty table gives an empty table.
 """
 
 from __future__ import annotations
