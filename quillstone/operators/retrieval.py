@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed, text, vectors
 from ..sources import stages
+from . import answers
 from .ordered import numbered
 
 #: Question terms that are broadcast to the scan of the chunks at most.
@@ -114,6 +115,23 @@ def coverage(asked: DataFrame, parts: DataFrame) -> DataFrame:
     return whole.join(top, ["item_id", "doc"], "left").select("item_id", "doc", F.round(rate, 4).alias("coverage"), "lexical_hit", "identifier_hit")
 
 
+def named(asked: DataFrame, parts: DataFrame) -> DataFrame:
+    """(item_id, doc) of questions that hold a proper name which the document itself writes with a capital. Capitalised words of asked documents are extracted once and joined by equality."""
+    names = asked.select("item_id", "doc", F.explode(answers.proper_names(F.col("question"))).alias("name"))
+    keys = names.select("doc", "name").distinct()
+    words = parts.join(keys.select("doc").distinct(), "doc", "left_semi").select("doc", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(r"\p{Lu}[\p{L}\p{M}'’-]{2,}"), F.lit(0)))).alias("word"))
+    written = words.select("doc", F.lower("word").alias("name")).join(keys, ["doc", "name"], "left_semi").distinct()
+    return names.join(written, ["doc", "name"], "left_semi").select("item_id", "doc").distinct()
+
+
+def spoken(asked: DataFrame, docs: DataFrame) -> DataFrame:
+    """(item_id, doc, same_language): whether the question is in its document's language, that of most letters of its pages (source, lang, n_chars); null where either is not known."""
+    of = docs.filter("lang is not null and lang <> 'und'").groupBy(F.col("source").alias("doc"), "lang").agg(F.sum("n_chars").alias("n"))
+    of = of.groupBy("doc").agg(F.max_by("lang", F.struct("n", "lang")).alias("lang"))
+    said = asked.select("item_id", "doc", F.explode(F.array(text.question_language(F.col("question")))).alias("said")).join(of, "doc", "left")
+    return said.select("item_id", "doc", F.when((F.col("said") == "und") | F.col("lang").isNull(), None).otherwise(F.col("said") == F.col("lang")).alias("same_language"))
+
+
 def nearest(queries: DataFrame, candidates: DataFrame, scope: list[str], k: int, key: str) -> DataFrame:
     """Exact k nearest by cosine inside a scope: (query_id, key, score, rank). A vector's norm is taken once, so a pair costs one product.
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed, text
 from ..operators import chunking, ordered, pages, retrieval
-from .registry import norm_sql, query, table
+from .registry import cues_sql, norm_sql, query, table
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
@@ -42,20 +42,7 @@ def lang_script(spark: SparkSession, d: str) -> DataFrame:
     return _docs(spark, d).select("doc_id", text.dominant_script(F.col("text")).alias("script"))
 
 
-def _cues_sql() -> str:
-    out = []
-    for lang, (plain, strong, letters) in fixed.CUES.items():
-        quoted = lambda ws: ", ".join("'" + w.replace("'", "''") + "'" for w in ws.split())
-        x = f"len(list_filter(w, lambda x: x IN ({quoted(plain)}))) + 2 * len(list_filter(w, lambda x: x IN ({quoted(strong)})))"
-        if weak := "".join(c for c, n in letters.items() if n == 1):
-            x += f" + least(1, len(regexp_extract_all(t, '[{weak}]')))"
-        if own := "".join(c for c, n in letters.items() if n > 1):
-            x += f" + {max(n for n in letters.values())} * least(2, len(regexp_extract_all(t, '[{own}]')))"
-        out.append(f"SELECT item_id, '{lang}' AS lang, {x} AS n FROM s")
-    return " UNION ALL ".join(out)
-
-
-@query(rf"""WITH s AS (SELECT item_id, lower(text) AS t, string_split(trim(regexp_replace(lower(text), '[^\p{{L}}''’-]+', ' ', 'g')), ' ') AS w FROM benchmark), n AS ({_cues_sql()})
+@query(rf"""WITH s AS (SELECT item_id, lower(text) AS t, string_split(trim(regexp_replace(lower(text), '[^\p{{L}}''’-]+', ' ', 'g')), ' ') AS w FROM benchmark), n AS ({cues_sql()})
 SELECT item_id, CASE WHEN a[1] >= 2 AND a[1] - a[2] >= 1 THEN best ELSE 'und' END AS lang FROM (SELECT item_id, list(n ORDER BY n DESC, lang DESC) AS a, first(lang ORDER BY n DESC, lang DESC) AS best FROM n GROUP BY item_id)""")
 def lang_question(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "benchmark").select("item_id", text.question_language(F.col("text")).alias("lang"))
@@ -265,7 +252,7 @@ def an_garbled(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("doc").agg(F.count_if(~F.col("unreliable")).alias("trusted"), F.sum(F.when(F.col("unreliable"), 0).otherwise(F.col("char_count"))).alias("chars"))
 
 
-@query(rf"""WITH s AS (SELECT doc_id AS item_id, lower(text) AS t, string_split(trim(regexp_replace(lower(text), '[^\p{{L}}''’-]+', ' ', 'g')), ' ') AS w FROM documents), n AS ({_cues_sql()}),
+@query(rf"""WITH s AS (SELECT doc_id AS item_id, lower(text) AS t, string_split(trim(regexp_replace(lower(text), '[^\p{{L}}''’-]+', ' ', 'g')), ' ') AS w FROM documents), n AS ({cues_sql()}),
 g AS (SELECT item_id AS doc_id, CASE WHEN a[1] >= 2 AND a[1] - a[2] >= 1 THEN best ELSE 'und' END AS said FROM (SELECT item_id, list(n ORDER BY n DESC, lang DESC) AS a, first(lang ORDER BY n DESC, lang DESC) AS best FROM n GROUP BY item_id)),
 p AS (SELECT source AS doc, said AS lang, sum(len(regexp_extract_all(text, '\p{{L}}'))) AS letters FROM documents JOIN g USING (doc_id) GROUP BY ALL), k AS (SELECT *, max(lang <> 'und') OVER (PARTITION BY doc) AS known FROM p)
 SELECT doc, lang, round(letters / sum(letters) OVER (PARTITION BY doc), 4) AS share, row_number() OVER (PARTITION BY doc ORDER BY letters DESC, lang) AS place FROM k WHERE NOT known OR lang <> 'und'""")

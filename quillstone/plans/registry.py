@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import text
+from ..functions import fixed, text
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -41,3 +41,17 @@ def placed_words(docs: DataFrame) -> DataFrame:
     words = docs.select(F.col("doc_id").alias("page"), F.posexplode(text.surface_words(F.col("text"))).alias("i", "text"))
     x = 14.0 * (F.col("i") % 9) + F.when(F.col("i") % 9 >= 5, 40.0).otherwise(0.0)
     return words.select("page", x.alias("x"), (20.0 * F.floor(F.col("i") / 9)).alias("y"), F.lit(10.0).alias("width"), F.lit(10.0).alias("size"), "text")
+
+
+def cues_sql() -> str:
+    """Each language's points for a text t of words w, in SQL."""
+    out = []
+    for lang, (plain, strong, letters) in fixed.CUES.items():
+        quoted = lambda ws: ", ".join("'" + w.replace("'", "''") + "'" for w in ws.split())
+        x = f"len(list_filter(w, lambda x: x IN ({quoted(plain)}))) + 2 * len(list_filter(w, lambda x: x IN ({quoted(strong)})))"
+        if weak := "".join(c for c, n in letters.items() if n == 1):
+            x += f" + least(1, len(regexp_extract_all(t, '[{weak}]')))"
+        if own := "".join(c for c, n in letters.items() if n > 1):
+            x += f" + {max(n for n in letters.values())} * least(2, len(regexp_extract_all(t, '[{own}]')))"
+        out.append(f"SELECT item_id, '{lang}' AS lang, {x} AS n FROM s")
+    return " UNION ALL ".join(out)

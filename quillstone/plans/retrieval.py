@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed, text, vectors
+from ..operators import answers as A
 from ..operators import retrieval as R
-from .registry import norm_sql, query, table
+from .registry import cues_sql, norm_sql, query, table
 
 STOP = ", ".join(f"'{w}'" for w in fixed.stopwords())
 TASK = ", ".join(f"'{w}'" for w in fixed.TASK_WORDS.split())
@@ -96,9 +97,19 @@ def rt_coverage(spark: SparkSession, d: str) -> DataFrame:
     return R.coverage(*_asked(spark, d)).select("item_id", "doc", "coverage")
 
 
-@query(f"{BASE}, {COVER} SELECT item_id, doc, lexical_hit, identifier_hit FROM cov")
+NAMES = r"""nq AS (SELECT item_id, doc, string_split(question, ' ') AS w, len(regexp_extract_all(question, '[\p{L}\p{N}]+')) AS n FROM q),
+nf AS (SELECT item_id, doc, n, list_filter(list_transform(w, lambda x, i: CASE WHEN i > 1 AND regexp_matches(w[i - 1], '[\p{Ll}\p{N},;]$') THEN regexp_extract(x, '^\p{Lu}[\p{L}\p{M}''’-]{2,}') ELSE '' END), lambda x: x <> '') AS found FROM nq),
+nn AS (SELECT DISTINCT item_id, doc, lower(name) AS name FROM (SELECT item_id, doc, unnest(found) AS name FROM nf WHERE len(found) * 2 <= n)),
+nw AS (SELECT DISTINCT doc, lower(word) AS name FROM (SELECT doc, unnest(regexp_extract_all(content, '\p{Lu}[\p{L}\p{M}''’-]{2,}')) AS word FROM c)),
+nh AS (SELECT DISTINCT item_id, doc FROM nn JOIN nw USING (doc, name))"""
+
+
+@query(f"{BASE}, {COVER}, {NAMES} SELECT item_id, doc, lexical_hit, identifier_hit, nh.item_id IS NOT NULL AS proper_name_hit FROM cov LEFT JOIN nh USING (item_id, doc)")
 def rt_hits(spark: SparkSession, d: str) -> DataFrame:
-    return R.coverage(*_asked(spark, d)).select("item_id", "doc", "lexical_hit", "identifier_hit")
+    """Whether a question's words, its words with digits and its names stand in its document."""
+    asked, parts = _asked(spark, d)
+    names = R.named(asked, parts).withColumn("proper_name_hit", F.lit(True))
+    return R.coverage(asked, parts).join(names, ["item_id", "doc"], "left").select("item_id", "doc", "lexical_hit", "identifier_hit", F.coalesce("proper_name_hit", F.lit(False)).alias("proper_name_hit"))
 
 
 @query(f"WITH {CHUNKS}, {ASKED}, {PAGE} SELECT item_id, chunk_id, rank FROM pg")
@@ -174,16 +185,21 @@ def win_budget(spark: SparkSession, d: str) -> DataFrame:
     return R.budgeted(ranked, budget=6000).select("item_id", "chunk_id", "rank", "kept_chars", "truncated")
 
 
-LANGS = "lang AS (SELECT item_id, CASE item_id % 3 WHEN 0 THEN true WHEN 1 THEN false END AS same_language FROM benchmark)"
-SIGNALS = "sig AS (SELECT cov.*, top.cosine, same_language, false AS proper_name_hit, top.cosine IS NOT NULL OR lexical_hit AS found, item_id % 11 = 0 AS page_only, item_id % 13 = 5 AS degraded FROM cov JOIN lang USING (item_id) LEFT JOIN (SELECT item_id, max(score) AS cosine FROM sem GROUP BY ALL) top USING (item_id))"
+LANGS = rf"""s AS (SELECT item_id, lower(question) AS t, string_split(trim(regexp_replace(lower(question), '[^\p{{L}}''’-]+', ' ', 'g')), ' ') AS w FROM q), sn AS ({cues_sql()}),
+sg AS (SELECT item_id, CASE WHEN a[1] >= 2 AND a[1] - a[2] >= 1 THEN best ELSE 'und' END AS said FROM (SELECT item_id, list(n ORDER BY n DESC, lang DESC) AS a, first(lang ORDER BY n DESC, lang DESC) AS best FROM sn GROUP BY item_id)),
+dl AS (SELECT doc, arg_max(lang, (n, lang)) AS lang FROM (SELECT source AS doc, lang, sum(n_chars) AS n FROM documents WHERE lang IS NOT NULL AND lang <> 'und' GROUP BY ALL) GROUP BY doc),
+lang AS (SELECT item_id, CASE WHEN said = 'und' OR lang IS NULL THEN NULL ELSE said = lang END AS same_language FROM q JOIN sg USING (item_id) LEFT JOIN dl USING (doc)), {NAMES}"""
+SIGNALS = "sig AS (SELECT cov.*, top.cosine, same_language, nh.item_id IS NOT NULL AS proper_name_hit, top.cosine IS NOT NULL OR lexical_hit AS found, false AS page_only, top.cosine IS NULL AS degraded FROM cov JOIN lang USING (item_id) LEFT JOIN nh USING (item_id, doc) LEFT JOIN (SELECT item_id, max(score) AS cosine FROM sem GROUP BY ALL) top USING (item_id))"
 
 
 def _signals(spark: SparkSession, d: str) -> DataFrame:
+    """What is known of each question: its hits in words and names, its nearest chunk, whether the languages agree, whether it names a page and nothing else; without a vector the search is degraded."""
     asked, parts = _asked(spark, d)
     top = R.semantic(asked, parts, table(spark, d, "embeddings")).groupBy("item_id").agg(F.max("score").alias("cosine"))
-    rows = R.coverage(asked, parts).join(top, "item_id", "left")
-    same = F.when(F.col("item_id") % 3 == 0, True).when(F.col("item_id") % 3 == 1, False)
-    return rows.select("*", same.alias("same_language"), F.lit(False).alias("proper_name_hit"), (F.col("cosine").isNotNull() | F.col("lexical_hit")).alias("found"), (F.col("item_id") % 11 == 0).alias("page_only"), (F.col("item_id") % 13 == 5).alias("degraded"))
+    rows = R.coverage(asked, parts).join(top, "item_id", "left").join(R.spoken(asked, table(spark, d, "documents")), ["item_id", "doc"]).join(R.named(asked, parts).withColumn("proper_name_hit", F.lit(True)), ["item_id", "doc"], "left")
+    pages = asked.select("item_id", ((F.size(A.page_references(F.col("question"), F.lit(9999))) > 0) & (A.without_pages(F.col("question")) == "")).alias("page_only"))
+    rows = rows.join(pages, "item_id").withColumns({"proper_name_hit": F.coalesce("proper_name_hit", F.lit(False)), "degraded": F.col("cosine").isNull()})
+    return rows.withColumn("found", F.col("cosine").isNotNull() | F.col("lexical_hit"))
 
 
 @query(f"""{BASE}, {COVER}, {UNIT}, {SEM}, {LANGS}, {SIGNALS} SELECT item_id, informative, CASE WHEN NOT found THEN 'none' WHEN page_only THEN 'strong' WHEN degraded THEN 'weak'
