@@ -11,9 +11,13 @@ from pyspark.sql import functions as F
 from ..sources.stages import staged
 
 
-def ranged(rows: DataFrame, group: list[str], order: list[str], name: str = "ranges") -> DataFrame:
-    """rows with ``_part``, the range of (group, order) that they stand in. Ranges follow the rows' own distribution, so neither a hot group nor outlying keys fill one."""
-    return staged(rows.repartitionByRange(*group, *order).withColumn("_part", F.spark_partition_id()), name)
+def ranged(rows: DataFrame, group: list[str], order: list[str], name: str = "ranges", ranges: int | None = None) -> DataFrame:
+    """rows with ``_part``, the range of (group, order) that they stand in. Ranges follow the rows' own distribution, so neither a hot group nor outlying keys fill one.
+
+    There are as many as Spark shuffles to, or ``ranges``.
+    """
+    cut = rows.repartitionByRange(ranges, *group, *order) if ranges else rows.repartitionByRange(*group, *order)
+    return staged(cut.withColumn("_part", F.spark_partition_id()), name)
 
 
 def folded(rows: DataFrame, group: list[str], order: list[str], sums: dict[str, Column] | None = None, last: dict[str, Column] | None = None, former: dict[str, Column] | None = None) -> DataFrame:
@@ -42,7 +46,8 @@ def folded(rows: DataFrame, group: list[str], order: list[str], sums: dict[str,
     return out.drop("_p", *[f"_g{i}" for i in range(len(group))], *[f"_{k}" for k in (*sums, *last, *former)])
 
 
-def numbered(rows: DataFrame, group: str, key: str, name: str, then: tuple[str, ...] = ()) -> DataFrame:
-    """rows with their place, from 0, in the order of a key (and of the columns ``then``, among equals) inside their group."""
+def numbered(rows: DataFrame, group: str, key: str, name: str, then: tuple[str, ...] = (), each: int | None = None) -> DataFrame:
+    """rows with their place, from 0, in the order of a key (and of the columns ``then``, among equals) inside their group. each: about so many rows a range."""
     order = [key, *then]
-    return folded(ranged(rows, [group], order, "numbered"), [group], order, sums={name: F.lit(1)}).withColumn(name, F.col(name).cast("long") - 1).drop("_part")
+    ranges = max(1, -(-rows.count() // each)) if each else None
+    return folded(ranged(rows, [group], order, "numbered", ranges), [group], order, sums={name: F.lit(1)}).withColumn(name, F.col(name).cast("long") - 1).drop("_part")
