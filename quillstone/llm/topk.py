@@ -11,13 +11,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import settle
+from ._shared import partitions
 
-#: Dimensions added between two bounds; queries of one matrix product; queries broadcast at a time; candidates for the first thresholds.
-DIMS, TILE, QUERIES, SEEDS = 16, 256, 65_536, 4096
+#: Dimensions added between two bounds; queries of one matrix product; queries of a task; rows of a block; candidates for the first thresholds.
+DIMS, TILE, QUERIES, BLOCK, SEEDS = 16, 256, 65_536, 4096, 1024
 LOW = np.iinfo(np.int64).min
 #: Queries of a tile of whole numbers.
 EXACT = 64
@@ -141,6 +142,46 @@ class Search:
         return row[best] + a, col[best], score[best]
 
 
+def _regrouped(pieces: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ids and vectors, BLOCK rows at a time."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def joined() -> tuple[np.ndarray, np.ndarray]:
+        width = max(x.shape[1] for _, x in held)
+        return np.concatenate([i for i, _ in held]), np.concatenate([_same_width(x, width) for _, x in held])
+
+    for piece in pieces:
+        held.append(piece)
+        if sum(len(i) for i, _ in held) >= BLOCK:
+            ids, x = joined()
+            whole = len(ids) // BLOCK * BLOCK
+            yield from ((ids[a : a + BLOCK], x[a : a + BLOCK]) for a in range(0, whole, BLOCK))
+            held = [(ids[whole:], x[whole:])]
+    if any(len(i) for i, _ in held):
+        yield joined()
+
+
+def _narrow(x: np.ndarray) -> np.ndarray:
+    """Whole numbers in two bytes each where they fit."""
+    return x.astype(np.int16) if not x.size or np.abs(x).max() < 2**15 else x
+
+
+def _unpacked(b: pa.RecordBatch, r: int, side: str) -> tuple[np.ndarray, np.ndarray]:
+    ids, width = np.frombuffer(b[f"{side}ids"][r].as_py(), np.int64), b[f"{side}width"][r].as_py()
+    raw = b[f"{side}values"][r].as_py()
+    kind = np.int16 if len(raw) == 2 * len(ids) * width else np.float64
+    return ids, np.frombuffer(raw, kind).astype(np.float64).reshape(len(ids), width)
+
+
+def _seeded(qid: np.ndarray, q: np.ndarray, k: int) -> Search:
+    """A block of queries whose first thresholds come from some of its own rows."""
+    seed, search = Search(qid, q, k), Search(qid, q, k)
+    some = np.linspace(0, len(qid) - 1, min(len(qid), SEEDS)).astype(np.int64)
+    seed.add(qid[some], q[some])
+    search.floor = seed.floor
+    return search
+
+
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256) -> DataFrame:
     """Each query's k highest integer inner products among all rows but those with its own id; ties go to the smaller id.
 
@@ -148,42 +189,41 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
     vector counts as padded with zeros; rows that share an id are candidates each, and an id queried twice is answered once for each of its
     rows' best. Fewer than k candidates give fewer rows, an empty table none; vectors of any width take part with all their components; other columns, whatever their names, are not read. A score beyond 64 bits is held at their end.
 
-    Queries are broadcast in blocks of at most about 65,536, each block read against every row; the first thresholds come from a few thousand
-    rows of the block. A task keeps k rows for each query at most.
+    Rows are packed into blocks of a few thousand whole-number vectors; every block of queries meets every block of candidates by a Cartesian product, which reads both
+    sides from the executors' shuffle files, so no vector passes the driver. A task holds QUERIES queries or so, with k rows for each, and one block of candidates at a time.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
     queries = vectors.filter(is_query).select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
-    n = queries.select("vec_id").count()
-    rounds = max(1, -(-n // QUERIES))
-    schema = "query_id long, vec_id long, score long"
-    out: DataFrame | None = None
-    for r in range(rounds):
-        block = queries.filter(F.pmod(F.xxhash64("vec_id"), F.lit(rounds)) == r).toArrow()
-        qid, q = quantised(block["vec_id"], block["v"], scale)
-        order = np.argsort(qid, kind="stable")
-        qid, q = qid[order], q[order]
-        seed = Search(qid, q, k)
-        some = np.linspace(0, len(qid) - 1, min(len(qid), SEEDS)).astype(np.int64) if len(qid) else np.zeros(0, np.int64)
-        seed.add(qid[some], q[some])
-        held = spark.sparkContext.broadcast((qid, q, seed.floor))
-
-        def scan(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            qid, q, floor = held.value
-            search = Search(qid, q, k)
-            search.floor = floor.copy()
-            for b in batches:
-                search.add(*quantised(b["vec_id"], b["v"], scale))
-            yield pa.RecordBatch.from_pydict({"query_id": qid[search.row] if len(qid) else search.row, "vec_id": search.vid, "score": search.score})
-
-        found = rows.mapInArrow(scan, schema)
-        rank = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-        best = found.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= k)
-        best = best.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
-        if rounds > 1:
-            best = settle(best, "topk")
-        out = best if out is None else out.unionByName(best)
-    return out
+    rounds = max(1, -(-queries.select("vec_id").count() // QUERIES))
+    parts = max(1, partitions(spark))
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        for n, (ids, x) in enumerate(_regrouped(quantised(b["vec_id"], b["v"], scale) for b in batches)):
+            yield pa.RecordBatch.from_pydict({"block": [f"{part}-{n}"], "width": pa.array([x.shape[1]], pa.int32()), "ids": [ids.tobytes()], "values": [_narrow(x).tobytes()]})
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        searches: dict[str, Search] = {}
+        block, ids, x = None, None, None
+        for b in batches:
+            for r in range(b.num_rows):
+                q, c = b["q_block"][r].as_py(), b["block"][r].as_py()
+                if q not in searches:
+                    searches[q] = _seeded(*_unpacked(b, r, "q_"), k)
+                if c != block:
+                    block, (ids, x) = c, _unpacked(b, r, "")
+                searches[q].add(ids, x)
+        for s in searches.values():
+            yield pa.RecordBatch.from_pydict({"query_id": s.qid[s.row] if len(s.qid) else s.row, "vec_id": s.vid, "score": s.score})
+
+    blocks = "block string, width int, ids binary, values binary"
+    asked = queries.coalesce(parts).mapInArrow(packed, blocks).repartition(rounds).toDF("q_block", "q_width", "q_ids", "q_values")
+    every = rows.mapInArrow(packed, blocks).repartition(parts)
+    found = every.crossJoin(asked.hint("shuffle_replicate_nl")).mapInArrow(scan, "query_id long, vec_id long, score long")
+    rank = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    best = found.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= k)
+    return best.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 ORACLE_SQL = """

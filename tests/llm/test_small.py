@@ -39,6 +39,22 @@ def test_top_k_in_rounds_and_with_large_components(spark, monkeypatch):
     assert sorted(tuple(r) for r in topk.top_k(df, F.col("vec_id") % 5 == 0, k=3, scale=1).collect()) == brute_top(rows, 3, 1)
 
 
+def test_top_k_keeps_vectors_out_of_the_driver(spark, monkeypatch):
+    """Blocks of a few rows give the same pairs, and nothing is gathered or broadcast."""
+    monkeypatch.setattr(topk, "BLOCK", 7)
+    monkeypatch.setattr(topk, "QUERIES", 10)
+
+    def refused(*_, **__):
+        raise AssertionError("vectors pass the driver")
+
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", refused)
+    monkeypatch.setattr(type(spark.range(1)), "toArrow", refused)
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in rng.normal(0, 0.3, 20)]) for i in range(150)] + [(150, [0.4] * 9), (155, None), (160, [])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    assert sorted(tuple(r) for r in topk.top_k(df, F.col("vec_id") % 5 == 0).collect()) == brute_top(rows, 5)
+
+
 def test_permutation():
     for n in (1, 2, 3, 5, 24, 97, 1000):
         assert sorted(shards.permute_int(x, n, 5) for x in range(n)) == list(range(n))
