@@ -46,11 +46,26 @@ def body_size(items: DataFrame) -> DataFrame:
 
 
 def outlined(titles: DataFrame, blocks: DataFrame) -> DataFrame:
-    """The first block of its page that each outline title equals, begins or is begun by. Pages are equal, so the condition is tried inside one page only."""
-    t, b = F.lower("title"), F.lower("text")
-    hit = titles.join(blocks, ["doc", "page"]).filter((t == b) | F.startswith(b, t) | F.startswith(t, b))
-    first = Window.partitionBy("doc", "page", "title").orderBy("block")
-    return hit.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n")
+    """The first block of its page that each outline title equals, begins or is begun by. Needs (doc, page, title) and (doc, page, block, text); one title of equal ones is kept.
+
+    Titles meet blocks on equal keys: a block's beginnings of the lengths that titles have, and a title's own beginnings. Of blocks that begin alike only the first is
+    kept, so a page of many titles and blocks is not a product of both.
+    """
+    keys = ["doc", "page"]
+    cut = lambda text, n: F.substring(text, F.lit(1), n)
+    rest = F.struct("block", F.struct(*[c for c in blocks.columns if c not in (*keys, "block")]).alias("rest"))
+    t = titles.filter(F.col("title").isNotNull()).dropDuplicates([*keys, "title"]).withColumn("_t", F.lower("title"))
+    b = blocks.filter(F.col("text").isNotNull()).withColumn("_b", F.lower("text"))
+    first = lambda of: of.groupBy(*keys, "_k").agg(F.min_by(rest, "block").alias("_hit"))
+    # One row for each length that a title has, whatever the number of titles.
+    lengths = t.select(F.char_length("_t").alias("_n")).distinct()
+    begun = first(b.join(F.broadcast(lengths), F.col("_n") <= F.char_length("_b")).withColumn("_k", cut(F.col("_b"), F.col("_n"))))
+    whole = first(b.withColumn("_k", F.col("_b")))
+    starts = t.withColumn("_k", F.explode(F.transform(F.sequence(F.lit(0), F.char_length("_t")), lambda n: cut(F.col("_t"), n))))
+    hit = t.withColumn("_k", F.col("_t")).join(begun, [*keys, "_k"]).unionByName(starts.join(whole, [*keys, "_k"]))
+    best = hit.groupBy(*keys, "title").agg(F.min_by(F.struct("_hit", *[c for c in titles.columns if c not in (*keys, "title")]), "_hit.block").alias("_x"))
+    others = [F.col(f"_x.{c}").alias(c) for c in titles.columns if c not in (*keys, "title")]
+    return best.select(*keys, "title", *others, "_x._hit.block", "_x._hit.rest.*")
 
 
 def _near(rows: DataFrame, slots: DataFrame, most: int) -> DataFrame:

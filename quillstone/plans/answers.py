@@ -225,7 +225,7 @@ def agg_fontmode(spark: SparkSession, d: str) -> DataFrame:
 SELECT doc, page, title, block FROM (SELECT DISTINCT t.doc, t.page, t.title, b.block, row_number() OVER (PARTITION BY t.doc, t.page, t.title ORDER BY b.block) AS n FROM (SELECT DISTINCT * FROM t) t JOIN b ON b.doc = t.doc AND b.page = t.page AND (lower(title) = lower(text) OR starts_with(lower(text), lower(title)) OR starts_with(lower(title), lower(text)))) WHERE n = 1""")
 def jn_outline(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
-    blocks = docs.select(F.col("source").alias("doc"), (F.col("doc_id") % 5).alias("page"), F.col("doc_id").alias("block"), F.element_at(F.split("text", "\n"), 1).alias("text"))
+    blocks = docs.select(F.col("source").alias("doc"), (F.col("doc_id") % 5).alias("page"), F.col("doc_id").alias("block"), F.substring_index("text", "\n", 1).alias("text"))
     titles = docs.select(F.col("source").alias("doc"), (F.col("doc_id") % 5).alias("page"), F.substring("text", 1, 5).alias("title")).distinct()
     return Y.outlined(titles, blocks).select("doc", "page", "title", "block")
 

@@ -223,3 +223,20 @@ def test_replies(spark):
     assert said("Names:\n\n- A [S1]\n- B\n\nThe end of it all:", 1) == ("Names:\n\n- A [S1]", [1], 2)
     assert said("About this. Heading:\n- A [S1]", 1) == ("- A [S1]", [1], 2)
 
+
+def test_outline_titles_meet_blocks_on_equal_keys(spark, capsys):
+    """The first block that a title equals, begins or is begun by, against all pairs; the plan holds no pair of title and block that share only their page."""
+    from quillstone.operators import layout
+
+    titles = [("a", 1, t) for t in ("Intro", "intro", "In", "", "Introduction to it", "zzz", None, "Straße", "ÉTÉ 1")] + [("a", 2, "Intro"), ("b", 1, "Intro"), ("b", 1, "Intro")]
+    blocks = [("a", 1, 4, "introduction"), ("a", 1, 2, "IN"), ("a", 1, 9, ""), ("a", 1, 7, "été"), ("a", 1, 8, "straße 5"), ("a", 1, 1, None), ("a", 2, 3, "other"), ("b", 1, 6, "Introduction"), ("b", 1, 5, "INTRO")]
+    want = set()
+    for d, p, t in titles:
+        hit = [b for e, q, b, x in blocks if (e, q) == (d, p) and None not in (t, x) and (x.lower().startswith(t.lower()) or t.lower().startswith(x.lower()))]
+        want |= {(d, p, t, min(hit))} if hit else set()
+    found = layout.outlined(spark.createDataFrame(titles, "doc string, page int, title string"), spark.createDataFrame(blocks, "doc string, page int, block long, text string"))
+    rows = [tuple(r) for r in found.select("doc", "page", "title", "block").collect()]
+    assert sorted(rows) == sorted(want)
+    assert found.columns == ["doc", "page", "title", "block", "text"]
+    found.explain()
+    assert "StartsWith" not in capsys.readouterr().out
