@@ -240,3 +240,16 @@ def test_outline_titles_meet_blocks_on_equal_keys(spark, capsys):
     assert found.columns == ["doc", "page", "title", "block", "text"]
     found.explain()
     assert "StartsWith" not in capsys.readouterr().out
+
+
+def test_kinds_of_characters_are_counted_once(spark, capsys):
+    """A page's counts against plain Python; words are split once for all languages, and no count gathers its matches."""
+    t = "Été à 12 b\x0b\x01\xa0\ufeff\ufffd\ue000 سلام漢😀 Ã©"
+    rows = spark.createDataFrame([(t,), ("",), (None,)], "t string").select(F.explode(F.array(pages.counted(F.col("t")))).alias("n")).select("n.*").collect()
+    letters = [c for c in t if c.isalpha()]
+    moji = [c for c in t if 1 <= ord(c) <= 8 or c in "\x0b\x0c\ufffd\ue000" or 0x7F <= ord(c) <= 0x9F or 0xC0 <= ord(c) <= 0xFF]
+    assert tuple(rows[0]) == (len(t), sum(not c.isspace() and c != "\ufeff" for c in t), len(letters), sum(ord(c) < 0x250 for c in letters), 4, 2, len(moji), 0)
+    assert tuple(rows[1]) == (0,) * 8 and rows[2].chars is None
+    spark.createDataFrame([(t,)], "t string").select(text.question_language(F.col("t")).alias("x")).explain()
+    plan = capsys.readouterr().out
+    assert plan.count("split(") == 1 and "regexp_count" not in plan
