@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,30 +16,53 @@ from .ordered import numbered
 LINE, SPACE, TABLE = 0.5, 0.25, 3.0
 
 
-def page_lines(items: pd.DataFrame) -> pd.DataFrame:
-    """Items of one page as lines: baselines within half an em join, gaps over a quarter em become spaces, over three em mark a table."""
-    out: list[list[dict]] = []
-    for r in items.sort_values(["y", "x"], kind="stable").to_dict("records"):
-        if out and abs(r["y"] - out[-1][0]["y"]) <= LINE * max(r["size"], out[-1][0]["size"]):
-            out[-1].append(r)
-        else:
-            out.append([r])
-    rows = []
-    for n, line in enumerate(out):
-        line.sort(key=lambda r: r["x"])
-        text, end, tabular = "", None, False
-        for r in line:
-            gap = 0 if end is None else r["x"] - end
-            tabular |= gap > TABLE * r["size"]
-            text += (" " if end is not None and gap > SPACE * r["size"] and not text.endswith(" ") else "") + r["text"]
-            end = r["x"] + r["width"]
-        rows.append({"page": line[0]["page"], "line": n, "text": text, "size": max(r["size"] for r in line), "y": line[0]["y"], "tabular": bool(tabular)})
-    return pd.DataFrame(rows, columns=["page", "line", "text", "size", "y", "tabular"])
+_LINE = {"page": pa.int64(), "line": pa.int64(), "text": pa.string(), "size": pa.float64(), "y": pa.float64(), "tabular": pa.bool_()}
+
+
+def _line(items: list[tuple]) -> tuple:
+    """Text, size, y and whether a table's gap is in it, of one line's items (page, y, x, width, size, text)."""
+    y = items[0][1]
+    items.sort(key=lambda r: r[2])
+    parts, blank, end, tabular = [], False, None, False
+    for _, _, x, width, size, text in items:
+        if end is not None:
+            gap = x - end
+            tabular |= gap > TABLE * size
+            if gap > SPACE * size and not blank:
+                parts.append(" ")
+                blank = True
+        if text:
+            parts.append(text)
+            blank = text.endswith(" ")
+        end = x + width
+    return "".join(parts), max(r[4] for r in items), y, tabular
+
+
+def page_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Items in the order of page, y and x as lines: baselines within half an em of a line's first join it, gaps over a quarter em become spaces, over three em mark a table."""
+    held: list[tuple] = []
+    n = 0
+    for batch in batches:
+        out: list[tuple] = []
+        number = lambda name, batch=batch: batch[name].to_numpy(zero_copy_only=False).tolist()
+        for r in zip(batch["page"].to_pylist(), number("y"), number("x"), number("width"), number("size"), batch["text"].to_pylist()):
+            if held and held[0][0] == r[0] and abs(r[1] - held[0][1]) <= LINE * max(r[4], held[0][4]):
+                held.append(r)
+                continue
+            if held:
+                out.append((held[0][0], n, *_line(held)))
+                n = n + 1 if held[0][0] == r[0] else 0
+            held = [r]
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out) if out else [()] * len(_LINE), _LINE.values())], list(_LINE))
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip((held[0][0], n, *_line(held)), _LINE.values())], list(_LINE))
 
 
 def lines(items: DataFrame) -> DataFrame:
-    """Needs (page, x, y, width, size, text); a page's items fit one task."""
-    return items.groupBy("page").applyInPandas(page_lines, "page long, line long, text string, size double, y double, tabular boolean")
+    """Needs (page, x, y, width, size, text). Pages are dealt by hash and read in order, a line at a time."""
+    number = [F.col(c).cast("double").alias(c) for c in ("y", "x", "width", "size")]
+    rows = items.select(F.col("page").cast("long").alias("page"), *number, "text").repartition("page")
+    return rows.sortWithinPartitions("page", F.asc_nulls_last("y"), F.asc_nulls_last("x")).mapInArrow(page_lines, "page long, line long, text string, size double, y double, tabular boolean")
 
 
 def body_size(items: DataFrame) -> DataFrame:

@@ -253,3 +253,35 @@ def test_kinds_of_characters_are_counted_once(spark, capsys):
     spark.createDataFrame([(t,)], "t string").select(text.question_language(F.col("t")).alias("x")).explain()
     plan = capsys.readouterr().out
     assert plan.count("split(") == 1 and "regexp_count" not in plan
+
+
+def test_items_are_read_into_lines_as_they_come(spark):
+    """Lines of jittered items against plain Python, across batches, and without a task that gathers a page."""
+    from quillstone.operators import layout
+
+    rng = random.Random(6)
+    items = [(p, rng.choice([0.0, 3.0, 5.0, 9.0, 20.0, 24.0, 31.0]) + rng.random(), rng.random() * 90, rng.random() * 20, rng.choice([6.0, 10.0]), rng.choice(["a", "b ", "", " c", "dd"])) for p in range(5) for _ in range(60)]
+    want = []
+    for p in range(5):
+        found = []
+        for r in sorted((r for r in items if r[0] == p), key=lambda r: r[1:3]):
+            if found and abs(r[1] - found[-1][0][1]) <= 0.5 * max(r[4], found[-1][0][4]):
+                found[-1].append(r)
+            else:
+                found.append([r])
+        for n, line in enumerate(found):
+            said, end, tabular = "", None, False
+            for r in sorted(line, key=lambda r: r[2]):
+                gap = 0 if end is None else r[2] - end
+                tabular |= gap > 3.0 * r[4]
+                said += (" " if end is not None and gap > 0.25 * r[4] and not said.endswith(" ") else "") + r[5]
+                end = r[2] + r[3]
+            want.append((p, n, said, max(r[4] for r in line), line[0][1], tabular))
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(name, "7")
+    try:
+        found = layout.lines(spark.createDataFrame(items, "page long, y double, x double, width double, size double, text string").repartition(3))
+        assert sorted(tuple(r) for r in found.collect()) == sorted(want)
+    finally:
+        spark.conf.unset(name)
+    assert "FlatMapGroups" not in found._jdf.queryExecution().toString()
