@@ -285,3 +285,10 @@ def test_items_are_read_into_lines_as_they_come(spark):
     finally:
         spark.conf.unset(name)
     assert "FlatMapGroups" not in found._jdf.queryExecution().toString()
+
+
+def test_words_are_cut_in_one_pass(spark, capsys):
+    t = "  L'Été—c’est «Bon»!\t\xa0x ... y\n"
+    assert one(spark, text.surface_words, t) == [w for w in one(spark, text.match_form, t).split(" ") if w]
+    spark.createDataFrame([(t,)], "t string").select(text.surface_words(F.col("t")).alias("x")).explain()
+    assert capsys.readouterr().out.count("regexp_replace(") == 1
