@@ -25,34 +25,50 @@ PAGE_NUMBER = r"(?iu)^[\s\p{P}\p{S}]*(?:(?:page|pg|p|صفحة|ص)[\s.:]*)?\p{Nd}
 FOOTER = r"^(?:.{0,40}[|—–·•/-]\s*\p{Nd}{1,4}|\p{Nd}{1,4}\s*[|—–·•/-].{0,40})$"
 FURNITURE, TITLE, RECTS = 48, 160, 60
 GAP = "\n\n"
-LETTER = re.compile(r"[^\W\d_]")
+#: What ends a sentence before its white space.
+ENDING = ".!?؟。…'\")]"
+LETTERS = re.compile(r"[^\W\d_]+")
 
 
 def ends_paragraph(c: Column) -> Column:
     """Whether a block's text ends as paragraphs do: with a final mark, or with a short line that is a page number or a running footer, as scans have them."""
     whole = F.regexp_replace(c, r"\s+$", "")
-    last = F.trim(F.regexp_extract(whole, r"[^\n]*$", 0))
+    last = F.trim(F.substring_index(whole, "\n", -1))
     return whole.rlike(TERMINAL) | ((F.length(last) <= FURNITURE) & (last.rlike(PAGE_NUMBER) | last.rlike(FOOTER)))
 
 
 def chained(blocks: DataFrame) -> DataFrame:
-    """Blocks with text, with their section, whether they start one, whether they end a paragraph, and the chain of pages that they stand in."""
+    """Blocks with text, with the section that their page begins in and the chain of pages that they stand in.
+
+    Both are a page's matter, so the folds run over a row for each page and no text is in them.
+    """
     title = F.when(F.col("heading"), F.coalesce("title", "text")).otherwise(F.col("title"))
     clean = F.substring(F.trim(F.regexp_replace(title, r"\s+", " ")), 1, TITLE)
-    rows = blocks.filter(F.col("text").rlike(r"\S")).withColumns({"title": clean, "ends": ends_paragraph(F.col("text"))})
-    key = ["doc"], ["page", "block"]
-    rows = folded(ranged(rows, *key, "blocks"), *key, last={"section": F.col("title")}, former={"was": F.struct("page", "ends")})
-    runs_on = ~F.col("was.ends") & (F.col("block") == 0) & F.col("title").isNull()
-    opens = F.col("was").isNull() | ((F.col("was.page") != F.col("page")) & ~runs_on)
-    return folded(rows, *key, sums={"chain": opens.cast("int")}).drop("was", "_part")
+    rows = staged(blocks.filter(F.col("text").rlike(r"\S")).withColumns({"title": clean, "ends": ends_paragraph(F.col("text"))}).drop("heading"), "blocks")
+    titled = F.max_by("title", F.when(F.col("title").isNotNull(), F.col("block")))
+    pages = rows.groupBy("doc", "page").agg(F.min(F.struct("block", F.col("title").isNotNull().alias("named"))).alias("first"), titled.alias("titled"), F.max(F.struct("block", "ends")).alias("end"))
+    key = ["doc"], ["page"]
+    pages = folded(ranged(pages, *key, "pages"), *key, last={"upto": F.col("titled")}, former={"was": F.col("end.ends")})
+    runs_on = ~F.col("was") & (F.col("first.block") == 0) & ~F.col("first.named")
+    pages = folded(pages, *key, sums={"chain": (F.col("was").isNull() | ~runs_on).cast("int")}, former={"section": F.col("upto")})
+    of = pages.select(F.col("doc").alias("_doc"), F.col("page").alias("_page"), "chain", "section")
+    return rows.join(of, F.col("doc").eqNullSafe(F.col("_doc")) & F.col("page").eqNullSafe(F.col("_page"))).drop("_doc", "_page")
 
 
 class _Limits:
     def __init__(self, target: int, most: int, least: int, overlap: int, window: int | None):
         self.target, self.most, self.least, self.overlap, self.window = target, most, least, overlap, window
 
-    def fit(self, text: str) -> bool:
-        return len(text) <= self.most and (self.window is None or tokens.estimate(text) <= self.window)
+    def count(self, text: str) -> tokens.Counted | None:
+        """The tokens of a text's stretches, where a window asks for them."""
+        return None if self.window is None else tokens.Counted(text)
+
+    def fit(self, a: int, b: int, counted: tokens.Counted | None) -> bool:
+        """Whether a stretch of a text fits."""
+        return b - a <= self.most and (counted is None or self.small(counted.hundredths(a, b)))
+
+    def small(self, hundredths: int) -> bool:
+        return self.window is None or hundredths <= 100 * self.window
 
 
 def _trimmed(text: str, a: int, b: int) -> tuple[int, int]:
@@ -60,26 +76,26 @@ def _trimmed(text: str, a: int, b: int) -> tuple[int, int]:
     return a + len(part) - len(part.lstrip()), b - len(part) + len(part.rstrip())
 
 
-def _fitting(text: str, a: int, b: int, limits: _Limits) -> Iterator[tuple[int, int]]:
+def _fitting(text: str, a: int, b: int, limits: _Limits, counted: tokens.Counted | None) -> Iterator[tuple[int, int]]:
     """A stretch halved, at a clause or space if it has one, until its parts fit."""
-    if b - a < 2 or limits.fit(text[a:b]):
+    if b - a < 2 or limits.fit(a, b, counted):
         yield a, b
         return
     for x, y in chunking.pieces(text, a, b, max(1, min(limits.most, (b - a + 1) // 2))):
-        yield from _fitting(text, x, y, limits)
+        yield from _fitting(text, x, y, limits, counted)
 
 
-def _parts(text: str, limits: _Limits) -> list[tuple[int, int]]:
+def _parts(text: str, limits: _Limits, counted: tokens.Counted | None) -> list[tuple[int, int]]:
     """A block that does not fit as parts of whole sentences up to the target."""
-    if limits.fit(text):
+    if limits.fit(0, len(text), counted):
         return [(0, len(text))]
     out: list[tuple[int, int]] = []
     for a, b in chunking.sentences(text, limits.most):
-        for x, y in _fitting(text, *_trimmed(text, a, b), limits):
+        for x, y in _fitting(text, *_trimmed(text, a, b), limits, counted):
             x, y = _trimmed(text, x, y)
             if x == y:
                 continue
-            if out and y - out[-1][0] <= limits.target and limits.fit(text[out[-1][0] : y]):
+            if out and y - out[-1][0] <= limits.target and limits.fit(out[-1][0], y, counted):
                 out[-1] = (out[-1][0], y)
             else:
                 out.append((x, y))
@@ -87,13 +103,14 @@ def _parts(text: str, limits: _Limits) -> list[tuple[int, int]]:
 
 
 class _Draft:
-    """A chunk in the making: its stretches, one a page, with their texts, and the letters of each language."""
+    """A chunk in the making: its stretches, one a page, with their texts, the letters of each language and, where a window asks for them, its hundredths of a token."""
 
-    __slots__ = ("closed", "ends", "lead", "letters", "section", "spans", "titled")
+    __slots__ = ("closed", "ends", "lead", "letters", "section", "size", "spans", "titled")
 
     def __init__(self, section: str | None, titled: bool, lead: str):
         self.section, self.titled, self.closed, self.ends = section, titled, False, True
         self.lead = lead  # the white space between the draft before and this one, on one page
+        self.size = 0
         self.spans: list[tuple[int, int, int, str]] = []
         self.letters: dict[str, int] = {}
 
@@ -111,8 +128,12 @@ class _Draft:
     def joined(self, spans: list[tuple[int, int, int, str]]) -> str:
         return GAP.join(s[3] for s in spans)
 
+    def size_with(self, lead: str, text: str, size: int, whole: str) -> int:
+        """The hundredths with one more text behind ``lead``: a sum, as blanks part runs."""
+        return self.size + len(lead) * fixed.BLANK + size + tokens.lead(text) if tokens.blank(lead) else tokens.hundredths(whole)
+
     def count(self, language: str, text: str) -> None:
-        self.letters[language] = self.letters.get(language, 0) + len(LETTER.findall(text))
+        self.letters[language] = self.letters.get(language, 0) + sum(map(len, LETTERS.findall(text)))
 
 
 def packed(rows: Iterator[dict], limits: _Limits) -> Iterator[_Draft]:
@@ -131,8 +152,10 @@ def packed(rows: Iterator[dict], limits: _Limits) -> Iterator[_Draft]:
             same = len(new.spans) == len(last.spans) == 1 and new.spans[0][0] == last.spans[0][0] and new.section == last.section
             if same and not new.titled and len(new.text()) < limits.least:
                 spans = last.with_unit(new.spans[0], new.lead)
-                if limits.fit(last.joined(spans)):
-                    last.spans = spans
+                whole = last.joined(spans)
+                size = last.size if limits.window is None else last.size_with(new.lead, new.text(), new.size, whole)
+                if len(whole) <= limits.most and limits.small(size):
+                    last.spans, last.size = spans, size
                     for language, n in new.letters.items():
                         last.letters[language] = last.letters.get(language, 0) + n
                     return
@@ -140,29 +163,35 @@ def packed(rows: Iterator[dict], limits: _Limits) -> Iterator[_Draft]:
         last = new
 
     at = (None, 0)  # page and end of the last unit
+    on, section = (), None
     for r in rows:
-        for k, (a, b) in enumerate(_parts(r["text"], limits)):
+        if on != (r["page"],):
+            on, section = (r["page"],), r["section"]
+        if r["title"] is not None:
+            section = r["title"]
+        counted = limits.count(r["text"])
+        for k, (a, b) in enumerate(_parts(r["text"], limits, counted)):
             unit_start = r["char_start"] + a
             lead = r["text"][at[1] - r["char_start"] : a] if k else "\n" * (unit_start - at[1]) if at[0] == r["page"] else ""
             at = r["page"], r["char_start"] + b
             piece, titled = r["text"][a:b], k == 0 and r["title"] is not None
             unit = (r["page"], unit_start, r["char_start"] + b, piece)
+            own = counted.hundredths(a, b) if counted is not None else 0
             opens = now is None or titled
             if not opens:
                 spans = now.with_unit(unit, lead)
                 whole = now.joined(spans)
                 crosses = now.spans[-1][0] != r["page"]
-                if crosses:
-                    opens = now.ends or r["block"] != 0 or k > 0 or not limits.fit(whole)
-                else:
-                    opens = now.closed or len(whole) > limits.target or not limits.fit(whole)
+                opens = now.ends or r["block"] != 0 or k > 0 if crosses else now.closed or len(whole) > limits.target
+                size = 0 if opens or counted is None else now.size_with(GAP if crosses else lead, piece, own, whole)
+                opens = opens or len(whole) > limits.most or not limits.small(size)
                 if not opens:
-                    now.spans, now.closed = spans, now.closed or crosses
+                    now.spans, now.size, now.closed = spans, size, now.closed or crosses
             if opens:
                 if now is not None:
                     yield from done(now)
-                now = _Draft(r["section"], titled, lead)
-                now.spans = [unit]
+                now = _Draft(section, titled, lead)
+                now.spans, now.size = [unit], own
             now.ends = r["ends"]
             now.count(r["language"] or "und", piece)
     if now is not None:
@@ -180,27 +209,46 @@ def _tails(text: str, limits: _Limits) -> list[str]:
     """The ends of a text that are whole sentences and no longer than the overlap, longest first."""
     if limits.overlap <= 0:
         return []
-    starts = [a for a, b in (_trimmed(text, *s) for s in chunking.sentences(text, limits.most)) if a < b and len(text) - a <= limits.overlap]
-    return [text[a:].strip() for a in starts]
+    at = max(0, len(text) - limits.overlap)
+    while at and (text[at - 1].isspace() or text[at - 1] in ENDING):  # so that no sentence's end lies across
+        at -= 1
+    cuts = [at, *(m.end() for m in chunking.SENTENCE.finditer(text, at)), len(text)]
+    starts = [a for a, b in (_trimmed(text, *s) for s in zip(cuts, cuts[1:], strict=False)) if a < b and len(text) - a <= limits.overlap]
+    # The first stretch begins no sentence unless the text does.
+    return [t for t in (text[a:].strip() for a in starts if not at or a >= cuts[1]) if t]
+
+
+def _room(tails: list[str], own: str, size: int, limits: _Limits) -> list[dict]:
+    """The first tail that a chunk of ``size`` hundredths has room for, if any."""
+    for t in tails:
+        if len(t) + len(GAP) + len(own) <= limits.most:
+            n = tokens.hundredths(t)
+            if limits.small(size + tokens.lead(own) + n + 2 * fixed.BLANK):
+                return [{"text": t, "tokens": n}]
+    return []
 
 
 _SPAN = pa.struct([("page", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
 _TAIL = pa.struct([("text", pa.string()), ("tokens", pa.int64())])
 _OUT = {
     "section": pa.string(), "language": pa.string(), "page_start": pa.int64(), "page_end": pa.int64(), "char_start": pa.int64(), "char_end": pa.int64(), "spans": pa.list_(_SPAN), "own": pa.string(),
-    "tokens": pa.int64(), "set_off": pa.int64(), "tails": pa.list_(_TAIL),
+    "tokens": pa.int64(), "set_off": pa.int64(), "tails": pa.list_(_TAIL), "ending": pa.list_(_TAIL), "place": pa.int64(),
 }
 #: Drafts handed on at a time.
 DRAFTS = 500
 
 
-def _drafts(chains: DataFrame, key: str, limits: _Limits) -> DataFrame:
-    """Each chain's drafts, with ``key`` and ``doc``. Chains are dealt by hash and read in order, a chain after another."""
+def _drafts(chains: DataFrame, key: str, group: list[str], limits: _Limits) -> DataFrame:
+    """Each chain's drafts, with ``key`` and ``doc``, in ranges of (doc, key) that are read in order, a chain after another.
+
+    ``place`` counts the drafts of a group inside a range, ``tails`` holds the one of the draft before, of the same section, that there is room for, and ``ending`` are the own ones of a range's last draft.
+    """
     kind = chains.schema[key].dataType.simpleString()
     doc = chains.schema["doc"].dataType.simpleString()
     rows = chains.select("doc", key, "page", "block", "text", "char_start", "title", "section", "ends", "language")
-    rows = rows.repartition("doc", key).sortWithinPartitions("doc", key, "page", "block")
-    schema = f"doc {doc}, {key} {kind}, section string, language string, page_start long, page_end long, char_start long, char_end long, spans array<struct<page: long, start: long, end: long>>, own string, tokens long, set_off long, tails array<struct<text: string, tokens: long>>"
+    rows = rows.repartitionByRange("doc", key).sortWithinPartitions("doc", key, "page", "block")
+    tails = "array<struct<text: string, tokens: long>>"
+    schema = f"doc {doc}, {key} {kind}, section string, language string, page_start long, page_end long, char_start long, char_end long, spans array<struct<page: long, start: long, end: long>>, own string, tokens long, set_off long, tails {tails}, ending {tails}, place long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types: dict[str, pa.DataType] = {}
@@ -225,20 +273,26 @@ def _drafts(chains: DataFrame, key: str, limits: _Limits) -> DataFrame:
 
         rest, out = each(), []
         ahead = [r for r in [next(rest, None)] if r is not None]
+        was: _Draft | None = None
+        of, place, own = (), 0, ""
         while ahead:
             first = ahead.pop()
             for d in packed(chain(first, rest, ahead), limits):
-                own = d.text()
-                size = tokens.hundredths(own)
-                out.append({
-                    "doc": first["doc"], key: first[key], "section": d.section, "language": _language(d.letters), "page_start": d.spans[0][0], "page_end": d.spans[-1][0], "char_start": d.spans[0][1], "char_end": d.spans[-1][2],
-                    "spans": [{"page": p, "start": a, "end": b} for p, a, b, _ in d.spans], "own": own, "tokens": size, "set_off": tokens.hundredths(own, True) - size,
-                    "tails": [{"text": t, "tokens": tokens.hundredths(t)} for t in _tails(own, limits)],
-                })
+                here = tuple(first[c] for c in group)
+                tails = _tails(own, limits) if was is not None and here == of and was.section == d.section else []
+                own, place = d.text(), place + 1 if here == of and was is not None else 1
+                was, of = d, here
+                size = tokens.hundredths(own) if limits.window is None else d.size
                 if len(out) >= DRAFTS:
                     yield batch_of(out)
                     out = []
+                out.append({
+                    "doc": first["doc"], key: first[key], "section": d.section, "language": _language(d.letters), "page_start": d.spans[0][0], "page_end": d.spans[-1][0], "char_start": d.spans[0][1], "char_end": d.spans[-1][2],
+                    "spans": [{"page": p, "start": a, "end": b} for p, a, b, _ in d.spans], "own": own, "tokens": size, "set_off": tokens.lead(own),
+                    "tails": _room(tails, own, size, limits), "ending": None, "place": place,
+                })
         if out:
+            out[-1]["ending"] = [{"text": t, "tokens": tokens.hundredths(t)} for t in _tails(own, limits)]
             yield batch_of(out)
 
     return rows.mapInArrow(run, schema)
@@ -246,17 +300,26 @@ def _drafts(chains: DataFrame, key: str, limits: _Limits) -> DataFrame:
 
 def _finished(drafts: DataFrame, group: list[str], limits: _Limits) -> DataFrame:
     """Drafts with their index, and the longest tail of the chunk before, of the same section, that the limits leave room for."""
-    key = group, ["page_start", "char_start"]
-    rows = folded(ranged(drafts, *key, "drafts"), *key, sums={"chunk_index": F.lit(1)}, former={"was": F.struct("section", "tails")})
+    rows = staged(drafts.withColumn("_part", F.spark_partition_id()), "drafts")
+    # What a range hands on to the next one of its last group: how many drafts, and the last one's section and tails. A row for each range at most.
+    parts = Window.partitionBy(*group).orderBy("_part")
+    ends = rows.groupBy("_part", *group).agg(F.max("place").alias("n"), F.max_by(F.struct("section", "ending"), "place").alias("was"))
+    before = F.sum("n").over(parts.rowsBetween(Window.unboundedPreceding, -1))
+    carry = ends.select(F.col("_part").alias("_p"), *[F.col(g).alias(f"_{g}") for g in group], before.alias("before"), F.lag("was").over(parts).alias("was")).filter("before IS NOT NULL")
+    same = F.col("_part") == F.col("_p")
+    for g in group:
+        same &= F.col(g).eqNullSafe(F.col(f"_{g}"))
+    rows = rows.join(F.broadcast(carry), same, "left")
     cost = lambda t: F.ceil((F.col("tokens") + F.col("set_off") + t["tokens"] + 2 * fixed.BLANK) / 100)
     room = lambda t: (F.length(t["text"]) + len(GAP) + F.length("own") <= limits.most) & (F.lit(True) if limits.window is None else cost(t) <= limits.window)
-    tails = F.when(F.col("was").isNotNull() & F.col("was.section").eqNullSafe(F.col("section")), F.col("was.tails"))
-    tail = F.get(F.filter(tails, lambda t: room(t) & (F.length(t["text"]) > 0)), 0)
+    carried = F.when(F.col("was").isNotNull() & F.col("was.section").eqNullSafe(F.col("section")), F.col("was.ending"))
+    tail = F.get(F.filter(F.when(F.col("place") == 1, carried).otherwise(F.col("tails")), room), 0)
     rows = rows.withColumn("tail", tail)
     prefix = F.coalesce(F.concat("tail.text", F.lit(GAP)), F.lit(""))
     whole = F.when(F.col("tail").isNotNull(), cost(F.col("tail"))).otherwise(F.ceil(F.col("tokens") / 100))
-    rows = rows.withColumns({"chunk_index": F.col("chunk_index").cast("long") - 1, "content": F.concat(prefix, "own"), "overlap_chars": F.length(prefix).cast("long"), "token_count": whole.cast("long")})
-    return rows.drop("was", "tail", "tails", "_part", "tokens", "set_off")
+    index = F.col("place") + F.coalesce("before", F.lit(0)) - 1
+    rows = rows.withColumns({"chunk_index": index.cast("long"), "content": F.concat(prefix, "own"), "overlap_chars": F.length(prefix).cast("long"), "token_count": whole.cast("long")})
+    return rows.drop("was", "before", "tail", "tails", "ending", "place", "_part", "_p", *[f"_{g}" for g in group], "tokens", "set_off")
 
 
 CHUNK = ["doc", "chunk_index", "page_start", "page_end", "section", "language", "char_start", "char_end", "overlap_chars", "token_count", "spans", "content"]
@@ -278,7 +341,7 @@ def chunked(blocks: DataFrame, target: int = fixed.CHUNK_TARGET, most: int = fix
     without text are left out, documents without any have no chunks; a null doc is a document.
     """
     limits = _Limits(target, most, least, overlap, window)
-    drafts = _drafts(chained(_blocks(blocks)), "chain", limits)
+    drafts = _drafts(chained(_blocks(blocks)), "chain", ["doc"], limits)
     return _finished(drafts.drop("chain"), ["doc"], limits).select(*CHUNK)
 
 
@@ -294,9 +357,9 @@ def windowed(chunks: DataFrame, blocks: DataFrame, window: int, target: int = fi
     parts = stretch.join(_blocks(blocks), ["doc", "page"]).filter((F.col("char_start") < F.col("to")) & (F.col("char_start") + F.length("text") > F.col("from")))
     start = F.greatest("char_start", "from")
     clipped = F.substring("text", (start - F.col("char_start") + 1).cast("int"), (F.least(F.col("char_start") + F.length("text"), "to") - start).cast("int"))
-    first = F.row_number().over(Window.partitionBy("doc", "of", "page").orderBy("block")) == 1
+    first = F.col("char_start") <= F.col("from")  # a stretch begins inside a block
     clean = parts.select("doc", "of", "page", F.when(first, 0).otherwise(F.col("block") + 1).alias("block"), clipped.alias("text"), start.alias("char_start"), F.lit(None).cast("string").alias("title"), "section", ends_paragraph(clipped).alias("ends"), "language")
-    pieces = _finished(_drafts(clean, "of", limits), ["doc", "of"], limits)
+    pieces = _finished(_drafts(clean, "of", ["doc", "of"], limits), ["doc", "of"], limits)
     keep = large.select("doc", F.col("chunk_index").alias("of"), F.substring("content", F.lit(1), F.col("overlap_chars").cast("int")).alias("prefix"))
     pieces = pieces.join(keep, ["doc", "of"])
     whole = F.concat("prefix", "content")
@@ -304,11 +367,20 @@ def windowed(chunks: DataFrame, blocks: DataFrame, window: int, target: int = fi
     counted = pieces.withColumn("whole", F.when(heads, whole))
     counted = counted.mapInArrow(_recounted(window), counted.schema)
     pieces = counted.withColumns({"overlap_chars": F.when(F.col("whole").isNotNull(), F.length("prefix") + F.col("overlap_chars")).otherwise(F.col("overlap_chars")).cast("long"), "content": F.coalesce("whole", "content"), "piece": F.col("chunk_index")})
+    pieces = staged(pieces, "pieces")
+    # How many chunks come of each: new numbers are sums of these, without the texts.
+    counts = pieces.groupBy("doc", "of").agg(F.count("*").alias("n"))
+    old = held.select("doc", F.col("chunk_index").alias("of"), (F.col("token_count") > window).alias("cut"))
+    key = ["doc"], ["of"]
+    counts = old.join(counts.withColumnsRenamed({"doc": "_doc", "of": "_of"}), F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("of") == F.col("_of")), "left")
+    size = F.when(F.col("cut"), F.coalesce("n", F.lit(0))).otherwise(1)
+    upto = folded(ranged(counts.select("doc", "of", size.alias("n")), *key, "windowed"), *key, sums={"upto": F.col("n")})
+    first = upto.select(F.col("doc").alias("_doc"), F.col("of").alias("_of"), (F.col("upto") - F.col("n")).alias("first"))
     rest = held.filter(F.col("token_count") <= window).withColumns({"of": F.col("chunk_index"), "piece": F.lit(0).cast("long")})
     names = [c for c in CHUNK if c != "chunk_index"]
     every = rest.select("of", "piece", *names).unionByName(pieces.select("of", "piece", *names))
-    key = ["doc"], ["of", "piece"]
-    return folded(ranged(every, *key, "windowed"), *key, sums={"chunk_index": F.lit(1)}).withColumn("chunk_index", F.col("chunk_index").cast("long") - 1).select(*CHUNK)
+    every = every.join(first, F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("of") == F.col("_of")))
+    return every.withColumn("chunk_index", (F.col("first") + F.col("piece")).cast("long")).select(*CHUNK)
 
 
 def _recounted(window: int):

@@ -5,10 +5,15 @@ All of it is windows and aggregates inside a page. The columns of placed words a
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import text as T
 from ..sources.stages import staged
@@ -217,9 +222,35 @@ def confidence(lines: DataFrame) -> DataFrame:
     return lines.groupBy("page").agg(F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(100.0), mean)), F.lit(0.0)).alias("confidence"))
 
 
+#: A hyphen at a Latin line's end that the next line goes on from.
+HYPHEN = r"[-‐]\n(?<=\p{IsLatin}[-‐]\n)(?=\p{IsLatin})(?=\p{Ll})"
+
+
 def plain(pages: DataFrame) -> DataFrame:
-    """(page, block, text, char_start, char_end): blocks of plain texts (page, text), cut at blank lines, with offsets in the blocks joined by blank lines."""
-    paragraphs = pages.select("page", F.posexplode(F.split(F.regexp_replace("text", r"\r\n?", "\n"), r"\n[^\S\n]*\n\s*")).alias("k", "paragraph"))
-    rows = paragraphs.select("page", "k", F.posexplode(F.split("paragraph", "\n")).alias("line", "text")).withColumn("text", F.trim(F.regexp_replace("text", r"\s+", " "))).filter(F.col("text").rlike(r"[\p{L}\p{N}]"))
-    numbered = rows.withColumn("block", (F.dense_rank().over(Window.partitionBy("page").orderBy("k")) - 1).cast("long")).drop("k")
-    return offsets(numbered).blocks.select("page", "block", "text", "char_start", "char_end")
+    """(page, block, text, char_start, char_end) and the pages' other columns: blocks of plain texts (page, text), cut at blank lines, with offsets in the blocks joined by blank lines.
+
+    A page is a row, so its blocks are found in it and nothing is shuffled.
+    """
+    clean = F.regexp_replace(F.regexp_replace("text", r"\r\n?", "\n"), r"[^\S\n ][^\S\n]*| [^\S\n]+", " ")  # single blanks stay untouched
+    paragraphs = F.split(clean, r"\n[^\S\n]*\n\s*")
+    lines = lambda p: F.array_join(F.filter(F.transform(F.split(p, "\n"), lambda x: F.trim(x)), lambda x: x.rlike(r"[\p{L}\p{N}]")), "\n")
+    whole = lambda b: F.when(F.contains(b, F.lit("\n")), F.regexp_replace(b, HYPHEN, "")).otherwise(b)
+    blocks = F.filter(F.transform(F.transform(paragraphs, lines), whole), lambda b: b != "")
+    others = [f for f in pages.schema.fields if f.name not in ("page", "text")]
+    rows = pages.filter(F.col("text").isNotNull()).select("page", *[f.name for f in others], blocks.alias("blocks"))
+    schema = StructType([pages.schema["page"], *others, *StructType.fromDDL("block long, text string, char_start long, char_end long").fields])
+    return rows.mapInArrow(_placed, schema).select("page", "block", "text", "char_start", "char_end", *[f.name for f in others])
+
+
+def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each page's blocks as rows, with their number and offsets: running sums over all texts of a batch."""
+    for batch in batches:
+        texts = batch["blocks"].flatten()
+        count = pc.list_value_length(batch["blocks"]).to_numpy()
+        first = np.cumsum(count) - count
+        end = np.cumsum(pc.utf8_length(texts).to_numpy().astype(np.int64) + 2)
+        own = end - np.repeat(np.append(0, end)[first], count) - 2
+        of = pa.array(np.repeat(np.arange(len(count)), count))
+        names = [n for n in batch.schema.names if n != "blocks"]
+        found = {"block": pa.array(np.arange(len(texts)) - np.repeat(first, count)), "text": texts, "char_start": pa.array(own - pc.utf8_length(texts).to_numpy()), "char_end": pa.array(own)}
+        yield pa.RecordBatch.from_arrays([*[batch[n].take(of) for n in names], *found.values()], [*names, *found])

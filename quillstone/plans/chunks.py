@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..operators import blocks as B
 from ..operators import geometry as G
+from ..sources.stages import staged
 from .layouts import printed
-from .registry import query, table
+from .registry import query, spread, table
 
 BLOCKS = r"""l AS (SELECT source AS doc, doc_id AS page, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS k FROM documents),
 b AS (SELECT doc, page, row_number() OVER (PARTITION BY page ORDER BY k) - 1 AS block, trim(regexp_replace(line, '\s+', ' ', 'g')) AS text FROM l WHERE regexp_matches(line, '[\p{L}\p{N}]'))"""
@@ -16,10 +17,8 @@ b AS (SELECT doc, page, row_number() OVER (PARTITION BY page ORDER BY k) - 1 AS
 
 def page_blocks(spark: SparkSession, d: str) -> DataFrame:
     """(doc, page, block, text, char_start, heading, language): short first lines without a final mark are headings."""
-    docs = table(spark, d, "documents")
-    found = G.plain(docs.select(F.col("doc_id").alias("page"), F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text")))
-    of = docs.select(F.col("doc_id").alias("page"), F.col("source").alias("doc"), F.col("lang").alias("language"))
-    return found.join(of, "page").withColumn("heading", (F.col("block") == 0) & (F.length("text") <= 60) & ~F.col("text").rlike(B.TERMINAL))
+    pages = spread(table(spark, d, "documents"), "doc_id").select(F.col("source").alias("doc"), F.col("doc_id").alias("page"), F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"), F.col("lang").alias("language"))
+    return G.plain(pages).withColumn("heading", (F.col("block") == 0) & (F.length("text") <= 60) & ~F.col("text").rlike(B.TERMINAL))
 
 
 def _own(c: DataFrame) -> DataFrame:
@@ -49,7 +48,7 @@ def ch_units(spark: SparkSession, d: str) -> DataFrame:
 @query(COVERED)
 def ch_window(spark: SparkSession, d: str) -> DataFrame:
     """The chunks cut again for a window of 256 tokens: all characters are there, each once, and every chunk fits."""
-    parts = page_blocks(spark, d)
+    parts = staged(page_blocks(spark, d), "parts")
     return _letters(B.windowed(B.chunked(parts), parts, 256)).select("doc", "chars", (F.col("most") <= 256).alias("fits"))
 
 
