@@ -1,6 +1,7 @@
 """Pages from placed text: words into lines, lines into logical text of either direction, lines into blocks with exact offsets, headings; and recognised lines likewise.
 
-All of it is windows and aggregates inside a page. The columns of placed words are page, x0, x1, baseline, size, bold, horizontal, text.
+Windows and aggregates inside a page find lines and blocks; a line's words are gathered once and read in one pass. The columns of placed words are page, x0, x1,
+baseline, size, bold, horizontal, text.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions import text as T
 from ..sources.stages import staged
@@ -30,7 +31,8 @@ RTL = r"[\p{IsArabic}\p{IsHebrew}\p{IsSyriac}\p{IsThaana}\p{IsNko}]"
 
 
 def _rtl(c: Column) -> Column:
-    return F.regexp_count(c, F.lit(RTL))
+    # Scripts are looked up only where a character may have one of them.
+    return F.when(c.rlike(r"[^\x00-\x{58F}]"), F.regexp_count(c, F.lit(RTL))).otherwise(F.when(c.isNotNull(), 0))
 
 
 def _ltr(c: Column) -> Column:
@@ -42,16 +44,63 @@ def _towards(rtl: Column, ltr: Column) -> Column:
     return F.when(rtl + ltr == 0, F.lit(None)).when(rtl > ltr, "R").otherwise("L")
 
 
-def lined(words: DataFrame) -> DataFrame:
-    """words with ``line``, numbered down the page: a line ends where the next word's baseline is lower by more than half the smaller of the two sizes.
+def _lettered(words: DataFrame) -> DataFrame:
+    """words with text, with their letters of both directions and their direction: R or L by their letters, L if they have digits alone, else null."""
+    counted = words.filter("text <> ''").withColumns({"rtl": _rtl(F.col("text")), "letters": F.regexp_count("text", F.lit(r"\p{L}"))})
+    strong = F.when(F.col("letters") != 0, _towards(F.col("rtl"), F.col("letters") - F.col("rtl"))).otherwise(F.when(F.col("text").rlike(r"\p{Nd}"), "L"))
+    return counted.withColumns({"strong": strong, "ltr": F.col("letters") - F.col("rtl")})
 
-    Rotated words come after all others, each a line of its own, from left to right.
-    """
-    level = F.when(F.col("horizontal"), F.col("baseline")).otherwise(F.col("x0"))
-    down = Window.partitionBy("page").orderBy(F.desc("horizontal"), level, F.when(F.col("horizontal"), F.col("x0")).otherwise(F.col("baseline")), "x1", "text")
-    lower = F.col("baseline") - F.lag("baseline").over(down) > BASELINE * F.least("size", F.lag("size").over(down))
-    opens = F.lag("size").over(down).isNull() | ~F.col("horizontal") | lower
-    return words.filter("text <> ''").withColumn("line", F.sum(opens.cast("int")).over(down) - 1)
+
+def _differs(c: pa.Array) -> np.ndarray:
+    """Whether each value but the first differs from the one before; nulls are equal."""
+    a, b = c.slice(1), c.slice(0, max(0, len(c) - 1))
+    return (pc.fill_null(pc.not_equal(a, b), False).to_numpy(zero_copy_only=False) | (a.is_null().to_numpy(zero_copy_only=False) != b.is_null().to_numpy(zero_copy_only=False))).astype(bool)
+
+
+def _lined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words down their pages with ``line``: a line ends where the next word's baseline is lower by more than half the smaller of the two sizes; a rotated word is a line of its own."""
+    page, was, small, number = (), np.nan, np.nan, -1
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        y, size = (batch[c].to_numpy(zero_copy_only=False).astype(float) for c in ("baseline", "size"))
+        new = np.append(page != (batch["page"][0].as_py(),), _differs(batch["page"]))
+        before = np.append(small, size[:-1])
+        lower = y - np.append(was, y[:-1]) > BASELINE * np.fmin(size, before)
+        opens = new | np.isnan(before) | ~pc.fill_null(batch["horizontal"], True).to_numpy(zero_copy_only=False).astype(bool) | lower
+        count = np.cumsum(opens)
+        start = np.maximum.accumulate(np.where(new, np.arange(n), -1))
+        line = count - np.where(start >= 0, count[start], -number)
+        page, was, small, number = (batch["page"][n - 1].as_py(),), y[-1], size[-1], int(line[-1])
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(line, pa.int64())], [*batch.schema.names, "line"])
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Whole lines of words, each from left to right, and where each line begins."""
+    held = None
+
+    def ordered(batch: pa.RecordBatch) -> tuple[pa.RecordBatch, np.ndarray]:
+        new = np.append(True, _differs(batch["page"]) | _differs(batch["line"]))
+        x0, x1, line = batch["x0"].to_numpy(zero_copy_only=False), batch["x1"].to_numpy(zero_copy_only=False), np.cumsum(new)
+        order = np.lexsort((x1, x0, line))
+        a, b = order[:-1], order[1:]
+        if ((line[a] == line[b]) & (x0[a] == x0[b]) & (x1[a] == x1[b])).any():
+            text = batch["text"].to_pylist()
+            order = np.array(sorted(order.tolist(), key=lambda k: (line[k], x0[k], x1[k], text[k])))
+        return batch.take(pa.array(order)), np.flatnonzero(new)
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held = batch if held is None else pa.concat_batches([held, batch])
+        new = np.flatnonzero(_differs(held["page"]) | _differs(held["line"]))
+        if len(new):
+            cut = int(new[-1]) + 1
+            yield ordered(held.slice(0, cut))
+            held = held.slice(cut)
+    if held is not None:
+        yield ordered(held)
 
 
 def assembled(words: DataFrame) -> DataFrame:
@@ -61,27 +110,73 @@ def assembled(words: DataFrame) -> DataFrame:
     one direction form runs; runs follow each other in the base's direction, an R run's words from right to left. The words' own characters are in logical
     order already; brackets of R runs were drawn mirrored and are turned back. A gap wider than a quarter of the size is a space.
     """
-    keys = ["page", "line"]
-    across = Window.partitionBy(*keys).orderBy("x0", "x1", "text")
-    strong = F.when(_rtl(F.col("text")) + _ltr(F.col("text")) > 0, _towards(_rtl(F.col("text")), _ltr(F.col("text")))).when(F.col("text").rlike(r"\p{Nd}"), "L")
-    rows = words.filter("text <> ''").withColumn("strong", strong).withColumn("at", F.row_number().over(across))
-    left = F.last("strong", ignorenulls=True).over(across.rowsBetween(Window.unboundedPreceding, -1))
-    right = F.first("strong", ignorenulls=True).over(across.rowsBetween(1, Window.unboundedFollowing))
-    rows = rows.withColumn("side", F.coalesce("strong", F.when(left == right, left), "base"))
-    rows = rows.withColumn("turn", F.coalesce((F.col("side") != F.lag("side").over(across)).cast("int"), F.lit(0))).withColumn("run", F.sum("turn").over(across))
-    run = Window.partitionBy(*keys, "run")
-    rows = rows.withColumns({"run_x0": F.min("x0").over(run), "run_x1": F.max("x1").over(run)})
-    rows = rows.withColumns({"major": F.when(F.col("base") == "R", -F.col("run")).otherwise(F.col("run")), "minor": F.when(F.col("side") == "R", -F.col("at")).otherwise(F.col("at"))})
-    read = Window.partitionBy(*keys).orderBy("major", "minor")
-    p = F.lag(F.struct("run", "x0", "x1", "run_x0", "run_x1", "size", "text")).over(read)
-    rows = rows.withColumn("p", p)
-    inside = F.when(F.col("side") == "R", F.col("p.x0") - F.col("x1")).otherwise(F.col("x0") - F.col("p.x1"))
-    between = F.when(F.col("base") == "R", F.col("p.run_x0") - F.col("run_x1")).otherwise(F.col("run_x0") - F.col("p.run_x1"))
-    gap = F.when(F.col("p.run") == F.col("run"), inside).otherwise(between)
-    space = (gap > WORD_GAP * F.greatest("p.size", "size")) & ~F.col("p.text").rlike(r"\s$") & ~F.col("text").rlike(r"^\s")
-    piece = F.concat(F.when(space, " ").otherwise(""), F.when(F.col("side") == "R", T.mirrored(F.col("text"))).otherwise(F.col("text")))
-    pieces = F.array_sort(F.collect_list(F.struct("major", "minor", piece.alias("piece"))))
-    return rows.groupBy(*keys).agg(F.array_join(F.transform(pieces, lambda x: x["piece"]), "").alias("text"))
+    rows = _lettered(words).select("page", "line", "base", *WORD).repartition("page", "line").sortWithinPartitions("page", "line")
+    schema = StructType([rows.schema["page"], rows.schema["line"], StructField("text", StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, first in _gathered(batches):
+            said = _texts([batch[c] for c in WORD], [*first.tolist(), batch.num_rows], batch["base"].take(pa.array(first)).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch["page"].take(pa.array(first)), batch["line"].take(pa.array(first)), pa.array(said, pa.string())], ["page", "line", "text"])
+
+    return rows.mapInArrow(run, schema)
+
+
+#: What the reading of a line asks of its words.
+WORD = ["x0", "x1", "size", "text", "strong"]
+
+
+def _texts(columns: list[pa.Array], cuts: list[int], bases: list[str | None]) -> list[str]:
+    rows = list(zip(*[c.to_numpy(zero_copy_only=False).tolist() for c in columns], strict=True))
+    return [_said(rows[a:b], base) for a, b, base in zip(cuts, cuts[1:], bases, strict=False)]
+
+
+def _read(lines: DataFrame) -> DataFrame:
+    """Lines with ``words``, ``base`` and any other columns: the words give way to their text."""
+    schema = StructType([*[f for f in lines.schema.fields if f.name != "words"], StructField("text", StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words, cuts = batch["words"].flatten(), np.cumsum([0, *pc.list_value_length(batch["words"]).to_pylist()]).tolist()
+            said = _texts([words.field(words.type.get_field_index(n)) for n in WORD], cuts, batch["base"].to_pylist())
+            names = [n for n in batch.schema.names if n != "words"]
+            yield pa.RecordBatch.from_arrays([*[batch[n] for n in names], pa.array(said, pa.string())], [*names, "text"])
+
+    return lines.mapInArrow(run, schema)
+
+
+_MIRRORED = str.maketrans("()[]{}<>«»", ")(][}{><»«")
+_BLANK = " \t\n\x0b\f\r"
+
+
+def _said(words: list[tuple], base: str | None) -> str:
+    """A line's words (x0, x1, size, text, direction), from left to right, as they are read."""
+    right = None
+    after = []  # the next direction to the right of each word
+    for w in reversed(words):
+        after.append(right)
+        right = w[4] or right
+    runs: list[tuple[str | None, list[tuple]]] = []
+    left = None
+    for w, right in zip(words, reversed(after), strict=True):
+        side = w[4] or (left if left is not None and left == right else base)
+        left = w[4] or left
+        if runs and runs[-1][0] == side:
+            runs[-1][1].append(w)
+        else:
+            runs.append((side, [w]))
+    out: list[str] = []
+    was = edge = None
+    for side, run in reversed(runs) if base == "R" else runs:
+        ends = min(w[0] for w in run), max(w[1] for w in run)
+        for k, w in enumerate(reversed(run) if side == "R" else run):
+            if was is not None:
+                gap = (was[0] - w[1] if side == "R" else w[0] - was[1]) if k else edge[0] - ends[1] if base == "R" else ends[0] - edge[1]
+                if gap > WORD_GAP * max(was[2], w[2]) and was[3][-1] not in _BLANK and w[3][0] not in _BLANK:
+                    out.append(" ")
+            out.append(w[3].translate(_MIRRORED) if side == "R" else w[3])
+            was = w
+        edge = ends
+    return "".join(out)
 
 
 def _quantile(values: Column, q: float) -> Column:
@@ -90,22 +185,52 @@ def _quantile(values: Column, q: float) -> Column:
 
 
 def _facts(words: DataFrame) -> DataFrame:
-    """Each line's geometry: size of most characters, extent, share of bold, whether it holds a table's gap, and its letters of both directions with its ends'."""
-    keys = ["page", "line"]
-    size = F.round(F.col("size"), 1)
-    by_size = words.groupBy(*keys, size.alias("size")).agg(F.sum(F.length("text")).alias("n"), F.min("x0").alias("first"))
-    size_of = by_size.groupBy(*keys).agg(F.max_by("size", F.struct("n", -F.col("first"))).alias("size"))
-    across = Window.partitionBy(*keys).orderBy("x0", "x1", "text")
-    filled = words.filter(F.trim("text") != "").withColumn("wide", F.col("x0") - F.lag("x1").over(across) > TABLE_GAP * F.greatest("size", F.lag("size").over(across)))
-    tables = filled.groupBy(*keys).agg(F.coalesce(F.max("wide"), F.lit(False)).alias("tabular"))
-    side = _towards(_rtl(F.col("text")), _ltr(F.col("text")))
-    of = words.withColumns({"rtl": _rtl(F.col("text")), "ltr": _ltr(F.col("text")), "side": side, "chars": F.length("text")})
-    rows = of.groupBy(*keys).agg(
-        F.median("baseline").alias("baseline"), F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min(F.col("baseline") - F.col("size")).alias("top"), F.max(F.col("baseline") + F.col("size") / 4).alias("bottom"),
-        F.first("horizontal").alias("horizontal"), F.sum("chars").alias("chars"), F.sum(F.when(F.col("bold"), F.col("chars")).otherwise(0)).alias("bold"), F.sum("rtl").alias("rtl"), F.sum("ltr").alias("ltr"),
-        F.min_by("side", F.when(F.col("side").isNotNull(), F.col("x0"))).alias("left"), F.max_by("side", F.when(F.col("side").isNotNull(), F.col("x0"))).alias("right"),
-    )
-    return rows.withColumn("bold", F.col("bold") >= BOLD * F.col("chars")).join(size_of, keys).join(tables, keys, "left")
+    """Lines with their words and geometry: size of most characters, extent, share of bold, whether they hold a table's gap, and their letters of both directions with their ends'.
+
+    Lines are numbered down the page; rotated words come after all others, each a line of its own, from left to right.
+    """
+    more = {"shown": F.round(F.col("size"), 1), "bold": F.coalesce("bold", F.lit(False)), "chars": F.length("text"), "filled": F.trim("text") != ""}
+    rows = _lettered(words).withColumns(more).select("page", *WORD, "baseline", "horizontal", *more, "rtl", "ltr")
+    level = F.when(F.col("horizontal"), F.col("baseline")).otherwise(F.col("x0"))
+    rows = rows.repartition("page").sortWithinPartitions("page", F.desc("horizontal"), level, F.when(F.col("horizontal"), F.col("x0")).otherwise(F.col("baseline")), "x1", "text")
+    facts = "line long, words array<struct<x0: double, x1: double, size: double, text: string, strong: string>>, size double, baseline double, x0 double, x1 double, top double, bottom double, horizontal boolean, chars long, bold boolean, rtl long, ltr long, left string, right string, tabular boolean"
+    return rows.mapInArrow(lambda batches: _measured(_gathered(_lined(batches))), StructType([rows.schema["page"], *StructType.fromDDL(facts).fields]))
+
+
+def _measured(lines: Iterator[tuple[pa.RecordBatch, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """The facts of a batch's lines by sums, least and greatest values over stretches of one array."""
+    for batch, first in lines:
+        count = np.diff(np.append(first, batch.num_rows))
+        line = np.repeat(np.arange(len(count)), count)
+        x0, x1, size, shown, baseline, bold, horizontal, chars, rtl, ltr, filled = (batch[n].to_numpy(zero_copy_only=False) for n in ("x0", "x1", "size", "shown", "baseline", "bold", "horizontal", "chars", "rtl", "ltr", "filled"))
+        chars = chars.astype(np.int64)
+        least, most, add = (lambda v, f=f: f.reduceat(v, first) for f in (np.minimum, np.maximum, np.add))
+        middle, usual = least(baseline), least(shown)
+        for k in np.flatnonzero(middle != most(baseline)):
+            middle[k] = np.median(baseline[first[k] : first[k] + count[k]])
+        for k in np.flatnonzero(usual != most(shown)):
+            here, n = slice(first[k], first[k] + count[k]), {}
+            for s, c, x in zip(shown[here].tolist(), chars[here].tolist(), x0[here].tolist(), strict=True):
+                c0, x_0 = n.get(s, (0, x))
+                n[s] = c0 + c, min(x_0, x)
+            usual[k] = max(n, key=lambda s: (n[s][0], -n[s][1]))
+        at = np.flatnonzero(filled.astype(bool))
+        wide = (line[at[1:]] == line[at[:-1]]) & (x0[at[1:]] - x1[at[:-1]] > TABLE_GAP * np.maximum(size[at[1:]], size[at[:-1]]))
+        tabular = np.bincount(line[at[1:]][wide], minlength=len(count)) > 0
+        # The directions of the outermost words with letters.
+        sided = rtl + ltr > 0
+        place = np.arange(len(line))
+        low, high, none = least(np.where(sided, place, len(line))), most(np.where(sided, place, -1)), ~np.logical_or.reduceat(sided, first)
+        of = np.where(rtl > ltr, "R", "L")
+        end = lambda k: pa.array(of[np.where(none, 0, k)].tolist(), pa.string(), mask=none)  # noqa: B023, E731
+        found = {
+            "size": usual, "baseline": middle, "x0": least(x0), "x1": most(x1), "top": least(baseline - size), "bottom": most(baseline + size / 4), "horizontal": horizontal[first].astype(bool), "chars": add(chars),
+            "bold": add(np.where(bold.astype(bool), chars, 0)) >= BOLD * add(chars), "rtl": add(rtl.astype(np.int64)), "ltr": add(ltr.astype(np.int64)), "left": end(low), "right": end(high), "tabular": tabular,
+        }
+        at = pa.array(first)
+        words = pa.ListArray.from_arrays(pa.array(np.append(first, batch.num_rows), pa.int32()), pa.StructArray.from_arrays([batch[c] for c in WORD], WORD))
+        own = [v if isinstance(v, pa.Array) else pa.array(v) for v in found.values()]
+        yield pa.RecordBatch.from_arrays([batch["page"].take(at), batch["line"].take(at), words, *own], ["page", "line", "words", *found])
 
 
 def _leading(lines: DataFrame) -> DataFrame:
@@ -136,20 +261,18 @@ class Layout(NamedTuple):
 def offsets(lines: DataFrame) -> Layout:
     """Lines (page, block, line, text, ...) joined into blocks, and blocks into the page, with the offsets of both. Hyphenation at Latin line ends is undone."""
     keys = ["page", "block"]
-    down = Window.partitionBy(*keys).orderBy("line")
-    then = F.lead("text").over(down)
+    down = Window.partitionBy("page").orderBy("block", "line")
+    same = lambda f: f("block").over(down) == F.col("block")
+    then = F.when(same(F.lead), F.lead("text").over(down))
     cut = F.coalesce(F.col("text").rlike(r"\p{IsLatin}[-‐]$") & then.rlike(r"^\p{IsLatin}") & then.rlike(r"^\p{Ll}"), F.lit(False))
     rows = lines.withColumn("cut", cut).withColumn("piece", F.when(F.col("cut"), F.substring("text", F.lit(1), F.length("text") - 1)).otherwise(F.col("text")))
-    rows = rows.withColumn("gap", F.when(~F.lag("cut").over(down), 1).otherwise(0))
-    end = F.sum(F.col("gap") + F.length("piece")).over(down)
-    rows = rows.withColumn("in_end", end).withColumn("in_start", F.col("in_end") - F.length("piece"))
+    # A newline inside a block, unless a word goes on; two between blocks.
+    gap = F.when(F.lag("block").over(down).isNull(), 0).when(~same(F.lag), 2).when(F.lag("cut").over(down), 0).otherwise(1)
+    rows = rows.withColumn("gap", gap).withColumn("char_end", F.sum(F.col("gap") + F.length("piece")).over(down)).withColumn("char_start", F.col("char_end") - F.length("piece"))
     pieces = F.array_sort(F.collect_list(F.struct("line", F.concat(F.when(F.col("gap") == 1, "\n").otherwise(""), F.col("piece")).alias("piece"))))
-    blocks = rows.groupBy(*keys).agg(F.array_join(F.transform(pieces, lambda x: x["piece"]), "").alias("text"), F.count("*").alias("lines"), F.min("line").alias("line"), F.max("line").alias("last"))
-    before = Window.partitionBy("page").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.withColumn("char_start", F.coalesce(F.sum(F.length("text") + 2).over(before), F.lit(0))).withColumn("char_end", F.col("char_start") + F.length("text"))
-    starts = blocks.select(*keys, F.col("char_start").alias("from"))
-    rows = rows.join(starts, keys).withColumns({"char_start": F.col("from") + F.col("in_start"), "char_end": F.col("from") + F.col("in_end")})
-    return Layout(rows.drop("cut", "piece", "gap", "in_end", "in_start", "from"), blocks)
+    text = F.array_join(F.transform(pieces, lambda x: x["piece"]), "").alias("text")
+    blocks = rows.groupBy(*keys).agg(text, F.count("*").alias("lines"), F.min("line").alias("line"), F.max("line").alias("last"), F.min("char_start").alias("char_start"), F.max("char_end").alias("char_end"))
+    return Layout(rows.drop("cut", "piece", "gap"), blocks)
 
 
 def page(words: DataFrame) -> Layout:
@@ -159,8 +282,8 @@ def page(words: DataFrame) -> Layout:
     else its page's, else left to right. The second finds the blocks by geometry, by a change to or from bold and by short lines that name a chapter; lines
     without text are gone by then. Blocks of at most two lines are headings if they are large, bold and set off, or named; tables and lists never are.
     """
-    placed = staged(lined(words), "lines")
-    facts = staged(_facts(placed), "facts")
+    placed = staged(_facts(words), "lines")
+    facts = placed.drop("words")
     sized = facts.join(_leading(facts), "page")
     down = Window.partitionBy("page").orderBy("line")
     was = F.lag(F.struct("size", "baseline", "horizontal")).over(down)
@@ -168,8 +291,8 @@ def page(words: DataFrame) -> Layout:
     block, whole = Window.partitionBy("page", "rough"), Window.partitionBy("page")
     total = lambda w: _towards(F.sum("rtl").over(w), F.sum("ltr").over(w))
     rough = rough.withColumn("base", F.coalesce(F.when(F.col("left") == F.col("right"), F.col("left")), total(block), total(whole), F.lit("L")))
-    read = assembled(placed.join(rough.select("page", "line", "base"), ["page", "line"])).withColumn("text", F.trim(F.regexp_replace("text", r"[^\S\n]+", " ")))
-    drafts = rough.join(read.filter("text <> ''"), ["page", "line"])
+    drafts = _read(rough.join(placed.select("page", "line", "words"), ["page", "line"])).withColumn("text", F.trim(F.regexp_replace("text", r"[^\S\n]+", " "))).filter("text <> ''")
+    drafts = staged(drafts, "read")
     width = drafts.groupBy("page").agg(_quantile(F.collect_list(F.col("x1") - F.col("x0")), 0.75).alias("body_width"))
     alone = (F.length("text") <= HEADING_CHARS) & F.col("text").rlike(NAMED) & (F.col("x1") - F.col("x0") <= SHORT * F.col("body_width"))
     drafts = drafts.join(width, "page").withColumn("alone", alone)

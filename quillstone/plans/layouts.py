@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import geometry as G
-from .registry import ITEMS_SQL, norm_sql, query, table
+from .registry import ITEMS_SQL, norm_sql, query, spread, table
 
 #: Letters of the right-to-left script that Latin ones become in every third word.
 LATIN, ARABIC = "abcdefghijklmnopqrstuvwxyz", "ابتثجحخدذرزسشصضطظعغفقكلمنه"
@@ -15,7 +15,7 @@ LATIN, ARABIC = "abcdefghijklmnopqrstuvwxyz", "ابتثجحخدذرزسشصضط
 
 def _words(spark: SparkSession, d: str) -> DataFrame:
     """(page, i, word): every word of every document."""
-    return table(spark, d, "documents").select(F.col("doc_id").alias("page"), F.posexplode(text.surface_words(F.col("text"))).alias("i", "word"))
+    return spread(table(spark, d, "documents"), "doc_id").select(F.col("doc_id").alias("page"), F.posexplode(text.surface_words(F.col("text"))).alias("i", "word"))
 
 
 @query(f"""WITH w AS ({ITEMS_SQL}), t AS (SELECT page, list_transform(w, lambda x, i: CASE WHEN i % 3 = 1 AND regexp_full_match(x, '[a-z]+') THEN translate(x, '{LATIN}', '{ARABIC}') ELSE x END) AS w FROM w)
@@ -51,10 +51,12 @@ def lay_page(spark: SparkSession, d: str) -> DataFrame:
 
 def printed(spark: SparkSession, d: str) -> DataFrame:
     """The documents' words on pages: 12 from line to line, 24 to a new paragraph."""
-    paragraphs = table(spark, d, "documents").select(F.col("doc_id").alias("page"), F.posexplode(F.split("text", "\n")).alias("p", "text"))
-    words = paragraphs.select("page", "p", F.posexplode(text.surface_words(F.col("text"))).alias("i", "text"))
-    page = Window.partitionBy("page").orderBy("p", "i")
-    words = words.withColumns({"k": F.dense_rank().over(Window.partitionBy("page").orderBy("p")) - 1, "down": F.sum(F.when(F.col("i") == 0, 24).when(F.col("i") % 9 == 0, 12).otherwise(0)).over(page)})
+    paragraphs = spread(table(spark, d, "documents"), "doc_id").select(F.col("doc_id").alias("page"), F.posexplode(F.split("text", "\n")).alias("p", "text"))
+    paragraphs = paragraphs.select("page", "p", F.explode(F.array(text.surface_words(F.col("text")))).alias("words")).filter(F.size("words") > 0)
+    page = Window.partitionBy("page").orderBy("p")
+    ways = F.sum(24 + 12 * F.floor((F.size("words") - 1) / 9)).over(page.rowsBetween(Window.unboundedPreceding, -1))
+    words = paragraphs.withColumns({"k": F.dense_rank().over(page) - 1, "from": F.coalesce(ways, F.lit(0))}).select("page", "k", "from", F.posexplode("words").alias("i", "text"))
+    words = words.withColumn("down", F.col("from") + 24 + 12 * F.floor(F.col("i") / 9))
     x = (F.col("i") % 9) * 400.0
     return words.select("page", x.alias("x0"), (x + 396).alias("x1"), F.col("down").cast("double").alias("baseline"), F.when(F.col("k") % 5 == 0, 13.0).otherwise(10.0).alias("size"), F.lit(False).alias("bold"), F.lit(True).alias("horizontal"), "text")
 
@@ -70,11 +72,12 @@ t AS (SELECT page, block, string_agg(text, chr(10) ORDER BY k) AS text FROM (SEL
 
 def scanned(spark: SparkSession, d: str) -> DataFrame:
     """Every document as a recogniser gives it: lines of nine words in two columns, a wider gap after every seventh; of a line that begins with a short word it is not sure."""
-    words = _words(spark, d).withColumn("k", F.floor(F.col("i") / 9))
-    line = words.groupBy("page", "k").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "word"))), lambda x: x["word"]), " ").alias("text"), F.min_by(F.length("word"), "i").alias("first"))
-    sizes = line.groupBy("page").agg(F.count("*").alias("n"))
+    docs = spread(table(spark, d, "documents"), "doc_id").select(F.col("doc_id").alias("page"), F.explode(F.array(text.surface_words(F.col("text")))).alias("words")).filter(F.size("words") > 0)
+    nine = lambda k: F.slice("words", 9 * k + 1, F.lit(9))
+    lines = F.transform(F.sequence(F.lit(0), F.ceil(F.size("words") / 9).cast("int") - 1), lambda k: F.struct(F.array_join(nine(k), " ").alias("text"), F.length(F.get("words", 9 * k)).alias("first")))
+    line = docs.select("page", F.posexplode(lines).alias("k", "line"), F.ceil(F.size("words") / 9).alias("n")).select("page", F.col("k").cast("long").alias("k"), "n", "line.text", "line.first")
     half = F.floor((F.col("n") + 1) / 2)
-    rows = line.join(sizes, "page").withColumns({"row": F.col("k") % half, "col": F.floor(F.col("k") / half)})
+    rows = line.withColumns({"row": F.col("k") % half, "col": F.floor(F.col("k") / half)})
     y: Column = (F.col("row") * 24 + F.floor(F.col("row") / 7) * 30).cast("double")
     x = F.col("col") * 600.0
     return rows.select("page", F.col("k").alias("seq"), "text", F.least(F.col("first") * 7.0, F.lit(99.0)).alias("confidence"), x.alias("x0"), y.alias("y0"), (x + 500).alias("x1"), (y + 20).alias("y1"))
