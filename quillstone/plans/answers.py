@@ -12,7 +12,7 @@ from ..operators import layout as Y
 from ..operators import retrieval as R
 from ..sources import embeddings as E
 from ..sources.stages import staged
-from .registry import ITEMS_SQL, norm_sql, placed_words, query, table
+from .registry import ITEMS_SQL, norm_sql, placed_words, query, spread, table
 from .retrieval import ALL, BASE, BUDGET, COVER, LANGS, LEX, SEM, SIGNALS, UNIT, _asked, _index, _lists, _signals
 
 NOW = "2024-01-20 12:00:00"
@@ -260,5 +260,5 @@ def engine_ask(spark: SparkSession, d: str) -> DataFrame:
     from .engine import Engine
 
     engine = Engine(spark)
-    chunks = staged(engine.ingest(table(spark, d, "documents")), "chunks")  # as an engine keeps them
+    chunks = staged(engine.ingest(spread(table(spark, d, "documents"), "doc_id")), "chunks")  # as an engine keeps them
     return engine.ask(R.questions(table(spark, d, "benchmark"), table(spark, d, "documents")), chunks, staged(engine.embed(chunks), "vectors"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed, text, vectors
 from ..operators import answers as A
 from ..operators import retrieval as R
-from .registry import cues_sql, norm_sql, query, table
+from .registry import cues_sql, norm_sql, query, spread, table
 
 STOP = ", ".join(f"'{w}'" for w in fixed.stopwords())
 TASK = ", ".join(f"'{w}'" for w in fixed.TASK_WORDS.split())
@@ -132,7 +132,7 @@ def rt_semantic(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {UNIT} SELECT query_id, vec_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM (
   SELECT a.vec_id AS query_id, b.vec_id, round(list_dot_product(a.e, b.e) / (a.n * b.n), 6) AS score FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 10 = 0)) WHERE rank <= 5""")
 def topk_knn(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "embeddings")
+    e = spread(table(spark, d, "embeddings"), "vec_id")
     return R.nearest(e.filter("vec_id % 10 = 0").select(F.col("vec_id").alias("query_id"), "label", "embedding"), e, ["label"], 5, "vec_id")
 
 

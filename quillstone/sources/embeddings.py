@@ -28,13 +28,13 @@ class Trigrams:
     def embed(self, texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), self.dims))
         for row, t in enumerate(texts):
-            codes = np.array([ord(c) for c in f" {t.lower()} "], np.uint64)
+            codes = np.frombuffer(f" {t.lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
             if len(codes) < 3:
                 continue
             h = np.full(len(codes) - 2, OFFSET, np.uint64)
             for k in range(3):
                 h = (h ^ codes[k : len(codes) - 2 + k]) * np.uint64(PRIME) & np.uint64(0xFFFFFFFF)
-            np.add.at(out[row], (h % np.uint64(self.dims)).astype(np.int64), 1.0)
+            out[row] = np.bincount((h % np.uint64(self.dims)).astype(np.int64), minlength=self.dims)
         n = np.linalg.norm(out, axis=1, keepdims=True)
         return np.divide(out, n, out=out, where=n > 0)
 
@@ -49,6 +49,7 @@ def embedded(df: DataFrame, key: str, column: str, provider: Provider | None = N
             for a in range(0, b.num_rows, batch):
                 part = b.slice(a, batch)
                 v = provider.embed([t or "" for t in part[column].to_pylist()]).astype(np.float32)
-                yield pa.RecordBatch.from_arrays([part[key], pa.array(list(v), pa.list_(pa.float32()))], [key, "embedding"])
+                cuts = pa.array(np.arange(len(v) + 1) * v.shape[1], pa.int32())
+                yield pa.RecordBatch.from_arrays([part[key], pa.ListArray.from_arrays(cuts, pa.array(v.ravel()))], [key, "embedding"])
 
     return df.select(key, column).mapInArrow(run, f"{key} {kind}, embedding array<float>")
