@@ -103,16 +103,16 @@ def _parts(text: str, limits: _Limits, counted: tokens.Counted | None) -> list[t
 
 
 class _Draft:
-    """A chunk in the making: its stretches, one a page, with their texts, the letters of each language and, where a window asks for them, its hundredths of a token."""
+    """A chunk in the making: its stretches, one a page, with their texts, the units of each language and, where a window asks for them, its hundredths of a token."""
 
-    __slots__ = ("closed", "ends", "lead", "letters", "section", "size", "spans", "titled")
+    __slots__ = ("closed", "ends", "languages", "lead", "section", "size", "spans", "titled")
 
     def __init__(self, section: str | None, titled: bool, lead: str):
         self.section, self.titled, self.closed, self.ends = section, titled, False, True
         self.lead = lead  # the white space between the draft before and this one, on one page
         self.size = 0
         self.spans: list[tuple[int, int, int, str]] = []
-        self.letters: dict[str, int] = {}
+        self.languages: dict[str, list[str]] = {}
 
     def text(self) -> str:
         return GAP.join(s[3] for s in self.spans)
@@ -132,8 +132,12 @@ class _Draft:
         """The hundredths with one more text behind ``lead``: a sum, as blanks part runs."""
         return self.size + len(lead) * fixed.BLANK + size + tokens.lead(text) if tokens.blank(lead) else tokens.hundredths(whole)
 
-    def count(self, language: str, text: str) -> None:
-        self.letters[language] = self.letters.get(language, 0) + sum(map(len, LETTERS.findall(text)))
+    def language(self) -> str:
+        """The known language of most letters, the first of equals; letters are counted only where there are several."""
+        known = {k: v for k, v in self.languages.items() if k != "und"}
+        if len(known) < 2:
+            return next(iter(known), "und")
+        return max(known, key=lambda k: sum(len(w) for text in known[k] for w in LETTERS.findall(text)))
 
 
 def packed(rows: Iterator[dict], limits: _Limits) -> Iterator[_Draft]:
@@ -156,8 +160,8 @@ def packed(rows: Iterator[dict], limits: _Limits) -> Iterator[_Draft]:
                 size = last.size if limits.window is None else last.size_with(new.lead, new.text(), new.size, whole)
                 if len(whole) <= limits.most and limits.small(size):
                     last.spans, last.size = spans, size
-                    for language, n in new.letters.items():
-                        last.letters[language] = last.letters.get(language, 0) + n
+                    for language, texts in new.languages.items():
+                        last.languages.setdefault(language, []).extend(texts)
                     return
             yield last
         last = new
@@ -193,18 +197,13 @@ def packed(rows: Iterator[dict], limits: _Limits) -> Iterator[_Draft]:
                 now = _Draft(section, titled, lead)
                 now.spans, now.size = [unit], own
             now.ends = r["ends"]
-            now.count(r["language"] or "und", piece)
+            now.languages.setdefault(r["language"] or "und", []).append(piece)
     if now is not None:
         yield from done(now)
     if last is not None:
         yield last
 
 
-def _language(letters: dict[str, int]) -> str:
-    known = {k: n for k, n in letters.items() if k != "und"}
-    return max(known, key=lambda k: known[k]) if known else "und"  # the first of equals
-
-
 def _tails(text: str, limits: _Limits) -> list[str]:
     """The ends of a text that are whole sentences and no longer than the overlap, longest first."""
     if limits.overlap <= 0:
@@ -287,7 +286,7 @@ def _drafts(chains: DataFrame, key: str, group: list[str], limits: _Limits) -> D
                     yield batch_of(out)
                     out = []
                 out.append({
-                    "doc": first["doc"], key: first[key], "section": d.section, "language": _language(d.letters), "page_start": d.spans[0][0], "page_end": d.spans[-1][0], "char_start": d.spans[0][1], "char_end": d.spans[-1][2],
+                    "doc": first["doc"], key: first[key], "section": d.section, "language": d.language(), "page_start": d.spans[0][0], "page_end": d.spans[-1][0], "char_start": d.spans[0][1], "char_end": d.spans[-1][2],
                     "spans": [{"page": p, "start": a, "end": b} for p, a, b, _ in d.spans], "own": own, "tokens": size, "set_off": tokens.lead(own),
                     "tails": _room(tails, own, size, limits), "ending": None, "place": place,
                 })
@@ -404,10 +403,21 @@ def searchable(chunks: DataFrame) -> DataFrame:
     return chunks.withColumns({"direction": text.direction(own), "search_text": text.match_form(own)})
 
 
+#: Characters of a page in which lines and chunks meet.
+CELL = 1000
+
+
 def highlights(chunks: DataFrame, lines: DataFrame) -> DataFrame:
-    """(doc, chunk_index, page, rects): rectangles x, y, w, h of the lines (doc, page, char_start, char_end, x, y, w, h) that a chunk covers, each once; beyond 60 their union."""
+    """(doc, chunk_index, page, rects): rectangles x, y, w, h of the lines (doc, page, char_start, char_end, x, y, w, h) that a chunk covers, each once; beyond 60 their union.
+
+    Lines meet chunks in the cells of their page that both touch, so a page's lines are not all compared with all its chunks.
+    """
+    cell = lambda c: F.floor(F.col(c) / CELL)
+    celled = lambda rows, a, b: rows.withColumn("cell", F.explode(F.sequence(cell(a), F.greatest(cell(a), F.floor((F.col(b) - 1) / CELL)))))
     spans = chunks.select("doc", "chunk_index", F.explode("spans").alias("s")).select("doc", "chunk_index", F.col("s.page").alias("page"), F.col("s.start").alias("from"), F.col("s.end").alias("to"))
-    hit = lines.join(spans, ["doc", "page"]).filter((F.col("char_end") > F.col("from")) & (F.col("char_start") < F.col("to")))
+    met = celled(lines, "char_start", "char_end").join(celled(spans, "from", "to"), ["doc", "page", "cell"])
+    # A pair that shares several cells counts in the first of them.
+    hit = met.filter((F.col("char_end") > F.col("from")) & (F.col("char_start") < F.col("to")) & (F.col("cell") == F.greatest(cell("char_start"), cell("from"))))
     found = hit.groupBy("doc", "chunk_index", "page").agg(F.sort_array(F.collect_set(F.struct("y", "x", "w", "h"))).alias("r"), F.min("x").alias("x0"), F.min("y").alias("y0"), F.max(F.col("x") + F.col("w")).alias("x1"), F.max(F.col("y") + F.col("h")).alias("y1"))
     each = F.transform("r", lambda r: F.struct(r["x"].alias("x"), r["y"].alias("y"), r["w"].alias("w"), r["h"].alias("h")))
     one = F.array(F.struct(F.col("x0").alias("x"), F.col("y0").alias("y"), (F.col("x1") - F.col("x0")).alias("w"), (F.col("y1") - F.col("y0")).alias("h")))

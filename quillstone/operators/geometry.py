@@ -1,12 +1,13 @@
 """Pages from placed text: words into lines, lines into logical text of either direction, lines into blocks with exact offsets, headings; and recognised lines likewise.
 
-Windows and aggregates inside a page find lines and blocks; a line's words are gathered once and read in one pass. The columns of placed words are page, x0, x1,
+Lines are found, measured and read in one ordered pass over their words; windows and an aggregate inside a page find the blocks. The columns of placed words are page, x0, x1,
 baseline, size, bold, horizontal, text.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from decimal import ROUND_HALF_UP, Decimal
 from typing import NamedTuple
 
 import numpy as np
@@ -27,16 +28,7 @@ PARAGRAPH, BOLD_GAP, SIZE_CHANGE, HEADING_SIZE, HEADING_LINES, HEADING_CHARS, SH
 NAMED = r"(?iu)^(?:chapter|part|section|appendix|الفصل|الباب|المبحث|مقدمة|خاتمة)(?![\p{L}\p{N}_])"
 MARKER = r"^(?:\(?[0-9٠-٩۰-۹]+[.)]\s|[•●▪◦*\-–—]\s)"
 CONFIDENT = 15
-RTL = r"[\p{IsArabic}\p{IsHebrew}\p{IsSyriac}\p{IsThaana}\p{IsNko}]"
-
-
-def _rtl(c: Column) -> Column:
-    # Scripts are looked up only where a character may have one of them.
-    return F.when(c.rlike(r"[^\x00-\x{58F}]"), F.regexp_count(c, F.lit(RTL))).otherwise(F.when(c.isNotNull(), 0))
-
-
-def _ltr(c: Column) -> Column:
-    return F.regexp_count(c, F.lit(r"\p{L}")) - _rtl(c)
+RTL = r"\p{IsArabic}\p{IsHebrew}\p{IsSyriac}\p{IsThaana}\p{IsNko}"
 
 
 def _towards(rtl: Column, ltr: Column) -> Column:
@@ -45,10 +37,34 @@ def _towards(rtl: Column, ltr: Column) -> Column:
 
 
 def _lettered(words: DataFrame) -> DataFrame:
-    """words with text, with their letters of both directions and their direction: R or L by their letters, L if they have digits alone, else null."""
-    counted = words.filter("text <> ''").withColumns({"rtl": _rtl(F.col("text")), "letters": F.regexp_count("text", F.lit(r"\p{L}"))})
-    strong = F.when(F.col("letters") != 0, _towards(F.col("rtl"), F.col("letters") - F.col("rtl"))).otherwise(F.when(F.col("text").rlike(r"\p{Nd}"), "L"))
-    return counted.withColumns({"strong": strong, "ltr": F.col("letters") - F.col("rtl")})
+    """words with text, with their letters, those of the right-to-left scripts, and whether they have a digit; all null where they are ASCII, as ``_sides`` counts those."""
+    wide = F.octet_length("text") != F.length("text")
+    counts = {"letters": T.count_of(F.col("text"), r"\p{L}"), "rtl": T.count_of(F.col("text"), RTL), "digit": F.col("text").rlike(r"\p{Nd}")}
+    return words.filter("text <> ''").withColumns({k: F.when(wide, c) for k, c in counts.items()})
+
+
+_CODES = np.arange(256)
+_LETTER = (_CODES >= 65) & (_CODES <= 90) | (_CODES >= 97) & (_CODES <= 122)
+_DIGIT = (_CODES >= 48) & (_CODES <= 57)
+
+
+def _bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The UTF-8 of all texts, and where each begins and the last ends."""
+    texts = texts.cast(pa.string())
+    _, at, data = texts.buffers()
+    at = np.frombuffer(at, np.int32)[texts.offset : texts.offset + len(texts) + 1]
+    return np.frombuffer(data, np.uint8)[at[0] : at[-1]], (at - at[0]).astype(np.int64)
+
+
+def _sides(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each word's letters of right-to-left scripts and of others, and its direction: R or L by its letters, L if it has digits alone, else None."""
+    data, at = _bytes(batch["text"])
+    count = lambda kind: np.diff(np.append(0, np.cumsum(kind[data]))[at])
+    wide = batch["letters"].is_valid().to_numpy(zero_copy_only=False)
+    told = lambda c, own: np.where(wide, pc.fill_null(batch[c].cast(pa.int64()), 0).to_numpy(), own)
+    letters, rtl, digits = told("letters", count(_LETTER)), told("rtl", 0), told("digit", count(_DIGIT))
+    ltr = letters - rtl
+    return rtl, ltr, np.where(letters > 0, np.where(rtl > ltr, "R", "L"), np.where(digits > 0, "L", None))
 
 
 def _differs(c: pa.Array) -> np.ndarray:
@@ -88,7 +104,7 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatc
         if ((line[a] == line[b]) & (x0[a] == x0[b]) & (x1[a] == x1[b])).any():
             text = batch["text"].to_pylist()
             order = np.array(sorted(order.tolist(), key=lambda k: (line[k], x0[k], x1[k], text[k])))
-        return batch.take(pa.array(order)), np.flatnonzero(new)
+        return batch if (order[:-1] < order[1:]).all() else batch.take(pa.array(order)), np.flatnonzero(new)
 
     for batch in batches:
         if not batch.num_rows:
@@ -110,19 +126,20 @@ def assembled(words: DataFrame) -> DataFrame:
     one direction form runs; runs follow each other in the base's direction, an R run's words from right to left. The words' own characters are in logical
     order already; brackets of R runs were drawn mirrored and are turned back. A gap wider than a quarter of the size is a space.
     """
-    rows = _lettered(words).select("page", "line", "base", *WORD).repartition("page", "line").sortWithinPartitions("page", "line")
+    rows = _lettered(words).select("page", "line", "base", *PLACED, *LETTERS).repartition("page", "line").sortWithinPartitions("page", "line")
     schema = StructType([rows.schema["page"], rows.schema["line"], StructField("text", StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, first in _gathered(batches):
-            said = _texts([batch[c] for c in WORD], [*first.tolist(), batch.num_rows], batch["base"].take(pa.array(first)).to_pylist())
+            said = _texts([*[batch[c] for c in PLACED], pa.array(_sides(batch)[2], pa.string())], [*first.tolist(), batch.num_rows], batch["base"].take(pa.array(first)).to_pylist())
             yield pa.RecordBatch.from_arrays([batch["page"].take(pa.array(first)), batch["line"].take(pa.array(first)), pa.array(said, pa.string())], ["page", "line", "text"])
 
     return rows.mapInArrow(run, schema)
 
 
 #: What the reading of a line asks of its words.
-WORD = ["x0", "x1", "size", "text", "strong"]
+PLACED, LETTERS = ["x0", "x1", "size", "text"], ["letters", "rtl", "digit"]
+WORD = [*PLACED, "strong"]
 
 
 def _texts(columns: list[pa.Array], cuts: list[int], bases: list[str | None]) -> list[str]:
@@ -144,6 +161,21 @@ def _read(lines: DataFrame) -> DataFrame:
     return lines.mapInArrow(run, schema)
 
 
+def _straight(batch: pa.RecordBatch, first: np.ndarray) -> pa.Array:
+    """The texts of lines as they read from left to right: what ``_said`` gives without a word to the left, for all lines of a batch at once."""
+    data, at = _bytes(batch["text"])
+    x0, x1, size = (batch[n].to_numpy(zero_copy_only=False) for n in ("x0", "x1", "size"))
+    blank = np.isin(np.arange(256), [ord(c) for c in _BLANK])
+    ends, begins = blank[data[at[1:] - 1]], blank[data[at[:-1]]]
+    apart = np.append(False, (x0[1:] - x1[:-1] > WORD_GAP * np.maximum(size[1:], size[:-1])) & ~ends[:-1] & ~begins[1:])
+    apart[first] = False
+    moved = np.cumsum(apart)
+    out = np.full(len(data) + int(moved[-1]), 32, np.uint8)
+    out[np.arange(len(data)) + np.repeat(moved, np.diff(at))] = data
+    cuts = np.append(at[first] + moved[first], len(out)).astype(np.int32)
+    return pa.StringArray.from_buffers(len(first), pa.py_buffer(cuts), pa.py_buffer(out))
+
+
 _MIRRORED = str.maketrans("()[]{}<>«»", ")(][}{><»«")
 _BLANK = " \t\n\x0b\f\r"
 
@@ -185,16 +217,24 @@ def _quantile(values: Column, q: float) -> Column:
 
 
 def _facts(words: DataFrame) -> DataFrame:
-    """Lines with their words and geometry: size of most characters, extent, share of bold, whether they hold a table's gap, and their letters of both directions with their ends'.
+    """Lines with their geometry: size of most characters, extent, share of bold, whether they hold a table's gap, and their letters of both directions with their ends'.
 
-    Lines are numbered down the page; rotated words come after all others, each a line of its own, from left to right.
+    Lines are numbered down the page; rotated words come after all others, each a line of its own, from left to right. A line whose ends agree is read, others are read
+    from the left and keep their words. Each page has a row of line -1 with its measures: body, the size of most characters; leading, a low quantile of the ways from line
+    to line, so that paragraphs' gaps don't count; and body_width, a high one of its lines' widths.
     """
-    more = {"shown": F.round(F.col("size"), 1), "bold": F.coalesce("bold", F.lit(False)), "chars": F.length("text"), "filled": F.trim("text") != ""}
-    rows = _lettered(words).withColumns(more).select("page", *WORD, "baseline", "horizontal", *more, "rtl", "ltr")
+    rows = _lettered(words).withColumn("bold", F.coalesce("bold", F.lit(False))).select("page", *PLACED, "baseline", "horizontal", "bold", *LETTERS)
     level = F.when(F.col("horizontal"), F.col("baseline")).otherwise(F.col("x0"))
     rows = rows.repartition("page").sortWithinPartitions("page", F.desc("horizontal"), level, F.when(F.col("horizontal"), F.col("x0")).otherwise(F.col("baseline")), "x1", "text")
-    facts = "line long, words array<struct<x0: double, x1: double, size: double, text: string, strong: string>>, size double, baseline double, x0 double, x1 double, top double, bottom double, horizontal boolean, chars long, bold boolean, rtl long, ltr long, left string, right string, tabular boolean"
-    return rows.mapInArrow(lambda batches: _measured(_gathered(_lined(batches))), StructType([rows.schema["page"], *StructType.fromDDL(facts).fields]))
+    own = "size double, baseline double, x0 double, x1 double, top double, bottom double, horizontal boolean, chars long, bold boolean, rtl long, ltr long, left string, right string, tabular boolean"
+    facts = StructType.fromDDL(f"line long, words array<struct<x0: double, x1: double, size: double, text: string, strong: string>>, text string, {own}, body double, leading double, body_width double")
+    return rows.mapInArrow(lambda batches: _paged(_measured(_gathered(_lined(batches)))), StructType([rows.schema["page"], *facts.fields]))
+
+
+def _rounded(sizes: np.ndarray) -> np.ndarray:
+    """Sizes to one decimal, half up."""
+    each, of = np.unique(sizes, return_inverse=True)
+    return np.array([float(Decimal(repr(s)).quantize(Decimal("0.1"), ROUND_HALF_UP)) if np.isfinite(s) else s for s in each.tolist()], float)[of]
 
 
 def _measured(lines: Iterator[tuple[pa.RecordBatch, np.ndarray]]) -> Iterator[pa.RecordBatch]:
@@ -202,8 +242,10 @@ def _measured(lines: Iterator[tuple[pa.RecordBatch, np.ndarray]]) -> Iterator[pa
     for batch, first in lines:
         count = np.diff(np.append(first, batch.num_rows))
         line = np.repeat(np.arange(len(count)), count)
-        x0, x1, size, shown, baseline, bold, horizontal, chars, rtl, ltr, filled = (batch[n].to_numpy(zero_copy_only=False) for n in ("x0", "x1", "size", "shown", "baseline", "bold", "horizontal", "chars", "rtl", "ltr", "filled"))
-        chars = chars.astype(np.int64)
+        x0, x1, size, baseline, bold, horizontal = (batch[n].to_numpy(zero_copy_only=False) for n in ("x0", "x1", "size", "baseline", "bold", "horizontal"))
+        shown, chars = _rounded(size), pc.utf8_length(batch["text"]).to_numpy(zero_copy_only=False).astype(np.int64)
+        filled = pc.not_equal(pc.utf8_trim(batch["text"], " "), "").to_numpy(zero_copy_only=False)
+        rtl, ltr, strong = _sides(batch)
         least, most, add = (lambda v, f=f: f.reduceat(v, first) for f in (np.minimum, np.maximum, np.add))
         middle, usual = least(baseline), least(shown)
         for k in np.flatnonzero(middle != most(baseline)):
@@ -214,7 +256,7 @@ def _measured(lines: Iterator[tuple[pa.RecordBatch, np.ndarray]]) -> Iterator[pa
                 c0, x_0 = n.get(s, (0, x))
                 n[s] = c0 + c, min(x_0, x)
             usual[k] = max(n, key=lambda s: (n[s][0], -n[s][1]))
-        at = np.flatnonzero(filled.astype(bool))
+        at = np.flatnonzero(filled)
         wide = (line[at[1:]] == line[at[:-1]]) & (x0[at[1:]] - x1[at[:-1]] > TABLE_GAP * np.maximum(size[at[1:]], size[at[:-1]]))
         tabular = np.bincount(line[at[1:]][wide], minlength=len(count)) > 0
         # The directions of the outermost words with letters.
@@ -222,27 +264,110 @@ def _measured(lines: Iterator[tuple[pa.RecordBatch, np.ndarray]]) -> Iterator[pa
         place = np.arange(len(line))
         low, high, none = least(np.where(sided, place, len(line))), most(np.where(sided, place, -1)), ~np.logical_or.reduceat(sided, first)
         of = np.where(rtl > ltr, "R", "L")
-        end = lambda k: pa.array(of[np.where(none, 0, k)].tolist(), pa.string(), mask=none)  # noqa: B023, E731
+        left, right = (np.where(none, None, of[np.where(none, 0, k)]) for k in (low, high))
+        # Lines without a word to the left read as they stand, unless their base is R; those of unlike ends, or of none, wait for their base.
+        turned = np.logical_or.reduceat(strong == "R", first)
+        waits = none | (left != right)
+        text = _straight(batch, first)
+        words = [*[batch[c] for c in PLACED], pa.array(strong, pa.string())]
+        if (turns := np.flatnonzero(turned & ~waits)).size:
+            said = text.to_pylist()
+            for k in turns.tolist():
+                a, n = int(first[k]), int(count[k])
+                said[k] = _texts([c.slice(a, n) for c in words], [0, n], [left[k]])[0]
+            text = pa.array(said, pa.string())
+        kept = pa.array(np.flatnonzero(np.repeat(waits, count)))
+        cuts = pa.array(np.append(0, np.cumsum(np.where(waits, count, 0))), pa.int32(), mask=np.append(~waits, False))
         found = {
-            "size": usual, "baseline": middle, "x0": least(x0), "x1": most(x1), "top": least(baseline - size), "bottom": most(baseline + size / 4), "horizontal": horizontal[first].astype(bool), "chars": add(chars),
-            "bold": add(np.where(bold.astype(bool), chars, 0)) >= BOLD * add(chars), "rtl": add(rtl.astype(np.int64)), "ltr": add(ltr.astype(np.int64)), "left": end(low), "right": end(high), "tabular": tabular,
+            "text": text, "size": usual, "baseline": middle, "x0": least(x0), "x1": most(x1), "top": least(baseline - size), "bottom": most(baseline + size / 4), "horizontal": horizontal[first].astype(bool), "chars": add(chars),
+            "bold": add(np.where(bold.astype(bool), chars, 0)) >= BOLD * add(chars), "rtl": add(rtl), "ltr": add(ltr), "left": pa.array(left, pa.string()), "right": pa.array(right, pa.string()), "tabular": tabular,
         }
         at = pa.array(first)
-        words = pa.ListArray.from_arrays(pa.array(np.append(first, batch.num_rows), pa.int32()), pa.StructArray.from_arrays([batch[c] for c in WORD], WORD))
+        words = pa.ListArray.from_arrays(cuts, pa.StructArray.from_arrays([c.take(kept) for c in words], WORD))
         own = [v if isinstance(v, pa.Array) else pa.array(v) for v in found.values()]
         yield pa.RecordBatch.from_arrays([batch["page"].take(at), batch["line"].take(at), words, *own], ["page", "line", "words", *found])
 
 
-def _leading(lines: DataFrame) -> DataFrame:
-    """(page, body, leading): the size of most characters, and a low quantile of the ways from line to line, so that paragraphs' gaps don't count."""
-    sizes = lines.groupBy("page", "size").agg(F.sum("chars").alias("n"), F.min("line").alias("first"))
-    body = sizes.groupBy("page").agg(F.max_by("size", F.struct("n", -F.col("first"))).alias("body"))
+class _Measures:
+    """What a page's row says of its lines; two numbers a line are held."""
+
+    def __init__(self):
+        self.sizes: dict[float, list] = {}
+        self.ways: list[np.ndarray] = []
+        self.widths: list[np.ndarray] = []
+        self.was, self.rtl = np.nan, 0
+        self.lines = 0
+
+    def add(self, size: np.ndarray, chars: np.ndarray, baseline: np.ndarray, width: np.ndarray, rtl: int) -> None:
+        """Lines in their order: size and chars of all of them, the baselines of those that are horizontal, the widths of those with text."""
+        each, first, of = np.unique(size, return_index=True, return_inverse=True)
+        for s, k, n in zip(each.tolist(), first.tolist(), np.bincount(of, chars).tolist(), strict=True):
+            own = self.sizes.setdefault(s if s == s else np.nan, [0, -(self.lines + k)])
+            own[0] += n
+        if len(baseline):
+            self.ways.append(np.diff(baseline, prepend=self.was) if self.ways else np.diff(baseline))
+            self.was = baseline[-1]
+        self.widths.append(width)
+        self.lines += len(size)
+        self.rtl += rtl
+
+    def row(self) -> tuple[float, float, float | None, int]:
+        """body, leading, body_width, and the letters of right-to-left scripts."""
+        body = max(self.sizes, key=lambda s: self.sizes[s])
+        ways = np.concatenate(self.ways) if self.ways else np.zeros(0)
+        ways = np.sort(ways[(ways > 0.2 * body) | (np.isnan(ways) & ~np.isnan(body))])
+        usual = np.maximum(ways[int(QUANTILE * (len(ways) - 1))], LEAST_LEADING * body) if len(ways) >= 2 else LEADING * body
+        widths = np.sort(np.concatenate(self.widths))
+        return body, float(usual), float(widths[int(0.75 * (len(widths) - 1))]) if len(widths) else None, self.rtl
+
+
+def _paged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines as they come, and after each page's last one a row of line -1 with its measures."""
+    now, names, page = None, ["body", "leading", "body_width"], None
+
+    def measures(rows: list[tuple[pa.Scalar, _Measures]], like: pa.RecordBatch) -> pa.RecordBatch:
+        found = [m.row() for _, m in rows]
+        own = {"line": [-1] * len(rows), "rtl": [r[3] for r in found]} | {n: [r[k] for r in found] for k, n in enumerate(names)}
+        fields = [*like.schema, *[pa.field(n, pa.float64()) for n in names]]
+        pages = pa.array([p.as_py() for p, _ in rows], like["page"].type)
+        return pa.RecordBatch.from_arrays([pages if f.name == "page" else pa.array(own[f.name], f.type) if f.name in own else pa.nulls(len(rows), f.type) for f in fields], [f.name for f in fields])
+
+    like = None
+    for batch in batches:
+        n, like = batch.num_rows, batch
+        size, chars, baseline, x0, x1, rtl = (batch[c].to_numpy(zero_copy_only=False) for c in ("size", "chars", "baseline", "x0", "x1", "rtl"))
+        level = batch["horizontal"].to_numpy(zero_copy_only=False)
+        text = pc.not_equal(pc.utf8_trim(batch["text"], " \t\x0b\f\r"), "").to_numpy(zero_copy_only=False)
+        starts = [0, *(np.flatnonzero(_differs(batch["page"])) + 1).tolist()]
+        ended = []
+        for a, b in zip(starts, [*starts[1:], n], strict=True):
+            if now is None or a or page != batch["page"][0]:
+                if now is not None:
+                    ended.append((page, now))
+                now, page = _Measures(), batch["page"][a]
+            here = slice(a, b)
+            now.add(size[here], chars[here], baseline[here][level[here]], (x1 - x0)[here][text[here]], int(rtl[here].sum()))
+        yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.nulls(n, pa.float64())] * 3], [*batch.schema.names, *names])
+        if ended:
+            yield measures(ended, batch)
+    if now is not None:
+        yield measures([(page, now)], like)
+
+
+def _based(placed: DataFrame) -> DataFrame:
+    """(page, line, base, said): the lines of two directions' pages that wait for their base, read by it. The base is their block's, else their page's, else left to right."""
+    waits = placed.filter("words IS NOT NULL")
+    # Without a letter of the right-to-left scripts a page's lines all read from the left.
+    mixed = placed.filter("line < 0 AND rtl > 0").select("page").join(waits.select("page").distinct(), "page", "left_semi")
+    rows = placed.drop("words", "text").join(mixed, "page", "left_semi")
     down = Window.partitionBy("page").orderBy("line")
-    way = F.col("baseline") - F.lag("baseline").over(down)
-    ways = lines.filter("horizontal").withColumn("way", way).join(body, "page").groupBy("page").agg(F.collect_list(F.when(F.col("way") > 0.2 * F.col("body"), F.col("way"))).alias("ways"))
-    rows = body.join(ways, "page", "left")
-    usual = F.greatest(_quantile(F.col("ways"), QUANTILE), LEAST_LEADING * F.col("body"))
-    return rows.select("page", "body", F.when(F.size("ways") >= 2, usual).otherwise(LEADING * F.col("body")).alias("leading"))
+    was = F.lag(F.when(F.col("line") >= 0, F.struct("size", "baseline", "horizontal"))).over(down)
+    rough = rows.withColumns({"was": was, "leading": F.first("leading").over(down)}).filter("line >= 0")
+    rough = rough.withColumn("rough", F.sum(_breaks(F.col("was")).cast("int")).over(down))
+    block, whole = Window.partitionBy("page", "rough"), Window.partitionBy("page")
+    total = lambda w: _towards(F.sum("rtl").over(w), F.sum("ltr").over(w))
+    rough = rough.withColumn("base", F.coalesce(total(block), total(whole), F.lit("L"))).select("page", "line", "base")
+    return _read(rough.join(waits.select("page", "line", "words"), ["page", "line"])).withColumnRenamed("text", "said")
 
 
 def _breaks(of: Column) -> Column:
@@ -258,61 +383,72 @@ class Layout(NamedTuple):
     blocks: DataFrame
 
 
-def offsets(lines: DataFrame) -> Layout:
-    """Lines (page, block, line, text, ...) joined into blocks, and blocks into the page, with the offsets of both. Hyphenation at Latin line ends is undone."""
-    keys = ["page", "block"]
-    down = Window.partitionBy("page").orderBy("block", "line")
-    same = lambda f: f("block").over(down) == F.col("block")
-    then = F.when(same(F.lead), F.lead("text").over(down))
-    cut = F.coalesce(F.col("text").rlike(r"\p{IsLatin}[-‐]$") & then.rlike(r"^\p{IsLatin}") & then.rlike(r"^\p{Ll}"), F.lit(False))
-    rows = lines.withColumn("cut", cut).withColumn("piece", F.when(F.col("cut"), F.substring("text", F.lit(1), F.length("text") - 1)).otherwise(F.col("text")))
+def _pieces(lines: DataFrame) -> DataFrame:
+    """Lines with ``cut``, whether their last character is a hyphen that the next one goes on from, ``gap``, the newlines before them in the page's text, and their offsets there."""
+    down = Window.partitionBy("page").orderBy("line")
+    hyphen = (F.contains("text", F.lit("-")) | F.contains("text", F.lit("‐"))) & F.col("text").rlike(r"\p{IsLatin}[-‐]$")
+    rows = lines.withColumns({"hyphen": hyphen, "goes_on": F.col("text").rlike(r"^(?=\p{IsLatin})\p{Ll}")})
+    # Flags alone go from line to line, not texts.
+    rows = rows.withColumns({"then": F.lead(F.struct("block", "goes_on")).over(down), "before": F.lag(F.struct("block", "hyphen")).over(down)})
+    cut = F.coalesce((F.col("then.block") == F.col("block")) & F.col("hyphen") & F.col("then.goes_on"), F.lit(False))
     # A newline inside a block, unless a word goes on; two between blocks.
-    gap = F.when(F.lag("block").over(down).isNull(), 0).when(~same(F.lag), 2).when(F.lag("cut").over(down), 0).otherwise(1)
-    rows = rows.withColumn("gap", gap).withColumn("char_end", F.sum(F.col("gap") + F.length("piece")).over(down)).withColumn("char_start", F.col("char_end") - F.length("piece"))
-    pieces = F.array_sort(F.collect_list(F.struct("line", F.concat(F.when(F.col("gap") == 1, "\n").otherwise(""), F.col("piece")).alias("piece"))))
-    text = F.array_join(F.transform(pieces, lambda x: x["piece"]), "").alias("text")
-    blocks = rows.groupBy(*keys).agg(text, F.count("*").alias("lines"), F.min("line").alias("line"), F.max("line").alias("last"), F.min("char_start").alias("char_start"), F.max("char_end").alias("char_end"))
-    return Layout(rows.drop("cut", "piece", "gap"), blocks)
+    gap = F.when(F.col("before").isNull(), 0).when(F.col("before.block") != F.col("block"), 2).when(F.col("before.hyphen") & F.col("goes_on"), 0).otherwise(1)
+    rows = rows.withColumns({"cut": cut, "gap": gap}).withColumn("size_here", F.length("text") - F.col("cut").cast("int")).drop("then", "before", "hyphen", "goes_on")
+    return rows.withColumn("char_end", F.sum(F.col("gap") + F.col("size_here")).over(down)).withColumn("char_start", F.col("char_end") - F.col("size_here")).drop("size_here")
+
+
+def _joined(pieces: DataFrame, held: list[str], *more: Column) -> DataFrame:
+    """The blocks that lines with their pieces make, and ``held``, their lines in order with these columns."""
+    lines = F.array_sort(F.collect_list(F.struct("line", "text", "gap", "cut", *held))).alias("held")
+    blocks = pieces.groupBy("page", "block").agg(lines, F.count("*").alias("lines"), F.min("line").alias("line"), F.max("line").alias("last"), F.min("char_start").alias("char_start"), F.max("char_end").alias("char_end"), *more)
+    own = lambda x: F.when(x["cut"], F.substring(x["text"], F.lit(1), F.length(x["text"]) - 1)).otherwise(x["text"])
+    return blocks.withColumn("text", F.array_join(F.transform("held", lambda x: F.concat(F.when(x["gap"] == 1, "\n").otherwise(""), own(x))), ""))
+
+
+def offsets(lines: DataFrame) -> Layout:
+    """Lines (page, block, line, text, ...), blocks following each other as their lines do, joined into blocks, and blocks into the page, with the offsets of both. Hyphenation at Latin line ends is undone."""
+    rows = _pieces(lines)
+    return Layout(rows.drop("cut", "gap"), _joined(rows, []).drop("held"))
 
 
 def page(words: DataFrame) -> Layout:
     """Pages of placed words in two passes.
 
-    The first finds lines, the leading and blocks by geometry alone, and reads each line in its own direction: that of its two ends where they agree, else its block's,
-    else its page's, else left to right. The second finds the blocks by geometry, by a change to or from bold and by short lines that name a chapter; lines
+    The first finds lines and their page's measures, and reads each line in its own direction: that of its two ends where they agree, else that of its block by geometry
+    alone, else its page's, else left to right. The second finds the blocks by geometry, by a change to or from bold and by short lines that name a chapter; lines
     without text are gone by then. Blocks of at most two lines are headings if they are large, bold and set off, or named; tables and lists never are.
+    The second pass deals the lines to their pages once: windows and blocks follow in the same order, and blocks are written with their lines.
     """
-    placed = staged(_facts(words), "lines")
-    facts = placed.drop("words")
-    sized = facts.join(_leading(facts), "page")
+    placed = staged(_facts(words.filter("page IS NOT NULL")), "lines")
+    based = staged(_based(placed), "read")
+    rows = placed.drop("words").join(based, ["page", "line"], "left")
+    rows = rows.withColumn("text", F.coalesce("said", "text")).filter((F.col("line") < 0) | F.col("text").rlike(r"[^ \t\x0B\f\r]")).drop("said").repartition("page")  # before its columns grow
+    clean = F.trim(F.regexp_replace("text", r"[^\S\n ][^\S\n]*| [^\S\n]+", " "))  # single blanks stay untouched
+    rows = rows.withColumns({"text": clean, "base": F.coalesce("base", F.when(F.col("left") == F.col("right"), F.col("left")), F.lit("L"))})
+    rows = rows.drop("left", "right", "chars", "rtl", "ltr")
     down = Window.partitionBy("page").orderBy("line")
-    was = F.lag(F.struct("size", "baseline", "horizontal")).over(down)
-    rough = sized.withColumn("was", was).withColumn("rough", F.sum(_breaks(F.col("was")).cast("int")).over(down)).drop("was")
-    block, whole = Window.partitionBy("page", "rough"), Window.partitionBy("page")
-    total = lambda w: _towards(F.sum("rtl").over(w), F.sum("ltr").over(w))
-    rough = rough.withColumn("base", F.coalesce(F.when(F.col("left") == F.col("right"), F.col("left")), total(block), total(whole), F.lit("L")))
-    drafts = _read(rough.join(placed.select("page", "line", "words"), ["page", "line"])).withColumn("text", F.trim(F.regexp_replace("text", r"[^\S\n]+", " "))).filter("text <> ''")
-    drafts = staged(drafts, "read")
-    width = drafts.groupBy("page").agg(_quantile(F.collect_list(F.col("x1") - F.col("x0")), 0.75).alias("body_width"))
-    alone = (F.length("text") <= HEADING_CHARS) & F.col("text").rlike(NAMED) & (F.col("x1") - F.col("x0") <= SHORT * F.col("body_width"))
-    drafts = drafts.join(width, "page").withColumn("alone", alone)
-    was = F.lag(F.struct("size", "baseline", "horizontal", "bold", "alone")).over(down)
-    opens = _breaks(F.col("was")) | (F.col("bold") != F.col("was.bold")) | F.col("alone") | F.col("was.alone")
-    drafts = drafts.withColumn("was", was).withColumn("block", F.sum(opens.cast("int")).over(down) - 1)
-    drafts = drafts.withColumn("marker", F.col("text").rlike(MARKER)).withColumns({"marked_before": F.lag("marker").over(down), "marked_after": F.lead("marker").over(down), "way": F.col("baseline") - F.col("was.baseline")})
+    rows = rows.withColumns({"named": (F.length("text") <= HEADING_CHARS) & F.col("text").rlike(NAMED), "width": F.col("x1") - F.col("x0"), "marker": F.col("text").rlike(MARKER)})
+    # A page's own row comes first.
+    was = F.lag(F.when(F.col("line") >= 0, F.struct("size", "baseline", "horizontal", "bold", "named", "width", "marker"))).over(down)
+    rows = rows.withColumns({c: F.first(c).over(down) for c in ("body", "leading", "body_width")} | {"was": was, "marked_after": F.lead("marker").over(down)}).filter("line >= 0")
+    alone = lambda named, width: named & (width <= SHORT * F.col("body_width"))
+    opens = _breaks(F.col("was")) | (F.col("bold") != F.col("was.bold")) | alone(F.col("named"), F.col("width")) | alone(F.col("was.named"), F.col("was.width"))
+    drafts = rows.withColumns({"block": F.sum(opens.cast("int")).over(down) - 1, "marked_before": F.col("was.marker"), "way": F.col("baseline") - F.col("was.baseline")})
     kept = ["page", "block", "line", "text", F.when(F.col("base") == "R", "rtl").otherwise("ltr").alias("direction"), "x0", "top", "x1", "bottom", "size", "bold", "tabular", "marker", "marked_before", "marked_after", "way", "body", "leading"]
-    found = offsets(staged(drafts.select(*kept), "drafts"))
-    first = found.lines.groupBy("page", "block").agg(
-        F.min_by("size", "line").alias("size"), F.min("bold").alias("bold"), F.max("tabular").alias("tabular"), F.min_by("way", "line").alias("way"), F.first("body").alias("body"), F.first("leading").alias("leading"),
-        F.min_by("marker", "line").alias("marker"), F.min_by("marked_before", "line").alias("marked_before"), F.max_by("marked_after", "line").alias("marked_after"),
-    )
-    blocks = found.blocks.join(first, ["page", "block"])
+    held = ["direction", "char_start", "char_end", "x0", "top", "x1", "bottom"]
+    own = ["size", "way", "marker", "marked_before", "marked_after"]
+    blocks = _joined(_pieces(drafts.select(*kept)), [*held, *own], F.min("bold").alias("bold"), F.max("tabular").alias("tabular"), F.first("body").alias("body"), F.first("leading").alias("leading"))
+    first, last = F.get("held", F.lit(0)), F.get("held", F.size("held") - 1)
+    blocks = blocks.withColumns({c: first[c] for c in ("size", "way", "marker", "marked_before")} | {"marked_after": last["marked_after"]})
     listed = F.col("marker") & (F.coalesce("marked_before", F.lit(False)) | F.coalesce("marked_after", F.lit(False)))
     large = (F.col("body") > 0) & (F.col("size") >= HEADING_SIZE * F.col("body"))
     set_off = F.col("bold") & (F.coalesce("way", F.lit(float("inf"))) >= BOLD_GAP * F.col("leading"))
     short = (F.col("lines") <= HEADING_LINES) & (F.length("text") <= HEADING_CHARS) & F.col("text").rlike(r"[\p{L}\p{N}]") & ~F.col("tabular") & ~listed
     blocks = blocks.withColumn("heading", short & (large | set_off | F.col("text").rlike(NAMED))).withColumn("direction", T.direction(F.col("text")))
-    return Layout(found.lines.select("page", "block", "line", "text", "direction", "char_start", "char_end", "x0", "top", "x1", "bottom"), blocks.select("page", "block", "text", "char_start", "char_end", "lines", "direction", "heading", "size", "bold"))
+    shown = ["line", "text", *held]
+    slim = F.transform("held", lambda x: F.struct(*[x[c].alias(c) for c in shown])).alias("held")
+    blocks = staged(blocks.select("page", "block", "text", "char_start", "char_end", "lines", "direction", "heading", "size", "bold", slim), "pages")
+    return Layout(blocks.select("page", "block", F.inline("held")).select("page", "block", *shown), blocks.drop("held"))
 
 
 def recognised(lines: DataFrame) -> Layout:
